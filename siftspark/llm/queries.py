@@ -4,13 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.llm import simhash
+from siftspark.llm import langid, pieces, sharding, simhash, urlrules
 from siftspark.session import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.op1_sentencepiece(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op2_simhash(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_simhash": op2_simhash}
-ORACLES: dict[str, str] = {}
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op3_language_id(table(spark, sf_dir, "documents"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.op5_sharding(table(spark, sf_dir, "documents"))
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.op10_url_filters(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_language_id, op5_sharding, op10_url_filters)}
+ORACLES = {"op10_url_filters": urlrules.OP10_SQL}

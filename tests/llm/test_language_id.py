@@ -1,0 +1,41 @@
+import zlib
+
+from siftspark.llm import langid
+
+
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r for r in langid.op3_language_id(docs).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    tried = right = 0
+    for r in rows:
+        g = got[r.doc_id]
+        assert g.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= g.score <= 1
+        if g.held_out and r.lang and g.lang_pred != "und":
+            tried += 1
+            right += g.lang_pred == r.lang
+    assert tried > 200 and right / tried > 0.98
+
+
+def test_edges(spark):
+    kind = "doc_id long, text string, lang string, score string"
+    rows = [(1, "the cat and the dog", "en", "x"), (2, "der hund und die katze", "de", None), (3, None, "en", None), (4, "some text", None, None), (5, "", "de", None), (6, "123 $%", "en", None), (None, "und der", None, None), (8, "the " * 300000, "en", None)]
+    df = spark.createDataFrame(rows, kind)
+    model = langid.fit(df.where("doc_id < 3"))
+    assert model.langs == ("de", "en")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, model).collect()}
+    assert got[3] == got[5] == got[6] == ("und", 0.0)
+    assert got[1][0] == got[8][0] == "en" and got[2][0] == got[None][0] == "de"
+    kept = langid.keep_known(df, model)
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "4", "8", "None"]
+    none = langid.fit(df.limit(0))
+    assert none.langs == () and {r.lang_pred for r in langid.predict(df, none).collect()} == {"und"}
+
+
+def test_ngrams_of_slices_meet(monkeypatch):
+    text = "Aé b-c döf ghi" * 50
+    whole = sorted(x for b in langid.ngram_buckets(text, (1,), 14) for x in b.tolist())
+    monkeypatch.setattr(langid, "_SLICE", 7)
+    parts = [x for b in langid.ngram_buckets(text, (1,), 14) for x in b.tolist()]
+    assert set(whole) == set(parts)
