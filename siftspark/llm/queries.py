@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.llm import decontam, langid, linedup, pieces, sharding, simhash, urlrules
+from siftspark.llm import decontam, langid, linedup, neargraph, pieces, sharding, simhash, urlrules
 from siftspark.session import table
 
 
@@ -20,6 +20,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op3_language_id(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neargraph.op4_embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.op5_sharding(table(spark, sf_dir, "documents"))
 
@@ -36,5 +40,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.op10_url_filters(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_language_id, op5_sharding, op7_decontamination, op9_line_dedup, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_language_id, op4_embedding_dedup, op5_sharding, op7_decontamination, op9_line_dedup, op10_url_filters)}
 ORACLES = {"op7_decontamination": decontam.OP7_SQL, "op9_line_dedup": linedup.OP9_SQL, "op10_url_filters": urlrules.OP10_SQL}
