@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftspark.session import small_batches
+
 MARK = "▁"
-#: Units sampled at a time, and distinct units whose lattices a task keeps.
-_UNITS, _KEPT = 200_000, 400_000
+#: Units sampled at a time, distinct units filtered at a time, and edges that a task keeps.
+_UNITS, _NEW, _KEPT = 100_000, 16_000, 10_000_000
 _LITERAL = 0x110000
 
 
@@ -67,6 +69,9 @@ class Vocabulary:
         self.piece = np.full(len(children) + 1, -1, np.int64)
         self.piece[list(piece_at)] = list(piece_at.values())
         self.log_weight = log_weight
+        #: Also true at -1 - code point, whose index counts from the end.
+        self.is_byte = np.zeros(size + 0x110001, bool)
+        self.is_byte[self.byte] = self.is_byte[size:] = True
         #: A byte piece weighs less than any other piece.
         self.byte_weight = float(log_weight.min() - alpha)
 
@@ -96,8 +101,30 @@ class Lattices:
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.nodes = self.edges = 0
-        self.chunks: list[tuple[np.ndarray, ...]] = []
-        self.flat: tuple[np.ndarray, ...] | None = None
+        # pages of these are touched only as they fill
+        self.run = np.empty(_KEPT * 2, np.float32)
+        self.src, self.tok = np.empty(_KEPT * 2, np.int32), np.empty(_KEPT * 2, np.int32)
+        self.edge_of = np.empty(_KEPT, np.int32)
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        array = getattr(self, name)
+        if at + len(values) > len(array):
+            array = np.concatenate((array[:at], np.empty(at + 2 * len(values), array.dtype)))
+            setattr(self, name, array)
+        array[at : at + len(values)] = values
+
+    def places(self, units: list[str]) -> np.ndarray:
+        """End node of each unit; lattices of new units are filtered first."""
+        if self.edges > _KEPT:
+            self.clear()
+        found = list(map(self.index.get, units))
+        missing = [k for k, x in enumerate(found) if x is None]
+        new = list(dict.fromkeys(map(units.__getitem__, missing)))
+        for at in range(0, len(new), _NEW):
+            self.add(new[at : at + _NEW])
+        for k in missing:
+            found[k] = self.index[units[k]]
+        return np.array(found, np.int32)
 
     def add(self, units: list[str]) -> None:
         """Forward-filter the lattices of new distinct units."""
@@ -129,9 +156,10 @@ class Lattices:
         src.append(bare), dst.append(bare + 1)
         plain = code[bare] < 128
         tok.append(np.where(plain, v.byte[np.minimum(code[bare], 127)], -1 - np.where(code[bare] == _LITERAL, ord(MARK), code[bare])))
-        src, dst, tok = map(np.concatenate, (src, dst, tok))
+        # the longest piece first: it is the likeliest
+        src, dst, tok = (np.concatenate(x[::-1]) for x in (src, dst, tok))
         width = np.where(tok >= 0, 1, 1 + (-1 - tok > 0x7F) + (-1 - tok > 0x7FF) + (-1 - tok > 0xFFFF))
-        weight = np.where((tok >= 0) & ~np.isin(tok, v.byte), v.log_weight[np.maximum(tok, 0)], v.byte_weight * width)
+        weight = np.where(~v.is_byte[tok], v.log_weight[np.maximum(tok, 0)], v.byte_weight * width)
         # node numbers: a unit of n codes has n + 1 positions
         unit = np.repeat(np.arange(len(units)), size)
         base = head + np.arange(len(units))
@@ -150,9 +178,6 @@ class Lattices:
             whole = np.add.reduceat(part, first)
             log_sum[to[first]] = top + np.log(whole)
             prob[a:b] = part / np.repeat(whole, n)
-        # side by side for each node, the likeliest first
-        order = np.argsort(dst_node + (1 - prob) * 0.75)
-        src_node, dst_node, tok, prob = (x[order] for x in (src_node, dst_node, tok, prob))
         run = np.cumsum(prob)
         first = np.flatnonzero(np.concatenate(([True], dst_node[1:] != dst_node[:-1])))
         n = np.diff(np.append(first, len(prob)))
@@ -164,19 +189,18 @@ class Lattices:
             self.index[u] = self.nodes + int(base[k] + size[k])
         # a unit's first node has no incoming edge
         edge_of[edge_of >= 0] += self.edges
-        self.chunks.append((run, (src_node + self.nodes).astype(np.int32), tok.astype(np.int32), edge_of))
+        self._put("run", self.edges, run)
+        self._put("src", self.edges, src_node + self.nodes)
+        self._put("tok", self.edges, tok)
+        self._put("edge_of", self.nodes, edge_of)
         self.nodes += len(edge_of)
         self.edges += len(tok)
-        self.flat = None
 
     def sample(self, ends: np.ndarray, seed: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of each unit in order, flat, and their number by unit."""
-        if self.flat is None:
-            self.flat = tuple(map(np.concatenate, zip(*self.chunks, strict=True)))
-            self.chunks = [self.flat]
-        run, src, tok, edge_of = self.flat
+        run, src, tok, edge_of = self.run, self.src, self.tok, self.edge_of
         salt = seed ^ (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        who, node, taken, owner = np.arange(len(ends), dtype=np.int32), ends.astype(np.int32), [], []
+        who, node, taken, owner = np.arange(len(ends), dtype=np.int32), ends.copy(), [], []
         depth = 0
         while len(who):
             z = salt[who] + np.uint64(depth * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)
@@ -226,13 +250,7 @@ def encode_texts(texts: list[str | None], keys: list[int], lattices: Lattices) -
         nonlocal units, spans
         if not units:
             return
-        if len(lattices.index) > _KEPT:
-            lattices.clear()
-        known = lattices.index
-        new = [u for u in dict.fromkeys(units) if u not in known]
-        if new:
-            lattices.add(new)
-        ends = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
+        ends = lattices.places(units)
         n = np.array([s[2] for s in spans])
         seed = np.repeat(np.array([keys[s[0]] for s in spans], np.int64).view(np.uint64), n)
         place = np.concatenate([np.arange(s[1], s[1] + s[2]) for s in spans])
@@ -263,34 +281,48 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "piece_ids", model: str | None = None, alpha: float = 1.0, seed: int = 0) -> DataFrame:
+def _spell(vocab: Vocabulary, ids: np.ndarray) -> str:
+    return b"".join(map(vocab.bytes_of.__getitem__, ids.tolist()))[1:].decode("utf-8", "replace")
+
+
+def encode(df: DataFrame, key: str = "doc_id", text: str = "text", out: str = "piece_ids", model: str | None = None, alpha: float = 1.0, seed: int = 0, lossless: str | None = None) -> DataFrame:
     """Add ``out`` array<int>, a sampled segmentation of ``text``.
 
     Seeded by ``key`` and ``seed`` alone: repeated rows get equal ids, and so
     does any re-run. Null text: null; empty text: the piece of the leading
     mark; a null key is a key. ``alpha`` 0 draws all segmentations alike, a
     large one the heaviest. ``model`` is a path that every executor can open.
-    A column named ``out`` is replaced, all others stay.
+    ``lossless`` names a boolean column to add: whether the ids, decoded, are
+    the text again (null for a null text). Columns of these names are
+    replaced, all others stay.
     """
     path = model or default_model()
+    small_batches(df.sparkSession)
+    kind = "ids array<int>, lossless boolean"
 
-    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        lattices = Lattices(vocabulary(path, alpha))
+    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        vocab = vocabulary(path, alpha)
+        lattices = Lattices(vocab)
         for keys, texts in batches:
-            yield pd.Series(encode_texts(texts.to_list(), keys.to_list(), lattices))
+            ids = encode_texts(texts.to_list(), keys.to_list(), lattices)
+            same = [None if r is None or not lossless else _spell(vocab, r) == t for r, t in zip(ids, texts, strict=True)]
+            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "lossless": pd.Series(same, dtype=object)})
 
-    of.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
-    return df.withColumn(out, F.pandas_udf(of, T.ArrayType(T.IntegerType()))(F.xxhash64(F.col(key), F.lit(seed)), F.col(text)))
+    of.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
+    said = df.withColumn("__pieces", F.pandas_udf(of, kind)(F.xxhash64(F.col(key), F.lit(seed)), F.col(text)))
+    said = said.withColumn(out, F.col("__pieces.ids"))
+    return (said.withColumn(lossless, F.col("__pieces.lossless")) if lossless else said).drop("__pieces")
 
 
 def decode(df: DataFrame, ids: str = "piece_ids", out: str = "decoded", model: str | None = None) -> DataFrame:
     """Add ``out`` string, the text that ``ids`` spell; null ids: null; no ids: empty."""
     path = model or default_model()
+    small_batches(df.sparkSession)
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        spell = vocabulary(path, 1.0).bytes_of.__getitem__
+        vocab = vocabulary(path, 1.0)
         for rows in batches:
-            yield pd.Series([None if r is None else b"".join(map(spell, r.tolist()))[1:].decode("utf-8", "replace") for r in rows], dtype=object)
+            yield pd.Series([None if r is None else _spell(vocab, r) for r in rows], dtype=object)
 
     of.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return df.withColumn(out, F.pandas_udf(of, T.StringType())(F.col(ids)))
@@ -298,5 +330,5 @@ def decode(df: DataFrame, ids: str = "piece_ids", out: str = "decoded", model: s
 
 def op1_sentencepiece(docs: DataFrame) -> DataFrame:
     """Per document: number and hash of its sampled pieces, and whether they decode to its text."""
-    both = decode(encode(docs.select("doc_id", "text")))
-    return both.select("doc_id", F.coalesce(F.size("piece_ids"), F.lit(0)).alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    both = encode(docs.select("doc_id", "text"), lossless="lossless")
+    return both.select("doc_id", F.coalesce(F.size("piece_ids"), F.lit(0)).alias("n_pieces"), F.xxhash64("piece_ids").alias("ids_hash"), F.coalesce("lossless", F.lit(True)).alias("lossless"))

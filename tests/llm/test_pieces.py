@@ -29,6 +29,7 @@ def test_batches_do_not_matter(vocab, monkeypatch):
     whole = pieces.encode_texts(texts, list(range(len(texts))), pieces.Lattices(vocab))
     monkeypatch.setattr(pieces, "_UNITS", 2)
     monkeypatch.setattr(pieces, "_KEPT", 3)
+    monkeypatch.setattr(pieces, "_NEW", 2)
     parts = pieces.encode_texts(texts, list(range(len(texts))), pieces.Lattices(vocab))
     assert all(np.array_equal(a, b) for a, b in zip(whole, parts))
     other = pieces.encode_texts(["segmentation of words"] * 40, list(range(40)), pieces.Lattices(vocab))
