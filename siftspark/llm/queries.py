@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.llm import backoff, decontam, langid, linedup, neargraph, pieces, sharding, simhash, urlrules
+from siftspark.llm import backoff, decontam, langid, linedup, neargraph, pieces, sharding, simhash, tokenfile, urlrules
 from siftspark.session import table
 
 
@@ -36,6 +36,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op7_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.op8_token_files(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.op9_line_dedup(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.op10_url_filters(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_language_id, op4_embedding_dedup, op5_sharding, op6_lm_scoring, op7_decontamination, op9_line_dedup, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_language_id, op4_embedding_dedup, op5_sharding, op6_lm_scoring, op7_decontamination, op8_token_files, op9_line_dedup, op10_url_filters)}
 ORACLES = {"op7_decontamination": decontam.OP7_SQL, "op9_line_dedup": linedup.OP9_SQL, "op10_url_filters": urlrules.OP10_SQL}
