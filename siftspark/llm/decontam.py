@@ -93,11 +93,12 @@ def leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: float
 
     if not sizes:
         return docs.select("dk").join(items.select("item_id"), F.lit(False)).selectExpr("dk", "item_id", "cast(0 as double) similarity", "0 word_start", "0 n_words")
-    places = hashed(docs).select("dk", F.inline("by_k")).select("dk", F.posexplode("hs").alias("pos", "h"))
+    # outer: a plain explode would add a filter that hashes each document twice
+    places = hashed(docs).select("dk", F.inline_outer("by_k")).select("dk", F.posexplode_outer("hs").alias("pos", "h"))
     places = places.join(_small(known, _BROADCAST_SHINGLES), "h").select("dk", "n", "k", "pos")
     at = cut(places.groupBy("dk", "n", "k").agg(F.sort_array(F.collect_set("pos")).alias("at")))
     per_doc = at.groupBy("dk").agg(F.collect_list(F.struct("n", "k", "at")).alias("sizes"))
-    seen = hashed(docs).join(_small(per_doc, _BROADCAST_DOCS), "dk").select("dk", "by_k", F.inline("sizes"))
+    seen = hashed(docs).join(_small(per_doc, _BROADCAST_DOCS), "dk").select("dk", "by_k", F.inline_outer("sizes"))
     seen = seen.select("dk", "n", "at", F.get(F.expr("filter(by_k, x -> x.k = k)"), 0)["hs"].alias("hs"), (F.col("n") - F.col("k") + 1).alias("m"))
     seen = seen.withColumn("mw", F.least("m", F.size("hs"))).withColumn("need", _ceil(threshold / (1 + threshold), F.col("m") + F.col("mw")))
     # the first and the last of ``need`` places next to each other, if one window holds them
