@@ -6,5 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siftspark.plans import feature_queries, finding_queries
+
+_MODULES = (finding_queries, feature_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _m in _MODULES:
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
