@@ -50,7 +50,7 @@ SCORES = """scores AS (SELECT vec_id AS id, CASE WHEN label % 3 = 0 THEN 'elf' W
 REFS = """refs AS (SELECT l_orderkey AS report_id, l_suppkey AS file_id, l_linenumber AS pos, CASE l_returnflag WHEN 'A' THEN 'url' WHEN 'R' THEN 'command' ELSE 'dependency' END AS kind,
   lower(replace(p_brand, '#', '-')) AS package, p_size || '.' || l_linenumber || '.' || (l_suppkey % 10) AS version, p_size, l_linenumber, l_suppkey % 10 AS patch,
   'pkg:npm/' || lower(replace(p_brand, '#', '-')) || CASE WHEN l_partkey % 9 = 0 THEN '' ELSE '@' || p_size || '.' || l_linenumber || '.' || (l_suppkey % 10) END AS locator,
-  l_partkey AS part_id, CAST(l_extendedprice AS BIGINT) AS bytes FROM lineitem JOIN part ON l_partkey = p_partkey)"""
+  l_partkey AS part_id, CAST(floor(l_extendedprice) AS BIGINT) AS bytes FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 POOL = """pool AS (SELECT 'pkg:npm/' || lower(replace(p_brand, '#', '-')) || '-' || (p_partkey % 97) || '@' || p_size || '.0.' || (p_partkey % 10) AS purl, sha256(p_name) AS sha256, CASE WHEN p_partkey % 7 = 0 THEN 'bad' ELSE 'good' END AS label FROM part),
 keys AS (SELECT DISTINCT label, 'sha256' AS kind, sha256 AS key FROM pool UNION SELECT DISTINCT label, 'purl', purl FROM pool)"""

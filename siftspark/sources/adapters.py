@@ -62,7 +62,7 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE l_returnflag WHEN 'A' THEN 'url' WHEN 'R' THEN 'command' ELSE 'dependency' END AS kind",
         "lower(replace(p_brand, '#', '-')) AS package", "concat(p_size, '.', l_linenumber, '.', l_suppkey % 10) AS version",
         "concat('pkg:npm/', lower(replace(p_brand, '#', '-')), CASE WHEN l_partkey % 9 = 0 THEN '' ELSE concat('@', p_size, '.', l_linenumber, '.', l_suppkey % 10) END) AS locator",
-        "l_partkey AS part_id", "CAST(l_extendedprice AS BIGINT) AS bytes",
+        "l_partkey AS part_id", "CAST(floor(l_extendedprice) AS BIGINT) AS bytes",
     )
 
 
