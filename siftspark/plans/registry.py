@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.plans import feature_queries, finding_queries, known_queries, verdict_queries
+from siftspark.plans import audit_queries, feature_queries, finding_queries, known_queries, verdict_queries
 
-_MODULES = (finding_queries, feature_queries, verdict_queries, known_queries)
+_MODULES = (finding_queries, feature_queries, verdict_queries, known_queries, audit_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 for _m in _MODULES:
