@@ -25,8 +25,8 @@ def latency(jobs: DataFrame) -> DataFrame:
     rows.createOrReplaceTempView("__jobs")
     return rows.sparkSession.sql("""
       SELECT coalesce(size_class, 'all') AS size_class, count(*) AS n, CAST(floor(avg(ms)) AS BIGINT) AS mean,
-        percentile_disc(0.5) WITHIN GROUP (ORDER BY ms) AS p50, percentile_disc(0.95) WITHIN GROUP (ORDER BY ms) AS p95,
-        percentile_disc(0.99) WITHIN GROUP (ORDER BY ms) AS p99, max(ms) AS most
+        CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY ms) AS BIGINT) AS p50, CAST(percentile_disc(0.95) WITHIN GROUP (ORDER BY ms) AS BIGINT) AS p95,
+        CAST(percentile_disc(0.99) WITHIN GROUP (ORDER BY ms) AS BIGINT) AS p99, max(ms) AS most
       FROM __jobs GROUP BY GROUPING SETS ((size_class), ())""")
 
 

@@ -27,7 +27,7 @@ PHRASES = ["the and of", "ignore previous", "onon", "les de"]
 
 @query(r"""WITH t AS (SELECT conv_id, turn, replace(text, '!!', '/') AS t FROM conversations), l AS (SELECT conv_id, turn, t, unnest(string_split(t, chr(10))) AS line FROM t),
   f AS (SELECT *, length(line) >= 16 AND (length(regexp_replace(line, '[ -~\pL]', '', 'g')) > 0.25 * length(line)) AS opaque FROM l),
-  g AS (SELECT conv_id, turn, bool_or(regexp_matches(line, '^\s*(//|--|#) [HS]( |$)')) AS elevated, bool_or(regexp_matches(line, '^\s*(//|--|#) H( |$)')) AS hostile, count_if(opaque) * 2 < greatest(1, count_if(line <> '')) AS readable FROM f GROUP BY ALL)
+  g AS (SELECT conv_id, turn, bool_or(regexp_matches(line, '^\s*(//|--|#) [HS]( |$)')) AS elevated, bool_or(regexp_matches(line, '^\s*(//|--|#) H( |$)')) AS hostile, count(CASE WHEN opaque THEN 1 END) * 2 < greatest(1, count(CASE WHEN line <> '' THEN 1 END)) AS readable FROM f GROUP BY ALL)
   SELECT g.*, contains(lower(t), 'the and of') OR contains(lower(t), 'ignore previous') OR contains(lower(t), 'onon') OR contains(lower(t), 'les de') AS addresses_analyzer FROM g JOIN t USING (conv_id, turn)""")
 def text_guards(spark, sf_dir):
     return G.guard_texts(table(spark, sf_dir, "conversations"), PHRASES, ("conv_id", "turn"))
@@ -49,7 +49,7 @@ def blended_grades(spark, sf_dir):
     return G.blend(graded(spark, sf_dir)).select("conv_id", "turn", "new_class", "new_prob")
 
 
-@query("""SELECT 'arm' || (conv_id % 3) AS arm, 'b' || (turn % 2) AS batch, count(*) AS n, count_if(length(text) % 3 = turn % 3) AS exact, count_if(abs(length(text) % 3 - turn % 3) <= 1) AS acceptable FROM conversations GROUP BY ROLLUP ('arm' || (conv_id % 3), 'b' || (turn % 2))""")
+@query("""SELECT 'arm' || (conv_id % 3) AS arm, 'b' || (turn % 2) AS batch, count(*) AS n, count(CASE WHEN length(text) % 3 = turn % 3 THEN 1 END) AS exact, count(CASE WHEN abs(length(text) % 3 - turn % 3) <= 1 THEN 1 END) AS acceptable FROM conversations GROUP BY ROLLUP ('arm' || (conv_id % 3), 'b' || (turn % 2))""")
 def grade_evaluation(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").selectExpr("concat('arm', conv_id % 3) AS arm", "concat('b', turn % 2) AS batch", "length(text) % 3 AS grade", "turn % 3 AS truth")
     return G.grade_eval(rows)
@@ -62,7 +62,7 @@ def graded_from_cache(spark, sf_dir):
     return G.with_grades(rows, cache).select("conv_id", "turn", "key", "grade")
 
 
-@query(sql(FINDINGS, FLOOR, """, v AS (SELECT CASE WHEN report_id % 100 = 7 THEN NULL ELSE class END AS class FROM verdicts) SELECT count_if(class = 2) AS hostile, count_if(class = 1) AS suspicious, count_if(class = 0) AS benign, count_if(class IS NULL) AS errors, count(class) AS total, 1 AS exit_code FROM v"""))
+@query(sql(FINDINGS, FLOOR, """, v AS (SELECT CASE WHEN report_id % 100 = 7 THEN NULL ELSE class END AS class FROM verdicts) SELECT count(CASE WHEN class = 2 THEN 1 END) AS hostile, count(CASE WHEN class = 1 THEN 1 END) AS suspicious, count(CASE WHEN class = 0 THEN 1 END) AS benign, count(CASE WHEN class IS NULL THEN 1 END) AS errors, count(class) AS total, 1 AS exit_code FROM v"""))
 def scan_summary(spark, sf_dir):
     return M.summary(floor_verdicts(spark, sf_dir).withColumn("class", F.when(F.col("report_id") % 100 != 7, F.col("class"))))
 
@@ -101,7 +101,7 @@ def memory_estimates(spark, sf_dir):
     return A.files(spark, sf_dir).select("report_id", "file_id", M.est_bytes(F.col("file_type"), F.col("size_bytes")).alias("est"))
 
 
-@query(sql(FINDINGS, FILES, FLOOR, _MEMBERS + """, w AS (SELECT report_id, max(class) AS class FROM (SELECT report_id, class FROM verdicts UNION ALL SELECT report_id, class FROM m) GROUP BY 1) SELECT count_if(class = 2) AS hostile_fp, count_if(class = 1) AS suspicious_fp, count_if(class = 0) AS passed FROM w"""))
+@query(sql(FINDINGS, FILES, FLOOR, _MEMBERS + """, w AS (SELECT report_id, max(class) AS class FROM (SELECT report_id, class FROM verdicts UNION ALL SELECT report_id, class FROM m) GROUP BY 1) SELECT count(CASE WHEN class = 2 THEN 1 END) AS hostile_fp, count(CASE WHEN class = 1 THEN 1 END) AS suspicious_fp, count(CASE WHEN class = 0 THEN 1 END) AS passed FROM w"""))
 def benign_corpus(spark, sf_dir):
     return M.validate_benign(floor_verdicts(spark, sf_dir), members(spark, sf_dir))
 
@@ -121,7 +121,7 @@ def run_diff(spark, sf_dir):
     return M.diff_runs(a, b)
 
 
-@query(sql(FINDINGS, SUMMARIES, """SELECT 'ext' AS family, count_if(v <> 0 AND report_id % 5 = 0) AS diverging, count_if(v <> 0) AS nonzero FROM (SELECT report_id, unnest([max_third_party::DOUBLE, ln(1 + n_third_party), max_well_known::DOUBLE, ln(1 + n_well_known)]) AS v FROM report_summary)"""))
+@query(sql(FINDINGS, SUMMARIES, """SELECT 'ext' AS family, count(CASE WHEN v <> 0 AND report_id % 5 = 0 THEN 1 END) AS diverging, count(CASE WHEN v <> 0 THEN 1 END) AS nonzero FROM (SELECT report_id, unnest([max_third_party::DOUBLE, ln(1 + n_third_party), max_well_known::DOUBLE, ln(1 + n_well_known)]) AS v FROM report_summary)"""))
 def feature_parity(spark, sf_dir):
     a = X.external(A.findings(spark, sf_dir))
     return M.parity(a, a.withColumn("value", F.when(F.col("report_id") % 5 == 0, F.col("value") * 1.01).otherwise(F.col("value"))))
@@ -145,7 +145,7 @@ def run_goal(spark, sf_dir):
 
 
 @query(sql(_CAL, _GRID, _SWEPT + """, s AS (SELECT id, coalesce(level, -1) AS level, label % 2 = 0 AS bad FROM (SELECT DISTINCT id FROM routed) LEFT JOIN swept USING (id) JOIN scores USING (id)), n AS (SELECT DISTINCT level FROM grid)
-  SELECT level, tp, fp, tp / greatest(1, tp + fp) AS precision, tp / greatest(1, (SELECT count_if(bad) FROM s)) AS recall FROM (SELECT n.level, count(*) FILTER (bad) AS tp, count(*) FILTER (NOT bad) AS fp FROM n LEFT JOIN s ON s.level >= 0 AND s.level <= n.level GROUP BY 1)"""))
+  SELECT level, tp, fp, tp / greatest(1, tp + fp) AS precision, tp / greatest(1, (SELECT count(CASE WHEN bad THEN 1 END) FROM s)) AS recall FROM (SELECT n.level, count(*) FILTER (bad) AS tp, count(*) FILTER (NOT bad) AS fp FROM n LEFT JOIN s ON s.level >= 0 AND s.level <= n.level GROUP BY 1)"""))
 def operating_points(spark, sf_dir):
     fired = S.decide(routed(spark, sf_dir), grid(spark)).join(A.scores(spark, sf_dir).select("id", (F.col("label") % 2 == 0).alias("bad")), "id")
     return M.level_report(fired.select("level", "bad"), grid(spark).select("level").distinct())

@@ -42,7 +42,7 @@ def features_paths(spark, sf_dir):
 _AGG = """, tiers AS (SELECT report_id, count(*) AS files, count(*) FILTER (WHERE max_crit = 3) AS files3, count(*) FILTER (WHERE max_crit = 4) AS files4, count(*) FILTER (WHERE max_crit = 5) AS files5, sum(size_bytes) AS bytes FROM files LEFT JOIN file_summary USING (report_id, file_id) GROUP BY 1),
 d AS (SELECT *, len(path) - len(replace(path, '/', '')) AS depth, split_part(path, '/', 1) AS top, CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) || '/' || split_part(path, '/', 2) END AS two FROM report_path),
 b AS (SELECT report_id, coalesce(max(CASE WHEN depth >= 2 AND max_crit >= 3 THEN max_crit END), 0) AS mc, count(DISTINCT CASE WHEN max_crit >= 2 THEN top END) AS categories,
-  count_if(depth >= 2 AND max_crit >= 2) AS deep2, count_if(depth >= 2 AND max_crit >= 3) AS deep3, count_if(depth >= 2 AND max_crit >= 4) AS deep4, count_if(depth >= 2 AND max_crit >= 5) AS deep5,
+  count(CASE WHEN depth >= 2 AND max_crit >= 2 THEN 1 END) AS deep2, count(CASE WHEN depth >= 2 AND max_crit >= 3 THEN 1 END) AS deep3, count(CASE WHEN depth >= 2 AND max_crit >= 4 THEN 1 END) AS deep4, count(CASE WHEN depth >= 2 AND max_crit >= 5 THEN 1 END) AS deep5,
   count(DISTINCT CASE WHEN max_crit >= 4 THEN top END) AS cat4, count(DISTINCT CASE WHEN max_crit >= 5 THEN top END) AS cat5, count(DISTINCT CASE WHEN max_crit >= 4 THEN two END) AS s2, count(DISTINCT CASE WHEN max_crit >= 5 THEN two END) AS h2,
   count(DISTINCT CASE WHEN max_crit >= 2 AND starts_with(path, 'objectives/') THEN two END) AS o2 FROM d GROUP BY 1),
 r AS (SELECT t.report_id, files, files3, files4, files5, greatest(0.1::DOUBLE, bytes / 1024) AS kb, coalesce(n_active, 0) AS n, coalesce(notable, 0) AS c3, coalesce(suspicious, 0) AS c4, coalesce(hostile, 0) AS c5, coalesce(unique_suspicious, 0) AS u4, coalesce(unique_hostile, 0) AS u5,

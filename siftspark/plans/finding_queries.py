@@ -75,7 +75,7 @@ def file_paths(spark, sf_dir):
     return B.file_paths(A.findings(spark, sf_dir)).withColumn("paths", F.array_join("paths", " "))
 
 
-@query(sql(FINDINGS, FILES, """SELECT report_id, count_if(crit = 5) AS hostile, count_if(crit = 4) AS suspicious, count_if(crit = 3) AS notable, count_if(crit < 3) AS baseline
+@query(sql(FINDINGS, FILES, """SELECT report_id, count(CASE WHEN crit = 5 THEN 1 END) AS hostile, count(CASE WHEN crit = 4 THEN 1 END) AS suspicious, count(CASE WHEN crit = 3 THEN 1 END) AS notable, count(CASE WHEN crit < 3 THEN 1 END) AS baseline
   FROM files LEFT JOIN findings USING (report_id, file_id) WHERE depth = 0 GROUP BY 1"""))
 def finding_counts(spark, sf_dir):
     return B.finding_counts(A.findings(spark, sf_dir), A.files(spark, sf_dir))

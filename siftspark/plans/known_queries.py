@@ -69,7 +69,7 @@ def known_gate(spark, sf_dir):
     return gated(spark, sf_dir).select("id", "decision", "scan")
 
 
-@query(sql(POOL, _ART, _DEC + " SELECT count_if(decision = 'skip' AND NOT scan) AS skipped, count_if(decision = 'known_bad') AS flagged, count_if(decision = 'conflicted') AS conflicted, count_if(decision = 'unknown' AND NOT scan) AS unscanned FROM gated"))
+@query(sql(POOL, _ART, _DEC + " SELECT count(CASE WHEN decision = 'skip' AND NOT scan THEN 1 END) AS skipped, count(CASE WHEN decision = 'known_bad' THEN 1 END) AS flagged, count(CASE WHEN decision = 'conflicted' THEN 1 END) AS conflicted, count(CASE WHEN decision = 'unknown' AND NOT scan THEN 1 END) AS unscanned FROM gated"))
 def gate_tally(spark, sf_dir):
     return K.tally(gated(spark, sf_dir))
 
@@ -164,7 +164,7 @@ def fetched_roots(spark, sf_dir):
     return R.fetched_root(A.files(spark, sf_dir).withColumn("rel", F.when(F.col("file_id") % 4 == 0, "fetched")))
 
 
-@query(sql(REFS, "SELECT count_if(part_id % 4 = 0) AS live, count_if(part_id % 4 = 1) AS cached, count_if(part_id % 4 = 2) AS failed, CAST(sum(CASE WHEN part_id % 4 < 2 THEN bytes END) AS BIGINT) AS bytes FROM refs"))
+@query(sql(REFS, "SELECT count(CASE WHEN part_id % 4 = 0 THEN 1 END) AS live, count(CASE WHEN part_id % 4 = 1 THEN 1 END) AS cached, count(CASE WHEN part_id % 4 = 2 THEN 1 END) AS failed, CAST(sum(CASE WHEN part_id % 4 < 2 THEN bytes END) AS BIGINT) AS bytes FROM refs"))
 def fetch_summary(spark, sf_dir):
     outcome = F.get(F.array(*map(F.lit, ("live", "cache", "fail 404", "budget"))), (F.col("part_id") % 4).cast("int"))
     return R.fetch_summary(A.refs(spark, sf_dir).withColumn("outcome", outcome))

@@ -1,16 +1,47 @@
-"""All registered queries over the driver's tables, with their DuckDB forms."""
+"""All registered queries over the driver's tables, with their DuckDB forms.
+
+Both forms round doubles to six places, for sums and logarithms differ in the
+last bits from engine to engine.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siftspark.plans import audit_queries, feature_queries, finding_queries, known_queries, verdict_queries
 
-_MODULES = (finding_queries, feature_queries, verdict_queries, known_queries, audit_queries)
+#: Columns of doubles, and of 32-bit integers that DuckDB would have as 64-bit ones.
+_DOUBLES = {
+    "report_verdicts": ["prob"], "path_stats": ["max_conf"], "report_paths": ["max_conf"], "file_risk": ["suspicious_ratio", "hostile_ratio", "suspicious_density", "hostile_density"], "top_risk": ["weighted_density"],
+    **{f"features_{k}": ["value"] for k in ("paths", "aggregates", "attack", "token_pairs", "bigrams", "metrics", "formats", "structure", "external", "gaps", "text")},
+    "char_entropy": ["entropy"], "calibrated_scores": ["raw", "raw2", "p"], "invalid_breakpoints": ["x", "y"], "level_sweep": ["p", "threshold"], "decisions": ["prob"], "blend_fired": ["p", "threshold"],
+    "worst_members": ["worst_prob"], "elevated_verdicts": ["prob"], "tree_scores": ["raw"], "tree_scores_sql": ["raw"], "explained": ["value"], "score_margins": ["margin", "shown"], "blended_grades": ["new_prob"],
+    "job_throughput": ["wall_s", "per_s"], "best_runs": ["wall"], "run_goal": ["ratio"], "operating_points": ["precision", "recall"], "trailing_rate": ["per_s"],
+}
+_INTS = {"top_findings": ["rank"], "member_top": ["rank"], "retained_files": ["rank"], "listing_appended": ["depth"], "content_groups": ["pids"], "grafted": ["depth"], "features_tokens": ["i"], "explained": ["rank"], "budgeted_refs": ["pos"], "mixed_batches": ["batch"]}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _m in _MODULES:
-    QUERIES |= _m.QUERIES
-    ORACLES |= _m.ORACLES
+
+
+def _rounded(query: Callable) -> Callable:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = query(spark, sf_dir)
+        return df.select(*[(F.round(c, 6) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+    return run
+
+
+def _typed(name: str, sql: str) -> str:
+    casts = [f'round(CAST("{c}" AS DOUBLE), 6) + 0.0::DOUBLE AS "{c}"' for c in _DOUBLES.get(name, [])] + [f'CAST("{c}" AS INTEGER) AS "{c}"' for c in _INTS.get(name, [])]
+    return f"SELECT * REPLACE ({', '.join(casts)}) FROM ({sql})" if casts else sql
+
+
+for _m in (finding_queries, feature_queries, verdict_queries, known_queries, audit_queries):
+    QUERIES |= {k: _rounded(f) for k, f in _m.QUERIES.items()}
+    ORACLES |= {k: _typed(k, s) for k, s in _m.ORACLES.items()}

@@ -25,10 +25,10 @@ PATHS = """levels AS (SELECT report_id, file_id, string_split(split_part(id, '::
 file_path AS (SELECT report_id, file_id, array_to_string(l[1:n], '/') AS path, max(crit) AS max_crit, max(conf) AS max_conf FROM levels, (VALUES (1), (2), (3)) v(n) WHERE n <= len(l) GROUP BY ALL),
 report_path AS (SELECT report_id, path, max(max_crit) AS max_crit, max(max_conf) AS max_conf FROM file_path GROUP BY ALL)"""
 
-_TIERS = """count(*) AS n_active, count_if(crit >= 3) AS notable, count(DISTINCT CASE WHEN crit >= 3 THEN id END) AS unique_notable,
-  count_if(crit >= 4) AS suspicious, count(DISTINCT CASE WHEN crit >= 4 THEN id END) AS unique_suspicious, count_if(crit >= 5) AS hostile, count(DISTINCT CASE WHEN crit >= 5 THEN id END) AS unique_hostile,
-  count_if(starts_with(id, 'third_party/')) AS n_third_party, coalesce(max(CASE WHEN starts_with(id, 'third_party/') THEN crit END), 0) AS max_third_party,
-  count_if(starts_with(id, 'well-known/')) AS n_well_known, coalesce(max(CASE WHEN starts_with(id, 'well-known/') THEN crit END), 0) AS max_well_known, max(crit) AS max_crit"""
+_TIERS = """count(*) AS n_active, count(CASE WHEN crit >= 3 THEN 1 END) AS notable, count(DISTINCT CASE WHEN crit >= 3 THEN id END) AS unique_notable,
+  count(CASE WHEN crit >= 4 THEN 1 END) AS suspicious, count(DISTINCT CASE WHEN crit >= 4 THEN id END) AS unique_suspicious, count(CASE WHEN crit >= 5 THEN 1 END) AS hostile, count(DISTINCT CASE WHEN crit >= 5 THEN id END) AS unique_hostile,
+  count(CASE WHEN starts_with(id, 'third_party/') THEN 1 END) AS n_third_party, coalesce(max(CASE WHEN starts_with(id, 'third_party/') THEN crit END), 0) AS max_third_party,
+  count(CASE WHEN starts_with(id, 'well-known/') THEN 1 END) AS n_well_known, coalesce(max(CASE WHEN starts_with(id, 'well-known/') THEN crit END), 0) AS max_well_known, max(crit) AS max_crit"""
 
 SUMMARIES = f"""file_summary AS (SELECT report_id, file_id, {_TIERS} FROM active GROUP BY ALL),
 report_summary AS (SELECT report_id, {_TIERS}, count(DISTINCT file_id) AS n_files FROM active GROUP BY ALL)"""
@@ -38,14 +38,14 @@ RISK = """risk AS (SELECT report_id, file_id, coalesce(max_crit, 0) AS max_crit,
   coalesce(suspicious, 0) / greatest(1.0::DOUBLE, size_bytes / 1024) AS suspicious_density, coalesce(hostile, 0) / greatest(1.0::DOUBLE, size_bytes / 1024) AS hostile_density
   FROM files LEFT JOIN file_summary USING (report_id, file_id))"""
 
-FLOOR = """floors AS (SELECT report_id, count_if(round(conf, 4) >= 0.76 AND crit = 5) AS c5, count_if(round(conf, 4) >= 0.76 AND crit = 4) AS c4,
+FLOOR = """floors AS (SELECT report_id, count(CASE WHEN round(conf, 4) >= 0.76 AND crit = 5 THEN 1 END) AS c5, count(CASE WHEN round(conf, 4) >= 0.76 AND crit = 4 THEN 1 END) AS c4,
   max(CASE WHEN round(conf, 4) >= 0.76 AND crit = 5 THEN conf END) AS p5, max(CASE WHEN round(conf, 4) >= 0.76 AND crit = 4 THEN conf END) AS p4, count(*) AS total FROM findings GROUP BY 1),
 verdicts AS (SELECT report_id, CASE WHEN c5 >= 1 THEN 2 WHEN c4 >= 2 AND c4 >= 0.05 * total THEN 1 ELSE 0 END AS class,
   CASE WHEN c5 >= 1 THEN p5 WHEN c4 >= 2 AND c4 >= 0.05 * total THEN p4 ELSE 0 END AS prob,
   CASE WHEN c5 >= 1 THEN 25 WHEN c4 >= 2 AND c4 >= 0.05 * total THEN 3000 ELSE -1 END AS level FROM floors)"""
 
 SCORES = """scores AS (SELECT vec_id AS id, CASE WHEN label % 3 = 0 THEN 'elf' WHEN label % 3 = 1 THEN 'python' ELSE 'mystery' END AS file_type,
-  round(1 / (1 + exp(-4 * (embedding[1] + embedding[2] - embedding[3]))), 6) AS raw, round(1 / (1 + exp(-3 * (embedding[4] - embedding[5]))), 6) AS raw2, label FROM embeddings)"""
+  round(1 / (1 + exp(-4 * (embedding[1]::DOUBLE + embedding[2] - embedding[3]))), 6) AS raw, round(1 / (1 + exp(-3 * (embedding[4]::DOUBLE - embedding[5]))), 6) AS raw2, label FROM embeddings)"""
 
 REFS = """refs AS (SELECT l_orderkey AS report_id, l_suppkey AS file_id, l_linenumber AS pos, CASE l_returnflag WHEN 'A' THEN 'url' WHEN 'R' THEN 'command' ELSE 'dependency' END AS kind,
   lower(replace(p_brand, '#', '-')) AS package, p_size || '.' || l_linenumber || '.' || (l_suppkey % 10) AS version, p_size, l_linenumber, l_suppkey % 10 AS patch,

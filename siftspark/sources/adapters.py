@@ -68,5 +68,5 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, file_type, raw: a sigmoid of a fixed sum over an embedding's first components."""
-    raw = "round(1 / (1 + exp(-4 * (embedding[0] + embedding[1] - embedding[2]))), 6)"
-    return table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "CASE WHEN label % 3 = 0 THEN 'elf' WHEN label % 3 = 1 THEN 'python' ELSE 'mystery' END AS file_type", f"CAST({raw} AS DOUBLE) AS raw", "round(1 / (1 + exp(-3 * (embedding[3] - embedding[4]))), 6) AS raw2", "label")
+    raw = "round(1 / (1 + exp(-4 * (double(embedding[0]) + embedding[1] - embedding[2]))), 6)"
+    return table(spark, sf_dir, "embeddings").selectExpr("vec_id AS id", "CASE WHEN label % 3 = 0 THEN 'elf' WHEN label % 3 = 1 THEN 'python' ELSE 'mystery' END AS file_type", f"CAST({raw} AS DOUBLE) AS raw", "round(1 / (1 + exp(-3 * (double(embedding[3]) - embedding[4]))), 6) AS raw2", "label")
