@@ -178,3 +178,77 @@ def assemble(features: DataFrame, spec: DataFrame) -> DataFrame:
 def drift(spec: DataFrame, features: DataFrame) -> DataFrame:
     """Names that the spec has and no family wrote."""
     return spec.join(features.select("name").distinct(), "name", "left_anti").select("name")
+
+
+def capped_triples(n: Column, reach: int = 20) -> Column:
+    """Number of index triples i < j < k < n with k at most j + ``reach``."""
+    return F.when(n < 3, F.lit(0).cast("long")).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n.cast("int") - 2, F.lit(1))), F.lit(0).cast("long"), lambda a, j: a + j * F.least(F.lit(reach), n.cast("int") - 1 - j)))
+
+
+def path_cooccurrence(paths: DataFrame) -> DataFrame:
+    """Logs of the numbers of pairs and capped triples of a report's suspicious paths and of its objectives."""
+    rows = paths.groupBy("report_id").agg(F.count_if(F.col("max_crit") >= 4).alias("s"), F.count_if((F.col("max_crit") >= 2) & F.col("path").startswith("objectives/")).alias("o"))
+    pairs = lambda c: F.log1p(F.col(c) * (F.col(c) - 1) / 2)
+    return long(rows, {"agg:suspicious_pairs": pairs("s"), "agg:suspicious_triples": F.log1p(capped_triples(F.col("s"))), "agg:objective_pairs": pairs("o"), "agg:objective_triples": F.log1p(capped_triples(F.col("o")))})
+
+
+def code_pairs(findings: DataFrame, code: str, cap: int = 512) -> DataFrame:
+    """``atkbi:`` or ``mbcbi:`` pairs of a report's distinct codes."""
+    w = Window.partitionBy("report_id")
+    rows = findings.where(F.col(code).isNotNull()).select("report_id", F.col(code).alias("token")).distinct().withColumn("i", F.row_number().over(w.orderBy("token"))).withColumn("n", F.count(F.lit(1)).over(w))
+    return token_pairs(rows, cap).withColumn("name", F.regexp_replace("name", "^critbi:", f"{code}bi:"))
+
+
+def path_trigrams(file_paths: DataFrame, vocab: DataFrame, cap: int = 256) -> DataFrame:
+    """``trigram:`` of the vocabulary ``(a, b, c)``, joined from the vocabulary."""
+    rows = file_paths.where(F.size("paths") <= cap).select("report_id", "file_id", "paths")
+    first = rows.select("report_id", "file_id", "paths", F.explode("paths").alias("a")).join(F.broadcast(vocab), "a")
+    hit = first.where(F.array_contains("paths", F.col("b")) & F.array_contains("paths", F.col("c")))
+    return hit.select("report_id", F.concat(F.lit("trigram:"), "a", F.lit("+"), "b", F.lit("+"), "c").alias("name"), F.lit(1.0).alias("value")).distinct()
+
+
+def import_tokens(lib: Column, name: Column) -> Column:
+    """Bare name and ``lib!name`` (or the library alone), each of two characters or more."""
+    both = F.array(name, F.when(name.isNull() | (name == ""), lib).otherwise(F.concat(lib, F.lit("!"), name)))
+    return F.array_distinct(F.filter(both, lambda t: F.length(t) >= 2))
+
+
+def normalize_token(c: Column, n: int) -> Column:
+    """White space collapsed and trimmed, at most ``n`` characters."""
+    return F.substring(F.trim(F.regexp_replace(c, r"\s+", " ")), 1, n)
+
+
+def symbols(imports: DataFrame) -> DataFrame:
+    """Distinct ``(report_id, file_id, symbol)`` of imports, normalized to 96 characters."""
+    rows = imports.select("report_id", "file_id", F.explode(import_tokens(F.col("lib"), F.col("name"))).alias("s"))
+    return rows.select("report_id", "file_id", normalize_token(F.col("s"), 96).alias("symbol")).where(F.length("symbol") >= 2).distinct()
+
+
+def symbol_pairs(symbols: DataFrame, vocab: DataFrame, first: int = 64) -> DataFrame:
+    """``symbol_bi:`` of the vocabulary ``(a, b)`` among a file's first sorted symbols."""
+    per_file = symbols.groupBy("report_id", "file_id").agg(F.slice(F.array_sort(F.collect_set("symbol")), 1, first).alias("paths"))
+    return path_bigrams(per_file, vocab, first).withColumn("name", F.regexp_replace("name", "^bigrams:", "symbol_bi:"))
+
+
+def formula(formulas: DataFrame) -> DataFrame:
+    """``elements:`` of a comma-separated formula without its subscripts, and the numbers of its letters and distinct characters."""
+    bare = F.translate("formula", "₀₁₂₃₄₅₆₇₈₉", "")
+    parts = F.array_distinct(F.filter(F.transform(F.split(bare, ","), lambda e: F.trim(e)), lambda e: e != ""))
+    each = formulas.select("report_id", F.explode(parts).alias("e")).select("report_id", F.concat(F.lit("elements:"), "e").alias("name"), F.lit(1.0).alias("value")).distinct()
+    letters = F.length(F.regexp_replace("formula", r"[^\p{L}]", ""))
+    kinds = F.size(F.array_distinct(F.filter(F.split("formula", ""), lambda c: c != "")))
+    return each.unionByName(long(formulas, {"formula:letters": letters, "formula:characters": kinds}))
+
+
+def type_scores(files: DataFrame) -> DataFrame:
+    """``score:`` risk, risk over the logarithm of size, and ``inter:type*score``."""
+    rows = files.groupBy("report_id").agg(F.max("risk").alias("risk"), F.sum("size_bytes").alias("bytes"))
+    wide = long(rows, {"score:risk": "risk", "score:risk_per_log_size": F.col("risk") / F.greatest(F.log1p("bytes"), F.lit(1e-9))})
+    each = files.groupBy("report_id", "file_type").agg(F.max("risk").cast("double").alias("value"))
+    return wide.unionByName(each.select("report_id", F.concat(F.lit("inter:"), "file_type", F.lit("*score")).alias("name"), "value"))
+
+
+def missing_paths(files: DataFrame, paths: DataFrame, expected: DataFrame) -> DataFrame:
+    """``missing:type*path`` where the type is there and the expected path is not."""
+    want = files.select("report_id", "file_type").distinct().join(F.broadcast(expected), "file_type")
+    return want.join(paths.select("report_id", "path").distinct(), ["report_id", "path"], "left_anti").select("report_id", F.concat(F.lit("missing:"), "file_type", F.lit("*"), "path").alias("name"), F.lit(1.0).alias("value"))

@@ -165,3 +165,20 @@ def fetched_root(files: DataFrame, rounds: int = 32) -> DataFrame:
 def fetch_summary(edges: DataFrame) -> DataFrame:
     o = F.col("outcome")
     return edges.agg(F.count_if(o == "live").alias("live"), F.count_if(o == "cache").alias("cached"), F.count_if(o.startswith("fail")).alias("failed"), F.sum(F.when(o.isin("live", "cache"), F.col("bytes"))).alias("bytes"))
+
+#: Names of systems and processors in package names.
+_OS = {"linux": "linux", "darwin": "darwin", "macos": "darwin", "osx": "darwin", "windows": "windows", "win32": "windows", "freebsd": "freebsd", "android": "android"}
+_ARCH = {"x64": "x64", "amd64": "x64", "x86_64": "x64", "arm64": "arm64", "aarch64": "arm64", "ia32": "x86", "x86": "x86", "arm": "arm"}
+
+
+def off_platform(purl: Column, os: str, arch: str) -> Column:
+    """The package's name has a system and a processor side by side, in either order, that are not the target's."""
+    name = F.lower(F.regexp_replace(purl, r"@[0-9][^@]*$", ""))
+    tokens = F.split(F.replace(name, F.lit("x86_64"), F.lit("amd64")), r"[-_./@:]+")
+    pairs = F.transform(F.sequence(F.lit(0), F.size(tokens) - 1), lambda k: F.struct(F.get(tokens, k).alias("a"), F.get(tokens, k + 1).alias("b")))
+    mine_os, mine_arch = [k for k, v in _OS.items() if v == os], [k for k, v in _ARCH.items() if v == arch]
+
+    def other(a: Column, b: Column) -> Column:
+        return a.isin(*_OS) & b.isin(*_ARCH) & ~(a.isin(*mine_os) & b.isin(*mine_arch))
+
+    return F.exists(pairs, lambda p: F.coalesce(other(p["a"], p["b"]) | other(p["b"], p["a"]), F.lit(False)))

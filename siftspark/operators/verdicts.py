@@ -195,3 +195,16 @@ def logit_margin(p: Column, t: Column) -> Column:
 def display_p(p: Column, t: Column) -> Column:
     """Below the cutoff 0 to 50 %, above it 50 to 100 %."""
     return F.when(p < t, 0.5 * p / F.greatest(t, F.lit(1e-9))).otherwise(0.5 + 0.5 * (p - t) / F.greatest(1 - t, F.lit(1e-9)))
+
+
+def calibrate_grid(grid: DataFrame, breakpoints: DataFrame) -> DataFrame:
+    """OR-rule thresholds through their route's calibrator (here one for all routes)."""
+    return calibrate(grid, breakpoints, "threshold", "calibrated").withColumn("threshold", F.col("calibrated")).drop("calibrated")
+
+
+def thresholds_at(levels: DataFrame, n: int, ceiling: int = SUSPICIOUS_CEILING, hostile: float = 0.9, suspicious: float = 0.65) -> DataFrame:
+    """Per file type and route: hostile threshold at level ``n``, suspicious one at the ceiling, the latter never above; defaults where a level is absent."""
+    at = lambda k: F.max(F.when(F.col("level") == k, F.col("threshold")))
+    rows = levels.groupBy("file_type", "route").agg(at(n).alias("h"), at(ceiling).alias("s"))
+    h = F.coalesce("h", F.lit(hostile))
+    return rows.select("file_type", "route", h.alias("hostile"), F.least(h, F.coalesce("s", F.lit(suspicious))).alias("suspicious"))

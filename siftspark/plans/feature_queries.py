@@ -175,3 +175,63 @@ def feature_vectors(spark, sf_dir):
 def feature_drift(spark, sf_dir):
     rows = X.aggregates(A.findings(spark, sf_dir), A.files(spark, sf_dir)).unionByName(X.attack_codes(A.findings(spark, sf_dir)))
     return X.drift(spec(spark), rows)
+
+
+@query(sql(FINDINGS, PATHS, """, c AS (SELECT report_id, count(*) FILTER (max_crit >= 4) AS s, count(*) FILTER (max_crit >= 2 AND starts_with(path, 'objectives/')) AS o FROM report_path GROUP BY 1),
+  t AS (SELECT *, CASE WHEN s < 3 THEN 0 ELSE (SELECT sum(j * least(20, s - 1 - j)) FROM range(1, 2000) r(j) WHERE j <= s - 2) END AS s3, CASE WHEN o < 3 THEN 0 ELSE (SELECT sum(j * least(20, o - 1 - j)) FROM range(1, 2000) r(j) WHERE j <= o - 2) END AS o3 FROM c)
+  SELECT report_id, x.name AS name, x.value AS value FROM (SELECT report_id, unnest([{'name': 'agg:suspicious_pairs', 'value': ln(1 + s * (s - 1) / 2)}, {'name': 'agg:suspicious_triples', 'value': ln(1 + s3)}, {'name': 'agg:objective_pairs', 'value': ln(1 + o * (o - 1) / 2)}, {'name': 'agg:objective_triples', 'value': ln(1 + o3)}]) AS x FROM t)"""))
+def features_cooccurrence(spark, sf_dir):
+    return X.path_cooccurrence(B.report_paths(A.findings(spark, sf_dir)))
+
+
+@query(sql(FINDINGS, """, c AS (SELECT DISTINCT report_id, atk FROM findings WHERE atk IS NOT NULL) SELECT a.report_id, 'atkbi:' || a.atk || '|' || b.atk AS name, 1.0 AS value FROM c a JOIN c b ON a.report_id = b.report_id AND a.atk < b.atk"""))
+def features_code_pairs(spark, sf_dir):
+    return X.code_pairs(A.findings(spark, sf_dir), "atk")
+
+
+_IMPORTS = """imp AS (SELECT l_orderkey AS report_id, l_suppkey AS file_id, lower(p_type) AS lib, split_part(p_name, ' ', 1) AS name FROM lineitem JOIN part ON l_partkey = p_partkey),
+sym AS (SELECT DISTINCT report_id, file_id, unnest([name, lib || '!' || name]) AS symbol FROM imp)"""
+
+
+def imports(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return rows.selectExpr("l_orderkey AS report_id", "l_suppkey AS file_id", "lower(p_type) AS lib", "split_part(p_name, ' ', 1) AS name")
+
+
+@query(sql(_IMPORTS, "SELECT * FROM sym WHERE length(symbol) >= 2"))
+def features_symbols(spark, sf_dir):
+    return X.symbols(imports(spark, sf_dir))
+
+
+@query(sql(_IMPORTS, "SELECT DISTINCT a.report_id, 'symbol_bi:' || a.symbol || '+' || b.symbol AS name, 1.0 AS value FROM sym a JOIN sym b USING (report_id, file_id) WHERE (a.symbol = 'small' AND b.symbol = 'economy!small') OR (a.symbol = 'red' AND b.symbol = 'blue')"))
+def features_symbol_pairs(spark, sf_dir):
+    vocab = spark.createDataFrame([("small", "economy!small"), ("red", "blue")], "a string, b string")
+    return X.symbol_pairs(X.symbols(imports(spark, sf_dir)), vocab)
+
+
+_FORMULA = "formulas AS (SELECT o_orderkey AS report_id, 'C₂,' || left(o_orderpriority, 1) || 'H₄, ' || o_orderstatus || '₁' AS formula FROM orders)"
+
+
+@query(sql(_FORMULA, """, b AS (SELECT report_id, trim(unnest(string_split(translate(formula, '₀₁₂₃₄₅₆₇₈₉', ''), ','))) AS e FROM formulas)
+  SELECT DISTINCT report_id, 'elements:' || e AS name, 1.0::DOUBLE AS value FROM b WHERE e <> '' UNION ALL SELECT report_id, 'formula:letters', length(regexp_replace(formula, '[^\\pL]', '', 'g')) FROM formulas UNION ALL SELECT report_id, 'formula:characters', len(list_distinct(string_split(formula, ''))) FROM formulas"""))
+def features_formula(spark, sf_dir):
+    return X.formula(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("report_id"), F.concat(F.lit("C₂,"), F.substring("o_orderpriority", 1, 1), F.lit("H₄, "), "o_orderstatus", F.lit("₁")).alias("formula")))
+
+
+@query(sql(FILES, """, r AS (SELECT report_id, max(risk) AS risk, sum(size_bytes) AS bytes FROM files GROUP BY 1) SELECT report_id, 'score:risk' AS name, risk::DOUBLE AS value FROM r UNION ALL SELECT report_id, 'score:risk_per_log_size', risk / greatest(ln(1 + bytes), 1e-9) FROM r UNION ALL SELECT report_id, 'inter:' || file_type || '*score', max(risk) FROM files GROUP BY report_id, file_type"""))
+def features_scores(spark, sf_dir):
+    return X.type_scores(A.files(spark, sf_dir))
+
+
+@query(sql(FINDINGS, FILES, PATHS, """, e AS (SELECT * FROM (VALUES ('elf', 'objectives'), ('zip', 'well-known')) v(file_type, path)) SELECT DISTINCT f.report_id, 'missing:' || e.file_type || '*' || e.path AS name, 1.0 AS value FROM files f JOIN e USING (file_type) WHERE NOT EXISTS (SELECT 1 FROM report_path p WHERE p.report_id = f.report_id AND p.path = e.path)"""))
+def features_missing(spark, sf_dir):
+    expected = spark.createDataFrame([("elf", "objectives"), ("zip", "well-known")], "file_type string, path string")
+    return X.missing_paths(A.files(spark, sf_dir), B.report_paths(A.findings(spark, sf_dir)), expected)
+
+
+@query(sql(FINDINGS, PATHS, """, p AS (SELECT DISTINCT report_id, file_id, split_part(id, '::', 1) AS path FROM active WHERE crit >= 3), v AS (SELECT DISTINCT l[1] AS a, l[2] AS b, l[3] AS c FROM (SELECT list_sort(list(path)) AS l FROM p GROUP BY report_id, file_id) WHERE len(l) >= 3)
+  SELECT DISTINCT x.report_id, 'trigram:' || a || '+' || b || '+' || c AS name, 1.0 AS value FROM p x JOIN v ON x.path = a JOIN p y ON y.report_id = x.report_id AND y.file_id = x.file_id AND y.path = b JOIN p z ON z.report_id = x.report_id AND z.file_id = x.file_id AND z.path = c"""))
+def features_trigrams(spark, sf_dir):
+    paths = B.file_paths(A.findings(spark, sf_dir))
+    vocab = paths.where(F.size("paths") >= 3).select(*[F.get("paths", k).alias(c) for k, c in enumerate("abc")]).distinct()
+    return X.path_trigrams(paths, vocab)

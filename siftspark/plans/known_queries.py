@@ -168,3 +168,11 @@ def fetched_roots(spark, sf_dir):
 def fetch_summary(spark, sf_dir):
     outcome = F.get(F.array(*map(F.lit, ("live", "cache", "fail 404", "budget"))), (F.col("part_id") % 4).cast("int"))
     return R.fetch_summary(A.refs(spark, sf_dir).withColumn("outcome", outcome))
+
+
+@query("""WITH p AS (SELECT l_orderkey AS id, l_linenumber AS line, l_suppkey % 6 AS k FROM lineitem) SELECT id, line, k, k IN (1, 2, 4) AS off FROM p""")
+def off_platform_refs(spark, sf_dir):
+    names = F.array(*map(F.lit, ("@esbuild/linux-x64", "@esbuild/darwin-arm64", "tool-x86_64-windows", "tool-linux-x86_64", "core-win32-ia32", "plain-linux")))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), (F.col("l_suppkey") % 6).alias("k"))
+    rows = rows.withColumn("purl", F.concat(F.lit("pkg:npm/"), F.get(names, F.col("k").cast("int")), F.lit("@1.0.0")))
+    return rows.select("id", "line", "k", R.off_platform(F.col("purl"), "linux", "x64").alias("off"))

@@ -17,7 +17,7 @@ from siftspark.plans import audit_queries, feature_queries, finding_queries, kno
 #: Columns of doubles, and of 32-bit integers that DuckDB would have as 64-bit ones.
 _DOUBLES = {
     "report_verdicts": ["prob"], "path_stats": ["max_conf"], "report_paths": ["max_conf"], "file_risk": ["suspicious_ratio", "hostile_ratio", "suspicious_density", "hostile_density"], "top_risk": ["weighted_density"],
-    **{f"features_{k}": ["value"] for k in ("paths", "aggregates", "attack", "token_pairs", "bigrams", "metrics", "formats", "structure", "external", "gaps", "text")},
+    **{f"features_{k}": ["value"] for k in ("paths", "aggregates", "attack", "token_pairs", "bigrams", "metrics", "formats", "structure", "external", "gaps", "text", "cooccurrence", "code_pairs", "symbol_pairs", "formula", "scores", "missing", "trigrams")},
     "char_entropy": ["entropy"], "calibrated_scores": ["raw", "raw2", "p"], "invalid_breakpoints": ["x", "y"], "level_sweep": ["p", "threshold"], "decisions": ["prob"], "blend_fired": ["p", "threshold"],
     "worst_members": ["worst_prob"], "elevated_verdicts": ["prob"], "tree_scores": ["raw"], "tree_scores_sql": ["raw"], "explained": ["value"], "score_margins": ["margin", "shown"], "blended_grades": ["new_prob"],
     "job_throughput": ["wall_s", "per_s"], "best_runs": ["wall"], "run_goal": ["ratio"], "operating_points": ["precision", "recall"], "trailing_rate": ["per_s"],

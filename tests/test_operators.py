@@ -144,3 +144,15 @@ def test_closure_ends_on_cycles(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d")], "src string, dst string")
     got = {r.locator: r.hop for r in refs.closure(spark.createDataFrame([("a",)], "locator string"), edges, depth=2).collect()}
     assert got == {"a": 0, "b": 1, "c": 2}
+
+
+def test_thresholds_at(spark):
+    rows = [("elf", "g", 25, 0.8), ("elf", "g", 3000, 0.95), ("pe", "g", 25, 0.7)]
+    got = {r.file_type: (r.hostile, r.suspicious) for r in verdicts.thresholds_at(spark.createDataFrame(rows, "file_type string, route string, level int, threshold double"), 25).collect()}
+    assert got == {"elf": (0.8, 0.8), "pe": (0.7, 0.65)}
+
+
+def test_calibrated_grid(spark):
+    bp = spark.createDataFrame([(0.0, 0.0), (1.0, 0.5)], "x double, y double")
+    grid = spark.createDataFrame([("elf", "g", 1, 0.6)], "file_type string, route string, level int, threshold double")
+    assert verdicts.calibrate_grid(grid, bp).first().threshold == pytest.approx(0.3)
