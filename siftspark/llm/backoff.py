@@ -28,7 +28,11 @@ from pyspark.sql import functions as F
 from siftspark.session import shared_dir, small_batches, stored
 
 #: Tokens in a chunk, about: what a task holds at once.
-CHUNK_TOKENS = 3_000_000
+CHUNK_TOKENS = 5_000_000
+#: Tokens of a chunk that are worked on at once.
+_SLICE = 500_000
+#: Sums by state, 16 bytes each, are broadcast up to so many; more are joined by a shuffle.
+_BROADCAST_STATES = 1_000_000
 DISCOUNT = 0.75
 _END, _START = -1, -2
 
@@ -79,6 +83,14 @@ def _pairs(ids: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray, np
     return before, flat, n
 
 
+def _slices(docs: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """Rows in turn, about ``_SLICE`` tokens of them at a time."""
+    part = np.cumsum(np.fromiter(map(len, docs["ids"]), np.int64, len(docs)) + 1) // _SLICE
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(part)) + 1, [len(docs)]))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield docs.iloc[a:b]
+
+
 def _bigrams(docs: pd.DataFrame, words: pd.DataFrame, min_count: int) -> pd.DataFrame:
     """The chunk's bigrams of words frequent enough, with their training counts."""
     if not len(docs):
@@ -87,26 +99,34 @@ def _bigrams(docs: pd.DataFrame, words: pd.DataFrame, min_count: int) -> pd.Data
     words = words.sort_values("at")
     number = np.concatenate((words["id"].to_numpy(np.int64), [_END, _START]))
     often = np.concatenate((words["c"].to_numpy() >= min_count, [True, True]))
-    before, flat, n = _pairs(docs["ids"].to_list(), size)
-    train = np.repeat(~docs["held_out"].to_numpy(bool), n)
-    use = often[before] & often[flat]
-    pair, which = np.unique(before[use] * (size + 2) + flat[use], return_inverse=True)
-    count = np.bincount(which, train[use], len(pair)).astype(np.int64)
+    pairs, counts = [], []
+    for part in _slices(docs):
+        before, flat, n = _pairs(part["ids"].to_list(), size)
+        train = np.repeat(~part["held_out"].to_numpy(bool), n)
+        use = often[before] & often[flat]
+        some, which = np.unique(before[use] * (size + 2) + flat[use], return_inverse=True)
+        pairs.append(some)
+        counts.append(np.bincount(which, train[use], len(some)).astype(np.int32))
+    all_pairs, all_counts = np.concatenate(pairs), np.concatenate(counts)
+    del pairs, counts
+    order = np.argsort(all_pairs, kind="stable")
+    all_pairs, all_counts = all_pairs[order], all_counts[order]
+    first = np.flatnonzero(np.concatenate(([True], all_pairs[1:] != all_pairs[:-1])))[: len(all_pairs)]
+    pair, count = all_pairs[first], np.add.reduceat(all_counts, first) if len(first) else all_counts
+    del all_pairs, all_counts
     state, word = number[pair // (size + 2)], number[pair % (size + 2)]
     order = np.lexsort((word, state))
-    return pd.DataFrame({"chunk": int(docs["chunk"].iloc[0]), "state": state[order], "word": word[order], "n": count[order]})
+    return pd.DataFrame({"chunk": int(docs["chunk"].iloc[0]), "state": state[order], "word": word[order], "n": count[order].astype(np.int32)})
 
 
 def _scores(docs: pd.DataFrame, known: pd.DataFrame, total: dict) -> pd.DataFrame:
     """Walk each text once: arcs where the automaton has them, else the failure arc."""
     if not len(docs):
-        return pd.DataFrame({"row": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
+        return pd.DataFrame({"row": [], "held_out": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []})
     word = known[known["kind"] == 1].sort_values("a")
     size = len(word)
     c = np.concatenate((word["c"].to_numpy(np.int64), [total["docs"], total["docs"]]))
     kept = np.concatenate((word["s"].to_numpy(np.float64), [0.0, total["start_kept"]]))
-    before, flat, n = _pairs(docs["ids"].to_list(), size)
-    base = (c[flat] + 1) / (total["tokens"] + total["words"] + 1)
     # the failure arc's weight; a history never seen has nothing but that arc
     seen = np.maximum(c, 1)
     fail = np.where(c > 0, 1 - kept / seen, 1.0)
@@ -121,14 +141,28 @@ def _scores(docs: pd.DataFrame, known: pd.DataFrame, total: dict) -> pd.DataFram
     code = place(arc["a"].to_numpy(np.int64)) * (size + 2) + place(arc["b"].to_numpy(np.int64))
     order = np.argsort(code)
     code, gain = code[order], arc["c"].to_numpy(np.float64)[order] - DISCOUNT
-    want = before * (size + 2) + flat
-    p = fail[before] * base
-    if len(code):
-        at = np.minimum(np.searchsorted(code, want), len(code) - 1)
-        p = p + np.where(code[at] == want, gain[at], 0.0) / seen[before]
-    first = np.cumsum(n) - n
-    add = lambda x: np.add.reduceat(x, first)
-    return pd.DataFrame({"row": docs["row"].to_numpy(), "n_tokens": n, "n_known": add((c[flat] > 0).astype(np.int64)), "base_score": add(np.log10(base)), "score": add(np.log10(p))})
+    out = []
+    for part in _slices(docs):
+        before, flat, n = _pairs(part["ids"].to_list(), size)
+        base = (c[flat] + 1) / (total["tokens"] + total["words"] + 1)
+        want, p = before * (size + 2) + flat, fail[before] * base
+        if len(code):
+            at = np.minimum(np.searchsorted(code, want), len(code) - 1)
+            p = p + np.where(code[at] == want, gain[at], 0.0) / seen[before]
+        first = np.cumsum(n) - n
+        sums = [np.add.reduceat(x, first) for x in ((c[flat] > 0).astype(np.int64), np.log10(base), np.log10(p))]
+        out.append(pd.DataFrame({"row": part["row"].to_numpy(), "held_out": part["held_out"].to_numpy(), "n_tokens": n, **dict(zip(("n_known", "base_score", "score"), sums, strict=True))}))
+    return pd.concat(out, ignore_index=True)
+
+
+def _bucketed(df: DataFrame, key: str, buckets: int) -> str:
+    """Name of a table of ``df`` in buckets of ``key``, so that grouping by it needs no shuffle; it goes with the application."""
+    spark = df.sparkSession
+    path, name = f"{shared_dir(spark)}/buckets-{uuid.uuid4().hex}", f"buckets_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, key).saveAsTable(name)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return name
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out: str = "held_out", min_count: int = 2, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
@@ -145,20 +179,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out:
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("row"), F.coalesce(held_out, F.lit(True)).alias("held_out"), F.col(text).alias("text"))
     id_type = docs.schema[id_col].dataType.simpleString()
-    # chunks side by side in buckets: documents are not shuffled again
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    path, name = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}", f"chunks_{uuid.uuid4().hex}"
     kind = f"chunk long, kind int, row {id_type}, held_out boolean, ids array<int>, key long, at int, n long"
-    rows.mapInPandas(lambda it: _chunks(it, chunk_tokens), kind).write.format("parquet").option("path", path).bucketBy(buckets, "chunk").saveAsTable(name)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    texts = spark.table(name).where("kind = 0").select("chunk", "row", "held_out", "ids")
-    local = spark.table(name).where("kind = 1").select(F.col("chunk").alias("part"), "key", "at", "n")
-    words = stored(local.groupBy("key").agg(F.sum("n").alias("c")).select("key", "c", F.monotonically_increasing_id().alias("id")))
-    size = words.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    chunks = _bucketed(rows.mapInPandas(lambda it: _chunks(it, chunk_tokens), kind), "chunk", buckets)
+    texts = spark.table(chunks).where("kind = 0").select("chunk", "row", "held_out", "ids")
+    local = spark.table(chunks).where("kind = 1").select(F.col("chunk").alias("part"), "key", "at", "n")
+    # one shuffle of the word lists: for the counts, and for their way back
+    local = local.repartition(buckets, "key")
+    words = local.groupBy("key").agg(F.sum("n").alias("c"), F.min("part").alias("owner")).select("key", "c", "owner", F.monotonically_increasing_id().alias("id"))
+    # written before it is shuffled on: from here on the numbers are fixed
+    numbered = stored(local.join(words.hint("shuffle_hash"), "key").select("part", "at", "id", "c", (F.col("owner") == F.col("part")).alias("own")))
+    size = numbered.where("own").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n_docs = texts.where("not held_out").count()
-    numbered = local.join(words, "key").select("part", "at", "id", "c")
-    found = texts.groupBy("chunk").cogroup(numbered.groupBy("part")).applyInPandas(lambda d, w: _bigrams(d, w, min_count), "chunk long, state long, word long, n long")
+    numbered = spark.table(_bucketed(numbered.select("part", "at", "id", "c").repartition(buckets, "part"), "part", buckets))
+    found = texts.groupBy("chunk").cogroup(numbered.groupBy("part")).applyInPandas(lambda d, w: _bigrams(d, w, min_count), "chunk long, state long, word long, n int")
     # one shuffle for the sums and for the way back to the chunks
     found = found.repartition(buckets, "state", "word")
     counted = found.groupBy("state", "word").agg(F.sum("n").alias("c")).where(F.col("c") >= min_count)
@@ -167,10 +201,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out:
     sums = stored(one.groupBy("state").agg(F.sum(F.col("c") - DISCOUNT).alias("s")))
     start = sums.where(F.col("state") == _START).agg(F.max("s")).first()[0] or 0.0
     total = {"tokens": (size.n or 0) + n_docs, "words": size.v + (n_docs > 0), "docs": n_docs, "start_kept": float(start)}
-    full = words.join(sums.withColumnRenamed("state", "id"), "id", "left").select("key", "id", "c", F.coalesce("s", F.lit(0.0)).alias("s"))
-    info = local.join(full, "key").select("part", F.lit(1).alias("kind"), F.col("at").cast("long").alias("a"), F.col("id").alias("b"), "c", "s")
+    states = F.broadcast(sums) if sums.count() <= _BROADCAST_STATES else sums
+    info = numbered.join(states, F.col("id") == F.col("state"), "left").select("part", F.lit(1).alias("kind"), F.col("at").cast("long").alias("a"), F.col("id").alias("b"), "c", F.coalesce("s", F.lit(0.0)).alias("s"))
     known = info.unionByName(arcs.select(F.col("chunk").alias("part"), F.lit(2).alias("kind"), F.col("state").alias("a"), F.col("word").alias("b"), "c", F.lit(0.0).alias("s")))
-    out = texts.groupBy("chunk").cogroup(known.groupBy("part")).applyInPandas(lambda d, k: _scores(d, k, total).assign(held_out=d["held_out"].to_numpy()), f"row {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = texts.groupBy("chunk").cogroup(known.groupBy("part")).applyInPandas(lambda d, k: _scores(d, k, total), f"row {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("row").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total["tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
