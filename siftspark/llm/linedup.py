@@ -11,8 +11,8 @@ Rarity is taken from a table of 2**18 counts, one for each hash bucket of words:
 any fixed order of words gives the same pairs, and this one is small however
 large the vocabulary. Equal sets are one class from the start. In a large group
 of near copies nearly every line matches the first line that has one of its
-rare words, so these few are tried first; only lines without such a match go on
-to meet all others. Lines, pairs and words stay in Spark's shuffles.
+two rarest words, so that one is tried first; only lines without such a match go
+on to meet all others. Lines, pairs and words stay in Spark's shuffles.
 """
 
 from __future__ import annotations
@@ -20,20 +20,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftspark.session import cut
+from siftspark.session import cut, stored
 
 _BUCKETS = 1 << 18
-#: At most so many (document, line) keys, 12 bytes each, are broadcast to the scan; more are joined by a shuffle.
+#: At most so many keys of lines, 12 bytes each, are broadcast; more are joined by a shuffle.
 _BROADCAST_LINES = 2_000_000
 _SET = ("sig", "parity")
 
 
 def words_of(line: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(line), r"\s+"), lambda w: w != ""))
+    return F.array_distinct(F.array_remove(F.split(F.lower(line), r"\s+"), ""))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("id", "dk", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    """Lines with their places. Outer: a plain explode would add a filter that splits each text twice."""
+    return docs.select("id", "dk", F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "line"))
 
 
 def _ceil(share: float, n: Column) -> Column:
@@ -41,9 +42,9 @@ def _ceil(share: float, n: Column) -> Column:
 
 
 def _rarity(docs: DataFrame) -> Column:
-    """A scalar subquery: for each bucket the logarithm of its number of words' lines."""
+    """A scalar subquery: for each bucket the logarithm of the number of its words in all texts."""
     bucket = F.pmod(F.xxhash64("w"), F.lit(_BUCKETS)).alias("b")
-    count = _lines(docs).select(F.explode(words_of(F.col("line"))).alias("w")).groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
+    count = docs.select(F.explode_outer(F.split(F.lower("text"), r"\s+")).alias("w")).groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
     every = docs.sparkSession.range(_BUCKETS).withColumnRenamed("id", "b").join(count, "b", "left")
     entry = F.struct("b", F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("byte").alias("c"))
     # one row of a fixed size
@@ -51,16 +52,27 @@ def _rarity(docs: DataFrame) -> Column:
 
 
 def _line_sets(docs: DataFrame, threshold: float) -> DataFrame:
-    """Per line with words: place, set hash, parity bits, size, and its prefix in order of rarity."""
+    """Per line: place, set hash, parity bits, size, and its prefix in order of rarity."""
     low57 = F.lit((1 << 57) - 1)
-    lines = _lines(docs).select("id", "dk", "pos", F.transform(words_of(F.col("line")), lambda w: F.xxhash64(w)).alias("h"))
-    lines = lines.where(F.size("h") > 0).withColumn("rarity", _rarity(docs))
-    rank = F.transform("h", lambda h: F.shiftleft(F.get(F.col("rarity"), F.pmod(h, F.lit(_BUCKETS)).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7).bitwiseAND(low57)))
-    lines = lines.select("id", "dk", "pos", F.sort_array(rank).alias("ids"))
+    lines = _lines(docs).withColumn("rarity", _rarity(docs))
+
+    def rank(w: Column) -> Column:
+        h = F.xxhash64(w)
+        return F.shiftleft(F.get(F.col("rarity"), F.pmod(h, F.lit(_BUCKETS)).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7).bitwiseAND(low57))
+
+    words = F.array_remove(F.split(F.lower("line"), r"\s+"), "")
+    lines = lines.select("id", "dk", "pos", F.sort_array(F.array_distinct(F.transform(words, rank))).alias("ids"))
     n = F.size("ids")
-    parity = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+
+    def parity(half: int) -> Column:
+        """64 of 128 bits, each the parity of the number of words that hash to it."""
+        mine = F.filter("ids", lambda x: x.bitwiseAND(F.lit(64).cast("long")) == half * 64)
+        return F.aggregate(mine, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+
     prefix = F.transform(F.slice("ids", F.lit(1), n - _ceil(threshold, n) + 1), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"))
-    return lines.select("id", "dk", "pos", F.xxhash64("ids").alias("sig"), parity.alias("parity"), n.alias("n"), prefix.alias("prefix"))
+    sets = lines.select("id", "dk", "pos", F.xxhash64("ids").alias("sig"), parity(0).alias("parity"), parity(1).alias("other"), n.alias("n"), prefix.alias("prefix"))
+    # lines without words are dropped after writing: a filter here would compute each set twice
+    return stored(sets).where("n > 0")
 
 
 def _may_match(x: str, y: str, t: float) -> Column:
@@ -69,51 +81,61 @@ def _may_match(x: str, y: str, t: float) -> Column:
     nx, ny, ix, iy = c(x, "n"), c(y, "n"), c(x, "i"), c(y, "i")
     need = F.lit(t / (1 + t)) * (nx + ny) - F.lit(1e-9)
     place = F.least(ix, iy) + 1 + F.least(nx - ix - 1, ny - iy - 1)
-    bits = (nx + ny - F.bit_count(c(x, "parity").bitwiseXOR(c(y, "parity")))) / F.lit(2.0)
+    bits = (nx + ny - F.bit_count(c(x, "parity").bitwiseXOR(c(y, "parity"))) - F.bit_count(c(x, "other").bitwiseXOR(c(y, "other")))) / F.lit(2.0)
     return (F.least(nx, ny) >= F.lit(t) * F.greatest(nx, ny) - F.lit(1e-9)) & (place >= need) & (bits >= need)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, t: float) -> DataFrame:
-    """Set keys of the later side of those pairs whose words match."""
-    pairs = cut(pairs.distinct())
-    ends = pairs.select(F.col("at.dk").alias("dk"), F.col("at.pos").alias("pos")).union(pairs.select("first.dk", "first.pos")).distinct()
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: float) -> DataFrame:
+    """Numbers ``c`` of the later classes of those ``(c, first)`` pairs whose words match."""
+    place = classes.select("c", "at.dk", "at.pos")
+    pairs = pairs.distinct().join(place, "c").withColumnsRenamed({"dk": "adk", "pos": "apos"})
+    other = place.withColumnsRenamed({"c": "first", "dk": "bdk", "pos": "bpos"})
+    pairs = stored(pairs.join(other, "first").select("c", "adk", "apos", "bdk", "bpos"))
+    ends = pairs.select(F.col("adk").alias("dk"), F.col("apos").alias("pos")).union(pairs.select("bdk", "bpos")).distinct()
     small = pairs.count() * 2 <= _BROADCAST_LINES
     said = _lines(docs).join(F.broadcast(ends) if small else ends, ["dk", "pos"], "left_semi").select("dk", "pos", words_of(F.col("line")).alias("words"))
-    said = cut(said.dropDuplicates(["dk", "pos"]))
+    said = stored(said.dropDuplicates(["dk", "pos"]))
     a = said.select(F.col("dk").alias("adk"), F.col("pos").alias("apos"), F.col("words").alias("aw"))
     b = said.select(F.col("dk").alias("bdk"), F.col("pos").alias("bpos"), F.col("words").alias("bw"))
-    both = pairs.join(a, (F.col("at.dk") == F.col("adk")) & (F.col("at.pos") == F.col("apos"))).join(b, (F.col("first.dk") == F.col("bdk")) & (F.col("first.pos") == F.col("bpos")))
+    both = pairs.join(a, ["adk", "apos"]).join(b, ["bdk", "bpos"])
     shared = F.size(F.array_intersect("aw", "bw"))
-    return both.where(shared >= F.lit(t) * (F.size("aw") + F.size("bw") - shared) - F.lit(1e-9)).select(*_SET).distinct()
+    return stored(both.where(shared >= F.lit(t) * (F.size("aw") + F.size("bw") - shared) - F.lit(1e-9)).select("c").distinct())
 
 
 def matched_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``(id, dk, text)`` -> ``(dk, pos)`` of every line that an earlier line matches.
 
-    Lines are ordered by (id, dk, place), null ids first. A line goes if any
+    Lines are ordered by (id, place), null ids first. A line goes if any
     earlier line, kept or not, has a Jaccard similarity of ``threshold`` or
     more to it; which lines go so does not depend on the order of removal.
     """
-    sets = cut(_line_sets(docs, threshold))
-    at = F.struct("id", "dk", "pos")
-    classes = sets.groupBy(*_SET).agg(F.min(at).alias("at"), F.min("n").alias("n"), F.min("prefix").alias("prefix"))
-    classes = cut(classes)
-    places = classes.select(*_SET, "at", "n", F.posexplode("prefix").alias("i", "tok"))
-    head = F.struct("at", "n", "i", *_SET)
-    pivots = places.groupBy("tok").agg(F.min(head).alias("p")).select("tok", "p.*")
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    sets = _line_sets(docs, threshold)
+    at = F.struct("id", "pos", "dk")
+    classes = sets.groupBy(*_SET).agg(F.min(at).alias("at"), F.min("n").alias("n"), F.min("other").alias("other"), F.min("prefix").alias("prefix"))
+    # numbers in the order of the classes' first lines; written, so that they stay
+    classes = stored(classes.repartitionByRange(parts, "at", "sig").sortWithinPartitions("at", "sig").withColumn("c", F.monotonically_increasing_id()))
+
+    def places(prefix: Column) -> DataFrame:
+        return classes.select("c", "n", "parity", "other", F.posexplode(prefix).alias("i", "tok"))
 
     def meet(left: DataFrame, right: DataFrame) -> DataFrame:
         x, y = left.alias("x"), right.alias("y")
-        near = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("y.at") < F.col("x.at")) & _may_match("x", "y", threshold))
-        return near.select("x.sig", "x.parity", F.col("x.at").alias("at"), F.col("y.at").alias("first"))
-
-    done = cut(_verified(meet(places, pivots), docs, threshold))
-    rest = places.join(done, list(_SET), "left_anti")
-    later = _verified(meet(rest, places), docs, threshold)
+        near = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("y.c") < F.col("x.c")) & _may_match("x", "y", threshold))
+        return near.select("x.c", F.col("y.c").alias("first"))
+
+    # each line against the first line that has its rarest word or its second rarest
+    rarest = places(F.slice("prefix", 1, 2))
+    firsts = rarest.groupBy("tok").agg(F.min(F.struct("c", "n", "parity", "other", "i")).alias("p")).select("tok", "p.*")
+    done = _verified(meet(rarest, firsts), classes, docs, threshold)
+    # the lines that this has not settled against all, from one shuffle
+    every = places(F.col("prefix")).repartition(parts, "tok")
+    settled = F.broadcast(done) if done.count() <= _BROADCAST_LINES else done
+    later = _verified(meet(every.join(settled, "c", "left_anti"), every), classes, docs, threshold)
     gone = done.unionByName(later).withColumn("gone", F.lit(True))
-    verdict = classes.select(*_SET, "at").join(gone, list(_SET), "left")
-    every = sets.select(*_SET, "id", "dk", "pos").join(verdict, list(_SET))
-    return every.where("gone or dk <> at.dk or pos <> at.pos").select("dk", "pos")
+    verdict = classes.select(*_SET, "at", "c").join(gone, "c", "left").drop("c")
+    lines = sets.select(*_SET, "dk", "pos").join(verdict, list(_SET))
+    return lines.where("gone or dk <> at.dk or pos <> at.pos").select("dk", "pos")
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.8, removed: str | None = None) -> DataFrame:
@@ -126,7 +148,10 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", thres
     """
     keyed = df.withColumn("__dk", F.xxhash64(F.col(id_col), F.col(text)))
     docs = keyed.select(F.col(id_col).alias("id"), F.col("__dk").alias("dk"), F.col(text).alias("text"))
-    gone = matched_lines(docs, threshold).groupBy(F.col("dk").alias("__dk")).agg(F.collect_set("pos").alias("__gone"))
+    gone = stored(matched_lines(docs, threshold).groupBy(F.col("dk").alias("__dk")).agg(F.collect_set("pos").alias("__gone")))
+    size = gone.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("__gone")).alias("lines")).first()
+    if size.docs * 8 + (size.lines or 0) <= _BROADCAST_LINES:
+        gone = F.broadcast(gone)
     joined = keyed.join(gone, "__dk", "left")
     lines = F.split(F.col(text), "\n", -1)
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
@@ -138,9 +163,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", thres
 
 
 def op9_line_dedup(docs: DataFrame) -> DataFrame:
-    """Per document: lines, the places of those removed, and the length of what is left."""
-    out = dedup_lines(docs.select("doc_id", "text").withColumn("n_lines", F.size(F.split("text", "\n", -1))), removed="gone")
-    return out.select("doc_id", F.when(F.col("text").isNotNull(), F.col("n_lines")).alias("n_lines"), F.size("gone").alias("n_removed"), F.array_join(F.col("gone").cast("array<string>"), ",").alias("removed"), F.length("text").alias("kept_chars"))
+    """Per document: the number of its lines, and how many and which are removed."""
+    out = dedup_lines(docs.select("doc_id", "text", F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n", -1))).alias("n_lines")), removed="gone")
+    return out.select("doc_id", "n_lines", F.size("gone").alias("n_removed"), F.array_join(F.col("gone").cast("array<string>"), ",").alias("removed"))
 
 
 #: The same join with exact counts as rarity, the prefix filter alone, and all lines at once.
@@ -157,9 +182,8 @@ gone AS (SELECT DISTINCT late FROM pair JOIN class a ON a.place = late JOIN clas
   WHERE len(list_intersect(a.words, b.words)) >= 0.8 * (a.n + b.n - len(list_intersect(a.words, b.words))) - 1e-9),
 verdict AS (SELECT tok.doc_id, tok.pos, late IS NOT NULL OR class.place <> (tok.doc_id, tok.pos) AS out FROM tok JOIN class ON tok.words = class.words LEFT JOIN gone ON late = class.place),
 kept AS (SELECT line.doc_id, count(*) AS n_lines, count(*) FILTER (coalesce(out, false)) AS n_removed,
-  coalesce(string_agg(CAST(line.pos AS VARCHAR), ',' ORDER BY line.pos) FILTER (coalesce(out, false)), '') AS removed,
-  coalesce(sum(length(line)) FILTER (NOT coalesce(out, false)), 0) + greatest(count(*) FILTER (NOT coalesce(out, false)) - 1, 0) AS kept_chars
+  coalesce(string_agg(CAST(line.pos AS VARCHAR), ',' ORDER BY line.pos) FILTER (coalesce(out, false)), '') AS removed
   FROM line LEFT JOIN verdict ON line.doc_id = verdict.doc_id AND line.pos = verdict.pos GROUP BY line.doc_id)
-SELECT doc_id, CAST(n_lines AS INT) AS n_lines, CAST(coalesce(n_removed, 0) AS INT) AS n_removed, coalesce(removed, '') AS removed, CAST(kept_chars AS INT) AS kept_chars
+SELECT doc_id, CAST(n_lines AS INT) AS n_lines, CAST(coalesce(n_removed, 0) AS INT) AS n_removed, coalesce(removed, '') AS removed
 FROM documents LEFT JOIN kept USING (doc_id)
 """
