@@ -75,3 +75,18 @@ def test_sql(spark, sf_dir):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     got = decontam.op7_decontamination(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")))
     assert sorted(tuple(r) for r in got.collect()) == sorted(con.sql(decontam.OP7_SQL).fetchall())
+
+
+def test_no_pair_at_the_threshold_is_lost(spark):
+    """400 items, each with a document at 0.80 to 0.82 of which fingerprints of 64 bits lose some."""
+    rng = np.random.default_rng(4)
+    items, docs, want = [], [], {}
+    for k in range(400):
+        words = ["k%dw%d" % (k, i) for i in rng.integers(0, 10**6, 120)]
+        turned = {20 + k % 10, 60 + k % 10, 0, 119}
+        items.append((k, " ".join(words)))
+        docs.append((k, " ".join("x%d" % i if i in turned else w for i, w in enumerate(words))))
+        want |= plain(docs[-1:], items[-1:])
+    assert len(want) == 400 and max(v[0] for v in want.values()) < 0.83
+    got, n = run(spark, docs, items)
+    assert got == want and n == 400
