@@ -12,11 +12,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     The cluster names it in ``spark.checkpoint.dir``; only where that setting
-    is absent (tests, a laptop) a temporary folder of our own is set.
+    is absent on a local master (tests, a laptop) a temporary folder of our own
+    is set. A cluster without the setting is an error: its machines share no
+    temporary folder.
     """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -47,6 +51,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of :func:`stored` tables that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Texts can be long: let Arrow hand a Python worker at most so many rows at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
