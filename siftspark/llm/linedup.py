@@ -1,18 +1,23 @@
 """Line dedup: an exact set-similarity join of all lines, later matches removed.
 
-A line is its set of lower-cased words. Words are ordered by rarity, and two
-lines of Jaccard similarity t or more then share a word among the first
-``n - ceil(t n) + 1`` of each (prefix filter). Pairs that meet in a word are
-tested by length, by the word's place in both (positional filter) and by the
-parity bits of both sets, whose differing bits never outnumber the words in
-which the sets differ; what is left is verified on the words themselves.
-
-Rarity is taken from a table of 2**18 counts, one for each hash bucket of words:
+A line is its set of lower-cased words. Words are ordered by rarity. Two lines
+of Jaccard similarity t or more share a word among the first
+``n - ceil(t n) + 1`` of each (prefix filter), and the first word that they
+share in that order has enough words behind it on both sides (positional
+filter). Pairs that meet so are tested by length and by the parity bits of both
+sets, whose differing bits never outnumber the words in which the sets differ;
+what is left is verified on the words themselves.
+
+Rarity is taken from a table of 2**20 counts, one for each hash bucket of words:
 any fixed order of words gives the same pairs, and this one is small however
-large the vocabulary. Equal sets are one class from the start. In a large group
-of near copies nearly every line matches the first line that has one of its
-two rarest words, so that one is tried first; only lines without such a match go
-on to meet all others. Lines, pairs and words stay in Spark's shuffles.
+large the vocabulary. A word alone in a bucket of count one is in no other
+line and meets nothing. Equal sets are one class from the start.
+
+Only the existence of an earlier match matters. So each line is first tried
+with a few leaders for each of its two rarest words and of its frequent ones,
+at most ``_LEADERS`` a word, which settles nearly every line of a group of near
+copies; only lines without such a match go on to meet all others. Lines, pairs
+and words stay in Spark's shuffles.
 """
 
 from __future__ import annotations
@@ -20,21 +25,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftspark.session import cut, stored
+from siftspark.session import cut, drop, stored
 
-_BUCKETS = 1 << 18
+_BUCKETS = 1 << 20
 #: At most so many keys of lines, 12 bytes each, are broadcast; more are joined by a shuffle.
 _BROADCAST_LINES = 2_000_000
 _SET = ("sig", "parity")
+#: Counts are kept as four times their logarithm; words from this one on (64 occurrences) are frequent.
+_FREQUENT = 24
+_LEADERS = 4
 
 
-def words_of(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(F.lower(line), r"\s+"), ""))
+def _plain(text: Column) -> Column:
+    """Lower-cased, with blanks for all other white space but the line feed: a split by a blank needs no pattern."""
+    for c in "\t\x0b\f\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.lower(text)
+
+
+def _split(plain: Column) -> Column:
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Lines with their places. Outer: a plain explode would add a filter that splits each text twice."""
-    return docs.select("id", "dk", F.posexplode_outer(F.split("text", "\n", -1)).alias("pos", "line"))
+    """Lines, made plain, with their places. Outer: a plain explode would add a filter that splits each text twice."""
+    return docs.select("id", "dk", F.posexplode_outer(F.split(_plain(F.col("text")), "\n", -1)).alias("pos", "line"))
 
 
 def _ceil(share: float, n: Column) -> Column:
@@ -42,35 +57,38 @@ def _ceil(share: float, n: Column) -> Column:
 
 
 def _rarity(docs: DataFrame) -> Column:
-    """A scalar subquery: for each bucket the logarithm of the number of its words in all texts."""
+    """A scalar subquery: for each bucket four times the logarithm of the number of its words in all texts."""
     bucket = F.pmod(F.xxhash64("w"), F.lit(_BUCKETS)).alias("b")
-    count = docs.select(F.explode_outer(F.split(F.lower("text"), r"\s+")).alias("w")).groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
+    words = docs.select(F.explode_outer(F.split(F.replace(_plain(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    count = words.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
     every = docs.sparkSession.range(_BUCKETS).withColumnRenamed("id", "b").join(count, "b", "left")
-    entry = F.struct("b", F.floor(F.log2(F.coalesce("n", F.lit(0)) + 1)).cast("byte").alias("c"))
+    entry = F.struct("b", F.floor(4 * F.log2(F.coalesce("n", F.lit(1)))).cast("byte").alias("c"))
     # one row of a fixed size
     return cut(every.agg(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["c"]).alias("rarity"))).scalar()
 
 
 def _line_sets(docs: DataFrame, threshold: float) -> DataFrame:
-    """Per line: place, set hash, parity bits, size, and its prefix in order of rarity."""
-    low57 = F.lit((1 << 57) - 1)
+    """Per line: place, set hash, parity bits, size, and its prefix in order of rarity.
+
+    A word in the prefix is 31 bits of its hash, less than zero if the word is frequent, and null if no other line has it.
+    """
+    low56, one = F.lit((1 << 56) - 1), F.lit(1).cast("long")
     lines = _lines(docs).withColumn("rarity", _rarity(docs))
 
     def rank(w: Column) -> Column:
         h = F.xxhash64(w)
-        return F.shiftleft(F.get(F.col("rarity"), F.pmod(h, F.lit(_BUCKETS)).cast("int")).cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7).bitwiseAND(low57))
+        return F.shiftleft(F.get(F.col("rarity"), F.pmod(h, F.lit(_BUCKETS)).cast("int")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8).bitwiseAND(low56))
 
-    words = F.array_remove(F.split(F.lower("line"), r"\s+"), "")
-    lines = lines.select("id", "dk", "pos", F.sort_array(F.array_distinct(F.transform(words, rank))).alias("ids"))
-    n = F.size("ids")
-
-    def parity(half: int) -> Column:
-        """64 of 128 bits, each the parity of the number of words that hash to it."""
-        mine = F.filter("ids", lambda x: x.bitwiseAND(F.lit(64).cast("long")) == half * 64)
-        return F.aggregate(mine, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+    def token(x: Column) -> Column:
+        low = x.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int")
+        return F.when(x >= F.lit(_FREQUENT << 56), F.bitwise_not(low)).when(x > low56, low)
 
-    prefix = F.transform(F.slice("ids", F.lit(1), n - _ceil(threshold, n) + 1), lambda x: x.bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int"))
-    sets = lines.select("id", "dk", "pos", F.xxhash64("ids").alias("sig"), parity(0).alias("parity"), parity(1).alias("other"), n.alias("n"), prefix.alias("prefix"))
+    lines = lines.select("id", "dk", "pos", F.sort_array(F.array_distinct(F.transform(_split(F.col("line")), rank))).alias("ids"))
+    n = F.size("ids")
+    # 64 bits, each the parity of the number of words that hash to it
+    parity = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+    prefix = F.transform(F.slice("ids", F.lit(1), n - _ceil(threshold, n) + 1), token)
+    sets = lines.select("id", "dk", "pos", F.xxhash64("ids").alias("sig"), parity.alias("parity"), n.alias("n"), prefix.alias("prefix"))
     # lines without words are dropped after writing: a filter here would compute each set twice
     return stored(sets).where("n > 0")
 
@@ -80,26 +98,28 @@ def _may_match(x: str, y: str, t: float) -> Column:
     c = lambda side, name: F.col(f"{side}.{name}")
     nx, ny, ix, iy = c(x, "n"), c(y, "n"), c(x, "i"), c(y, "i")
     need = F.lit(t / (1 + t)) * (nx + ny) - F.lit(1e-9)
-    place = F.least(ix, iy) + 1 + F.least(nx - ix - 1, ny - iy - 1)
-    bits = (nx + ny - F.bit_count(c(x, "parity").bitwiseXOR(c(y, "parity"))) - F.bit_count(c(x, "other").bitwiseXOR(c(y, "other")))) / F.lit(2.0)
+    # as if this were the first word shared; of a true pair's words one is
+    place = F.lit(1) + F.least(nx - ix - 1, ny - iy - 1)
+    bits = (nx + ny - F.bit_count(c(x, "parity").bitwiseXOR(c(y, "parity")))) / F.lit(2.0)
     return (F.least(nx, ny) >= F.lit(t) * F.greatest(nx, ny) - F.lit(1e-9)) & (place >= need) & (bits >= need)
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: float) -> DataFrame:
     """Numbers ``c`` of the later classes of those ``(c, first)`` pairs whose words match."""
     place = classes.select("c", "at.dk", "at.pos")
-    pairs = pairs.distinct().join(place, "c").withColumnsRenamed({"dk": "adk", "pos": "apos"})
-    other = place.withColumnsRenamed({"c": "first", "dk": "bdk", "pos": "bpos"})
-    pairs = stored(pairs.join(other, "first").select("c", "adk", "apos", "bdk", "bpos"))
-    ends = pairs.select(F.col("adk").alias("dk"), F.col("apos").alias("pos")).union(pairs.select("bdk", "bpos")).distinct()
+    pairs = stored(pairs.distinct())
+    ends = pairs.select("c").union(pairs.select("first")).distinct()
     small = pairs.count() * 2 <= _BROADCAST_LINES
-    said = _lines(docs).join(F.broadcast(ends) if small else ends, ["dk", "pos"], "left_semi").select("dk", "pos", words_of(F.col("line")).alias("words"))
-    said = stored(said.dropDuplicates(["dk", "pos"]))
-    a = said.select(F.col("dk").alias("adk"), F.col("pos").alias("apos"), F.col("words").alias("aw"))
-    b = said.select(F.col("dk").alias("bdk"), F.col("pos").alias("bpos"), F.col("words").alias("bw"))
-    both = pairs.join(a, ["adk", "apos"]).join(b, ["bdk", "bpos"])
+    ends = stored(place.join(F.broadcast(ends) if small else ends, "c", "left_semi"))
+    asked = F.broadcast(ends) if small else ends
+    said = _lines(docs).select("dk", "pos", "line").join(asked, ["dk", "pos"]).select("c", F.array_distinct(_split(F.col("line"))).alias("words"))
+    said = stored(said.dropDuplicates(["c"]))
+    a, b = said.withColumnRenamed("words", "aw"), said.select(F.col("c").alias("first"), F.col("words").alias("bw"))
+    both = pairs.join(a, "c").join(b, "first")
     shared = F.size(F.array_intersect("aw", "bw"))
-    return stored(both.where(shared >= F.lit(t) * (F.size("aw") + F.size("bw") - shared) - F.lit(1e-9)).select("c").distinct())
+    out = stored(both.where(shared >= F.lit(t) * (F.size("aw") + F.size("bw") - shared) - F.lit(1e-9)).select("c").distinct())
+    drop(pairs, ends, said)
+    return out
 
 
 def matched_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -112,24 +132,22 @@ def matched_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     sets = _line_sets(docs, threshold)
     at = F.struct("id", "pos", "dk")
-    classes = sets.groupBy(*_SET).agg(F.min(at).alias("at"), F.min("n").alias("n"), F.min("other").alias("other"), F.min("prefix").alias("prefix"))
+    classes = sets.groupBy(*_SET).agg(F.min(at).alias("at"), F.min("n").alias("n"), F.min("prefix").alias("prefix"))
     # numbers in the order of the classes' first lines; written, so that they stay
     classes = stored(classes.repartitionByRange(parts, "at", "sig").sortWithinPartitions("at", "sig").withColumn("c", F.monotonically_increasing_id()))
-
-    def places(prefix: Column) -> DataFrame:
-        return classes.select("c", "n", "parity", "other", F.posexplode(prefix).alias("i", "tok"))
+    skipped = F.size("prefix") - F.size(F.array_compact("prefix"))
+    places = classes.select("c", "n", "parity", skipped.alias("skipped"), F.posexplode("prefix").alias("i", "tok")).where("tok is not null")
 
     def meet(left: DataFrame, right: DataFrame) -> DataFrame:
         x, y = left.alias("x"), right.alias("y")
         near = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("y.c") < F.col("x.c")) & _may_match("x", "y", threshold))
         return near.select("x.c", F.col("y.c").alias("first"))
 
-    # each line against the first line that has its rarest word or its second rarest
-    rarest = places(F.slice("prefix", 1, 2))
-    firsts = rarest.groupBy("tok").agg(F.min(F.struct("c", "n", "parity", "other", "i")).alias("p")).select("tok", "p.*")
-    done = _verified(meet(rarest, firsts), classes, docs, threshold)
+    some = places.where("i < skipped + 2 or tok < 0").drop("skipped")
+    leaders = some.groupBy("tok", F.pmod("c", F.lit(_LEADERS)).alias("k")).agg(F.min(F.struct("c", "n", "parity", "i")).alias("p")).select("tok", "p.*")
+    done = _verified(meet(some, leaders), classes, docs, threshold)
     # the lines that this has not settled against all, from one shuffle
-    every = places(F.col("prefix")).repartition(parts, "tok")
+    every = places.drop("skipped").repartition(parts, "tok")
     settled = F.broadcast(done) if done.count() <= _BROADCAST_LINES else done
     later = _verified(meet(every.join(settled, "c", "left_anti"), every), classes, docs, threshold)
     gone = done.unionByName(later).withColumn("gone", F.lit(True))
