@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 from siftspark.session import shared_dir, small_batches, stored
 
 #: Tokens in a chunk, about: what a task holds at once.
-CHUNK_TOKENS = 5_000_000
+CHUNK_TOKENS = 1_500_000
 #: Tokens of a chunk that are worked on at once.
-_SLICE = 500_000
+_SLICE = 300_000
 #: Sums by state, 16 bytes each, are broadcast up to so many; more are joined by a shuffle.
 _BROADCAST_STATES = 1_000_000
 DISCOUNT = 0.75
@@ -188,7 +188,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out:
     local = local.repartition(buckets, "key")
     words = local.groupBy("key").agg(F.sum("n").alias("c"), F.min("part").alias("owner")).select("key", "c", "owner", F.monotonically_increasing_id().alias("id"))
     # written before it is shuffled on: from here on the numbers are fixed
-    numbered = stored(local.join(words.hint("shuffle_hash"), "key").select("part", "at", "id", "c", (F.col("owner") == F.col("part")).alias("own")))
+    numbered = stored(local.join(words, "key").select("part", "at", "id", "c", (F.col("owner") == F.col("part")).alias("own")))
     size = numbered.where("own").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     n_docs = texts.where("not held_out").count()
     numbered = spark.table(_bucketed(numbered.select("part", "at", "id", "c").repartition(buckets, "part"), "part", buckets))
@@ -196,7 +196,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", held_out:
     # one shuffle for the sums and for the way back to the chunks
     found = found.repartition(buckets, "state", "word")
     counted = found.groupBy("state", "word").agg(F.sum("n").alias("c")).where(F.col("c") >= min_count)
-    arcs = stored(found.select("chunk", "state", "word").join(counted.hint("shuffle_hash"), ["state", "word"]).select("chunk", "state", "word", "c"))
+    arcs = stored(found.select("chunk", "state", "word").join(counted, ["state", "word"]).select("chunk", "state", "word", "c"))
     one = arcs.groupBy("state", "word").agg(F.max("c").alias("c"))
     sums = stored(one.groupBy("state").agg(F.sum(F.col("c") - DISCOUNT).alias("s")))
     start = sums.where(F.col("state") == _START).agg(F.max("s")).first()[0] or 0.0
