@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 from siftspark.llm import tokenfile
 
 
-@pytest.mark.parametrize("n,size", [(0, 10), (1, 1), (1, 50257), (5000, 3), (4096 * 3 + 7, 1000), (4096, 50257)])
+@pytest.mark.parametrize("n,size", [(0, 10), (1, 1), (1, 50257), (5000, 3), (4096 * 3 + 7, 1000), (4096, 50257), (9000, 200_000)])
 def test_round_trip(n, size):
     rng = np.random.default_rng(n)
     ids = np.minimum(rng.zipf(1.3, n) - 1, size - 1).astype(np.int32)
@@ -33,8 +33,7 @@ def test_it_compresses_and_finds_damage():
 
 def plain(texts):
     t = Tokenizer.from_file(tokenfile.default_tokenizer())
-    t.encode_special_tokens = True
-    return [[*e.ids, 0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+    return [[*t.encode(x or "", add_special_tokens=False).ids, 0] for x in texts]
 
 
 def check(rows, got):
@@ -45,6 +44,18 @@ def check(rows, got):
         start += len(w)
 
 
+def test_pieces_are_the_librarys():
+    words = tokenfile.Words(tokenfile.default_tokenizer(), kept=50)
+    rng = np.random.default_rng(5)
+    bits = [" ", " ", " ", "\n", "\t", "  ", "a", "Don't", "é", "中", "12", "!", ".", "\u00a0", "\x1c", "\u3000", "'s", "<|endoftext|>", "\r\n", "word", "x" * 40]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 30))) for _ in range(3000)]
+    texts += ["a b", "a\nb", "a\n\nb", "a\n", "\n", " ", "\na", "a \nb", "a\n b", "a <|endoftext|> b"]
+    for k in range(0, len(texts), 300):
+        part = texts[k : k + 300]
+        flat, n = words.encode(part)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == plain(part)
+
+
 def test_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
