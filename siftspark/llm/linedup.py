@@ -14,10 +14,10 @@ large the vocabulary. A word alone in a bucket of count one is in no other
 line and meets nothing. Equal sets are one class from the start.
 
 Only the existence of an earlier match matters. So each line is first tried
-with a few leaders for each of its two rarest words and of its frequent ones,
-at most ``_LEADERS`` a word, which settles nearly every line of a group of near
-copies; only lines without such a match go on to meet all others. Lines, pairs
-and words stay in Spark's shuffles.
+with a few leaders for each frequent word in its prefix, at most ``_LEADERS`` a
+word, which settles nearly every line of a large group of near copies; only
+lines without such a match go on to meet all others. Lines, pairs and words
+stay in Spark's shuffles.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ _SET = ("sig", "parity")
 #: Counts are kept as four times their logarithm; words from this one on (64 occurrences) are frequent.
 _FREQUENT = 24
 _LEADERS = 4
+#: Of the table that tells which lines are verified, where they are too many to be broadcast.
+_BITS = 1 << 23
 
 
 def _plain(text: Column) -> Column:
@@ -104,15 +106,42 @@ def _may_match(x: str, y: str, t: float) -> Column:
     return (F.least(nx, ny) >= F.lit(t) * F.greatest(nx, ny) - F.lit(1e-9)) & (place >= need) & (bits >= need)
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """Marked for broadcast if it has so many rows at most."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def _place() -> tuple[Column, Column]:
+    h = F.pmod(F.xxhash64("dk", "pos"), F.lit(_BITS))
+    return (h / 64).cast("int"), h.bitwiseAND(F.lit(63).cast("long")).cast("int")
+
+
+def _bits(ends: DataFrame) -> Column:
+    """A scalar subquery: a table of 2**23 bits, those set to which the hash of a line's place leads."""
+    word, bit = _place()
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    every = ends.sparkSession.range(_BITS // 64).select(F.col("id").cast("int").alias("b"))
+    said = every.join(ends.groupBy(word.alias("b")).agg(F.bit_or(one).alias("v")), "b", "left")
+    entry = F.struct("b", F.coalesce("v", F.lit(0).cast("long")).alias("v"))
+    return cut(said.agg(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["v"]).alias("bits"))).scalar()
+
+
+def _bit_of(bits: str) -> Column:
+    word, bit = _place()
+    return F.call_function("shiftrightunsigned", F.get(F.col(bits), word), bit).bitwiseAND(F.lit(1).cast("long")) == 1
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: float) -> DataFrame:
     """Numbers ``c`` of the later classes of those ``(c, first)`` pairs whose words match."""
     place = classes.select("c", "at.dk", "at.pos")
     pairs = stored(pairs.distinct())
     ends = pairs.select("c").union(pairs.select("first")).distinct()
-    small = pairs.count() * 2 <= _BROADCAST_LINES
-    ends = stored(place.join(F.broadcast(ends) if small else ends, "c", "left_semi"))
-    asked = F.broadcast(ends) if small else ends
-    said = _lines(docs).select("dk", "pos", "line").join(asked, ["dk", "pos"]).select("c", F.array_distinct(_split(F.col("line"))).alias("words"))
+    ends = stored(classes.select("c", "at.dk", "at.pos").join(_small(ends, _BROADCAST_LINES), "c", "left_semi"))
+    asked, said = _small(ends, _BROADCAST_LINES // 4), _lines(docs).select("dk", "pos", "line")
+    if asked is ends:
+        # before the shuffle: only lines whose bit is set can be asked for
+        said = said.withColumn("bits", _bits(ends)).where(_bit_of("bits"))
+    said = said.join(asked, ["dk", "pos"]).select("c", F.array_distinct(_split(F.col("line"))).alias("words"))
     said = stored(said.dropDuplicates(["c"]))
     a, b = said.withColumnRenamed("words", "aw"), said.select(F.col("c").alias("first"), F.col("words").alias("bw"))
     both = pairs.join(a, "c").join(b, "first")
@@ -135,21 +164,19 @@ def matched_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     classes = sets.groupBy(*_SET).agg(F.min(at).alias("at"), F.min("n").alias("n"), F.min("prefix").alias("prefix"))
     # numbers in the order of the classes' first lines; written, so that they stay
     classes = stored(classes.repartitionByRange(parts, "at", "sig").sortWithinPartitions("at", "sig").withColumn("c", F.monotonically_increasing_id()))
-    skipped = F.size("prefix") - F.size(F.array_compact("prefix"))
-    places = classes.select("c", "n", "parity", skipped.alias("skipped"), F.posexplode("prefix").alias("i", "tok")).where("tok is not null")
+    places = classes.select("c", "n", "parity", F.posexplode("prefix").alias("i", "tok")).where("tok is not null")
 
     def meet(left: DataFrame, right: DataFrame) -> DataFrame:
         x, y = left.alias("x"), right.alias("y")
         near = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("y.c") < F.col("x.c")) & _may_match("x", "y", threshold))
         return near.select("x.c", F.col("y.c").alias("first"))
 
-    some = places.where("i < skipped + 2 or tok < 0").drop("skipped")
+    some = places.where("tok < 0")
     leaders = some.groupBy("tok", F.pmod("c", F.lit(_LEADERS)).alias("k")).agg(F.min(F.struct("c", "n", "parity", "i")).alias("p")).select("tok", "p.*")
     done = _verified(meet(some, leaders), classes, docs, threshold)
     # the lines that this has not settled against all, from one shuffle
-    every = places.drop("skipped").repartition(parts, "tok")
-    settled = F.broadcast(done) if done.count() <= _BROADCAST_LINES else done
-    later = _verified(meet(every.join(settled, "c", "left_anti"), every), classes, docs, threshold)
+    every = places.repartition(parts, "tok")
+    later = _verified(meet(every.join(_small(done, _BROADCAST_LINES), "c", "left_anti"), every), classes, docs, threshold)
     gone = done.unionByName(later).withColumn("gone", F.lit(True))
     verdict = classes.select(*_SET, "at", "c").join(gone, "c", "left").drop("c")
     lines = sets.select(*_SET, "dk", "pos").join(verdict, list(_SET))
