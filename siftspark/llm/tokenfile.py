@@ -32,7 +32,7 @@ from siftspark.session import shared_dir, small_batches
 
 MAGIC = b"CMR1"
 #: Ids in a block, blocks in a segment at most (unless one document needs more), and slots of the order-1 and order-2 tables.
-BLOCK, LANES, _SLOTS = 4096, 2048, 1024
+BLOCK, LANES, _SLOTS = 4096, 1024, 1024
 #: Parts of one for the mix, and for the tables of order 0.
 _UNIT, _TABLE = 1 << 16, 1 << 12
 _MOST = 15 * _UNIT // 32
@@ -287,7 +287,7 @@ class Words:
     #: What a key stands for: text itself, text after a blank, and the end of a row.
     _SELF, _AFTER, _STOP = "self", "after", ("stop",)
 
-    def __init__(self, path: str, end: int = 0, kept: int = 700_000):
+    def __init__(self, path: str, end: int = 0, kept: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept, self.end = Tokenizer.from_file(path), kept, end
