@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftspark.session import cut
+
 MIB, GIB = 1 << 20, 1 << 30
 
 
@@ -19,15 +21,24 @@ def size_class(size: Column) -> Column:
     return F.when(size < MIB, "small").when(size < 32 * MIB, "medium").otherwise("large")
 
 
-def latency(jobs: DataFrame) -> DataFrame:
-    """Count, floored mean, nearest-rank percentiles and maximum of claim-to-result milliseconds, by size class and for all."""
-    rows = jobs.withColumn("size_class", size_class(F.col("size")))
-    rows.createOrReplaceTempView("__jobs")
-    return rows.sparkSession.sql("""
-      SELECT coalesce(size_class, 'all') AS size_class, count(*) AS n, CAST(floor(avg(ms)) AS BIGINT) AS mean,
-        CAST(percentile_disc(0.5) WITHIN GROUP (ORDER BY ms) AS BIGINT) AS p50, CAST(percentile_disc(0.95) WITHIN GROUP (ORDER BY ms) AS BIGINT) AS p95,
-        CAST(percentile_disc(0.99) WITHIN GROUP (ORDER BY ms) AS BIGINT) AS p99, max(ms) AS most
-      FROM __jobs GROUP BY GROUPING SETS ((size_class), ())""")
+def latency(jobs: DataFrame, of: str = "ms") -> DataFrame:
+    """Count, floored mean, nearest-rank percentiles and maximum of milliseconds, by size class and for ``all``.
+
+    Values are counted first, so ranks run over distinct values and never over jobs.
+    """
+    each = jobs.groupBy(size_class(F.col("size")).alias("size_class"), F.col(of).alias("ms")).agg(F.count(F.lit(1)).alias("k"))
+    rows = each.unionByName(each.groupBy("ms").agg(F.sum("k").alias("k")).withColumn("size_class", F.lit("all")))
+    order = Window.partitionBy("size_class").orderBy("ms").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("upto", F.sum("k").over(order)).withColumn("n", F.sum("k").over(Window.partitionBy("size_class")))
+    rank = lambda share: F.min(F.when(F.col("upto") >= F.ceil(F.lit(share) * F.col("n") - 1e-9), F.col("ms")))
+    return rows.groupBy("size_class").agg(
+        F.max("n").alias("n"), F.expr("CAST(sum(ms * k) div max(n) AS BIGINT)").alias("mean"), rank(0.5).alias("p50"), rank(0.95).alias("p95"), rank(0.99).alias("p99"), F.max("ms").alias("most"),
+    )
+
+
+def show(rows: DataFrame, classes: tuple[int, ...] | None = None) -> DataFrame:
+    """Rows of the classes that are asked for, with failed ones (null class) always; None, as for machines, keeps all."""
+    return rows if classes is None else rows.where(F.col("class").isin(*classes) | F.col("class").isNull())
 
 
 def throughput(jobs: DataFrame) -> DataFrame:
@@ -43,18 +54,35 @@ def match_results(jobs: DataFrame, results: DataFrame) -> DataFrame:
     return a.join(b, ["sha", "k"], "left").drop("k")
 
 
-def batches(jobs: DataFrame, how: str, n: int) -> DataFrame:
-    """Add ``batch``, 1 to ``n``: fifo, big_first, small_first, shuffle, or mixed, in which each batch has its share of every size.
+def _numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """Add ``__n``, the row's number from 0 in the given order: ranges are sorted apart and offset by what lies before them."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = cut(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id()))
+    rows = rows.withColumn("__p", F.shiftright("__m", 33)).withColumn("__i", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("__p").agg(F.count(F.lit(1)).alias("__k")).select("__p", F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__o"))  # a row for each range
+    return rows.join(F.broadcast(offsets), "__p").withColumn("__n", F.col("__o") + F.col("__i")).drop("__m", "__p", "__i", "__o")
 
-    Ranks are taken over the whole table: for a list of jobs, not of documents.
-    """
+
+def _tiles(df: DataFrame, n: int, *order: Column) -> DataFrame:
+    """Add ``batch``, 1 to ``n``: equal runs in the given order, the first ones one row longer."""
+    rows = _numbered(df, *order)
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    small, more, k = F.floor(total / n), total % n, F.col("__n")
+    edge = more * (small + 1)
+    batch = F.when(k < edge, F.floor(k / (small + 1))).otherwise(more + F.floor((k - edge) / F.greatest(small, F.lit(1))))
+    return rows.withColumn("batch", (batch + 1).cast("int")).drop("__n")
+
+
+def batches(jobs: DataFrame, how: str, n: int) -> DataFrame:
+    """Add ``batch``, 1 to ``n``: fifo, big_first, small_first, shuffle, or mixed, in which each batch has its share of every size."""
     key = {"fifo": [F.col("id")], "big_first": [F.desc("size"), F.col("id")], "small_first": [F.col("size"), F.col("id")], "shuffle": [F.xxhash64(F.lit(42), "id"), F.col("id")]}
-    if how == "mixed":
-        w = Window.partitionBy("size_class")
-        jobs = jobs.withColumn("size_class", size_class(F.col("size")))
-        jobs = jobs.withColumn("at", (2 * F.row_number().over(w.orderBy("id")) - 1) / (2 * F.count(F.lit(1)).over(w)))
-        return jobs.withColumn("batch", F.ntile(n).over(Window.orderBy("at", "id"))).drop("at", "size_class")
-    return jobs.withColumn("batch", F.ntile(n).over(Window.orderBy(*key[how])))
+    if how != "mixed":
+        return _tiles(jobs, n, *key[how])
+    rows = _numbered(jobs.withColumn("size_class", size_class(F.col("size"))), F.col("size_class"), F.col("id"))
+    sizes = rows.groupBy("size_class").agg(F.count(F.lit(1)).alias("__k"), F.min("__n").alias("__first"))  # three classes
+    rows = rows.join(F.broadcast(sizes), "size_class").withColumn("at", (2 * (F.col("__n") - F.col("__first")) + 1) / (2 * F.col("__k")))
+    return _tiles(rows.drop("__n", "__k", "__first"), n, F.col("at"), F.col("id")).drop("at", "size_class")
 
 
 def est_bytes(kind: Column, size: Column) -> Column:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from siftspark.operators import findings as B
 
-#: Categories whose findings make tier tokens.
-TOKEN_CATEGORIES = ("objectives", "micro-behaviors", "well-known", "third_party", "metadata")
+#: Categories whose findings make tier tokens, letters of the tiers, and the caps beyond which no n-grams are made.
+TOKEN_CATEGORIES = ("objectives", "well-known", "supply-chain", "anti-analysis", "anti-static", "command-and-control", "evasion", "execution", "exfiltration")
+PAIR_CAP, TRIPLE_CAP = 512, 128
 
 
 def long(rows: DataFrame, columns: dict[str, Column | str]) -> DataFrame:
@@ -18,139 +19,331 @@ def long(rows: DataFrame, columns: dict[str, Column | str]) -> DataFrame:
 
 
 def weighted_paths(paths: DataFrame, risks: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``present:``, ``maxcrit:`` and ``ghost:`` of each vocabulary path."""
+    """``present:``, ``maxcrit:`` and ``ghost:`` of each vocabulary path; ``risks`` has a row for every report, findings or not."""
     w = F.when(F.col("risk") > 0, F.log1p("risk")).otherwise(1.0)
-    rows = paths.join(F.broadcast(vocab), "path").join(risks, "report_id").withColumn("w", w)
+    rows = paths.join(vocab, "path").join(risks, "report_id").withColumn("w", w)
     there = rows.where("max_crit >= 2").select("report_id", F.concat(F.lit("present:"), "path").alias("name"), (F.col("w") * F.col("max_conf")).alias("value"))
     most = rows.select("report_id", F.concat(F.lit("maxcrit:"), "path").alias("name"), (F.col("max_crit") * F.col("w") * F.col("max_conf")).alias("value"))
-    # the vocabulary is a model's; reports without any path have no row here
-    names = vocab.agg(F.collect_set("path").alias("names")).scalar()
-    absent = rows.groupBy("report_id").agg(F.collect_set(F.when(F.col("max_crit") >= 2, F.col("path"))).alias("seen")).withColumn("names", names)
-    absent = absent.select("report_id", F.explode(F.array_except("names", "seen")).alias("path")).select("report_id", F.concat(F.lit("ghost:"), "path").alias("name"), F.lit(1.0).alias("value"))
-    return there.unionByName(most).unionByName(absent)
+    names = vocab.agg(F.collect_set("path").alias("names")).scalar()  # a model's vocabulary
+    seen = rows.groupBy("report_id").agg(F.collect_set(F.when(F.col("max_crit") >= 2, F.col("path"))).alias("seen"))
+    absent = risks.select("report_id").join(seen, "report_id", "left").withColumn("names", names)
+    absent = absent.select("report_id", F.explode(F.array_except("names", F.coalesce("seen", F.array().cast("array<string>")))).alias("path"))
+    return there.unionByName(most).unionByName(absent.select("report_id", F.concat(F.lit("ghost:"), "path").alias("name"), F.lit(1.0).alias("value")))
 
 
 def aggregates(findings: DataFrame, files: DataFrame) -> DataFrame:
-    """Breadth, volume, severity, repeats, file tiers and two-level breadth of each report, wide."""
-    paths = B.report_paths(findings)
-    depth = F.regexp_count("path", F.lit("/"))
-    deep = lambda c: F.count_if((depth >= 2) & (F.col("max_crit") >= c))
-    two = F.when(depth >= 1, F.array_join(F.slice(F.split("path", "/"), 1, 2), "/"))
-    breadth = paths.groupBy("report_id").agg(
-        F.coalesce(F.max(F.when((depth >= 2) & (F.col("max_crit") >= 3), F.col("max_crit"))), F.lit(0)).alias("max_crit"),
-        F.count_distinct(F.when(F.col("max_crit") >= 2, F.split_part("path", F.lit("/"), F.lit(1)))).alias("categories"),
-        *[deep(c).alias(f"deep{c}") for c in (2, 3, 4, 5)],
-        *[F.count_distinct(F.when(F.col("max_crit") >= c, F.split_part("path", F.lit("/"), F.lit(1)))).alias(f"cat{c}") for c in (4, 5)],
-        F.count_distinct(F.when(F.col("max_crit") >= 4, two)).alias("suspicious_2level"), F.count_distinct(F.when(F.col("max_crit") >= 5, two)).alias("hostile_2level"),
-        F.count_distinct(F.when((F.col("max_crit") >= 2) & F.col("path").startswith("objectives/"), two)).alias("objectives_2level"),
+    """All ``agg:`` features of findings, paths and files; every report in ``files`` has a row for each.
+
+    Distinct paths, categories and ids are rows of one level or another, so
+    every count is a plain one and no column is expanded for distinct counts.
+    """
+    depth, crit = F.regexp_count("path", F.lit("/")), F.col("max_crit")
+    at = lambda level, c: F.count_if(level & (crit >= c))
+    breadth = B.report_paths(findings).groupBy("report_id").agg(
+        F.coalesce(F.max(F.when((depth >= 2) & (crit >= 3), crit)), F.lit(0)).alias("top_crit"), at(depth == 0, 2).alias("categories"), F.count_if((depth >= 2) & (crit == 3)).alias("only3"),
+        *[at(depth >= 2, c).alias(f"deep{c}") for c in (2, 3, 4, 5)], *[at(depth == 0, c).alias(f"cat{c}") for c in (4, 5)], *[at(depth == 1, c).alias(f"two{c}") for c in (4, 5)],
+        F.count_if((depth == 1) & (crit >= 2) & F.col("path").startswith("objectives/")).alias("objectives"),
+    )
+    ids = B.by_id(findings)
+    tops = ids.groupBy("report_id", "file_id", F.split_part("id", F.lit("/"), F.lit(1)).alias("top")).agg(*[F.sum(c).alias(c) for c in ("n_active", "notable", "suspicious", "hostile")], F.max("max_crit").alias("max_crit"))
+    per_file = tops.groupBy("report_id", "file_id").agg(*[F.sum(c).alias(c) for c in ("n_active", "notable", "suspicious", "hostile")], F.max("max_crit").alias("max_crit"), F.count_if(crit >= 4).alias("sc"), F.count_if(crit >= 5).alias("hc"))
+    rows = files.select("report_id", "file_id", "size_bytes").join(per_file, ["report_id", "file_id"], "left").na.fill(0)
+    n, kb = F.greatest(F.lit(1), "n_active"), F.greatest(F.lit(1.0), F.col("size_bytes") / 1024)
+    rows = rows.withColumns({"sr": F.col("suspicious") / n, "hr": F.col("hostile") / n, "sd": F.col("suspicious") / kb, "hd": F.col("hostile") / kb}).withColumn("wd", F.col("hd") + 0.25 * F.col("sd"))
+    best = lambda *key: F.max_by(F.struct("sr", "hr", "suspicious", "hostile", "sd", "hd", "sc", "hc"), F.struct(*key, -F.col("file_id")))
+    rows = rows.groupBy("report_id").agg(
+        F.count(F.lit(1)).alias("files"), *[F.count_if(crit == c).alias(f"files{c}") for c in (3, 4)], F.count_if(crit >= 5).alias("files5"), F.sum("size_bytes").alias("bytes"),
+        *[F.sum(c).alias(c) for c in ("n_active", "notable", "suspicious", "hostile")], best("sr", "suspicious", "hr", "hostile").alias("s"), best("hr", "hostile", "sr", "suspicious").alias("h"), F.max("wd").alias("wd"),
     )
-    per_file = B.file_summary(findings).select("report_id", "file_id", "max_crit")
-    tiers = files.select("report_id", "file_id", "size_bytes").join(per_file, ["report_id", "file_id"], "left").groupBy("report_id").agg(
-        F.count(F.lit(1)).alias("files"), *[F.count_if(F.col("max_crit") == c).alias(f"files{c}") for c in (3, 4, 5)], F.sum("size_bytes").alias("bytes"))
-    rows = tiers.join(B.report_summary(findings).drop("max_crit", "n_files"), "report_id", "left").join(breadth, "report_id", "left").na.fill(0)
-    kb = F.greatest(F.lit(0.1), F.col("bytes") / 1024)
-    one = lambda c: F.greatest(F.lit(1), F.col(c))
-    mundane = F.greatest(F.lit(1), F.col("n_active") - F.col("notable"))
+    once = ids.where("max_crit >= 4").groupBy("report_id", "id").agg(F.max("max_crit").alias("max_crit")).groupBy("report_id").agg(F.count(F.lit(1)).alias("ids4"), F.count_if(crit >= 5).alias("ids5"))
+    rows = rows.join(breadth, "report_id", "left").join(once, "report_id", "left").na.fill(0)
+    raw = F.col("bytes") / 1024
+    low, one_kb = F.greatest(F.lit(0.1), raw), F.greatest(F.lit(1.0), raw)
+    c = F.col
+    over = lambda a, b: c(a) / F.greatest(F.lit(1), c(b))
     out = {
-        "max_crit": "max_crit", "category_breadth": "categories", "path_breadth_any": F.log1p("deep2"), "total_active_paths": F.log1p("deep3"),
-        "suspicious_concentration": F.col("deep4") / one("deep2"), "hostile_concentration": F.col("deep5") / one("deep2"), "escalation_rate": F.col("deep4") / one("deep3"),
-        "notable_only_fraction": (F.col("deep3") - F.col("deep4")) / one("deep3"),
-        "notable_findings_log": F.log1p("notable"), "suspicious_finding_ratio": F.col("suspicious") / kb, "hostile_finding_ratio": F.col("hostile") / kb,
-        "unique_suspicious_ids_log": F.log1p("unique_suspicious") / F.log1p(kb), "crit3_finding_fraction": F.col("notable") / one("n_active"),
-        "hostile_finding_fraction": F.col("hostile") / one("n_active"), "severe_to_mundane_ratio": F.col("notable") / mundane,
-        "suspicious_category_density": F.col("cat4") / one("categories"), "hostile_category_density": F.col("cat5") / one("categories"),
-        "hostile_weighted_density": F.col("hostile") / F.greatest(F.lit(1.0), kb) + 0.25 * F.col("suspicious") / F.greatest(F.lit(1.0), kb),
-        "suspicious_id_repeat_ratio": 1 - F.col("unique_suspicious") / one("suspicious"), "hostile_id_repeat_ratio": 1 - F.col("unique_hostile") / one("hostile"),
-        "file_hostile_fraction": F.col("files5") / F.col("files"), "file_suspicious_fraction": F.col("files4") / F.col("files"), "file_notable_count_log": F.log1p("files3"),
-        "suspicious_2level_breadth": "suspicious_2level", "hostile_2level_breadth": "hostile_2level", "objectives_breadth": "objectives_2level",
+        "max_crit": c("top_crit"), "category_breadth": c("categories"), "path_breadth_any": F.log1p("deep2"), "total_active_paths": F.log1p("deep3"),
+        "suspicious_concentration": over("deep4", "deep2"), "hostile_concentration": over("deep5", "deep2"), "escalation_rate": over("deep4", "deep3"), "notable_only_fraction": over("only3", "deep3"),
+        "notable_findings_log": F.log1p("notable"), "suspicious_findings_log": F.log1p("suspicious"), "hostile_findings_log": F.log1p("hostile"),
+        "notable_finding_ratio": c("notable") / low, "suspicious_finding_ratio": c("suspicious") / low, "hostile_finding_ratio": c("hostile") / low,
+        "unique_suspicious_ids_log": F.log1p("ids4") / F.log1p(low), "unique_hostile_ids_log": F.log1p("ids5") / F.log1p(low),
+        "crit3_finding_fraction": over("notable", "n_active"), "crit4_finding_fraction": over("suspicious", "n_active"), "hostile_finding_fraction": over("hostile", "n_active"),
+        "severe_to_mundane_ratio": c("notable") / F.greatest(F.lit(1), c("n_active") - c("notable")), "crit4_present": c("suspicious") > 0,
+        "top1_file_suspicious_ratio_sum": c("s.sr"), "top1_file_hostile_ratio_sum": c("h.hr"), "top1_file_suspicious_findings_log": F.log1p("s.suspicious"), "top1_file_hostile_findings_log": F.log1p("h.hostile"),
+        "suspicious_category_breadth": c("cat4"), "hostile_category_breadth": c("cat5"), "suspicious_category_density": over("cat4", "categories"), "hostile_category_density": over("cat5", "categories"),
+        "suspicious_findings_per_kb": c("suspicious") / one_kb, "hostile_findings_per_kb": c("hostile") / one_kb, "suspicious_categories_per_kb": c("cat4") / one_kb, "hostile_categories_per_kb": c("cat5") / one_kb,
+        "top1_file_suspicious_density_sum": c("s.sd"), "top1_file_hostile_density_sum": c("h.hd"), "top1_file_suspicious_category_breadth_sum": c("s.sc"), "top1_file_hostile_category_breadth_sum": c("h.hc"),
+        "hostile_escalation_rate": over("deep5", "deep3"), "hostile_share_of_suspicious": over("deep5", "deep4"), "suspicious_finding_escalation_rate": over("suspicious", "notable"),
+        "hostile_finding_escalation_rate": over("hostile", "notable"), "hostile_share_of_suspicious_findings": over("hostile", "suspicious"),
+        "hostile_weighted_density": c("hostile") / one_kb + 0.25 * c("suspicious") / one_kb, "top1_file_hostile_weighted_density_sum": c("wd"),
+        "suspicious_id_repeat_ratio": 1 - over("ids4", "suspicious"), "hostile_id_repeat_ratio": 1 - over("ids5", "hostile"), "suspicious_category_repeat_ratio": 1 - over("cat4", "suspicious"), "hostile_category_repeat_ratio": 1 - over("cat5", "hostile"),
+        "file_hostile_fraction": over("files5", "files"), "file_suspicious_fraction": over("files4", "files"), "file_notable_fraction": over("files3", "files"),
+        "file_hostile_count_log": F.log1p("files5"), "file_suspicious_count_log": F.log1p("files4"), "file_notable_count_log": F.log1p("files3"), "hostile_depth_weight": F.lit(0.0),
+        "suspicious_2level_breadth": c("two4"), "hostile_2level_breadth": c("two5"), "objectives_breadth": c("objectives"),
     }
     return long(rows, {f"agg:{k}": v for k, v in out.items()})
 
 
 def attack_codes(findings: DataFrame) -> DataFrame:
-    """Distinct ATT&CK and MBC codes, tactics, and pairs and triples of codes, by closed form."""
-    rows = findings.groupBy("report_id").agg(F.count_distinct("atk").alias("atk"), F.count_distinct("mbc").alias("mbc"), F.count_distinct(F.substring("atk", 1, 4)).alias("tactics"), F.bool_or(F.col("atk").isNotNull()).alias("a"), F.bool_or(F.col("id").startswith("objectives/")).alias("o"))
-    n = F.col("atk")
-    return long(rows, {"agg:attack_codes": "atk", "agg:mbc_codes": "mbc", "agg:attack_tactics": "tactics", "agg:has_attack_and_objective": F.col("a") & F.col("o"), "agg:attack_pairs": F.log1p(n * (n - 1) / 2), "agg:attack_triples": F.log1p(n * (n - 1) * (n - 2) / 6)})
+    """Distinct ATT&CK and MBC codes of all findings, tactics, and pairs and triples of codes, by closed form."""
+    a, m = (findings.where(F.col(code).isNotNull()).groupBy("report_id", code).agg(F.lit(1)).groupBy("report_id").agg(F.count(F.lit(1)).alias(code)) for code in ("atk", "mbc"))
+    tactic = F.when(F.col("atk").startswith("T") & (F.length("atk") >= 4), F.substring("atk", 1, 4))
+    t = findings.select("report_id", tactic.alias("t")).where("t is not null").distinct().groupBy("report_id").agg(F.count(F.lit(1)).alias("tactics"))
+    sure = (F.round("conf", 4) >= B.MIN_CONF) & F.col("id").startswith("objectives/")
+    rows = findings.groupBy("report_id").agg(F.bool_or(sure).alias("o")).join(a, "report_id", "left").join(m, "report_id", "left").join(t, "report_id", "left").na.fill(0)
+    n, k = F.col("atk"), F.col("mbc")
+    return long(rows, {
+        "agg:attack_technique_count": "atk", "agg:attack_tactic_count": "tactics", "agg:mbc_behavior_count": "mbc", "agg:attack_bigram_count": F.log1p(n * (n - 1) / 2), "agg:attack_trigram_count": F.log1p(n * (n - 1) * (n - 2) / 6),
+        "agg:mbc_bigram_count": F.log1p(k * (k - 1) / 2), "agg:has_attack_and_objective": (n > 0) & F.coalesce("o", F.lit(False)),
+    })
+
+
+def _tier(crit: Column) -> Column:
+    return F.when(crit == 5, "h").when(crit == 4, "s").otherwise("n")
+
+
+def _sized(tokens: DataFrame) -> DataFrame:
+    """Add ``n``, the number of a report's tokens."""
+    return tokens.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("report_id")))
+
+
+def crit_tokens(paths: DataFrame) -> DataFrame:
+    """``(report_id, token, n)``: tier and path, of one and two levels, of the token categories at criticality 3 or more."""
+    rows = paths.where("max_crit >= 3").where(F.split_part("path", F.lit("/"), F.lit(1)).isin(*TOKEN_CATEGORIES)).where(F.regexp_count("path", F.lit("/")) <= 1)
+    return _sized(rows.select("report_id", F.concat(_tier(F.col("max_crit")), F.lit(":"), "path").alias("token")))
+
+
+def tier_tokens(paths: DataFrame) -> DataFrame:
+    """``(report_id, token, n)``: tier and path of every path at criticality 3 or more."""
+    return _sized(paths.where("max_crit >= 3").select("report_id", F.concat(_tier(F.col("max_crit")), F.lit(":"), "path").alias("token")))
 
 
-def tier_tokens(findings: DataFrame) -> DataFrame:
-    """Distinct ``tier:a/b`` tokens of criticality 3 or more, numbered in order, with their number by report."""
-    two = F.array_join(F.slice(F.split(B.base_id(F.col("id")), "/"), 1, 2), "/")
-    rows = B.active(findings).where("crit >= 3").where(F.split_part("id", F.lit("/"), F.lit(1)).isin(*TOKEN_CATEGORIES))
-    rows = rows.select("report_id", F.concat(F.col("crit"), F.lit(":"), two).alias("token")).distinct()
-    w = Window.partitionBy("report_id")
-    return rows.withColumn("i", F.row_number().over(w.orderBy("token"))).withColumn("n", F.count(F.lit(1)).over(w))
+def code_tokens(findings: DataFrame, code: str) -> DataFrame:
+    """``(report_id, token, n)``: distinct codes, ``atk`` or ``mbc``, of all findings."""
+    return _sized(findings.where(F.col(code).isNotNull()).select("report_id", F.col(code).alias("token")).distinct())
 
 
-def token_pairs(tokens: DataFrame, cap: int = 512) -> DataFrame:
-    """``critbi:`` rows: all pairs of a report's tokens, for reports with at most ``cap`` of them."""
-    a, b = tokens.where(F.col("n") <= cap).alias("a"), tokens.alias("b")
-    rows = a.join(b, (F.col("a.report_id") == F.col("b.report_id")) & (F.col("a.i") < F.col("b.i")))
-    return rows.select("a.report_id", F.concat(F.lit("critbi:"), "a.token", F.lit("|"), "b.token").alias("name"), F.lit(1.0).alias("value"))
+def token_presence(tokens: DataFrame, prefix: str = "crit:") -> DataFrame:
+    return tokens.select("report_id", F.concat(F.lit(prefix), "token").alias("name"), F.lit(1.0).alias("value"))
+
+
+def token_ngrams(tokens: DataFrame, vocab: DataFrame, prefix: str, cap: int = PAIR_CAP, sep: str = " + ") -> DataFrame:
+    """N-grams of the vocabulary ``(a, b)`` or ``(a, b, c)`` that a report of at most ``cap`` tokens has whole, from the vocabulary: a report's pairs are never made."""
+    rows = tokens.where(F.col("n") <= cap).select("report_id", "token")
+    out = rows.join(vocab, F.col("token") == F.col("a")).drop("token")
+    for part in vocab.columns[1:]:
+        out = out.join(rows.withColumnRenamed("token", part), ["report_id", part])
+    return out.select("report_id", F.concat(F.lit(prefix), F.concat_ws(sep, *vocab.columns)).alias("name"), F.lit(1.0).alias("value"))
 
 
 def path_bigrams(file_paths: DataFrame, vocab: DataFrame, cap: int = 512) -> DataFrame:
     """``bigrams:`` of the vocabulary ``(a, b)``, from the vocabulary: a file's pairs are never made."""
     rows = file_paths.where(F.size("paths") <= cap).select("report_id", "file_id", F.explode("paths").alias("path"))
-    first = rows.join(F.broadcast(vocab), F.col("path") == F.col("a")).select("report_id", "file_id", "a", "b")
+    first = rows.join(vocab, F.col("path") == F.col("a")).select("report_id", "file_id", "a", "b")
     both = first.join(rows, (first.report_id == rows.report_id) & (first.file_id == rows.file_id) & (first.b == rows.path))
     return both.select(first.report_id, "a", "b").distinct().select("report_id", F.concat(F.lit("bigrams:"), "a", F.lit("+"), "b").alias("name"), F.lit(1.0).alias("value"))
 
 
-def metrics(files: DataFrame, col: str = "metrics") -> DataFrame:
-    """Two-level JSON of numbers and booleans -> greatest value of each ``group_field`` in a report.
-
-    Names with count, size, total, bytes or lines in them are ``ln(|v| + 1)``.
-    """
+#: Metrics that every model may ask for, with the flag of those that are taken as ln(|v| + 1).
+KEY_METRICS = (
+    ("binary", "overall_entropy", False), ("binary", "code_entropy", False), ("binary", "code_to_data_ratio", False), ("binary", "function_count", True), ("binary", "complexity_per_kb", False), ("binary", "max_complexity", False),
+    ("binary", "normalized_string_count", False), ("binary", "high_entropy_regions", False), ("binary", "overlay_ratio", False), ("binary", "overlay_entropy", False), ("binary", "overlay_size", True), ("binary", "has_overlay", False),
+    ("text", "char_entropy", False), ("text", "unique_chars", True), ("text", "whitespace_ratio", False), ("text", "most_common_ratio", False), ("text", "total_lines", True), ("text", "non_ascii_ratio", False),
+    ("text", "non_printable_ratio", False), ("text", "null_byte_count", True), ("text", "high_byte_ratio", False), ("text", "avg_line_length", True), ("text", "max_line_length", True), ("text", "line_length_stddev", True),
+    ("text", "last_line_length", True), ("text", "empty_line_ratio", False), ("text", "tab_count", True), ("text", "space_count", True), ("text", "trailing_whitespace_lines", True), ("text", "unusual_whitespace", True),
+    ("text", "max_inline_whitespace_run", True), ("text", "unicode_escape_count", True), ("text", "octal_escape_count", True), ("text", "escape_density", False), ("text", "invisible_chars", True), ("text", "long_token_count", True),
+    ("text", "repeated_char_sequences", True), ("text", "digit_ratio", False), ("text", "mixed_indent", False), ("strings", "avg_entropy", False), ("pe", "rsrc_entropy", False), ("pe", "rsrc_size", True),
+)
+#: Words in the names of other metrics that are taken as ln(|v| + 1).
+LOG_WORDS = "count|size|total|bytes|length"
+#: Groups of file types.
+FORMAT_GROUPS = {
+    "script": ("batch", "javascript", "lua", "perl", "php", "powershell", "python", "ruby", "shell", "typescript", "vbscript"),
+    "native_binary": ("elf", "macho", "pe"),
+    "archive_package": ("7z", "apk", "cab", "deb", "egg", "gz", "jar", "msi", "rar", "rpm", "tar", "tgz", "vsix", "war", "whl", "xpi", "xz", "zip", "zst"),
+    "document": ("doc", "docx", "html", "pdf", "ppt", "pptx", "rtf", "xls", "xlsx"),
+    "source_code": ("c", "cpp", "csharp", "go", "java", "kotlin", "makefile", "rust", "scala", "swift"),
+    "config_data": ("ini", "json", "plist", "toml", "xml", "yaml", "yml"),
+    "media": ("bmp", "gif", "jpg", "jpeg", "mp3", "mp4", "png", "svg", "webp"),
+}
+#: Types by which the structure of a report is judged.
+BINARY, SOURCE, CODE, TEXT_SUFFIXES = ("pe", "elf", "macho"), ("javascript", "python", "typescript", "ruby", "php"), ("javascript", "python", "pe", "elf", "macho"), ("txt", "md", "json", "png", "jpg")
+#: Imports that announce a behaviour, and the paths that show it.
+LOGIC_GAPS = {
+    "crypto": (("cryptography", "Crypto", "hashlib", "CryptAcquireContext", "BCryptOpenAlgorithmProvider"), ("micro-behaviors/crypto", "metadata/encoded-payload")),
+    "network": (("socket", "urllib", "requests", "http", "curl", "wininet", "winhttp"), ("micro-behaviors/network", "objectives/command-and-control")),
+    "process": (("subprocess", "os.spawn", "os.system", "CreateProcess", "ShellExecute", "posix_spawn"), ("micro-behaviors/process/create", "objectives/execution")),
+}
+#: Risky paths, and the paths that declare an intent.
+INTENT_GAPS = {
+    "network": ("objectives/network", "micro-behaviors/network"), "filesystem": ("objectives/persistence", "micro-behaviors/filesystem"),
+    "execution": ("objectives/execution", "micro-behaviors/process/create"), "crypto": ("objectives/crypto", "micro-behaviors/crypto"),
+}
+#: Paths that files of a type are expected to show.
+EXPECTED_PATHS = {
+    "elf": ("metadata/binary/layout", "metadata/binary/metrics", "metadata/binary/symbols", "metadata/binary/linking"),
+    "javascript": ("micro-behaviors/javascript/async", "metadata/package/versioning"),
+    "pe": ("metadata/binary/layout", "metadata/binary/metrics", "metadata/binary/resource", "metadata/binary/symbols", "metadata/binary/linking"),
+}
+INTENT_PATHS = ("metadata/package/documentation", "metadata/package/help")
+
+
+def merged_metrics(files: DataFrame, col: str = "metrics") -> DataFrame:
+    """Two-level JSON of numbers and booleans -> ``(report_id, g, f, v)``, the greatest value over a report's files; strings are dropped."""
     parsed = F.from_json(col, "map<string,map<string,string>>")
     rows = files.select("report_id", F.explode(parsed).alias("g", "fields")).select("report_id", "g", F.explode("fields").alias("f", "v"))
     number = F.when(F.lower("v") == "true", 1.0).when(F.lower("v") == "false", 0.0).otherwise(F.expr("try_cast(v AS double)"))
-    rows = rows.withColumn("v", number).where("v is not null").groupBy("report_id", "g", "f").agg(F.max("v").alias("v"))
-    scaled = F.when(F.col("f").rlike("count|size|total|bytes|lines"), F.log1p(F.abs("v"))).otherwise(F.col("v"))
-    return rows.select("report_id", F.concat(F.lit("metrics:"), "g", F.lit("_"), "f").alias("name"), scaled.alias("value"))
-
+    return rows.withColumn("v", number).where("v is not null").groupBy("report_id", "g", "f").agg(F.max("v").alias("v"))
 
-def formats(files: DataFrame, groups: DataFrame, per_file: DataFrame) -> DataFrame:
-    """``format:`` presence and shares of each group of file types, and the share of unknown ones."""
-    rows = files.join(F.broadcast(groups), files.file_type == groups.t, "left").join(per_file.select("report_id", "file_id", "max_crit"), ["report_id", "file_id"], "left")
-    totals = rows.groupBy("report_id", F.coalesce("grp", F.lit("unknown")).alias("grp")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("max_crit") >= 4).alias("s"))
-    n = F.sum("n").over(Window.partitionBy("report_id"))
-    totals = totals.withColumn("all", n)
-    entry = lambda suffix, v: F.struct(F.concat(F.lit("format:"), "grp", F.lit(suffix)).alias("name"), v.cast("double").alias("value"))
-    return totals.select("report_id", F.inline(F.array(entry("_present", F.lit(1)), entry("_fraction", F.col("n") / F.col("all")), entry("_suspicious_fraction", F.col("s") / F.col("all")))))
 
+def metrics(reports: DataFrame, merged: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``metrics:`` of the key metrics, of the vocabulary ``(name)`` and the three derived ratios; what a report lacks is 0.
 
-def structure(files: DataFrame, per_report: DataFrame) -> DataFrame:
-    """``struct:`` entropy spread, packer and stealth hints of a report."""
-    rows = files.groupBy("report_id").agg(F.max("entropy").alias("me"), F.stddev_pop("entropy").alias("sd"), F.avg("entropy").alias("ae"), F.sum("size_bytes").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    rows = rows.join(per_report.select("report_id", "n_active"), "report_id", "left").na.fill(0, ["n_active"])
-    return long(rows, {"struct:silent_packer": F.log1p(F.col("bytes") / 1048576) / (F.col("n_active") + 1), "struct:entropy_std": "sd", "struct:entropy_spike": F.col("me") - F.col("ae"), "struct:stealth": (F.col("n_active") < 5) & (F.col("me") > 6.5), "struct:zero_findings": F.col("n_active") == 0, "struct:files_log": F.log1p("n")})
+    A vocabulary name is split at its first ``_``; names among the key metrics are not written twice.
+    """
+    spark = reports.sparkSession
+    keys = spark.createDataFrame([(g, f, log, f"{g}_{f}") for g, f, log in KEY_METRICS], "g string, f string, log boolean, name string")
+    more = vocab.where(F.contains("name", F.lit("_"))).join(keys.select("name"), "name", "left_anti")
+    more = more.select(F.regexp_extract("name", "^([^_]*)_", 1).alias("g"), F.regexp_extract("name", "^[^_]*_(.*)$", 1).alias("f"), "name")
+    asked = F.broadcast(keys.unionByName(more.select("g", "f", F.col("f").rlike(LOG_WORDS).alias("log"), "name")))  # a model's names
+    every = reports.select("report_id").crossJoin(asked).join(merged, ["report_id", "g", "f"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    base = every.select("report_id", F.concat(F.lit("metrics:"), "name").alias("name"), F.when(F.col("log"), F.log1p(F.abs("v"))).otherwise(F.col("v")).alias("value"))
+    pick = lambda f: F.max(F.when((F.col("g") == "binary") & (F.col("f") == f), F.col("v"))).alias(f)
+    wide = merged.groupBy("report_id").agg(*map(pick, ("string_count", "function_count", "import_count", "dependency_count", "wide_string_count")))
+    wide = reports.select("report_id").join(wide, "report_id", "left").na.fill(0.0)
+    ratio = lambda a, b: F.when(F.col(b) == 0, 0.0).otherwise(F.col(a) / F.col(b))
+    derived = {"string_per_function": ratio("string_count", "function_count"), "imports_per_dependency": ratio("import_count", "dependency_count"), "wide_string_ratio": ratio("wide_string_count", "string_count")}
+    return base.unionByName(long(wide, {f"metrics:derived_{k}": v for k, v in derived.items()}))
+
+
+def kv_tokens(files: DataFrame, col: str = "metrics") -> DataFrame:
+    """``kv:group.key=value`` of the booleans and strings (at most 80 characters) among a report's metrics."""
+    rows = files.select("report_id", F.explode(F.from_json(col, "map<string,map<string,variant>>")).alias("g", "fields")).select("report_id", "g", F.explode("fields").alias("k", "v"))
+    kind = F.schema_of_variant("v")
+    said = F.when(kind == "BOOLEAN", F.try_variant_get("v", "$", "boolean").cast("string")).when(kind == "STRING", normalize_token(F.try_variant_get("v", "$", "string"), 80))
+    rows = rows.withColumn("said", said).where(F.length("said") > 0)
+    return rows.select("report_id", F.concat(F.lit("kv:"), "g", F.lit("."), "k", F.lit("="), "said").alias("name"), F.lit(1.0).alias("value")).distinct()
+
+
+def formats(files: DataFrame, per_file: DataFrame) -> DataFrame:
+    """``format:`` presence and shares of each group of file types, mixed flags and the share of unknown types."""
+    group = F.lit(None).cast("string")
+    for name, types in FORMAT_GROUPS.items():
+        group = F.when(F.lower(F.trim("file_type")).isin(*types), name).otherwise(group)
+    rows = files.join(per_file.select("report_id", "file_id", "suspicious", "hostile"), ["report_id", "file_id"], "left").withColumn("grp", group)
+    inner = F.col("parent_id").isNotNull()
+    mine = {g: F.coalesce(F.col("grp") == g, F.lit(False)) for g in FORMAT_GROUPS}
+    sums = [F.count_if(mine[g] & c).alias(f"{g}_{k}") for g in mine for k, c in (("n", F.lit(True)), ("i", inner), ("s", F.col("suspicious") > 0), ("h", F.col("hostile") > 0))]
+    rows = rows.groupBy("report_id").agg(F.count(F.lit(1)).alias("files"), F.count_if(inner).alias("inner"), F.count("grp").alias("known"), *sums)
+    share = lambda a, b: F.col(a) / F.greatest(F.lit(1), F.col(b))
+    out, there = {}, lambda g: F.col(f"{g}_n") > 0
+    for g in FORMAT_GROUPS:
+        out |= {g: there(g), f"{g}_file_fraction": share(f"{g}_n", "files"), f"{g}_inner_fraction": share(f"{g}_i", "inner"), f"{g}_suspicious_fraction": share(f"{g}_s", f"{g}_n"), f"{g}_hostile_fraction": share(f"{g}_h", f"{g}_n")}
+    out["group_count_log"] = F.log1p(sum((there(g).cast("int") for g in FORMAT_GROUPS), F.lit(0)))
+    out |= {"mixed_script_binary": there("script") & there("native_binary"), "mixed_archive_script": there("archive_package") & there("script"), "mixed_archive_binary": there("archive_package") & there("native_binary")}
+    return long(rows, {f"format:{k}": v for k, v in (out | {"unknown_file_fraction": (F.col("files") - F.col("known")) / F.col("files")}).items()})
+
+
+def structure(files: DataFrame, per_file: DataFrame, paths: DataFrame, imports: DataFrame | None = None) -> DataFrame:
+    """``struct:`` of each report: sizes, entropies, times, nesting, and how its files stand to each other.
+
+    ``files``: report_id, file_id (their order), file_type, size_bytes, parent_id,
+    depth, path, entropy, mtime (seconds, may be null), total_lines. ``imports``
+    ``(report_id, file_id)`` has the files with imports; without it no file is
+    known to lack them. A feature that needs two entropies or times is absent where there are fewer.
+    """
+    rows = files.join(per_file.select("report_id", "file_id", "n_active", "suspicious", "hostile"), ["report_id", "file_id"], "left").na.fill(0, ["n_active", "suspicious", "hostile"])
+    rows = rows.join(imports.select("report_id", "file_id").distinct().withColumn("imports", F.lit(True)), ["report_id", "file_id"], "left") if imports is not None else rows.withColumn("imports", F.lit(True))
+    binary, bad, e = F.col("file_type").isin(*BINARY), F.col("hostile") > 0, F.when(F.col("entropy") > 0, F.col("entropy"))
+    suffix = F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1))
+    hours, at = lambda x: x / 3600, F.col("mtime").cast("double")
+    first_source = F.min(F.when(F.col("file_type").isin(*SOURCE), F.col("file_id")))
+    last_binary = F.max(F.when(binary, F.col("file_id")))
+    rows = rows.groupBy("report_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_active").alias("f"), F.sum("size_bytes").alias("bytes"), F.count_if(F.col("suspicious") > 0).alias("s"), F.count_if(bad).alias("h"), F.bool_or(binary & (F.col("size_bytes") < 20_000)).alias("tiny"),
+        (~F.bool_or(F.coalesce("imports", F.lit(False)))).alias("bare"), F.coalesce(F.max("entropy"), F.lit(0.0)).alias("me"), F.count(e).alias("ne"), F.avg(e).alias("ae"), F.stddev_pop(e).alias("se"), F.max(e).alias("xe"),
+        F.max(F.when(F.col("file_type").isin(*CODE), e)).alias("ce"), F.count(at).alias("nt"), F.max(at).alias("t1"), F.min(at).alias("t0"), F.stddev_pop(at).alias("st"), F.median(at).alias("mt"), F.max(F.when(bad, at)).alias("b1"), F.min(F.when(bad, at)).alias("b0"),
+        F.max("depth").alias("deep"), F.count_if(F.col("parent_id").isNotNull()).alias("inner"), F.count_if(bad & F.col("parent_id").isNotNull()).alias("under"), F.coalesce(last_binary > first_source, F.lit(False)).alias("foreign"),
+        F.count_if(binary & suffix.isin(*TEXT_SUFFIXES)).alias("odd"), F.sum("total_lines").alias("lines"),
+    ).join(paths.groupBy("report_id").agg(F.count(F.lit(1)).alias("paths")), "report_id", "left").na.fill(0, ["paths"])
+    c = F.col
+    delta = F.greatest(F.abs(c("b1") - c("mt")), F.abs(c("b0") - c("mt")))
+    two = lambda n, v: F.when(c(n) > 1, v)
+    out = {
+        "tiny_executable": c("tiny"), "no_imports": c("bare"), "zero_findings": c("f") == 0, "finding_count_log": F.log1p("f"), "file_count_log": F.log1p("n"), "inner_file_count_log": F.log("n"),
+        "stealth_potential": (c("f") < 5) & (c("me") > 6.5), "suspicious_file_fraction": c("s") / c("n"), "hostile_file_fraction": c("h") / c("n"), "suspicious_file_count_log": F.log1p("s"), "hostile_file_count_log": F.log1p("h"),
+        "packaged_capability": c("paths") * c("me"), "mtime_range_hours": two("nt", hours(c("t1") - c("t0"))), "mtime_std_dev_hours": two("nt", hours(c("st"))), "max_nesting_depth_log": F.log1p("deep"), "inner_file_ratio": c("inner") / c("n"),
+        "entropy_std_dev": two("ne", c("se")), "entropy_max_diff": two("ne", c("xe") - c("ae")), "air_gap_signal": (c("h") > 0) & (c("under") == 0), "anachronistic_injection": hours(delta), "code_entropy_spike": c("ce") - c("ae"),
+        "foreign_binary_signal": c("foreign"), "extension_mismatch_signal": c("odd"), "hostile_finding_density": F.when(c("lines") > 0, c("h") * 1000 / c("lines")), "silent_packer_signal": F.log1p(c("bytes") / 1048576) / (c("f") + 1),
+    }
+    return long(rows, {f"struct:{k}": v for k, v in out.items()}).where("value is not null")
 
 
 def external(findings: DataFrame) -> DataFrame:
-    """``ext:`` third-party and well-known findings."""
-    s = B.report_summary(findings)
-    return long(s, {"ext:third_party_max": "max_third_party", "ext:third_party_log": F.log1p("n_third_party"), "ext:well_known_max": "max_well_known", "ext:well_known_log": F.log1p("n_well_known")})
+    """``ext:`` third-party and well-known findings, and whether a rule file matched."""
+    return long(B.report_summary(findings), {"ext:third_party_max_crit": "max_third_party", "ext:third_party_count": F.log1p("n_third_party"), "ext:well_known_max_crit": "max_well_known", "ext:well_known_hostile_count": "well_known_hostile", "ext:well_known_suspicious_count": "well_known_suspicious", "ext:has_yara_match": "has_yara"})
+
 
+def _starts(path: Column, prefixes: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for p in prefixes:
+        out = out | path.startswith(p)
+    return out
 
-def gaps(paths: DataFrame, expected: DataFrame) -> DataFrame:
-    """``gap:a>b`` where path ``a`` is there and no path below ``b`` reaches criticality 3."""
-    have = paths.join(F.broadcast(expected), F.col("path") == F.col("a")).select("report_id", "a", "b").distinct()
-    grave = paths.where("max_crit >= 3").select("report_id", F.col("path").alias("b")).distinct()
-    return have.join(grave, ["report_id", "b"], "left_anti").select("report_id", F.concat(F.lit("gap:"), "a", F.lit(">"), "b").alias("name"), F.lit(1.0).alias("value"))
+
+def logic_gaps(imports: DataFrame, paths: DataFrame, gaps: dict = LOGIC_GAPS) -> DataFrame:
+    """``gap:`` of each category of which a report imports something and shows no behaviour at criticality 3 or more.
+
+    ``imports``: report_id, token (names and ``lib!name``, :func:`import_tokens`).
+    """
+    have = imports.groupBy("report_id").agg(*[F.bool_or(F.col("token").isin(*names)).alias(g) for g, (names, _) in gaps.items()])
+    show = paths.where("max_crit >= 3").groupBy("report_id").agg(*[F.bool_or(_starts(F.col("path"), prefixes)).alias(f"{g}_shown") for g, (_, prefixes) in gaps.items()])
+    rows = have.join(show, "report_id", "left")
+    return long(rows, {f"gap:{g}": F.col(g) & ~F.coalesce(f"{g}_shown", F.lit(False)) for g in gaps}).where("value > 0")
+
+
+def intent_gaps(paths: DataFrame, gaps: dict = INTENT_GAPS) -> DataFrame:
+    """``intent_gap:`` of each category with a risky path at criticality 4 or more in a report that declares no intent."""
+    said = F.bool_or(F.col("path").isin(*INTENT_PATHS)).alias("said")
+    rows = paths.groupBy("report_id").agg(said, *[F.bool_or((F.col("max_crit") >= 4) & _starts(F.col("path"), prefixes)).alias(g) for g, prefixes in gaps.items()])
+    return long(rows, {f"intent_gap:{g}": F.col(g) & ~F.col("said") for g in gaps}).where("value > 0")
+
+
+def string_entries(items: DataFrame) -> DataFrame:
+    """``(report_id, item array<string>)`` -> ``(report_id, s, wide)``: the last element is the string, one between the first and it may say that it is wide."""
+    value = F.element_at("item", -1)
+    mark = F.exists(F.slice("item", F.lit(2), F.greatest(F.lit(0), F.size("item") - 2)), lambda m: F.coalesce(F.lower(m).isin("wide", "u16", "utf16le", "utf-16le"), F.lit(False)))
+    return items.where((F.size("item") >= 2) & (F.length(value) > 0)).select("report_id", value.alias("s"), mark.alias("wide"))
+
+
+def entropy_of(s: Column) -> Column:
+    """Shannon entropy of a short string's characters, in bits, as one expression; for whole tables see :func:`char_entropy`."""
+    chars = F.filter(F.split(s, ""), lambda c: c != "")
+    n = F.size(chars)
+    share = lambda c: F.size(F.filter(chars, lambda d: d == c)) / n
+    return -F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + share(c) * F.log2(share(c)))
 
 
 def text_encoding(strings: DataFrame) -> DataFrame:
-    """``textenc:`` shares over the string entries ``(report_id, s)``: base64-like, hex-like, url, path, long, short; mean length."""
+    """``textenc:`` logarithms and shares over the string entries ``(report_id, s, wide)``.
+
+    Entropies are those of distinct strings of 4 to 8, or of 24 and more, characters, joined back.
+    """
     n = F.length("s")
     alnum = n - F.length(F.regexp_replace("s", r"[\p{L}\p{N}+/=_-]", ""))
     b64 = (n >= 16) & (alnum > 0.92 * n) & F.col("s").rlike("[+/=]")
     bare = F.regexp_replace("s", r"\s", "")
-    hexa = (n >= 16) & (F.length(bare) - F.length(F.regexp_replace(bare, "[0-9A-Fa-f]", "")) > 0.95 * F.length(bare))
-    share = lambda c: F.avg(c.cast("double"))
-    rows = strings.groupBy("report_id").agg(share(b64).alias("b64"), share(hexa).alias("hex"), share(F.col("s").rlike("(?i)https?://")).alias("url"), share(F.col("s").rlike(r"[/\\]")).alias("path"), share(n >= 80).alias("long"), share(n.between(4, 8)).alias("short"), F.count(F.lit(1)).alias("n"), F.sum(n).alias("chars"))
-    return long(rows, {**{f"textenc:{k}_fraction": k for k in ("b64", "hex", "url", "path", "long", "short")}, "textenc:count_log": F.log1p("n"), "textenc:chars_log": F.log1p("chars")})
+    hexa = (F.length(bare) >= 16) & (F.length(bare) - F.length(F.regexp_replace(bare, "[0-9A-Fa-f]", "")) > 0.95 * F.length(bare))
+    low = F.lower("s")
+    asked = strings.where(n.between(4, 8) | (n >= 24)).select("s")
+    rows = strings.join(char_entropy(asked), "s", "left")
+    tests = {
+        "base64ish": b64, "hexish": hexa, "urlish": F.contains(low, F.lit("://")) | F.contains(low, F.lit("%2f")), "pathish": F.col("s").rlike(r"[/\\]") | low.startswith("c:"),
+        "unicode_escape": F.contains("s", F.lit("\\x")) | F.contains("s", F.lit("\\u")) | F.contains(low, F.lit("%u")), "wide": F.col("wide"), "high_entropy": (n >= 24) & (F.col("entropy") >= 4.0 - 1e-9),
+        "long_token": n >= 80, "short_junk": n.between(4, 8) & (F.col("entropy") >= 2.4 - 1e-9),
+    }
+    rows = rows.groupBy("report_id").agg(*[F.avg(F.coalesce(t, F.lit(False)).cast("double")).alias(k) for k, t in tests.items()], F.count(F.lit(1)).alias("n"), F.avg(n).alias("mean"), F.max(n).alias("most"))
+    return long(rows, {"textenc:string_count_log": F.log1p("n"), "textenc:avg_len_log": F.log1p("mean"), "textenc:max_len_log": F.log1p("most"), **{f"textenc:{k}_ratio": k for k in tests}})
 
 
 def char_entropy(strings: DataFrame) -> DataFrame:
@@ -161,17 +354,17 @@ def char_entropy(strings: DataFrame) -> DataFrame:
     return counts.withColumn("p", F.col("n") / total).groupBy("s").agg((-F.sum(F.col("p") * F.log2("p"))).alias("entropy"))
 
 
-def assemble(features: DataFrame, spec: DataFrame) -> DataFrame:
-    """Sparse rows -> one dense vector for each report in the order of ``spec (pos, name, mean, std)``; unknown names drop, missing ones are 0.
+def assemble(features: DataFrame, spec: DataFrame, reports: DataFrame) -> DataFrame:
+    """Sparse rows -> one dense vector for each of ``reports`` in the order of ``spec (pos, name, mean, std)``; unknown names drop, missing ones are 0.
 
     Standardized unless the spread is 0 or the spec says (0, 1).
     """
     flat = (F.abs("std") < 1e-12) | ((F.abs("mean") < 1e-12) & (F.abs(F.col("std") - 1) < 1e-12))
     size = spec.count()
-    known = features.join(F.broadcast(spec), "name").withColumn("z", F.when(flat, 0.0).otherwise((F.col("value") - F.col("mean")) / F.col("std")))
+    known = features.join(spec, "name").withColumn("z", F.when(flat, 0.0).otherwise((F.col("value") - F.col("mean")) / F.col("std")))
     cells = known.groupBy("report_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "z"))).alias("m"))
     zero = spec.agg(F.map_from_entries(F.collect_list(F.struct("pos", F.when(flat, 0.0).otherwise(-F.col("mean") / F.col("std"))))).alias("z")).scalar()
-    cells = cells.withColumn("zero", zero)
+    cells = reports.select("report_id").distinct().join(cells, "report_id", "left").withColumn("zero", zero)
     return cells.select("report_id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda p: F.coalesce(F.element_at("m", p), F.element_at("zero", p))).alias("vector"))
 
 
@@ -180,29 +373,23 @@ def drift(spec: DataFrame, features: DataFrame) -> DataFrame:
     return spec.join(features.select("name").distinct(), "name", "left_anti").select("name")
 
 
-def capped_triples(n: Column, reach: int = 20) -> Column:
+def capped_triples(n: Column, reach: int = 19) -> Column:
     """Number of index triples i < j < k < n with k at most j + ``reach``."""
     return F.when(n < 3, F.lit(0).cast("long")).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(n.cast("int") - 2, F.lit(1))), F.lit(0).cast("long"), lambda a, j: a + j * F.least(F.lit(reach), n.cast("int") - 1 - j)))
 
 
 def path_cooccurrence(paths: DataFrame) -> DataFrame:
-    """Logs of the numbers of pairs and capped triples of a report's suspicious paths and of its objectives."""
-    rows = paths.groupBy("report_id").agg(F.count_if(F.col("max_crit") >= 4).alias("s"), F.count_if((F.col("max_crit") >= 2) & F.col("path").startswith("objectives/")).alias("o"))
+    """Logs of the numbers of pairs and capped triples of a report's suspicious paths, and of its objectives and well-known paths."""
+    objective = F.col("path").startswith("objectives/") | F.col("path").startswith("well-known/")
+    rows = paths.groupBy("report_id").agg(F.count_if(F.col("max_crit") >= 4).alias("s"), F.count_if(objective).alias("o"))
     pairs = lambda c: F.log1p(F.col(c) * (F.col(c) - 1) / 2)
-    return long(rows, {"agg:suspicious_pairs": pairs("s"), "agg:suspicious_triples": F.log1p(capped_triples(F.col("s"))), "agg:objective_pairs": pairs("o"), "agg:objective_triples": F.log1p(capped_triples(F.col("o")))})
-
-
-def code_pairs(findings: DataFrame, code: str, cap: int = 512) -> DataFrame:
-    """``atkbi:`` or ``mbcbi:`` pairs of a report's distinct codes."""
-    w = Window.partitionBy("report_id")
-    rows = findings.where(F.col(code).isNotNull()).select("report_id", F.col(code).alias("token")).distinct().withColumn("i", F.row_number().over(w.orderBy("token"))).withColumn("n", F.count(F.lit(1)).over(w))
-    return token_pairs(rows, cap).withColumn("name", F.regexp_replace("name", "^critbi:", f"{code}bi:"))
+    return long(rows, {"agg:suspicious_bigram_count": pairs("s"), "agg:suspicious_trigram_count": F.log1p(capped_triples(F.col("s"))), "agg:objective_bigram_count": pairs("o"), "agg:objective_trigram_count": F.log1p(capped_triples(F.col("o")))})
 
 
 def path_trigrams(file_paths: DataFrame, vocab: DataFrame, cap: int = 256) -> DataFrame:
     """``trigram:`` of the vocabulary ``(a, b, c)``, joined from the vocabulary."""
     rows = file_paths.where(F.size("paths") <= cap).select("report_id", "file_id", "paths")
-    first = rows.select("report_id", "file_id", "paths", F.explode("paths").alias("a")).join(F.broadcast(vocab), "a")
+    first = rows.select("report_id", "file_id", "paths", F.explode("paths").alias("a")).join(vocab, "a")
     hit = first.where(F.array_contains("paths", F.col("b")) & F.array_contains("paths", F.col("c")))
     return hit.select("report_id", F.concat(F.lit("trigram:"), "a", F.lit("+"), "b", F.lit("+"), "c").alias("name"), F.lit(1.0).alias("value")).distinct()
 
@@ -218,37 +405,61 @@ def normalize_token(c: Column, n: int) -> Column:
     return F.substring(F.trim(F.regexp_replace(c, r"\s+", " ")), 1, n)
 
 
-def symbols(imports: DataFrame) -> DataFrame:
-    """Distinct ``(report_id, file_id, symbol)`` of imports, normalized to 96 characters."""
+def unsigned_bigrams(bigrams: DataFrame, paths: DataFrame) -> DataFrame:
+    """``unsigned_bigram:`` of reports with the path ``metadata/unsigned``."""
+    bare = paths.where("path = 'metadata/unsigned'").select("report_id").distinct()
+    return bigrams.join(bare, "report_id", "left_semi").withColumn("name", F.regexp_replace("name", "^bigrams:", "unsigned_bigram:"))
+
+
+def symbols(imports: DataFrame, named: DataFrame | None = None) -> DataFrame:
+    """Distinct ``(report_id, file_id, symbol)`` of imports and of ``named (report_id, file_id, name)``: exports, functions, targets and members; normalized to 96 characters."""
     rows = imports.select("report_id", "file_id", F.explode(import_tokens(F.col("lib"), F.col("name"))).alias("s"))
+    if named is not None:
+        rows = rows.unionByName(named.select("report_id", "file_id", F.col("name").alias("s")))
     return rows.select("report_id", "file_id", normalize_token(F.col("s"), 96).alias("symbol")).where(F.length("symbol") >= 2).distinct()
 
 
-def symbol_pairs(symbols: DataFrame, vocab: DataFrame, first: int = 64) -> DataFrame:
-    """``symbol_bi:`` of the vocabulary ``(a, b)`` among a file's first sorted symbols."""
-    per_file = symbols.groupBy("report_id", "file_id").agg(F.slice(F.array_sort(F.collect_set("symbol")), 1, first).alias("paths"))
-    return path_bigrams(per_file, vocab, first).withColumn("name", F.regexp_replace("name", "^bigrams:", "symbol_bi:"))
+def symbol_presence(symbols: DataFrame) -> DataFrame:
+    return symbols.select("report_id", F.concat(F.lit("symbol:"), "symbol").alias("name"), F.lit(1.0).alias("value")).distinct()
+
+
+def symbol_ngrams(symbols: DataFrame, vocab: DataFrame, prefix: str = "symbol_bi:", first: int = 64) -> DataFrame:
+    """``symbol_bi:`` (of a file's first 64 symbols in order) or ``symbol_tri:`` (first 24) of the vocabulary ``(a, b)`` or ``(a, b, c)``."""
+    per_file = symbols.groupBy("report_id", "file_id").agg(F.slice(F.array_sort(F.collect_set("symbol")), 1, first).alias("s"))
+    hit = per_file.select("report_id", "s", F.explode("s").alias("a")).join(vocab, "a")
+    for part in vocab.columns[1:]:
+        hit = hit.where(F.array_contains("s", F.col(part)))
+    return hit.select("report_id", F.concat(F.lit(prefix), F.concat_ws("||", *vocab.columns)).alias("name"), F.lit(1.0).alias("value")).distinct()
 
 
-def formula(formulas: DataFrame) -> DataFrame:
-    """``elements:`` of a comma-separated formula without its subscripts, and the numbers of its letters and distinct characters."""
+def formula(formulas: DataFrame, findings: DataFrame) -> DataFrame:
+    """``elements:``, ``rare:``, ``skeleton:`` and ``formula:`` of each report's ``formula``, a comma-separated list with subscripts.
+
+    ``rare:`` weighs an element by the mean confidence of the report's active findings, 1 without any.
+    """
+    sums = B.active(findings).groupBy("report_id").agg(F.count(F.lit(1)).alias("f"), F.avg("conf").alias("mean"))
+    rows = formulas.join(sums, "report_id", "left").na.fill(0, ["f"])
     bare = F.translate("formula", "₀₁₂₃₄₅₆₇₈₉", "")
     parts = F.array_distinct(F.filter(F.transform(F.split(bare, ","), lambda e: F.trim(e)), lambda e: e != ""))
-    each = formulas.select("report_id", F.explode(parts).alias("e")).select("report_id", F.concat(F.lit("elements:"), "e").alias("name"), F.lit(1.0).alias("value")).distinct()
-    letters = F.length(F.regexp_replace("formula", r"[^\p{L}]", ""))
-    kinds = F.size(F.array_distinct(F.filter(F.split("formula", ""), lambda c: c != "")))
-    return each.unionByName(long(formulas, {"formula:letters": letters, "formula:characters": kinds}))
+    each = rows.select("report_id", F.coalesce("mean", F.lit(1.0)).alias("mean"), F.explode(parts).alias("e"))
+    each = each.select("report_id", F.inline(F.array(F.struct(F.concat(F.lit("elements:"), "e").alias("name"), F.lit(1.0).alias("value")), F.struct(F.concat(F.lit("rare:"), "e").alias("name"), F.col("mean").alias("value")))))
+    skeleton = F.regexp_replace("formula", r"[^\p{L}]", "")
+    kinds = F.size(F.array_distinct(F.filter(F.split(skeleton, ""), lambda c: c != "")))
+    wide = long(rows, {"formula:skeleton_len": F.length(skeleton), "formula:unique_elements": kinds, "formula:complexity_ratio": F.when(F.col("f") > 0, F.length("formula") / F.col("f"))}).where("value is not null")
+    whole = rows.where(skeleton != "").select("report_id", F.concat(F.lit("skeleton:"), skeleton).alias("name"), F.lit(1.0).alias("value"))
+    return each.unionByName(wide).unionByName(whole)
 
 
 def type_scores(files: DataFrame) -> DataFrame:
-    """``score:`` risk, risk over the logarithm of size, and ``inter:type*score``."""
-    rows = files.groupBy("report_id").agg(F.max("risk").alias("risk"), F.sum("size_bytes").alias("bytes"))
-    wide = long(rows, {"score:risk": "risk", "score:risk_per_log_size": F.col("risk") / F.greatest(F.log1p("bytes"), F.lit(1e-9))})
-    each = files.groupBy("report_id", "file_type").agg(F.max("risk").cast("double").alias("value"))
-    return wide.unionByName(each.select("report_id", F.concat(F.lit("inter:"), "file_type", F.lit("*score")).alias("name"), "value"))
+    """``score:`` the report's risk (its root's, or its files' greatest) and risk over the logarithm of size; ``inter:type*score`` the same risk by file type."""
+    rows = files.groupBy("report_id").agg(F.max("risk").alias("risk"), F.sum("size_bytes").alias("bytes"), F.collect_set("file_type").alias("types"))
+    wide = long(rows, {"score:hopper_score": "risk", "score:density": F.when(F.col("bytes") > 0, F.col("risk") / F.log1p("bytes")).otherwise(0.0)})
+    each = rows.select("report_id", F.explode("types").alias("t"), F.col("risk").cast("double").alias("value"))
+    return wide.unionByName(each.select("report_id", F.concat(F.lit("inter:"), "t", F.lit("*score")).alias("name"), "value"))
 
 
-def missing_paths(files: DataFrame, paths: DataFrame, expected: DataFrame) -> DataFrame:
+def missing_paths(files: DataFrame, paths: DataFrame, expected: dict[str, tuple[str, ...]] = EXPECTED_PATHS) -> DataFrame:
     """``missing:type*path`` where the type is there and the expected path is not."""
-    want = files.select("report_id", "file_type").distinct().join(F.broadcast(expected), "file_type")
+    expected = files.sparkSession.createDataFrame([(t, p) for t, each in expected.items() for p in each], "file_type string, path string")
+    want = files.select("report_id", "file_type").distinct().join(expected, "file_type")
     return want.join(paths.select("report_id", "path").distinct(), ["report_id", "path"], "left_anti").select("report_id", F.concat(F.lit("missing:"), "file_type", F.lit("*"), "path").alias("name"), F.lit(1.0).alias("value"))

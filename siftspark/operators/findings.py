@@ -31,35 +31,51 @@ def path_stats(findings: DataFrame) -> DataFrame:
     return paths.groupBy("report_id", "file_id", "path").agg(F.max("crit").alias("max_crit"), F.max("conf").alias("max_conf"))
 
 
+def by_id(findings: DataFrame) -> DataFrame:
+    """Active findings of a file summed up by id: the one grain from which files and reports are rolled up."""
+    count = lambda c: F.count_if(F.col("crit") >= c)
+    return active(findings).groupBy("report_id", "file_id", "id").agg(
+        F.count(F.lit(1)).alias("n_active"), count(3).alias("notable"), count(4).alias("suspicious"), count(5).alias("hostile"),
+        F.max("crit").alias("max_crit"), F.sum("conf").alias("conf"),
+    )
+
+
 def _tier_counts() -> list[Column]:
-    out = [F.count(F.lit(1)).alias("n_active")]
-    for name, crit in (("notable", 3), ("suspicious", 4), ("hostile", 5)):
-        out += [F.count_if(F.col("crit") >= crit).alias(name), F.count_distinct(F.when(F.col("crit") >= crit, F.col("id"))).alias(f"unique_{name}")]
+    """Of rows with one id each, so that distinct ids are rows."""
+    out = [F.sum("n_active").alias("n_active"), F.max("max_crit").alias("max_crit")]
+    for name in ("notable", "suspicious", "hostile"):
+        out += [F.sum(name).alias(name), F.count_if(F.col(name) > 0).alias(f"unique_{name}")]
     for name, prefix in (("third_party", "third_party/"), ("well_known", "well-known/")):
         mine = F.col("id").startswith(prefix)
-        out += [F.count_if(mine).alias(f"n_{name}"), F.coalesce(F.max(F.when(mine, F.col("crit"))), F.lit(0)).alias(f"max_{name}")]
-    return out
+        out += [F.sum(F.when(mine, F.col("n_active")).otherwise(0)).alias(f"n_{name}"), F.coalesce(F.max(F.when(mine, F.col("max_crit"))), F.lit(0)).alias(f"max_{name}")]
+    known = F.col("id").startswith("well-known/")
+    out += [F.sum(F.when(known, F.col("hostile")).otherwise(0)).alias("well_known_hostile"), F.sum(F.when(known, F.col("suspicious") - F.col("hostile")).otherwise(0)).alias("well_known_suspicious")]
+    return [*out, F.bool_or(F.col("id").startswith("third_party/yara")).alias("has_yara")]
 
 
 def file_summary(findings: DataFrame) -> DataFrame:
-    """Counts by tier, distinct ids by tier, and third-party and well-known findings of each file."""
-    return active(findings).groupBy("report_id", "file_id").agg(*_tier_counts(), F.max("crit").alias("max_crit"))
+    """Counts by tier, distinct ids by tier, third-party and well-known findings, and whether a rule file matched, of each file."""
+    return by_id(findings).groupBy("report_id", "file_id").agg(*_tier_counts())
 
 
 def report_summary(findings: DataFrame) -> DataFrame:
-    """As :func:`file_summary` for whole reports; distinct ids are counted anew over all files."""
-    return active(findings).groupBy("report_id").agg(*_tier_counts(), F.max("crit").alias("max_crit"), F.count_distinct("file_id").alias("n_files"))
+    """As :func:`file_summary` for whole reports; an id in several files is one id."""
+    rows = by_id(findings)
+    ids = rows.groupBy("report_id", "id").agg(*[F.sum(c).alias(c) for c in ("n_active", "notable", "suspicious", "hostile")], F.max("max_crit").alias("max_crit"))
+    files = rows.groupBy("report_id", "file_id").agg(F.lit(1)).groupBy("report_id").agg(F.count(F.lit(1)).alias("n_files"))
+    return ids.groupBy("report_id").agg(*_tier_counts()).join(files, "report_id")
 
 
 def report_paths(findings: DataFrame) -> DataFrame:
     """Greatest criticality and confidence of each path of a report."""
-    return path_stats(findings).groupBy("report_id", "path").agg(F.max("max_crit").alias("max_crit"), F.max("max_conf").alias("max_conf"))
+    paths = active(findings).select("report_id", F.explode(finding_paths(F.col("id"))).alias("path"), "crit", "conf")
+    return paths.groupBy("report_id", "path").agg(F.max("crit").alias("max_crit"), F.max("conf").alias("max_conf"))
 
 
 def category_breadth(paths: DataFrame, keys: tuple[str, ...] = ("report_id",)) -> DataFrame:
-    """Distinct top-level categories that reach criticality 2, 4 and 5."""
-    top = F.split_part("path", F.lit("/"), F.lit(1))
-    return paths.groupBy(*keys).agg(*[F.count_distinct(F.when(F.col("max_crit") >= c, top)).alias(n) for n, c in (("categories", 2), ("suspicious_categories", 4), ("hostile_categories", 5))])
+    """Top-level categories that reach criticality 2, 4 and 5: a path of one level has the greatest of all below it."""
+    top = ~F.contains("path", F.lit("/"))
+    return paths.groupBy(*keys).agg(*[F.count_if(top & (F.col("max_crit") >= c)).alias(n) for n, c in (("categories", 2), ("suspicious_categories", 4), ("hostile_categories", 5))])
 
 
 def file_risk(files: DataFrame, findings: DataFrame) -> DataFrame:
@@ -78,7 +94,7 @@ def top_risk(risk: DataFrame) -> DataFrame:
     weighted = F.col("hostile_density") + 0.25 * F.col("suspicious_density")
     pick = lambda *key: F.max_by("file_id", F.struct(*[F.round(k, 9) for k in key], first))
     return risk.groupBy("report_id").agg(
-        pick("suspicious_ratio", "suspicious", "suspicious_density").alias("suspicious_file"), pick("hostile_ratio", "hostile", "hostile_density").alias("hostile_file"),
+        pick("suspicious_ratio", "suspicious", "hostile_ratio", "hostile").alias("suspicious_file"), pick("hostile_ratio", "hostile", "suspicious_ratio", "suspicious").alias("hostile_file"),
         pick(weighted, "hostile_density", "suspicious_density").alias("weighted_file"), F.max(weighted).alias("weighted_density"),
     )
 
@@ -158,3 +174,14 @@ def graft(parents: DataFrame, subs: DataFrame) -> DataFrame:
         F.coalesce(F.col("parent_id") + F.col("last") + 1, F.col("under")).alias("parent_id"), "sha256",
     )
     return parents.select("report_id", "file_id", "depth", "parent_id", "sha256").unionByName(moved)
+
+
+def top_offenders(members: DataFrame, n: int) -> DataFrame:
+    """A report's ``n`` members of highest probability; ties go to the smallest file id."""
+    k = F.row_number().over(Window.partitionBy("report_id").orderBy(F.desc("prob"), "file_id"))
+    return members.withColumn("rank", k).where(F.col("rank") <= n).select("report_id", "rank", "file_id", "prob")
+
+
+def sub_findings(findings: DataFrame, subs: DataFrame) -> DataFrame:
+    """All findings of the files of each sub-report ``(report_id, file_id, sub)``, whichever file has them."""
+    return findings.join(subs, ["report_id", "file_id"]).select("sub", "id", "crit", "conf")

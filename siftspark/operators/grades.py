@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftspark.operators.verdicts import level_conf
+
 #: Gate, steer shares and reason length.
 GATE_P, UP, DOWN, REASON = 0.01, 0.33, 0.67, 120
 
@@ -64,22 +66,31 @@ def steer(p: Column, up: Column) -> Column:
     return F.when(up, p + (1 - p) * UP).otherwise(p * DOWN)
 
 
+def near_boundary(fired: Column, active: Column) -> Column:
+    """Whether the confidences of two levels are within one steer of each other; without levels (manual mode) they are."""
+    a, b = (F.coalesce(level_conf(x), F.lit(0)) / 100 for x in (fired, active))
+    return F.when(fired.isNull() | active.isNull(), True).otherwise(steer(F.least(a, b), F.lit(True)) >= F.greatest(a, b) - 1e-9)
+
+
 def blend(rows: DataFrame) -> DataFrame:
-    """One step of class toward the grade and a steered score.
+    """One step of class toward the grade, and a steered score.
 
-    Softening needs a readable text that does not address its analyzer. A step
-    into hostile needs a hostile finding or a verdict near the boundary; a step
-    out of hostile needs the latter. ``rows``: class, prob, grade, readable,
+    The score steers whether or not the class may move. A step into hostile
+    needs a hostile finding or a verdict near the boundary, a step out of it the
+    latter. A grade that agrees firms the score up, or down if it is benign.
+    Whatever softens needs a readable text that does not address its analyzer.
+    ``rows``: class, prob, grade (null: nothing changes), readable,
     addresses_analyzer, hostile_finding, near.
     """
+    cls, p = F.col("class"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("prob")))
     want = F.when(F.col("grade") == "hostile", 2).when(F.col("grade") == "suspicious", 1).when(F.col("grade") == "benign", 0)
-    up, down = want > F.col("class"), want < F.col("class")
     trusted = F.col("readable") & ~F.col("addresses_analyzer")
-    to = F.when(up, F.col("class") + 1).when(down & trusted, F.col("class") - 1).otherwise(F.col("class"))
-    crosses = (to == 2) != (F.col("class") == 2)
-    allowed = ~crosses | F.col("near") | ((to == 2) & F.col("hostile_finding"))
-    moved = F.coalesce((to != F.col("class")) & allowed, F.lit(False))
-    return rows.withColumn("new_class", F.when(moved, to).otherwise(F.col("class"))).withColumn("new_prob", F.when(moved, steer(F.col("prob"), up)).otherwise(F.col("prob")))
+    up, down = (want > cls) | ((want == cls) & (cls > 0)), ((want < cls) | ((want == cls) & (cls == 0))) & trusted
+    to = F.when(want > cls, cls + 1).when((want < cls) & trusted, cls - 1).otherwise(cls)
+    allowed = ((to == 2) == (cls == 2)) | F.col("near") | ((to == 2) & F.col("hostile_finding"))
+    graded = want.isNotNull()
+    prob = F.when(~graded, F.col("prob")).when(up, steer(p, F.lit(True))).when(down, steer(p, F.lit(False))).otherwise(p)
+    return rows.withColumn("new_class", F.when(graded & allowed, to).otherwise(cls)).withColumn("new_prob", prob)
 
 
 def grade_eval(grades: DataFrame) -> DataFrame:

@@ -50,12 +50,12 @@ def bit_indices(key: Column, hashes: int, bits: int, seed: int = 0) -> Column:
     digest = F.sha2(key, 256)
 
     def lane(at: int) -> Column:
-        # only the low bits count: the first four bytes, reversed
-        hexed = F.concat(*[F.substring(digest, at * 16 + 1 + 2 * b, 2) for b in (3, 2, 1, 0)])
+        # only the low bits count: the first bytes, reversed
+        hexed = F.concat(*[F.substring(digest, at * 16 + 1 + 2 * b, 2) for b in reversed(range(-(-bits.bit_length() // 8)))])
         return F.conv(hexed, 16, 10).cast("long").bitwiseAND(F.lit(bits - 1).cast("long"))
 
-    if bits > 1 << 32:
-        raise ValueError("a filter has at most 2**32 bits")
+    if bits > 1 << 54:
+        raise ValueError("a filter has at most 2**54 bits")
     h1, h2 = lane(0).bitwiseXOR(F.lit(seed & (bits - 1)).cast("long")), lane(1).bitwiseOR(F.lit(1).cast("long"))
     return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: (h1 + i * h2).bitwiseAND(F.lit(bits - 1).cast("long")))
 
@@ -105,3 +105,22 @@ def verify_build(now: DataFrame, previous: DataFrame, least: int = 1000) -> Data
     rows = previous.withColumnRenamed("n", "was").join(now, ["kind", "label"], "left").na.fill(0, ["n"])
     why = F.when(F.col("n") == 0, "empty").when(F.col("n") < 0.5 * F.col("was"), "shrunk").when(F.col("n") > 3 * F.col("was"), "grown")
     return rows.where(F.col("was") >= least).withColumn("why", why).where("why is not null").select("kind", "label", "was", "n", "why")
+
+
+def edge_known(edges: DataFrame, keys: DataFrame) -> DataFrame:
+    """Verdict of each edge ``(sha256, purl)`` by either key: conflicted > known_bad > skip > unknown."""
+    by_sha = decide(edges, keys.where("kind = 'sha256'").select(F.col("key"), "label"), "sha256").withColumnRenamed("decision", "__s")
+    both = decide(by_sha, keys.where("kind = 'purl'").select(F.col("key"), "label"), "purl").withColumnRenamed("decision", "__p")
+    has = lambda d: (F.col("__s") == d) | (F.col("__p") == d)
+    return both.withColumn("known", F.when(has("conflicted"), "conflicted").when(has("known_bad"), "known_bad").when(has("skip"), "skip").otherwise("unknown")).drop("__s", "__p")
+
+
+def rule_count(filters: DataFrame) -> DataFrame:
+    """Keys in all loaded filters ``(kind, label, n)``."""
+    return filters.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rules"))
+
+
+def unsafe_keys(keys: DataFrame, canaries: DataFrame, vouched: DataFrame) -> DataFrame:
+    """Keys that must not be where they are: canaries ``(key, label)`` in a tier that is forbidden to them, vouched digests ``(key)`` among the bad."""
+    caught = keys.join(canaries, ["key", "label"], "left_semi").withColumn("why", F.lit("canary"))
+    return caught.unionByName(keys.where("label = 'bad'").join(vouched, "key", "left_semi").withColumn("why", F.lit("vouched"))).select("kind", "key", "label", "why")

@@ -67,12 +67,27 @@ def version_key(version: Column) -> Column:
     return F.transform(parts, part)
 
 
-def newest_only(refs: DataFrame) -> DataFrame:
-    """References to the newest version of their package, and those without a version."""
+def newest_flag(refs: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Add ``newest``: no newer version of its package is asked for; those without a version always are.
+
+    ``seen (package, version)`` has the newest versions of earlier hops, below which nothing is new.
+    Keys are made for distinct versions only.
+    """
     package, version = split_purl(F.col("locator"))
-    rows = refs.withColumn("__p", package).withColumn("__k", version_key(version))
-    best = rows.groupBy("__p").agg(F.max("__k").alias("__best"))
-    return rows.join(best, "__p").where(F.col("__k").isNull() | (F.col("__k") == F.col("__best"))).drop("__p", "__k", "__best")
+    rows = refs.withColumn("__p", package).withColumn("__v", version)
+    every = rows.select("__p", "__v").where("__v is not null")
+    if seen is not None:
+        every = every.unionByName(seen.select(F.col("package").alias("__p"), F.col("version").alias("__v")))
+    keyed = every.distinct().withColumn("__k", version_key(F.col("__v")))
+    best = keyed.groupBy("__p").agg(F.max("__k").alias("__best"))
+    # versions that are spelt apart and order alike are both newest
+    top = keyed.join(best, "__p").where("__k = __best").select("__p", "__v", F.lit(True).alias("newest"))
+    return rows.join(top, ["__p", "__v"], "left").withColumn("newest", F.coalesce("newest", F.col("__v").isNull())).drop("__p", "__v")
+
+
+def newest_only(refs: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """References to the newest version of their package, and those without a version."""
+    return newest_flag(refs, seen).where("newest").select(*refs.columns)
 
 
 def first_seen(refs: DataFrame, order: list[str]) -> DataFrame:
@@ -86,16 +101,22 @@ def go_published(purl: Column) -> Column:
     return F.try_to_timestamp(F.nullif(F.regexp_extract(purl, r"[.-](\d{14})-[0-9a-f]{12}", 1), F.lit("")), F.lit("yyyyMMddHHmmss"))
 
 
-def age_gate(refs: DataFrame, registry: DataFrame, now: Column, max_age_days: int = 7, rescan_hours: int = 48) -> DataFrame:
-    """Add ``reason``: removed > aged_out > known_good, else keep; what was pulled or is new is always kept.
+def age_gate(refs: DataFrame, registry: DataFrame, now: Column, max_age_days: int = 7, rescan_hours: int = 48, good: DataFrame | None = None) -> DataFrame:
+    """Add ``reason``, the first that holds: known_good by its own locator, before any record is asked; aged_out by its own date;
+    by the record removed, or aged_out, or known_good; else keep. What was pulled or is new is always kept by its record.
 
-    ``registry``: locator, published, removed, security_hold, deprecated, known_good. Unknown age keeps.
+    ``registry``: locator, published, removed, security_hold, deprecated, known_good. ``good (locator)`` has the
+    known-good locators. Unknown age keeps.
     """
     rows = refs.join(registry, "locator", "left")
+    listed = F.lit(False)
+    if good is not None:
+        rows, listed = rows.join(good.select("locator").distinct().withColumn("__good", F.lit(True)), "locator", "left"), F.coalesce("__good", F.lit(False))
+    limit = now - F.make_interval(days=F.lit(max_age_days))
     pulled = F.coalesce(F.col("security_hold"), F.lit(False)) | F.coalesce(F.col("deprecated").rlike(_PULLED), F.lit(False))
     rescan = pulled | F.coalesce(F.col("published") >= now - F.make_interval(hours=F.lit(rescan_hours)), F.lit(False))
-    old = F.coalesce(F.col("published") < now - F.make_interval(days=F.lit(max_age_days)), F.lit(False))
-    reason = F.when(F.coalesce("removed", F.lit(False)), "removed").when(rescan, "keep").when(old, "aged_out").when(F.coalesce("known_good", F.lit(False)), "known_good").otherwise("keep")
+    old, own_old = (F.coalesce(at < limit, F.lit(False)) for at in (F.col("published"), go_published(F.col("locator"))))
+    reason = F.when(listed, "known_good").when(own_old, "aged_out").when(F.coalesce("removed", F.lit(False)), "removed").when(rescan, "keep").when(old, "aged_out").when(F.coalesce("known_good", F.lit(False)), "known_good").otherwise("keep")
     return rows.withColumn("reason", reason).select(*refs.columns, "reason")
 
 
@@ -109,23 +130,35 @@ def is_vendored(path: Column) -> Column:
     return F.array_contains(F.split(path, r"[/\\]"), "node_modules")
 
 
-def apply_budget(refs: DataFrame, per_file: int = FILE_REFS, per_file_urls: int = FILE_URLS, per_file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Add ``budget``: null within the caps of a file, else which cap is over. Nothing is dropped; cached rows are free.
+def apply_budget(refs: DataFrame, per_file: int = FILE_REFS, per_file_urls: int = FILE_URLS, per_file_bytes: int = FILE_BYTES, run_refs: int | None = None, run_bytes: int | None = None) -> DataFrame:
+    """Add ``budget``: null within the caps, else which one is over. Nothing is dropped; cached rows are free.
 
-    ``refs``: report_id, file_id, pos, tie, kind, bytes, cached.
+    ``refs``: report_id, file_id, pos, tie, kind, bytes, cached. The caps of a
+    run, if given, are those of a report: they count what its files' caps let by.
     """
     live = ~F.col("cached")
     order = Window.partitionBy("report_id", "file_id").orderBy("pos", "tie").rowsBetween(Window.unboundedPreceding, 0)
     n, urls, size = (F.sum(F.when(live & c, v).otherwise(0)).over(order) for c, v in ((F.col("kind") != "url", F.lit(1)), (F.col("kind") == "url", F.lit(1)), (F.lit(True), F.col("bytes"))))
     over = F.when((F.col("kind") == "url") & (urls > per_file_urls), "urls").when((F.col("kind") != "url") & (n > per_file), "refs").when(size > per_file_bytes, "bytes")
-    return refs.withColumn("budget", F.when(live, over))
+    rows = refs.withColumn("budget", F.when(live, over))
+    if run_refs is None and run_bytes is None:
+        return rows
+    paid = live & F.col("budget").isNull()
+    run = Window.partitionBy("report_id").orderBy("file_id", "pos", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    total, weight = F.sum(paid.cast("int")).over(run), F.sum(F.when(paid, F.col("bytes")).otherwise(0)).over(run)
+    late = F.when(total > F.lit(run_refs if run_refs is not None else 1 << 62), "run_refs").when(weight > F.lit(run_bytes if run_bytes is not None else 1 << 62), "run_bytes")
+    return rows.withColumn("budget", F.coalesce("budget", F.when(paid, late)))
 
 
 def closure(roots: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
     """``roots (locator)``, ``edges (src, dst)`` -> every locator reached and its first hop, up to ``depth``.
 
-    One equi-join for each hop; what was seen is not followed again, so cycles end.
+    One equi-join for each hop; what was seen is not followed again, so cycles
+    end. If edges have an ``outcome``, only those that were fetched (``ok``) or
+    whose content differs from its pin (``pin_mismatch``) are followed.
     """
+    if "outcome" in edges.columns:
+        edges = edges.where("outcome IN ('ok', 'pin_mismatch')")
     seen = cut(roots.select("locator", F.lit(0).alias("hop")).distinct())
     front = seen
     for hop in range(1, depth + 1):
@@ -147,19 +180,22 @@ def backrefs(files: DataFrame, bad: DataFrame) -> DataFrame:
     return hit.groupBy("report_id", "file_id", "locator").agg((F.max("class") + 3).alias("crit"))
 
 
-def fetched_root(files: DataFrame, rounds: int = 32) -> DataFrame:
-    """Nearest ancestor (or self) whose ``rel`` is ``fetched``, walking ``parent_id`` up all rows at once."""
+def fetched_root(files: DataFrame) -> DataFrame:
+    """Nearest ancestor (or self) whose ``rel`` is ``fetched``, walking ``parent_id`` up all rows at once.
+
+    As many rounds as the tree is deep; a file whose ancestors form a ring is an error.
+    """
     at = cut(files.select("report_id", "file_id", F.col("file_id").alias("at")))
     known = files.select("report_id", F.col("file_id").alias("at"), "parent_id", "rel")
-    out = None
-    for _ in range(rounds):
+    most = files.groupBy("report_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    out = at.limit(0).withColumnRenamed("at", "fetched_root")
+    for _ in range(most + 1):
         rows = at.join(known, ["report_id", "at"])
-        found = rows.where("rel = 'fetched'").select("report_id", "file_id", F.col("at").alias("fetched_root"))
-        out = found if out is None else out.unionByName(found)
+        out = cut(out.unionByName(rows.where("rel = 'fetched'").select("report_id", "file_id", F.col("at").alias("fetched_root"))))
         at = cut(rows.where("coalesce(rel, '') <> 'fetched' and parent_id is not null").select("report_id", "file_id", F.col("parent_id").alias("at")))
         if not at.take(1):
-            break
-    return out
+            return out
+    raise ValueError("files whose parents form a ring")
 
 
 def fetch_summary(edges: DataFrame) -> DataFrame:
@@ -182,3 +218,69 @@ def off_platform(purl: Column, os: str, arch: str) -> Column:
         return a.isin(*_OS) & b.isin(*_ARCH) & ~(a.isin(*mine_os) & b.isin(*mine_arch))
 
     return F.exists(pairs, lambda p: F.coalesce(other(p["a"], p["b"]) | other(p["b"], p["a"]), F.lit(False)))
+
+
+#: The kinds of reference that each word of a policy selects.
+_POLICY = {"urls": ("url",), "packages": ("command",), "deps": ("dependency",), "all": ("url", "command", "dependency"), "none": ()}
+
+
+def select_kinds(kind: Column, policy: str) -> Column:
+    """Whether a policy (``all``, ``none``, or a list of ``urls``, ``packages``, ``deps``) takes a kind; an unknown or empty one is an error."""
+    words = [w for w in map(str.strip, policy.split(",")) if w]
+    if policy.strip() != "none" and (not words or any(w not in _POLICY or w == "none" for w in words)):
+        raise ValueError(f"no fetch selection: {policy!r}")
+    return kind.isin(*{k for w in words for k in _POLICY[w]}) if words != ["none"] else F.lit(False)
+
+
+def discovery_exception(rows: DataFrame, domains: DataFrame, urls: DataFrame, host: str = "host", url: str = "url", out: str = "exception") -> DataFrame:
+    """Add ``out``: the host is below one of the extra domains, or the url is one of the exact ones."""
+    rows = under(rows, domains, host, "__in").join(urls.select(F.col("url").alias(url)).distinct().withColumn("__exact", F.lit(True)), url, "left")
+    return rows.withColumn(out, F.col("__in") | F.coalesce("__exact", F.lit(False))).drop("__in", "__exact")
+
+
+def resolved_purl(locator: Column, version: Column) -> Column:
+    """The locator with the registry's version if it has none; null if it is no purl or there is no version."""
+    purl = locator.startswith("pkg:") & (F.length(version) > 0)
+    return F.when(purl, F.when(F.contains(F.substring(locator, 5, 10_000), F.lit("@")), locator).otherwise(F.concat(locator, F.lit("@"), version)))
+
+
+def local_packages(files: DataFrame) -> DataFrame:
+    """Roots ``(report_id, root)`` of packages below ``node_modules`` that have their own package.json."""
+    root = F.regexp_extract(F.translate("path", "\\", "/"), r"^(.*/node_modules/(?:@[^/]+/[^/]+|[^@/][^/]*))/package\.json$", 1)
+    return files.select("report_id", root.alias("root")).where("root <> ''").distinct()
+
+
+def resolve_local(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """Add ``local``: an npm package that a file ``(report_id, path, locator)`` imports lies in ``node_modules`` of one of its folders."""
+    name = F.regexp_replace(F.regexp_replace(F.regexp_extract("locator", r"^pkg:npm/([^?]*)", 1), r"(?<=.)@[^@]*$", ""), "%40", "@")
+    name = F.regexp_replace(name, "(?i)%2f", "/")
+    parts = F.split(F.translate("path", "\\", "/"), "/")
+    rows = imports.withColumn("__k", F.xxhash64("report_id", "path", "locator"))
+    dirs = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    asked = rows.select("report_id", "__k", "path", name.alias("name"), parts.alias("parts")).where("name <> '' and size(parts) > 1").distinct()
+    asked = asked.select("report_id", "__k", "name", F.explode(dirs).alias("dir"))
+    hit = asked.select("report_id", "__k", F.concat("dir", F.lit("/node_modules/"), "name").alias("root")).join(local_packages(files), ["report_id", "root"], "left_semi")
+    return rows.join(hit.select("__k").distinct().withColumn("local", F.lit(True)), "__k", "left").drop("__k").na.fill(False, ["local"])
+
+
+def merge_root(groups: DataFrame, hunted: DataFrame) -> DataFrame:
+    """References ``(report_id, sha, locator)`` of each group, and the hunted ones ``(report_id, locator)`` that the root's group ``(report_id, root_sha)`` in ``hunted`` lacks."""
+    new = hunted.select("report_id", F.col("root_sha").alias("sha"), "locator").distinct()
+    return groups.select("report_id", "sha", "locator").distinct().unionByName(new.join(groups, ["report_id", "sha", "locator"], "left_anti"))
+
+
+def outcome_label(outcome: Column, cached: Column, stale: Column, known: Column, status: Column, why: Column) -> tuple[Column, Column]:
+    """Label and detail of a fetch: pin!, stale, known, cache, live, budget, skip or fail, the latter with the HTTP status or the first words of the reason."""
+    label = F.when(outcome == "pin_mismatch", "pin!").when((outcome == "ok") & stale, "stale").when((outcome == "ok") & known.isin("conflicted", "known_bad", "skip"), "known").when((outcome == "ok") & cached, "cache").when(outcome == "ok", "live")
+    label = label.when(outcome == "budget", "budget").when(outcome.isin("unresolved", "skipped"), "skip").otherwise("fail")
+    first = F.trim(F.regexp_extract(why, r"^([^\n:]*)", 1))
+    detail = F.when(outcome == "pin_mismatch", "hash mismatch").when(outcome == "budget", "over fetch budget").when(outcome == "unresolved", "unresolved").when(outcome == "skipped", "not a target")
+    return label, detail.when(label == "fail", F.when(status.isNotNull(), F.concat(F.lit("HTTP "), status)).otherwise(first))
+
+
+def notable_provenance(nodes: DataFrame, findings: DataFrame, cited: DataFrame) -> DataFrame:
+    """Registry nodes ``(report_id, artifact_id, registry_id)`` with a finding of criticality 3 or more, or one on the artifact that cites them ``(report_id, file_id, id, cites)``."""
+    grave = findings.where("crit >= 3").select("report_id", "file_id", "id").distinct()
+    own = grave.select("report_id", F.col("file_id").alias("registry_id")).distinct()
+    said = grave.join(cited, ["report_id", "file_id", "id"]).select("report_id", F.col("file_id").alias("artifact_id"), F.col("cites").alias("registry_id")).distinct()
+    return nodes.join(own, ["report_id", "registry_id"], "left_semi").select("report_id", "artifact_id", "registry_id").unionByName(nodes.join(said, ["report_id", "artifact_id", "registry_id"], "left_semi").select("report_id", "artifact_id", "registry_id")).distinct()

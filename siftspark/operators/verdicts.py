@@ -49,7 +49,10 @@ def trait_floor(verdicts: DataFrame, findings: DataFrame) -> DataFrame:
 def calibrate(rows: DataFrame, breakpoints: DataFrame, raw: str = "raw", out: str = "p") -> DataFrame:
     """Isotonic calibration: clip outside the ``(x, y)`` breakpoints, interpolate inside; null and NaN pass."""
     points = breakpoints.agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("__bp"))  # a model's few hundred points
-    rows = rows.withColumn("__bp", points.scalar())
+    return _interpolated(rows.withColumn("__bp", points.scalar()), raw, out)
+
+
+def _interpolated(rows: DataFrame, raw: str, out: str) -> DataFrame:
     x = F.col(raw)
     below = F.filter("__bp", lambda p: p["x"] <= x)
     above = F.filter("__bp", lambda p: p["x"] > x)
@@ -59,6 +62,12 @@ def calibrate(rows: DataFrame, breakpoints: DataFrame, raw: str = "raw", out: st
     return rows.withColumn(out, value).drop("__bp")
 
 
+def calibrate_routes(rows: DataFrame, calibrators: DataFrame, raw: str = "raw", out: str = "p") -> DataFrame:
+    """As :func:`calibrate`, each row by its route's breakpoints ``(route, x, y)``; rows of other routes drop."""
+    points = calibrators.groupBy("route").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("__bp"))
+    return _interpolated(rows.join(points, "route"), raw, out)
+
+
 def invalid_breakpoints(breakpoints: DataFrame) -> DataFrame:
     """Breakpoints out of order, out of range or not finite, by calibrator ``name``."""
     order = Window.partitionBy("name").orderBy("pos")
@@ -74,15 +83,15 @@ def norm_type(t: Column) -> Column:
 
 def routes_for(files: DataFrame, groups: DataFrame, containers: DataFrame) -> DataFrame:
     """General route, specialist by exact or container type, and group; one row for each file and route."""
-    kind = files.withColumn("t", norm_type(F.col("file_type"))).join(F.broadcast(containers), "t", "left").withColumn("t", F.coalesce("container", "t"))
-    kind = kind.join(F.broadcast(groups), "t", "left")
+    kind = files.withColumn("t", norm_type(F.col("file_type"))).join(containers, "t", "left").withColumn("t", F.coalesce("container", "t"))
+    kind = kind.join(groups, "t", "left")
     every = F.array_compact(F.array(F.lit("general"), F.when(F.col("grp").isNotNull(), F.concat(F.lit("filegroups/"), "grp")), F.when(F.col("special"), F.concat(F.lit("filetypes/"), "t"))))
     return kind.select("report_id", "file_id", F.explode(every).alias("route"))
 
 
 def fire_or(scores: DataFrame, grid: DataFrame) -> DataFrame:
     """For each level the deciding route of an OR rule: the one with the largest margin; rows ``(id, level, p, threshold)``."""
-    hit = scores.join(F.broadcast(grid), ["file_type", "route"]).where("p >= threshold")
+    hit = scores.join(grid, ["file_type", "route"]).where("p >= threshold")
     best = hit.groupBy("id", "level").agg(F.max_by(F.struct("p", "threshold"), F.struct(F.col("p") - F.col("threshold"), "p")).alias("b"))
     return best.select("id", "level", "b.p", "b.threshold")
 
@@ -97,7 +106,7 @@ def fire_blend(scores: DataFrame, blend: DataFrame) -> DataFrame:
 
     ``blend``: file_type, level, route, weight, intercept, threshold, n_routes.
     """
-    rows = scores.join(F.broadcast(blend), ["file_type", "route"])
+    rows = scores.join(blend, ["file_type", "route"])
     total = rows.groupBy("id", "level", "intercept", "threshold", "n_routes").agg(F.sum(F.col("weight") * logit(F.col("p"))).alias("s"), F.count(F.lit(1)).alias("n"))
     p = 1 / (1 + F.exp(-(F.col("intercept") + F.col("s"))))
     return total.where("n = n_routes").withColumn("p", p).where(F.col("p") >= F.col("threshold")).select("id", "level", "p", "threshold")
@@ -112,12 +121,96 @@ def sweep(scores: DataFrame, grid: DataFrame, blend: DataFrame | None = None) ->
     return best.select("id", "b.level", "b.p", "b.threshold")
 
 
-def decide(scores: DataFrame, grid: DataFrame, n: int = DEFAULT_LEVEL, grid_max: int = GRID_MAX, ceiling: int = SUSPICIOUS_CEILING, blend: DataFrame | None = None) -> DataFrame:
-    """Verdict of each id: 2 up to level n, 1 up to the ceiling, else 0; level -1 where nothing fires."""
-    most = scores.groupBy("id").agg(F.max("p").alias("prob"))
-    rows = most.join(sweep(scores, grid, blend), "id", "left")
+def sweep_general(scores: DataFrame, general: DataFrame) -> DataFrame:
+    """Lowest level of a grid ``(level, threshold)`` for all types at which a report's greatest p reaches the threshold."""
+    most = scores.groupBy("id").agg(F.max("p").alias("p"))
+    grid = general.agg(F.array_sort(F.collect_list(F.struct("level", "threshold")))).scalar()  # a model's levels
+    rows = most.withColumn("__g", grid)
+    rows = rows.withColumn("hit", F.get(F.filter("__g", lambda g: g["threshold"] <= F.col("p")), F.lit(0))).where("hit is not null")
+    return rows.select("id", "hit.level", "p", "hit.threshold")
+
+
+def classify(p: Column, suspicious: Column | float, hostile: Column | float) -> Column:
+    """``{class, threshold}``: 2 from the hostile cutoff on, 1 from the suspicious one on, else 0; the threshold is the cutoff that decided."""
+    s, h = (x if isinstance(x, Column) else F.lit(float(x)) for x in (suspicious, hostile))
+    return F.struct(F.when(p >= h, 2).when(p >= s, 1).otherwise(0).alias("class"), F.when(p >= h, h).otherwise(s).alias("threshold"))
+
+
+def decide_scores(scores: DataFrame, suspicious: float = 0.65, hostile: float = 0.9) -> DataFrame:
+    """Without a grid: a report's strongest class over its routes, the higher p on ties; a report that is benign everywhere has its general route's p, or the highest."""
+    rows = scores.withColumn("d", classify(F.col("p"), suspicious, hostile))
+    best = rows.groupBy("id").agg(F.max(F.struct("d.class", "p", "d.threshold")).alias("b"), F.max(F.when(F.col("route") == "general", F.col("p"))).alias("general"))
+    calm = F.col("b.class") == 0
+    return best.select("id", "b.class", F.when(calm, F.coalesce("general", F.lit(0.0))).otherwise(F.col("b.p")).alias("prob"), "b.threshold")
+
+
+def swept_decision(scores: DataFrame, grid: DataFrame, general: DataFrame | None = None, blend: DataFrame | None = None, n: int = DEFAULT_LEVEL, grid_max: int = GRID_MAX, ceiling: int = SUSPICIOUS_CEILING, suspicious: float = 0.65, hostile: float = 0.9) -> DataFrame:
+    """Decision of each id: types with a grid are swept over it, others over the general grid, and without one their classes decide.
+
+    What fires nowhere is benign at level -1, with the p of its general route.
+    """
+    typed = grid.select("file_type").unionByName(blend.select("file_type")) if blend is not None else grid.select("file_type")
+    kind = scores.join(typed.distinct().withColumn("own", F.lit(True)), "file_type", "left")
+    mine, rest = kind.where("own").drop("own"), kind.where("own is null").drop("own")
+    fired = sweep(mine, grid, blend)
+    if general is not None:
+        fired = fired.unionByName(sweep_general(rest, general))
+        ids = scores
+    else:
+        ids = mine
+    calm = ids.groupBy("id").agg(F.coalesce(F.max(F.when(F.col("route") == "general", F.col("p"))), F.lit(0.0)).alias("general"))
+    rows = calm.join(fired, "id", "left")
     cls = F.when(F.col("level").isNull(), 0).when(F.col("level") <= n, 2).when(F.col("level") <= min(grid_max, ceiling), 1).otherwise(0)
-    return rows.select("id", F.coalesce("p", "prob").alias("prob"), F.coalesce("level", F.lit(-1)).alias("level"), cls.alias("class"))
+    out = rows.select("id", cls.alias("class"), F.coalesce("p", "general").alias("prob"), F.coalesce("level", F.lit(-1)).alias("level"))
+    if general is None:
+        plain = decide_scores(rest, suspicious, hostile)
+        out = out.unionByName(plain.select("id", "class", "prob", interpreted_level(F.col("class"), n, grid_max, ceiling).alias("level")))
+    return out
+
+
+def decide(scores: DataFrame, grid: DataFrame, n: int = DEFAULT_LEVEL, grid_max: int = GRID_MAX, ceiling: int = SUSPICIOUS_CEILING, blend: DataFrame | None = None) -> DataFrame:
+    """:func:`swept_decision` where every type has a grid."""
+    return swept_decision(scores, grid, grid.sparkSession.createDataFrame([], "level int, threshold double"), blend, n, grid_max, ceiling)
+
+
+def mean_members(scores: DataFrame) -> DataFrame:
+    """Mean p of a route's seeds: ``(id, route, p)`` with a row for each seed -> ``(id, route, raw)``."""
+    return scores.groupBy("id", "route").agg(F.avg("p").alias("raw"))
+
+
+def route_scores(wanted: DataFrame, scored: DataFrame, calibrators: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Routes ``(id, route)`` that apply -> calibrated scores ``(id, route, raw, p)``, and skipped ones with ``why``.
+
+    ``unavailable``: no model scored it; ``uncalibrated``: ``calibrators (route, x, y)`` has nothing for it.
+    """
+    rows = wanted.join(scored.select("id", "route", "raw"), ["id", "route"], "left").join(calibrators.select("route").distinct().withColumn("sure", F.lit(True)), "route", "left")
+    why = F.when(F.col("raw").isNull(), "unavailable").when(F.col("sure").isNull(), "uncalibrated")
+    rows = rows.withColumn("why", why)
+    good = calibrate_routes(rows.where("why is null").select("id", "route", "raw"), calibrators)
+    return good, rows.where("why is not null").select("id", "route", "why")
+
+
+def policy_decide(hostile: DataFrame, suspicious: DataFrame) -> DataFrame:
+    """Ids whose hostile policy fires are 2, others whose suspicious policy fires 1: ``(id, p, threshold)`` twice -> with ``class``."""
+    rest = suspicious.join(hostile.select("id"), "id", "left_anti")
+    return hostile.select("id", "p", "threshold", F.lit(2).alias("class")).unionByName(rest.select("id", "p", "threshold", F.lit(1).alias("class")))
+
+
+def route_class(scores: DataFrame, policy: DataFrame) -> DataFrame:
+    """Class of each route on its own: ``policy`` has file_type, route and the OR-rule thresholds ``hostile`` and ``suspicious``, null where a blend decides; those say benign."""
+    rows = scores.join(policy, ["file_type", "route"], "left")
+    cls = F.when(F.col("p") >= F.col("hostile"), 2).when(F.col("p") >= F.col("suspicious"), 1).otherwise(0)
+    return rows.select("id", "route", "p", cls.alias("class"))
+
+
+def predict_for(classes: DataFrame) -> DataFrame:
+    """Greatest p and greatest class over the routes ``(id, p, class)``."""
+    return classes.groupBy("id").agg(F.max("p").alias("prob"), F.max("class").alias("class"))
+
+
+def grade_deps(edges: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Each dependency edge ``(report_id, dep)`` with the verdict of its own report; one without a verdict stays null, never benign."""
+    return edges.join(verdicts.select(F.col("report_id").alias("dep"), "class", "prob", "level"), "dep", "left").select("report_id", "dep", "class", "prob", "level")
 
 
 def outrank(members: DataFrame) -> DataFrame:
@@ -183,13 +276,20 @@ def score_trees_sql(rows: DataFrame, trees: dict, vec: str = "features", out: st
 
 def explain(features: DataFrame, importance: DataFrame, limit: int = 5) -> DataFrame:
     """The most important features that a report has, with their values."""
-    rows = features.where("value <> 0").join(F.broadcast(importance), "name")
+    rows = features.where("value <> 0").join(importance, "name")
     k = F.row_number().over(Window.partitionBy("report_id").orderBy(F.desc("importance"), "name"))
     return rows.withColumn("rank", k).where(F.col("rank") <= limit).select("report_id", "rank", "name", "value")
 
 
 def logit_margin(p: Column, t: Column) -> Column:
-    return logit(p, 1e-9) - logit(t, 1e-9)
+    """Log-odds of ``p`` over those of the threshold, both held inside what single precision can tell from 0 and 1."""
+    low, high = F.lit(1e-45), F.lit(1 - 2.0**-23)
+
+    def odds(x: Column) -> Column:
+        q = F.greatest(low, F.least(high, x))
+        return F.log(q / (1 - q))
+
+    return odds(p) - odds(t)
 
 
 def display_p(p: Column, t: Column) -> Column:
@@ -208,3 +308,30 @@ def thresholds_at(levels: DataFrame, n: int, ceiling: int = SUSPICIOUS_CEILING,
     rows = levels.groupBy("file_type", "route").agg(at(n).alias("h"), at(ceiling).alias("s"))
     h = F.coalesce("h", F.lit(hostile))
     return rows.select("file_type", "route", h.alias("hostile"), F.least(h, F.coalesce("s", F.lit(suspicious))).alias("suspicious"))
+
+
+#: What a feature's prefix says, and path heads that a description leaves out.
+_SAYS = {"agg:": "aggregate: ", "ext:": "external: ", "metrics:": "metric: ", "struct:": "structural: "}
+_HEADS = "^(objectives|micro-behaviors|well-known|metadata)/"
+
+
+def describe(name: Column) -> Column:
+    """A feature's name in words."""
+    rest = F.regexp_replace(name, "^path:", "")
+    path, tier = F.regexp_extract(rest, "^(.*):[^:]*$", 1), F.regexp_extract(rest, "([^:]*)$", 1)
+    tiered = F.concat(F.replace(F.regexp_replace(path, _HEADS, ""), F.lit("/"), F.lit(" > ")), F.lit(" ["), tier, F.lit("]"))
+    out = F.when(name.startswith("path:") & F.contains(rest, F.lit(":")), tiered).when(name.startswith("path:"), F.concat(F.lit("path: "), F.replace(rest, F.lit("/"), F.lit(" > "))))
+    for prefix, said in _SAYS.items():
+        out = out.when(name.startswith(prefix), F.concat(F.lit(said), F.translate(F.substring(name, len(prefix) + 1, 1000), "_", " ")))
+    return out.when(name.startswith("filetype:"), F.concat(F.lit("file type: "), F.substring(name, 10, 1000))).otherwise(name)
+
+
+def divergent(custom: Column, recommended: Column, most: float = 0.3) -> Column:
+    """Whether a custom threshold is off the recommended one by more than a share of it."""
+    return F.coalesce((recommended > 0) & (F.abs((custom - recommended) / recommended) > most), F.lit(False))
+
+
+def importance_matches(importance: DataFrame, names: DataFrame, digest: str) -> DataFrame:
+    """``importance`` if ``digest`` is the SHA-256 of the model's feature names ``(pos, name)`` in order, a line each; else none of it."""
+    said = names.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda n: n["name"]), "\n"), 256)).scalar()
+    return importance.where(said == digest)

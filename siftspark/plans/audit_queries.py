@@ -41,10 +41,10 @@ def graded(spark, sf_dir):
     return table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "turn % 3 AS class", f"round({n} % 100 / 100, 2) AS prob", f"CASE {n} % 4 WHEN 0 THEN 'benign' WHEN 1 THEN 'suspicious' WHEN 2 THEN 'hostile' END AS grade", f"{n} % 5 > 0 AS readable", f"{n} % 7 = 0 AS addresses_analyzer", f"{n} % 2 = 0 AS hostile_finding", f"{n} % 3 > 0 AS near")
 
 
-@query("WITH " + _GRADES + """, w AS (SELECT *, CASE grade WHEN 'hostile' THEN 2 WHEN 'suspicious' THEN 1 WHEN 'benign' THEN 0 END AS want FROM g),
-  t AS (SELECT *, CASE WHEN want > class THEN class + 1 WHEN want < class AND readable AND NOT addresses_analyzer THEN class - 1 ELSE class END AS target FROM w),
-  m AS (SELECT *, target <> class AND ((target = 2) = (class = 2) OR near OR (target = 2 AND hostile_finding)) AS moved FROM t)
-  SELECT conv_id, turn, CASE WHEN moved THEN target ELSE class END AS new_class, CASE WHEN moved AND want > class THEN prob + (1 - prob) * 0.33 WHEN moved THEN prob * 0.67 ELSE prob END AS new_prob FROM m""")
+@query("WITH " + _GRADES + """, w AS (SELECT *, CASE grade WHEN 'hostile' THEN 2 WHEN 'suspicious' THEN 1 WHEN 'benign' THEN 0 END AS want, readable AND NOT addresses_analyzer AS soft FROM g),
+  t AS (SELECT *, CASE WHEN want > class THEN class + 1 WHEN want < class AND soft THEN class - 1 ELSE class END AS one FROM w)
+  SELECT conv_id, turn, CASE WHEN want IS NULL OR one = class THEN class WHEN one < 2 AND class < 2 THEN one WHEN one > class AND hostile_finding THEN one WHEN near THEN one ELSE class END AS new_class,
+  CASE WHEN want IS NULL THEN prob WHEN want > class THEN prob + (1 - prob) * 0.33 WHEN want = class AND class > 0 THEN prob + (1 - prob) * 0.33 WHEN soft THEN prob * 0.67 ELSE prob END AS new_prob FROM t""")
 def blended_grades(spark, sf_dir):
     return G.blend(graded(spark, sf_dir)).select("conv_id", "turn", "new_class", "new_prob")
 
@@ -121,7 +121,7 @@ def run_diff(spark, sf_dir):
     return M.diff_runs(a, b)
 
 
-@query(sql(FINDINGS, SUMMARIES, """SELECT 'ext' AS family, count(CASE WHEN v <> 0 AND report_id % 5 = 0 THEN 1 END) AS diverging, count(CASE WHEN v <> 0 THEN 1 END) AS nonzero FROM (SELECT report_id, unnest([max_third_party::DOUBLE, ln(1 + n_third_party), max_well_known::DOUBLE, ln(1 + n_well_known)]) AS v FROM report_summary)"""))
+@query(sql(FINDINGS, SUMMARIES, """SELECT 'ext' AS family, count(CASE WHEN v <> 0 AND report_id % 5 = 0 THEN 1 END) AS diverging, count(CASE WHEN v <> 0 THEN 1 END) AS nonzero FROM (SELECT report_id, unnest([max_third_party::DOUBLE, ln(1 + n_third_party), max_well_known::DOUBLE, well_known_hostile::DOUBLE, well_known_suspicious::DOUBLE, has_yara::INT::DOUBLE]) AS v FROM report_summary)"""))
 def feature_parity(spark, sf_dir):
     a = X.external(A.findings(spark, sf_dir))
     return M.parity(a, a.withColumn("value", F.when(F.col("report_id") % 5 == 0, F.col("value") * 1.01).otherwise(F.col("value"))))
@@ -164,10 +164,11 @@ def reuse_work(spark, sf_dir):
     return M.reuse(docs, store, "v1")[1]
 
 
-@query(sql(FINDINGS, FILES, _MEMBERS + " SELECT f.report_id, count(*) AS n, count(prob) AS evaluated, min(f.file_id) AS first FROM files f LEFT JOIN m USING (report_id, file_id) GROUP BY 1"))
+@query(sql(FINDINGS, FILES, _MEMBERS + """ SELECT f.report_id, string_agg(f.file_id || ' ' || file_type || ' ' || coalesce(CAST(class AS VARCHAR), '-') || ' ' || coalesce(CAST(CAST(round(prob * 100) AS INT) AS VARCHAR), '-'), ',' ORDER BY f.file_id) AS files FROM files f LEFT JOIN m USING (report_id, file_id) GROUP BY 1"""))
 def envelope_files(spark, sf_dir):
-    lists = P.ml_files(A.files(spark, sf_dir), members(spark, sf_dir))
-    return lists.select("report_id", F.size("files").cast("long").alias("n"), F.size(F.filter("files", lambda f: f["prob"].isNotNull())).cast("long").alias("evaluated"), F.get("files", F.lit(0))["id"].alias("first"))
+    said = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    entry = lambda f: F.concat_ws(" ", f["id"].cast("string"), f["type"], said(f["cls"]), said(F.round(f["prob"] * 100).cast("int")))
+    return P.ml_files(A.files(spark, sf_dir), members(spark, sf_dir)).select("report_id", F.array_join(F.transform("files", entry), ",").alias("files"))
 
 
 @query(sql(FINDINGS, FILES, "SELECT f.report_id, f.file_id, count(g.id) AS n, max(crit) AS crit FROM files f LEFT JOIN findings g USING (report_id, file_id) GROUP BY ALL"))

@@ -62,8 +62,8 @@ def file_risk(spark, sf_dir):
 
 
 @query(sql(FINDINGS, FILES, SUMMARIES, RISK, """SELECT report_id,
-  arg_max(file_id, (round(suspicious_ratio, 9), round(suspicious, 9), round(suspicious_density, 9), -file_id)) AS suspicious_file,
-  arg_max(file_id, (round(hostile_ratio, 9), round(hostile, 9), round(hostile_density, 9), -file_id)) AS hostile_file,
+  arg_max(file_id, (round(suspicious_ratio, 9), round(suspicious, 9), round(hostile_ratio, 9), round(hostile, 9), -file_id)) AS suspicious_file,
+  arg_max(file_id, (round(hostile_ratio, 9), round(hostile, 9), round(suspicious_ratio, 9), round(suspicious, 9), -file_id)) AS hostile_file,
   arg_max(file_id, (round(hostile_density + 0.25 * suspicious_density, 9), round(hostile_density, 9), round(suspicious_density, 9), -file_id)) AS weighted_file,
   max(hostile_density + 0.25 * suspicious_density) AS weighted_density FROM risk GROUP BY 1"""))
 def top_risk(spark, sf_dir):
@@ -135,3 +135,20 @@ def grafted(spark, sf_dir):
     subs = roots.select("report_id", F.col("file_id").alias("under"), F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
     subs = subs.selectExpr("report_id", "under", "CAST(k AS BIGINT) AS file_id", "k AS depth", "CASE WHEN k > 0 THEN 0L END AS parent_id", "sha2(concat(report_id, ':', k), 256) AS sha256")
     return B.graft(files, subs)
+
+
+_OFFENDERS = """, m AS (SELECT f.report_id, f.file_id, max(conf) AS prob FROM findings f JOIN files g ON f.report_id = g.report_id AND f.file_id = g.file_id WHERE depth > 0 GROUP BY ALL),
+  k AS (SELECT *, CAST(row_number() OVER (PARTITION BY report_id ORDER BY prob DESC, file_id) AS INT) AS rank FROM m) SELECT report_id, rank, file_id, prob FROM k WHERE rank <= 2"""
+
+
+@query(sql(FINDINGS, FILES, _OFFENDERS))
+def top_offenders(spark, sf_dir):
+    inner = A.files(spark, sf_dir).where("depth > 0").select("report_id", "file_id")
+    members = A.findings(spark, sf_dir).join(inner, ["report_id", "file_id"]).groupBy("report_id", "file_id").agg(F.max("conf").alias("prob"))
+    return B.top_offenders(members, 2)
+
+
+@query(sql(FINDINGS, FILES, "SELECT coalesce(parent_id, g.file_id) AS sub, id, crit, conf FROM findings f JOIN files g ON f.report_id = g.report_id AND f.file_id = g.file_id"))
+def sub_findings(spark, sf_dir):
+    subs = A.files(spark, sf_dir).select("report_id", "file_id", F.coalesce("parent_id", "file_id").alias("sub"))
+    return B.sub_findings(A.findings(spark, sf_dir), subs)

@@ -14,12 +14,12 @@ FINDINGS = """findings AS (SELECT l_orderkey AS report_id, l_suppkey AS file_id,
 active AS (SELECT * FROM findings WHERE id <> '' AND round(conf, 4) >= 0.65)"""
 
 FILES = f"""line_files AS (SELECT l_orderkey AS report_id, l_suppkey AS file_id, CAST(floor(round(sum(l_extendedprice), 2)) AS BIGINT) AS size_bytes,
-  max(CAST(floor((l_quantity - 1) / 10) AS INT) + 1) * 10 AS risk, round(avg(l_tax) * 100, 4) AS entropy, count(*) AS functions, sum(l_linenumber) AS total_lines FROM lineitem GROUP BY 1, 2),
+  max(CAST(floor((l_quantity - 1) / 10) AS INT) + 1) * 10 AS risk, round(avg(l_tax) * 100, 4) AS entropy, count(*) AS functions, sum(l_linenumber) AS total_lines, 86400 * date_diff('day', DATE '1970-01-01', CAST(max(l_shipdate) AS DATE)) AS mtime FROM lineitem GROUP BY 1, 2),
 roots AS (SELECT report_id, min(file_id) AS root_id FROM line_files GROUP BY 1),
 files AS (SELECT report_id, file_id, {_TYPES}[file_id % 14 + 1] AS file_type, size_bytes, CASE WHEN file_id = root_id THEN 0 ELSE 1 + file_id % 2 END AS depth,
   CASE WHEN file_id <> root_id THEN root_id END AS parent_id,
   'o' || report_id || '.' || {_TYPES}[root_id % 14 + 1] || CASE WHEN file_id = root_id THEN '' ELSE '!!f' || file_id || '.' || {_TYPES}[file_id % 14 + 1] END AS path,
-  sha256(report_id || '/' || file_id) AS sha256, risk, entropy, functions, total_lines FROM line_files JOIN roots USING (report_id))"""
+  sha256(report_id || '/' || file_id) AS sha256, risk, entropy, functions, total_lines, mtime FROM line_files JOIN roots USING (report_id))"""
 
 PATHS = """levels AS (SELECT report_id, file_id, string_split(split_part(id, '::', 1), '/') AS l, crit, conf FROM active),
 file_path AS (SELECT report_id, file_id, array_to_string(l[1:n], '/') AS path, max(crit) AS max_crit, max(conf) AS max_conf FROM levels, (VALUES (1), (2), (3)) v(n) WHERE n <= len(l) GROUP BY ALL),
@@ -28,7 +28,8 @@ report_path AS (SELECT report_id, path, max(max_crit) AS max_crit, max(max_conf)
 _TIERS = """count(*) AS n_active, count(CASE WHEN crit >= 3 THEN 1 END) AS notable, count(DISTINCT CASE WHEN crit >= 3 THEN id END) AS unique_notable,
   count(CASE WHEN crit >= 4 THEN 1 END) AS suspicious, count(DISTINCT CASE WHEN crit >= 4 THEN id END) AS unique_suspicious, count(CASE WHEN crit >= 5 THEN 1 END) AS hostile, count(DISTINCT CASE WHEN crit >= 5 THEN id END) AS unique_hostile,
   count(CASE WHEN starts_with(id, 'third_party/') THEN 1 END) AS n_third_party, coalesce(max(CASE WHEN starts_with(id, 'third_party/') THEN crit END), 0) AS max_third_party,
-  count(CASE WHEN starts_with(id, 'well-known/') THEN 1 END) AS n_well_known, coalesce(max(CASE WHEN starts_with(id, 'well-known/') THEN crit END), 0) AS max_well_known, max(crit) AS max_crit"""
+  count(CASE WHEN starts_with(id, 'well-known/') THEN 1 END) AS n_well_known, coalesce(max(CASE WHEN starts_with(id, 'well-known/') THEN crit END), 0) AS max_well_known, max(crit) AS max_crit,
+  count(CASE WHEN starts_with(id, 'well-known/') AND crit >= 5 THEN 1 END) AS well_known_hostile, count(CASE WHEN starts_with(id, 'well-known/') AND crit = 4 THEN 1 END) AS well_known_suspicious, bool_or(starts_with(id, 'third_party/yara')) AS has_yara"""
 
 SUMMARIES = f"""file_summary AS (SELECT report_id, file_id, {_TIERS} FROM active GROUP BY ALL),
 report_summary AS (SELECT report_id, {_TIERS}, count(DISTINCT file_id) AS n_files FROM active GROUP BY ALL)"""

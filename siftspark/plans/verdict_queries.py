@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from siftspark.operators import features as X
 from siftspark.operators import findings as B
 from siftspark.operators import verdicts as S
 from siftspark.plans.finding_queries import floor_verdicts
-from siftspark.plans.feature_queries import groups
 from siftspark.plans.register import registrar
 from siftspark.plans.sqltext import FILES, FINDINGS, FLOOR, SCORES, SUMMARIES, sql
 from siftspark.session import table
@@ -74,7 +75,7 @@ def level_sweep(spark, sf_dir):
     return S.sweep(routed(spark, sf_dir), grid(spark))
 
 
-@query(sql(_CAL, _GRID, _SWEPT + """, most AS (SELECT id, max(p) AS prob FROM routed GROUP BY 1) SELECT id, coalesce(b.p, prob) AS prob, coalesce(level, -1) AS level, CASE WHEN level IS NULL THEN 0 WHEN level <= 25 THEN 2 WHEN level <= 3000 THEN 1 ELSE 0 END AS class FROM most LEFT JOIN swept USING (id)"""))
+@query(sql(_CAL, _GRID, _SWEPT + """, most AS (SELECT id, max(p) FILTER (route = 'general') AS prob FROM routed GROUP BY 1) SELECT id, coalesce(b.p, prob) AS prob, coalesce(level, -1) AS level, CASE WHEN level IS NULL THEN 0 WHEN level <= 25 THEN 2 WHEN level <= 3000 THEN 1 ELSE 0 END AS class FROM most LEFT JOIN swept USING (id)"""))
 def decisions(spark, sf_dir):
     return S.decide(routed(spark, sf_dir), grid(spark))
 
@@ -87,10 +88,12 @@ def blend_fired(spark, sf_dir):
     return S.fire_blend(routed(spark, sf_dir), blend).withColumn("p", F.round("p", 6))
 
 
-_CONF = "CASE WHEN n IS NULL THEN NULL WHEN n < 0 THEN 0 " + " ".join(f"WHEN n <= {a} THEN {b}" for a, b in S.LEVEL_CONF) + " ELSE 15 END"
+#: The table of confidences, written out once more.
+_CONF = """CASE WHEN n IS NULL THEN NULL WHEN n < 0 THEN 0 WHEN n <= 5 THEN 100 - n WHEN n <= 10 THEN 94 WHEN n <= 100 THEN 95 - CAST(ceil(n / 10) AS INT) WHEN n <= 200 THEN 82 WHEN n <= 300 THEN 80 WHEN n <= 500 THEN 78 WHEN n <= 1000 THEN 75 WHEN n <= 2000 THEN 66 WHEN n <= 5000 THEN 54
+  WHEN n <= 7500 THEN 49 WHEN n <= 10000 THEN 45 WHEN n <= 15000 THEN 38 WHEN n <= 20000 THEN 33 WHEN n <= 25000 THEN 29 WHEN n = 25001 THEN 28 WHEN n = 25002 THEN 27 WHEN n <= 49999 THEN 26 WHEN n = 50000 THEN 17 WHEN n = 50001 THEN 16 ELSE 15 END"""
 
 
-@query(f"SELECT o_orderkey AS id, n AS level, {_CONF} AS conf FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE CAST(o_orderkey * 7 % 60000 AS INT) - 100 END AS n FROM orders)")
+@query(f"SELECT o_orderkey AS id, n AS level, CAST({_CONF} AS INT) AS conf FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE CAST(o_orderkey * 7 % 60000 AS INT) - 100 END AS n FROM orders)")
 def level_confidence(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE CAST(o_orderkey * 7 % 60000 AS INT) - 100 END AS level")
     return rows.withColumn("conf", S.level_conf(F.col("level")))
@@ -133,11 +136,14 @@ def tree_scores_sql(spark, sf_dir):
     return S.score_trees_sql(table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "features"), TREES).select(F.col("vec_id").alias("id"), F.round("raw", 6).alias("raw"))
 
 
-@query(sql(FINDINGS, SUMMARIES, """, f AS (SELECT report_id, x.name AS name, x.value AS value FROM (SELECT report_id, unnest([{'name': 'ext:third_party_max', 'value': max_third_party::DOUBLE}, {'name': 'ext:third_party_log', 'value': ln(1 + n_third_party)}, {'name': 'ext:well_known_max', 'value': max_well_known::DOUBLE}, {'name': 'ext:well_known_log', 'value': ln(1 + n_well_known)}]) AS x FROM report_summary)),
-  g AS (SELECT f.*, row_number() OVER (PARTITION BY report_id ORDER BY importance DESC, name) AS rank FROM f JOIN (VALUES ('ext:third_party_max', 3.0), ('ext:well_known_max', 2.0), ('ext:well_known_log', 2.0)) v(name, importance) USING (name) WHERE value <> 0) SELECT report_id, rank, name, value FROM g WHERE rank <= 2"""))
+@query(sql(FINDINGS, SUMMARIES, """, f AS (SELECT report_id, unnest(['ext:third_party_max_crit', 'ext:third_party_count', 'ext:well_known_max_crit', 'ext:well_known_hostile_count']) AS name, unnest([max_third_party::DOUBLE, ln(1 + n_third_party), max_well_known::DOUBLE, well_known_hostile::DOUBLE]) AS value FROM report_summary),
+  g AS (SELECT f.*, row_number() OVER (PARTITION BY report_id ORDER BY importance DESC, name) AS rank FROM f JOIN (VALUES ('ext:third_party_max_crit', 3.0), ('ext:well_known_max_crit', 2.0), ('ext:well_known_hostile_count', 2.0)) v(name, importance) USING (name) WHERE value <> 0) SELECT report_id, rank, name, 'external: ' || replace(substr(name, 5), '_', ' ') AS said, value FROM g WHERE rank <= 2"""))
 def explained(spark, sf_dir):
-    importance = spark.createDataFrame([("ext:third_party_max", 3.0), ("ext:well_known_max", 2.0), ("ext:well_known_log", 2.0)], "name string, importance double")
-    return S.explain(X.external(A.findings(spark, sf_dir)), importance, 2)
+    names = ["ext:third_party_max_crit", "ext:well_known_max_crit", "ext:well_known_hostile_count"]
+    importance = spark.createDataFrame([(n, w) for n, w in zip(names, (3.0, 2.0, 2.0), strict=True)], "name string, importance double")
+    listed = spark.createDataFrame(list(enumerate(names)), "pos int, name string")
+    digest = hashlib.sha256("\n".join(names).encode()).hexdigest()
+    return S.explain(X.external(A.findings(spark, sf_dir)), S.importance_matches(importance, listed, digest), 2).withColumn("said", S.describe(F.col("name")))
 
 
 @query(sql(_CAL, """SELECT id, round(ln(p / (1 - p)) - ln(0.4 / 0.6), 6) AS margin, round(CASE WHEN p < 0.4 THEN 0.5 * p / 0.4 ELSE 0.5 + 0.5 * (p - 0.4) / 0.6 END, 6) AS shown FROM cal"""))

@@ -30,12 +30,13 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """report_id, file_id, file_type, size_bytes, depth, parent_id, path, sha256, risk and three metrics."""
+    """report_id, file_id, file_type, size_bytes, depth, parent_id, path, sha256, risk, three metrics and mtime in seconds."""
     types = F.array(*map(F.lit, FILE_TYPES))
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("report_id"), F.col("l_suppkey").alias("file_id")).agg(
         F.expr("CAST(floor(round(sum(l_extendedprice), 2)) AS BIGINT)").alias("size_bytes"),
         F.expr("max(CAST(floor((l_quantity - 1) / 10) AS INT) + 1) * 10").alias("risk"),
         F.expr("round(avg(l_tax) * 100, 4)").alias("entropy"), F.count(F.lit(1)).alias("functions"), F.sum("l_linenumber").alias("total_lines"),
+        F.expr("86400L * datediff(max(l_shipdate), DATE'1970-01-01')").alias("mtime"),
     )
     first = rows.groupBy("report_id").agg(F.min("file_id").alias("root_id"))
     rows = rows.join(first, "report_id").withColumn("file_type", F.get(types, (F.col("file_id") % len(FILE_TYPES)).cast("int")))
@@ -45,7 +46,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "report_id", "file_id", "file_type", "size_bytes", F.when(is_root, 0).otherwise(1 + F.col("file_id") % 2).cast("int").alias("depth"),
         F.when(~is_root, F.col("root_id")).alias("parent_id"), F.when(is_root, root).otherwise(F.concat(root, F.lit("!!f"), "file_id", F.lit("."), "file_type")).alias("path"),
-        F.sha2(F.concat("report_id", F.lit("/"), "file_id"), 256).alias("sha256"), "risk", "entropy", "functions", "total_lines",
+        F.sha2(F.concat("report_id", F.lit("/"), "file_id"), 256).alias("sha256"), "risk", "entropy", "functions", "total_lines", "mtime",
     )
 
 
