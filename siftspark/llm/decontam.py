@@ -4,10 +4,14 @@
 2. A window as long as an item can reach the threshold only if enough of its
    shingles are such places; all windows of that kind are taken, wherever they
    start.
-3. Their shingles are joined with those of the items of that length. Summed over
-   the shingles that a window and an item share, the smaller of the two counts
-   is the exact weighted intersection, and with it the weighted Jaccard
-   similarity: shingles weigh as often as they occur. No pair is left out.
+3. Windows and items get 64-bit SimHash fingerprints. Those within ``RADIUS``
+   bits are found by a multi-index: of 8 blocks of 8 bits, at least one differs
+   in at most two bits, so an equi-join of blocks with the items' blocks, as
+   they are and with one or two bits flipped, misses none. Fingerprints of
+   windows at similarity 0.8 differ in 10 bits on average, with a deviation of
+   3: the radius is more than four deviations beyond.
+4. Candidates are verified by weighted Jaccard similarity: shingles weigh as
+   often as they occur.
 
 Built-in functions only; documents are never grouped together.
 """
@@ -20,6 +24,9 @@ from pyspark.sql import functions as F
 from siftspark.llm.linedup import _ceil
 from siftspark.session import cut
 
+RADIUS, _BLOCKS = 23, 8
+#: Each value of a block, and with one or two bits turned: 8 blocks within 23 bits cannot all differ in three.
+_MASKS = tuple(m for m in range(256) if m.bit_count() <= 2)
 #: Broadcast sides are at most so many rows (of 12 bytes, and of a list of places); larger ones are joined by a shuffle.
 _BROADCAST_SHINGLES, _BROADCAST_DOCS = 1_000_000, 200_000
 
@@ -38,12 +45,32 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def _counted(hs: str) -> Column:
-    """Structs of each distinct element of an array and how often it occurs."""
-    once = F.array_distinct(hs)
-    plain = F.size(once) == F.size(hs)
-    times = lambda x: F.when(plain, 1).otherwise(F.size(F.filter(F.col(hs), lambda y: y == x)))
-    return F.transform(once, lambda x: F.struct(x.alias("h"), times(x).alias("c")))
+def _fingerprints(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and array ``hs`` -> ``keys`` and ``fp``; a bit is 1 if set in over half of ``hs``."""
+    one = F.lit(1).cast("long")
+    counts = rows.select(*keys, F.explode("hs").alias("h")).groupBy(*keys).agg(F.count(F.lit(1)).alias("hashes"), *[F.sum(F.shiftrightunsigned("h", b).bitwiseAND(one)).alias(f"b{b}") for b in range(64)])
+    fp = F.lit(0).cast("long")
+    for b in range(64):
+        fp = fp.bitwiseOR(F.when(F.col(f"b{b}") * 2 > F.col("hashes"), F.shiftleft(one, b)).otherwise(F.lit(0).cast("long")))
+    return counts.select(*keys, fp.alias("fp"))
+
+
+def _block_rows(fp: str, flips: bool) -> Column:
+    """Structs of block number and value, with ``flips`` also each value with one or two bits turned."""
+    out = []
+    for k in range(_BLOCKS):
+        value = F.shiftrightunsigned(fp, 8 * k).bitwiseAND(F.lit(255).cast("long")).cast("int")
+        for mask in _MASKS if flips else (0,):
+            out.append(F.struct(F.lit(k).alias("k"), value.bitwiseXOR(F.lit(mask)).alias("v")))
+    return F.explode(F.array(*out)).alias("block")
+
+
+def _weighted(a: str, b: str) -> Column:
+    """Size of the multiset intersection of two arrays."""
+    plain = (F.size(F.array_distinct(a)) == F.size(a)) & (F.size(F.array_distinct(b)) == F.size(b))
+    times = lambda x, col: F.size(F.filter(F.col(col), lambda y: y == x))
+    counted = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, x: n + F.least(times(x, a), times(x, b)))
+    return F.when(plain, F.size(F.array_intersect(a, b))).otherwise(counted)
 
 
 def leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -84,10 +111,14 @@ def leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: float
     every = F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["a"], s["b"]))))
     windows = seen.where(F.size("at") >= F.col("need")).select("dk", "n", "m", "mw", "hs", F.explode(every).alias("start"))
     windows = cut(windows.select("dk", "n", "m", "mw", "start", F.slice("hs", F.col("start") + 1, F.col("mw")).alias("hs")).dropDuplicates(["dk", "n", "start"]))
-    said = windows.select("dk", "n", "m", "mw", "start", F.inline(_counted("hs")))
-    asked = item.dropDuplicates(["ik"]).select("ik", "item_id", "n", F.inline(_counted("hs"))).withColumnRenamed("c", "ic")
-    pairs = said.join(_small(asked, _BROADCAST_SHINGLES), ["n", "h"]).groupBy("dk", "n", "m", "mw", "start", "ik", "item_id").agg(F.sum(F.least("c", "ic")).alias("shared"))
-    scored = pairs.withColumn("similarity", F.col("shared") / (F.col("m") + F.col("mw") - F.col("shared"))).where(F.col("similarity") >= threshold - 1e-9)
+    wkey, ikey = ["dk", "n", "start"], ["ik", "n"]
+    wfp, ifp = _fingerprints(windows, wkey), _fingerprints(item, ikey)
+    x = wfp.select(*wkey, "fp", _block_rows("fp", False)).select(*wkey, F.col("fp").alias("x"), "block.k", "block.v")
+    y = ifp.select(*ikey, "fp", _block_rows("fp", True)).select(*ikey, F.col("fp").alias("y"), "block.k", "block.v")
+    near = x.join(y, ["n", "k", "v"]).where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= RADIUS).select(*wkey, "ik").distinct()
+    pairs = near.join(windows, wkey).join(item.select("ik", "n", "item_id", F.col("hs").alias("ihs")), ikey)
+    shared = _weighted("hs", "ihs")
+    scored = pairs.withColumn("similarity", shared / (F.col("m") + F.col("mw") - shared)).where(F.col("similarity") >= threshold - 1e-9)
     best = scored.groupBy("dk", "item_id").agg(F.max_by(F.struct("similarity", "start", "n"), F.struct("similarity", -F.col("start"))).alias("b"))
     return best.select("dk", "item_id", F.col("b.similarity").alias("similarity"), F.col("b.start").alias("word_start"), F.col("b.n").alias("n_words"))
 
