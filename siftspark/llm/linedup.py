@@ -180,7 +180,9 @@ def matched_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     gone = done.unionByName(later).withColumn("gone", F.lit(True))
     verdict = classes.select(*_SET, "at", "c").join(gone, "c", "left").drop("c")
     lines = sets.select(*_SET, "dk", "pos").join(verdict, list(_SET))
-    return lines.where("gone or dk <> at.dk or pos <> at.pos").select("dk", "pos")
+    out = stored(lines.where("gone or dk <> at.dk or pos <> at.pos").select("dk", "pos"))
+    drop(sets, classes, done, later)
+    return out
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.8, removed: str | None = None) -> DataFrame:
