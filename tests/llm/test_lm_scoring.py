@@ -7,7 +7,7 @@ import pytest
 from siftspark.llm import backoff
 
 
-def plain(rows, min_count=2, d=0.75):
+def plain(rows, min_count=1, d=0.75):
     """(n_tokens, n_known, N, base, score) of each (text, held) row, with dictionaries."""
     texts = [((t or "").encode().lower().split(), h) for t, h in rows]
     uni, bi = Counter(), Counter()
