@@ -156,3 +156,102 @@ def test_calibrated_grid(spark):
     bp = spark.createDataFrame([(0.0, 0.0), (1.0, 0.5)], "x double, y double")
     grid = spark.createDataFrame([("elf", "g", 1, 0.6)], "file_type string, route string, level int, threshold double")
     assert verdicts.calibrate_grid(grid, bp).first().threshold == pytest.approx(0.3)
+
+
+@pytest.mark.parametrize("p,t,low,high", [(0.99955, 0.99954, 0.0, 0.1), (1.031e-05, 8.072e-06, 0.2, 0.3), (0.0, 0.5, -104, -103), (1.0, 0.5, 15.9, 16.0)])
+def test_margin_is_finite_and_keeps_small_odds_apart(spark, p, t, low, high):
+    assert low < one(spark, verdicts.logit_margin, p, t, kind="double") < high
+
+
+def test_blend_truth_table(spark):
+    flags = list(itertools.product((False, True), repeat=4))
+    rows = [(c, 0.4, g, *f) for c in (0, 1, 2) for g in ("benign", "suspicious", "hostile", None) for f in flags]
+    df = spark.createDataFrame(rows, "class int, prob double, grade string, readable boolean, addresses_analyzer boolean, hostile_finding boolean, near boolean")
+    up, down = 0.4 + 0.6 * 0.33, 0.4 * 0.67
+    for r in grades.blend(df).collect():
+        want = {"benign": 0, "suspicious": 1, "hostile": 2, None: None}[r.grade]
+        soft = r.readable and not r.addresses_analyzer
+        cls, prob = r["class"], 0.4
+        if want is not None and want > cls:
+            prob = up
+            cls += 1 if cls + 1 < 2 or r.hostile_finding or r.near else 0
+        elif want is not None and want == cls:
+            prob = up if cls else down if soft else 0.4
+        elif want is not None and soft:
+            prob = down
+            cls -= 1 if cls < 2 or r.near else 0
+        assert (r.new_class, r.new_prob) == (cls, pytest.approx(prob)), r
+        # an untrusted read never softens
+        assert soft or (r.new_class >= r["class"] and r.new_prob >= 0.4)
+
+
+@pytest.mark.parametrize("n,want", [(2, 0), (3, 1), (4, 4), (22, 1539), (60, 23560)])
+def test_capped_triples(spark, n, want):
+    from siftspark.operators import features
+
+    assert one(spark, features.capped_triples, n, kind="long") == want
+
+
+def test_tokens_and_ngrams(spark):
+    from siftspark.operators import features
+
+    paths = spark.createDataFrame([(1, "objectives", 5), (1, "objectives/a", 4), (1, "objectives/a/b", 4), (1, "metadata/x", 5), (1, "well-known", 2), (1, "evasion/y", 3)], "report_id long, path string, max_crit int")
+    tokens = features.crit_tokens(paths)
+    assert sorted(r.token for r in tokens.collect()) == ["h:objectives", "n:evasion/y", "s:objectives/a"]
+    vocab = spark.createDataFrame([("h:objectives", "n:evasion/y"), ("h:objectives", "h:well-known")], "a string, b string")
+    assert [r.name for r in features.token_ngrams(tokens, vocab, "critbi:").collect()] == ["critbi:h:objectives + n:evasion/y"]
+    assert features.token_ngrams(tokens, vocab, "critbi:", cap=2).count() == 0
+    assert "n:evasion/y" in {r.token for r in features.tier_tokens(paths).collect()}
+
+
+def test_reports_without_known_features_keep_a_vector(spark):
+    from siftspark.operators import features
+
+    spec = spark.createDataFrame([(0, "a", 0.0, 2.0), (1, "b", 3.0, 1.5)], "pos int, name string, mean double, std double")
+    rows = spark.createDataFrame([(1, "a", 4.0), (2, "other", 1.0)], "report_id long, name string, value double")
+    reports = spark.createDataFrame([(1,), (2,), (3,)], "report_id long")
+    got = {r.report_id: list(r.vector) for r in features.assemble(rows, spec, reports).collect()}
+    assert got == {1: [2.0, -2.0], 2: [0.0, -2.0], 3: [0.0, -2.0]}
+    paths = spark.createDataFrame([(1, "p", 3, 0.9)], "report_id long, path string, max_crit int, max_conf double")
+    risks = spark.createDataFrame([(1, 0), (2, 10)], "report_id long, risk int")
+    ghosts = features.weighted_paths(paths, risks, spark.createDataFrame([("p",), ("q",)], "path string")).where("name like 'ghost:%'")
+    assert sorted((r.report_id, r.name) for r in ghosts.collect()) == [(1, "ghost:q"), (2, "ghost:p"), (2, "ghost:q")]
+
+
+def test_fetched_root_of_deep_trees_and_rings(spark):
+    deep = [(1, k, k - 1 if k else None, "fetched" if k == 2 else None) for k in range(45)]
+    files = spark.createDataFrame(deep, "report_id long, file_id long, parent_id long, rel string")
+    got = {r.file_id: r.fetched_root for r in refs.fetched_root(files).collect()}
+    assert got == {k: 2 for k in range(2, 45)}
+    ring = spark.createDataFrame([(1, 0, 1, None), (1, 1, 0, None)], "report_id long, file_id long, parent_id long, rel string")
+    with pytest.raises(ValueError):
+        refs.fetched_root(ring)
+
+
+def test_policies(spark):
+    with pytest.raises(ValueError):
+        refs.select_kinds(F.lit("url"), "urls,typo")
+    with pytest.raises(ValueError):
+        refs.select_kinds(F.lit("url"), " , ")
+    assert one(spark, lambda c: refs.select_kinds(c, "none"), "url") is False
+    assert one(spark, lambda c: refs.select_kinds(c, "urls, deps"), "dependency") is True
+
+
+@pytest.mark.parametrize("name,want", [("path:objectives/evasion/process:hostile", "evasion > process [hostile]"), ("path:a/b", "path: a > b"), ("agg:max_crit", "aggregate: max crit"), ("filetype:elf", "file type: elf"), ("kv:x=y", "kv:x=y")])
+def test_describe(spark, name, want):
+    assert one(spark, verdicts.describe, name) == want
+
+
+def test_budget_of_a_run(spark):
+    rows = [(1, f, p, 0, "command", 10, False) for f in (1, 2) for p in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "report_id long, file_id long, pos int, tie int, kind string, bytes long, cached boolean")
+    got = {(r.file_id, r.pos): r.budget for r in refs.apply_budget(df, per_file=2, run_refs=3).collect()}
+    assert got == {(1, 1): None, (1, 2): None, (1, 3): "refs", (2, 1): None, (2, 2): "run_refs", (2, 3): "refs"}
+
+
+def test_known_good_goes_before_its_record(spark):
+    refs_df = spark.createDataFrame([("pkg:npm/a@1",), ("pkg:golang/x@v0.0.0-20200101000000-abcdefabcdef",), ("pkg:npm/c@1",)], "locator string")
+    reg = spark.createDataFrame([("pkg:npm/a@1", True), ("pkg:npm/c@1", True)], "locator string, removed boolean").selectExpr("locator", "CAST(NULL AS TIMESTAMP) AS published", "removed", "false AS security_hold", "CAST(NULL AS STRING) AS deprecated", "false AS known_good")
+    good = spark.createDataFrame([("pkg:npm/a@1",)], "locator string")
+    got = {r.locator: r.reason for r in refs.age_gate(refs_df, reg, F.lit("2024-01-01").cast("timestamp"), good=good).collect()}
+    assert got == {"pkg:npm/a@1": "known_good", "pkg:golang/x@v0.0.0-20200101000000-abcdefabcdef": "aged_out", "pkg:npm/c@1": "removed"}
