@@ -12,7 +12,9 @@
    force by :func:`recall`.
 
 A shard has about ``shard_rows * overlap`` rows: there are as many centres as
-that takes, up to ``max_centres``, and dense places get more of them.
+that takes, up to one for each row of the sample, and dense places get more of
+them. Two vectors are compared if one of the ``overlap`` centres nearest to
+each is the same.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.llm.components import components
@@ -186,6 +188,11 @@ def _search(df: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"u": node[both // n], "v": node[both % n]})
 
 
+def _plain(vec: str) -> Column:
+    """The vector in doubles, with one zero only: what a node's number is made of."""
+    return F.transform(F.col(vec), lambda x: x.cast("double") + F.lit(0.0))
+
+
 def nodes_of(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """Distinct linkable vectors: node, v array<double>, dim, low (smallest id), times."""
     v = F.transform(F.col(vec), lambda x: x.cast("double"))
@@ -196,14 +203,14 @@ def nodes_of(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding") -> D
     return rows.groupBy("v").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("times")).withColumn("node", F.xxhash64("v")).withColumn("dim", F.size("v"))
 
 
-def links(nodes: DataFrame, threshold: float = 0.9, overlap: int = 3, shard_rows: int = 700, max_centres: int = 4096) -> DataFrame:
+def links(nodes: DataFrame, threshold: float = 0.9, overlap: int = 5, shard_rows: int = 700) -> DataFrame:
     """``(u, v)`` for distinct nodes of one dimension with cosine ``threshold`` or more, as found."""
     spark = nodes.sparkSession
-    size = {r.dim: r.n for r in nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(100).collect()}
+    size = {r.dim: r.n for r in nodes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     sample = nodes.select("dim", "v", "node").orderBy(F.xxhash64("node"), "node").limit(FIT_ROWS).toPandas()
     centres = {}
     for dim, rows in sample.groupby("dim"):
-        k = min(-(-size.get(dim, 1) // shard_rows), max_centres, len(rows))
+        k = min(-(-size[dim] // shard_rows), len(rows))
         centres[int(dim)] = _centres(_units(rows["v"]), k).astype(np.float32)
     shared = spark.sparkContext.broadcast(centres)
 
@@ -241,31 +248,36 @@ def near_groups(df: DataFrame, id_col: str = "vec_id", vec: str = "embedding", t
     nodes = nodes.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
     nodes = nodes.join(best, "root").join(degree, "node", "left").select("node", (F.coalesce("others", F.lit(0)) + F.col("times") - 1).alias("n_links"), "component_id")
-    v = F.transform(F.col(vec), lambda x: x.cast("double") + F.lit(0.0))
-    out = df.select(F.col(id_col).alias("id"), F.xxhash64(v).alias("node")).join(nodes, "node", "left")
+    out = df.select(F.col(id_col).alias("id"), F.xxhash64(_plain(vec)).alias("node")).join(nodes, "node", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def recall(df: DataFrame, found: DataFrame, id_col: str = "vec_id", vec: str = "embedding", threshold: float = 0.9, every: int = 50) -> float:
-    """Share of the true links of every ``every``-th id that ``found`` counts (rows of :func:`near_groups`).
+def recall(df: DataFrame, edges: DataFrame, id_col: str = "vec_id", vec: str = "embedding", threshold: float = 0.9, every: int = 50) -> float:
+    """Share of the true links of every ``every``-th id that are among the ``edges (u, v)`` of :func:`links`.
 
-    The queries, one in ``every``, meet all rows in blocks.
+    The queries, one in ``every``, meet all rows in blocks, and each true link
+    is looked for by itself. Without a true link there is nothing to measure: an error.
     """
-    queries = df.where(F.col(id_col) % every == 0).select(F.col(id_col).alias("q"), F.col(vec).alias("qv"))
-    asked = queries.toPandas()
-    shared = df.sparkSession.sparkContext.broadcast((asked["q"].to_numpy(), _units(asked["qv"])))
+    asked = df.where(F.col(id_col) % every == 0).select(F.xxhash64(_plain(vec)).alias("q"), F.col(vec).alias("qv")).dropDuplicates(["q"]).toPandas()
+    shared = df.sparkSession.sparkContext.broadcast((asked["q"].to_numpy(), _units(asked["qv"]) if len(asked) else None))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q = shared.value
         for b in batches:
-            hit = (_units(b["v"]) @ q.T >= threshold) & (b["id"].to_numpy()[:, None] != ids[None, :])
-            yield pd.DataFrame({"q": ids, "n": hit.sum(0)})
+            if len(ids):
+                row, query = np.nonzero(_units(b["v"]) @ q.T >= threshold)
+                node = b["node"].to_numpy()[row]
+                other = node != ids[query]
+                yield pd.DataFrame({"u": np.minimum(node, ids[query])[other], "v": np.maximum(node, ids[query])[other]})
 
-    true = df.select(F.col(id_col).alias("id"), F.col(vec).alias("v")).mapInPandas(count, "q long, n long").groupBy("q").agg(F.sum("n").alias("n"))
-    got = true.join(found.select(F.col(id_col).alias("q"), "n_links"), "q").agg(F.sum(F.least("n", "n_links")), F.sum("n")).first()
-    return 1.0 if not got[1] else got[0] / got[1]
+    true = nodes_of(df, id_col, vec).select("node", "v").mapInPandas(pairs, "u long, v long").distinct()
+    got = true.join(edges.select("u", "v", F.lit(1).alias("hit")), ["u", "v"], "left").agg(F.count("hit"), F.count(F.lit(1))).first()
+    if not got[1]:
+        raise ValueError("no query has a link")
+    return got[0] / got[1]
 
 
 def op4_embedding_dedup(embeddings: DataFrame) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every vector; see :func:`near_groups`."""
     return near_groups(embeddings)

@@ -1,3 +1,4 @@
+import pytest
 import numpy as np
 
 from siftspark.llm import neargraph
@@ -45,8 +46,19 @@ def test_brute_force(spark):
     assert neargraph.near_groups(df.limit(0)).count() == 0
 
 
-def test_recall_on_table(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    found = neargraph.op4_embedding_dedup(df)
-    assert found.count() == df.count()
-    assert neargraph.recall(df, found) >= 0.99
+def test_recall_with_many_centres(spark):
+    """Planted pairs at 0.90 to 0.95 and a group of near but different vectors, dealt to hundreds of shards; links are looked for one by one."""
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base = unit(rng.normal(size=(4000, 64)))
+    cos = rng.uniform(0.905, 0.95, 2000)[:, None]
+    side = rng.normal(size=(2000, 64))
+    side = unit(side - (side * base[:2000]).sum(1, keepdims=True) * base[:2000])
+    mates = cos * base[:2000] + np.sqrt(1 - cos**2) * side
+    group = unit(base[:1] + 0.25 * unit(rng.normal(size=(300, 64))))
+    rows = [(i, x.tolist()) for i, x in enumerate(np.concatenate((base, mates, group)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    edges = neargraph.links(neargraph.nodes_of(df), shard_rows=30).cache()
+    assert neargraph.recall(df, edges, every=10) >= 0.9
+    with pytest.raises(ValueError):
+        neargraph.recall(df.where("vec_id between 3000 and 3999"), edges)
