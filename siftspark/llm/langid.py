@@ -40,24 +40,27 @@ def ngram_buckets(text: str, orders: tuple[int, ...], bits: int) -> Iterator[np.
     White space, digits and punctuation all count as one separator, so that
     the letters of words and their edges are what is counted.
     """
-    most = max(orders)
-    low = text.lower()
+    most, low = max(orders), text.lower()
+    seam, word = np.empty(0, np.uint64), True
     for at in range(0, len(low), _SLICE):
-        part = np.frombuffer(low[at : at + _SLICE + most - 1].encode("utf-32-le", "surrogatepass"), np.uint32)
+        part = np.frombuffer(low[at : at + _SLICE].encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = (part >= 0xAA) | ((part >= 97) & (part <= 122))
-        part = np.where(letter, part, 32)
-        runs = np.ones(len(part), bool)
-        runs[1:] = letter[1:] | letter[:-1]
-        part = part[runs].astype(np.uint64)
+        runs = letter | np.concatenate(([word], letter[:-1]))
+        word = bool(letter[-1])
+        new = np.where(letter, part, 32)[runs].astype(np.uint64)
+        part = np.concatenate((seam, new))
         for n in orders:
-            m = len(part) - n + 1
+            # those that end in this slice
+            mine = part[max(0, len(seam) - n + 1) :]
+            m = len(mine) - n + 1
             if m < 1:
                 continue
             h = np.full(m, n, np.uint64)
             for k in range(n):
-                h = (h ^ part[k : k + m]) * np.uint64(0x9E3779B97F4A7C15)
+                h = (h ^ mine[k : k + m]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
             yield (h * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
+        seam = part[len(part) - most + 1 :] if most > 1 and len(part) >= most else part[: len(part) * (most > 1)]
 
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", orders: tuple[int, ...] = (1, 2, 3), bits: int = 14, alpha: float = 0.5, max_langs: int = 256) -> Model:
@@ -97,39 +100,58 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", orders: tuple[i
     return Model(tuple(langs), np.ascontiguousarray(logp), np.log((prior + 1) / (prior + 1).sum()) if langs else prior, orders, bits)
 
 
-def _score(model: Model, text: str | None) -> tuple[str, float]:
+def _score(model: Model, text: str | None) -> tuple[str, float, float]:
+    """Language, posterior, and by how much an n-gram is likelier, on average and in logarithms, than if all buckets were alike."""
     if not text or not model.langs or not any(map(str.isalpha, text)):
-        return UNKNOWN, 0.0
-    total = model.prior.copy()
+        return UNKNOWN, 0.0, 0.0
+    total, n = np.zeros(len(model.langs)), 0
     for b in ngram_buckets(text, model.orders, model.bits):
+        n += len(b)
         for at in range(0, len(b), 1 << 16):
             total += model.logp[b[at : at + (1 << 16)]].sum(0, dtype=np.float64)
+    fit = total / max(n, 1) + model.bits * np.log(2)
+    total = total + model.prior
     best = int(total.argmax())
-    return model.langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())
+    return model.langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum()), float(fit[best])
 
 
 def predict(df: DataFrame, model: Model, text: str = "text", lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """Add ``lang_pred`` and ``score`` (or the given names), the posterior of the predicted language (0 to 1).
 
     ``und`` and 0.0 for a text that is null, empty or without a letter, and
-    for a model without languages; ties go to the first language by name.
-    Only ``text`` is read; columns of these two names are replaced.
+    for a model without languages; ties go to the first language by name. A
+    text of any length counts whole. Only ``text`` is read; columns of these
+    two names are replaced.
     """
+    return _said(df, model, text).withColumns({lang_out: F.col(f"{_SAID}.lang_pred"), score_out: F.col(f"{_SAID}.score")}).drop(_SAID)
+
+
+#: Name of a column that no table has.
+_SAID = "__langid_said"
+
+
+def _said(df: DataFrame, model: Model, text: str) -> DataFrame:
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def of(texts: pd.Series) -> pd.DataFrame:
         m = shared.value
-        return pd.DataFrame([_score(m, x) for x in texts], columns=["lang_pred", "score"])
+        return pd.DataFrame([_score(m, x) for x in texts], columns=["lang_pred", "score", "fit"])
+
+    kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("fit", T.DoubleType())])
+    return df.withColumn(_SAID, F.pandas_udf(of, kind)(F.col(text)))
 
-    kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    said = df.withColumn("__lang", F.pandas_udf(of, kind)(F.col(text)))
-    return said.withColumn(lang_out, F.col("__lang.lang_pred")).withColumn(score_out, F.col("__lang.score")).drop("__lang")
 
+def keep_known(df: DataFrame, model: Model, text: str = "text", min_fit: float = 0.0) -> DataFrame:
+    """Rows in a language of the model; the columns of ``df``.
 
-def keep_known(df: DataFrame, model: Model, text: str = "text", min_score: float = 0.0) -> DataFrame:
-    """Rows whose language is known with at least ``min_score``; the columns of ``df``."""
-    said = predict(df, model, text, "__lang_pred", "__lang_score")
-    return said.where((F.col("__lang_pred") != UNKNOWN) & (F.col("__lang_score") >= min_score)).drop("__lang_pred", "__lang_score")
+    The posterior says which language is likeliest and not whether it is one of
+    them. So a text goes whose n-grams are on average no likelier in its best
+    language than if all buckets were alike (``min_fit``, in natural
+    logarithms): that of a script or a language never seen. Texts that are
+    null, empty or without a letter go as well.
+    """
+    said = _said(df, model, text)
+    return said.where((F.col(f"{_SAID}.lang_pred") != UNKNOWN) & (F.col(f"{_SAID}.fit") > min_fit)).drop(_SAID)
 
 
 def held_out(id_col: str = "doc_id", fold: int = 1, folds: int = 3):
@@ -138,6 +160,7 @@ def held_out(id_col: str = "doc_id", fold: int = 1, folds: int = 3):
 
 
 def op3_language_id(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every document; learnt from the folds that are not held out."""
     docs = docs.select("doc_id", "text", "lang").withColumn("held_out", held_out())
     model = fit(docs.where("not held_out"))
     return predict(docs, model).select("doc_id", "held_out", "lang_pred", "score")

@@ -1,4 +1,8 @@
+import math
 import zlib
+from collections import Counter
+
+import pytest
 
 from siftspark.llm import langid
 
@@ -35,7 +39,49 @@ def test_edges(spark):
 
 def test_ngrams_of_slices_meet(monkeypatch):
     text = "Aé b-c döf ghi" * 50
-    whole = sorted(x for b in langid.ngram_buckets(text, (1,), 14) for x in b.tolist())
-    monkeypatch.setattr(langid, "_SLICE", 7)
-    parts = [x for b in langid.ngram_buckets(text, (1,), 14) for x in b.tolist()]
-    assert set(whole) == set(parts)
+    whole = sorted(x for b in langid.ngram_buckets(text, (1, 2, 3), 14) for x in b.tolist())
+    for size in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(langid, "_SLICE", size)
+        assert sorted(x for b in langid.ngram_buckets(text, (1, 2, 3), 14) for x in b.tolist()) == whole
+
+
+def test_brute_force(spark):
+    """The same model by dictionaries and loops, n-grams of a plain scan included; ties go to the first name."""
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("the cat sat", "en"), ("a cat", "en"), ("die katze", "de"), ("le chat noir", "fr"), ("the dog", "en"), ("", "fr"), ("der hund, die maus 12", "de")])]
+    asked = [(0, "cat"), (1, "chat"), (2, "katze und maus"), (3, "zzz"), (4, "x-y"), (5, "The  CAT"), (6, "1 2"), (7, None)]
+
+    def grams(text):
+        out, line = [], ""
+        for c in text.lower():
+            c = c if "a" <= c <= "z" or ord(c) >= 0xAA else " "
+            line += c if c != " " or not line or line[-1] != " " else ""
+        for n in (1, 2, 3):
+            out += [line[k : k + n] for k in range(len(line) - n + 1)]
+        return out
+
+    def bucket(gram):
+        return next(iter(b for part in langid.ngram_buckets(gram, (len(gram),), 14) for b in part.tolist()))
+
+    langs = ["de", "en", "fr"]
+    counts = {x: Counter(bucket(g) for _, t, y in rows if y == x for g in grams(t)) for x in langs}
+    docs = Counter(y for _, _, y in rows)
+    want = {}
+    for k, t in asked:
+        if not t or not any(c.isalpha() for c in t):
+            want[k] = ("und", 0.0)
+            continue
+        total = [math.log((docs[x] + 1) / (len(rows) + 3)) + sum(math.log((counts[x][bucket(g)] + 0.5) / (sum(counts[x].values()) + 0.5 * 2**14)) for g in grams(t)) for x in langs]
+        best = max(range(3), key=lambda i: (total[i], -i))
+        want[k] = (langs[best], 1 / sum(math.exp(v - total[best]) for v in total))
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    assert got == {k: (x, pytest.approx(p, rel=1e-4)) for k, (x, p) in want.items()}
+
+
+def test_other_scripts_go_and_clean_texts_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs.where(~langid.held_out()))
+    lettered = docs.where("text rlike '[A-Za-z]'")
+    assert langid.keep_known(lettered.where("length(text) > 40"), model).count() == lettered.where("length(text) > 40").count()
+    odd = spark.createDataFrame([(1, "这是一个完全不同的文字系统里的句子"), (2, "Это предложение написано другой письменностью")], "doc_id long, text string")
+    assert langid.keep_known(odd, model).count() == 0
