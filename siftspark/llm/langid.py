@@ -141,14 +141,14 @@ def _said(df: DataFrame, model: Model, text: str) -> DataFrame:
     return df.withColumn(_SAID, F.pandas_udf(of, kind)(F.col(text)))
 
 
-def keep_known(df: DataFrame, model: Model, text: str = "text", min_fit: float = 0.0) -> DataFrame:
+def keep_known(df: DataFrame, model: Model, text: str = "text", min_fit: float = -1.0) -> DataFrame:
     """Rows in a language of the model; the columns of ``df``.
 
     The posterior says which language is likeliest and not whether it is one of
-    them. So a text goes whose n-grams are on average no likelier in its best
-    language than if all buckets were alike (``min_fit``, in natural
-    logarithms): that of a script or a language never seen. Texts that are
-    null, empty or without a letter go as well.
+    them. So a text goes whose n-grams are on average less likely in its best
+    language, by a factor of e (``min_fit``, in natural logarithms), than if all
+    buckets were alike: that of a script never seen. Texts that are null, empty
+    or without a letter go as well.
     """
     said = _said(df, model, text)
     return said.where((F.col(f"{_SAID}.lang_pred") != UNKNOWN) & (F.col(f"{_SAID}.fit") > min_fit)).drop(_SAID)

@@ -1,7 +1,5 @@
 """The pipeline against plain Python on the smallest tables."""
 
-import numpy as np
-
 import corpus_pipeline
 from siftspark.llm import simhash
 from tests.llm.test_decontamination import plain as leaked
@@ -25,13 +23,12 @@ def test_run(spark, sf_dir):
         new = "\n".join(line for k, line in enumerate(x.split("\n")) if k not in out_)
         if new.strip() or not out_:
             kept.append((i, new))
-    # fingerprints at most 51 of 256 bits apart that agree in one of 21 blocks of 12 bits
-    fps = np.array([simhash.fingerprint(x, 5, 4) for _, x in kept])
-    bits = np.unpackbits(fps.astype(">u8").view(np.uint8).reshape(len(fps), 32), axis=1)[:, :252].reshape(len(fps), 21, 12)
+    # sets of five-word shingles with a Jaccard similarity of 0.8 or more
+    sets = [set(simhash.shingle_hashes(x, 5).tolist()) for _, x in kept]
     root = list(range(len(kept)))
     for a in range(len(kept)):
         for b in range(a):
-            if np.bitwise_count(fps[a] ^ fps[b]).sum() <= 51 and (bits[a] == bits[b]).all(1).any():
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
                 x, y = root[a], root[b]
                 root = [min(x, y) if r in (x, y) else r for r in root]
     best = {}
