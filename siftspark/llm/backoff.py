@@ -251,4 +251,5 @@ def held_out(id_col: str = "doc_id", fold: int = 2, folds: int = 7):
 
 
 def op6_lm_scoring(docs: DataFrame) -> DataFrame:
+    """Scores of every document; learnt from the folds that are not held out. See :func:`score`."""
     return score(docs.select("doc_id", "text", held_out().alias("held_out")))

@@ -146,6 +146,7 @@ def drop_leaked(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text: s
 
 
 def op7_decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """A row for each document and benchmark item that match, with the best window. See :func:`leaks`."""
     return find_leaks(docs, items).select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "word_start", "n_words")
 
 

@@ -44,7 +44,8 @@ def with_slots(df: DataFrame, shards: int, shard: str = "shard", key: str = "doc
     A shard is numbered in parts by a hash of key and row, each part behind
     the counts of those before it, so no task sorts a whole shard. Only the
     table of part sizes is summed over a shard. Repeated rows get slots in
-    any order.
+    any order. ``__part``, ``__local`` and ``__start`` are this function's own
+    columns: a table that has them loses them.
     """
     rows = df.count()
     parts = max(1, -(-rows // (shards * rows_per_part)))
@@ -63,6 +64,7 @@ def write_shards(df: DataFrame, path: str, shards: int, key: str = "doc_id") ->
 
 
 def op5_sharding(docs: DataFrame, shards: int = 40) -> DataFrame:
+    """Shard, slot, and shard with one more shard of every document, by the law ``key``; a null text has size 16."""
     thin = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("key").alias("law"))
     both = assign(assign(thin, shards), shards + 1, out="grown_shard")
     return with_slots(both, shards).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

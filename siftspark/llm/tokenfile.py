@@ -454,6 +454,7 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = True) -> DataFrame:
 
 
 def op8_token_files(docs: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, read back from the files that were written."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(docs, path)

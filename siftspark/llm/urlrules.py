@@ -97,6 +97,7 @@ def judge(urls: DataFrame, rules: DataFrame, id_col: str = "page_id", default: s
 
 
 def op10_url_filters(pages: DataFrame) -> DataFrame:
+    """Host, path, rule and verdict of every page's url; without a rule that fits it is allowed."""
     return judge(pages, rule_table(pages.sparkSession))
 
 
