@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.llm import align, backoff, decontam, langid, linedup, neargraph, pieces, quality, sharding, simhash, tokenfile, urlrules
+from siftspark.llm import align, backoff, decontam, langid, linedup, neargraph, pieces, quality, sharding, simhash, tokenfile, turns, urlrules
 from siftspark.session import table
 
 
@@ -48,6 +48,10 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.op10_url_filters(table(spark, sf_dir, "pages"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.op11_conversation_repair(table(spark, sf_dir, "conversations"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op12_quality_rules(table(spark, sf_dir, "documents"))
 
@@ -56,5 +60,5 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.op13_token_alignment(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_language_id, op4_embedding_dedup, op5_sharding, op6_lm_scoring, op7_decontamination, op8_token_files, op9_line_dedup, op10_url_filters, op12_quality_rules, op13_token_alignment)}
-ORACLES = {"op7_decontamination": decontam.OP7_SQL, "op9_line_dedup": linedup.OP9_SQL, "op10_url_filters": urlrules.OP10_SQL, "op12_quality_rules": quality.OP12_SQL}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_simhash, op3_language_id, op4_embedding_dedup, op5_sharding, op6_lm_scoring, op7_decontamination, op8_token_files, op9_line_dedup, op10_url_filters, op11_conversation_repair, op12_quality_rules, op13_token_alignment)}
+ORACLES = {"op7_decontamination": decontam.OP7_SQL, "op9_line_dedup": linedup.OP9_SQL, "op10_url_filters": urlrules.OP10_SQL, "op11_conversation_repair": turns.OP11_SQL, "op12_quality_rules": quality.OP12_SQL}
