@@ -9,29 +9,34 @@ pieces are merged side by side, one lane of numpy arrays each; each numbers its
 groups from zero, and a running sum over the pieces stitches the group that
 crosses a border.
 
-An alignment is a table of chunks. A chunk holds the ids of some texts, the
-sizes of their groups, and each linked id pair with the number of its texts. The
-counts of all pairs come back to the chunks as arrays, so only distinct pairs of
-chunks are shuffled as rows, never links.
+At a single blank between two other characters both tokenizers start a token
+and neither sees what lies beyond, so a text is a row of units that are aligned
+once each. An alignment is a table of chunks: the units that some texts use,
+with their ids and the sizes of their groups, the texts as unit numbers, and
+each linked id pair with the number of its texts. Only distinct pairs of chunks
+are shuffled as rows, never links.
 """
 
+
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.llm.tokenfile import Words, default_tokenizer
-from siftspark.session import small_batches, stored
+from siftspark.session import shared_dir, small_batches
 
-#: Ends that a piece merges, tokens after which a chunk is closed, and links of a group that are put out one by one.
-WORK, CHUNK, _PLAIN = 256, 600_000, 4096
+#: Ends that a piece merges, units after which a chunk is closed, units that a worker keeps, and links of a group that are put out one by one.
+WORK, CHUNK, KEPT, _PLAIN = 256, 1_000_000, 400_000, 4096
 _FAR = np.iinfo(np.int64).max
 
 
@@ -96,43 +101,141 @@ def _shown() -> dict[str, int]:
 _SHOWN = _shown()
 
 
-class Pair:
-    """Both tokenizers with the bytes of their tokens."""
+class _Flat:
+    """Rows of whole numbers of different lengths, one behind the other."""
+
+    def __init__(self):
+        self.values, self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def add(self, values: np.ndarray, size: np.ndarray) -> None:
+        self.first = np.concatenate((self.first, len(self.values) + np.cumsum(size) - size))
+        self.values, self.size = np.concatenate((self.values, values)), np.concatenate((self.size, size))
+
+    def take(self, rows: np.ndarray) -> np.ndarray:
+        n = self.size[rows]
+        return self.values[np.arange(n.sum()) + np.repeat(self.first[rows] - (np.cumsum(n) - n), n)]
 
-    def __init__(self, path_a: str, path_b: str):
+
+class Units:
+    """Both tokenizers, and the aligned units that a worker has met."""
+
+    def __init__(self, path_a: str, path_b: str, kept: int = KEPT):
         import sentencepiece
 
         # special tokens' strings in a text are plain text
         self.words = Words(path_a)
         self.words.tokenizer.encode_special_tokens, self.words.added = True, []
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
+        if any("\n" in p or "▁" in p.lstrip("▁") for p in pieces):
+            raise ValueError("a piece goes on behind a blank or a line feed: texts cannot be cut into units")
+        self.blank, self.base, self.kept = self.b.piece_to_id("▁"), len(pieces), kept
         token = self.words.tokenizer.id_to_token
         self.bytes_a = [_byte_level(token(k) or "") for k in range(self.words.size)]
-        piece = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
-        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(piece)]
+        self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
         self.len_a, self.len_b = (np.array(list(map(len, b)), np.int64) for b in (self.bytes_a, self.bytes_b))
-
-    def encode(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Ids of both for each text; none where the text is null or empty, or its tokens' bytes are not its own."""
+        # a token's number and what follows it: within a group, between its two halves, behind it
+        self.most = max(self.words.size, self.base)
+        self.said = [b"%d%b" % (k, sep) for sep in (b",", b"|", b";") for k in range(self.most)]
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict = {}
+        self.a, self.b_, self.in_a, self.in_b = _Flat(), _Flat(), _Flat(), _Flat()
+        self.good, self.n_links, self.text = np.empty(0, bool), np.empty(0, np.int64), []
+
+    def _learn(self, keys: list) -> None:
+        """Align the keys not met before. A string is a unit behind a blank, or one that a line feed begins; a tuple has a unit of any kind behind a blank."""
+        fresh = [k for k in dict.fromkeys(keys) if k not in self.known]
+        self.known.update((k, -1) for k in fresh)
+        fresh = [k for k in fresh if isinstance(k, tuple) or not self.words._open(k)]
+        if not fresh:
+            return
+        self.known.update(zip(fresh, range(len(self.text), len(self.text) + len(fresh)), strict=True))
+        words = self.words
+        words.clear()
+        named = [(words._AFTER, k[0]) if isinstance(k, tuple) else k for k in fresh]
+        words._learn(named)
+        which = np.fromiter(map(words.known.__getitem__, named), np.int64, len(named))
+        n_a = words.length[which]
+        a = words.ids[np.arange(n_a.sum()) + np.repeat(words.first[which] - (np.cumsum(n_a) - n_a), n_a)].astype(np.int64)
+        plain = [k[0] if isinstance(k, tuple) else k for k in fresh]
+        # the model puts a blank before a text; a line feed is in no piece, so there the blank stands alone
+        fed = [isinstance(k, str) and k[0] == "\n" for k in fresh]
+        rows = [r[1:] if f and r[0] == self.blank else r for r, f in zip(self.b.encode(plain, num_threads=1), fed, strict=True)]
+        n_b = np.fromiter(map(len, rows), np.int64, len(rows))
+        b = np.fromiter((i for r in rows for i in r), np.int64, n_b.sum())
+        said_a, said_b = b"".join(map(self.bytes_a.__getitem__, a.tolist())), b"".join(map(self.bytes_b.__getitem__, b.tolist()))
+        end_a, end_b = (np.cumsum(np.bincount(np.repeat(np.arange(len(n)), n), length[x], len(n)).astype(np.int64)) for n, length, x in ((n_a, self.len_a, a), (n_b, self.len_b, b)))
+        want = [(t if f else " " + t).encode() for t, f in zip(plain, fed, strict=True)]
+        end = np.cumsum(list(map(len, want)))
+        good = np.ones(len(fresh), bool)
+        if not (said_a == said_b == b"".join(want) and (end_a == end).all() and (end_b == end).all()):
+            bounds = zip(np.append(0, end_a), end_a, np.append(0, end_b), end_b, strict=False)
+            good[:] = [said_a[a0:a1] == w == said_b[b0:b1] for w, (a0, a1, b0, b1) in zip(want, bounds, strict=True)]
+        # units that do not give back their bytes have no tokens, so the ends of all others ascend and meet at each unit's end
+        keep_a, keep_b = np.repeat(good, n_a), np.repeat(good, n_b)
+        a, b, n_a, n_b = a[keep_a], b[keep_b], n_a * good, n_b * good
+        of_a, of_b = groups_of(np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b]))
+        in_a, in_b = np.bincount(of_a), np.bincount(of_b)
+        unit = np.repeat(np.arange(len(fresh)), n_a)
+        groups = np.bincount(unit[np.flatnonzero(np.diff(of_a, prepend=-1))], minlength=len(fresh))
+        self.a.add(a, n_a)
+        self.b_.add(b, n_b)
+        self.in_a.add(in_a, groups)
+        self.in_b.add(in_b, groups)
+        self.good = np.concatenate((self.good, good))
+        links = np.bincount(np.repeat(np.arange(len(fresh)), groups), in_a * in_b, len(fresh)).astype(np.int64)
+        self.n_links = np.concatenate((self.n_links, links))
+        self.text += self._texts(a, b, in_a, in_b, n_a + n_b)
+
+    def _texts(self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, tokens: np.ndarray) -> list[bytes]:
+        """The groups of each unit written out, each with its closing mark."""
+        end_a, end_b = np.cumsum(in_a), np.cumsum(in_b)
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[end_a - 1], last_b[end_b - 1] = 1, 2
+        order = np.empty(len(a) + len(b), np.int64)
+        order[np.arange(len(a)) + np.repeat(end_b - in_b, in_a)] = last_a * self.most + a
+        order[np.arange(len(b)) + np.repeat(end_a, in_b)] = last_b * self.most + b
+        said, at = list(map(self.said.__getitem__, order.tolist())), np.concatenate(([0], np.cumsum(tokens))).tolist()
+        return [b"".join(said[s:e]) for s, e in zip(at, at[1:], strict=False)]
+
+    def _numbers(self, flat: list) -> np.ndarray:
+        try:
+            return np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        except KeyError:
+            self._learn(flat)
+            return np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+
+    def cut(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The unit numbers of each text; none where it is null or empty, or a unit does not give back its bytes."""
+        none = np.empty(0, np.int64)
+        out = [none] * len(texts)
         full = [k for k, t in enumerate(texts) if t]
-        none = np.empty(0, np.int32)
-        out_a, out_b = [none] * len(texts), [none] * len(texts)
-        flat, each = self.words.encode([" " + texts[k] for k in full])
-        at = np.cumsum(each) - each
-        for k, start, n, ids_b in zip(full, at.tolist(), each.tolist(), self.b.encode([texts[k] for k in full], num_threads=1), strict=True):
-            ids_a = flat[start : start + n - 1]  # the last one is the end of the row
-            said = (" " + texts[k]).encode()
-            if b"".join(map(self.bytes_a.__getitem__, ids_a.tolist())) == said == b"".join(map(self.bytes_b.__getitem__, ids_b)):
-                out_a[k], out_b[k] = ids_a, np.array(ids_b, np.int32)
-        return out_a, out_b
-
-
-_AT_HAND: dict[tuple[str, str], Pair] = {}
-
-
-def _pair(path_a: str, path_b: str) -> Pair:
+        if not full:
+            return out
+        parts = [texts[k].replace("\n", " \n").split(" ") for k in full]
+        which = self._numbers([p for row in parts for p in row])
+        begin = np.cumsum([0, *map(len, parts[:-1])])
+        unsure = np.flatnonzero(np.minimum.reduceat(which, begin) < 0)
+        if len(unsure):
+            for k in unsure:
+                parts[k] = [(p,) for p in self.words.single.split(texts[full[k]])]
+            which = self._numbers([p for row in parts for p in row])
+            begin = np.cumsum([0, *map(len, parts[:-1])])
+        good = np.logical_and.reduceat(self.good[which], begin)
+        for k, g, row in zip(full, good.tolist(), np.split(which, begin[1:]), strict=True):
+            if g:
+                out[k] = row
+        return out
+
+
+_AT_HAND: dict[tuple[str, str], Units] = {}
+
+
+def _units(path_a: str, path_b: str) -> Units:
     if (path_a, path_b) not in _AT_HAND:
-        _AT_HAND[path_a, path_b] = Pair(path_a, path_b)
+        _AT_HAND[path_a, path_b] = Units(path_a, path_b)
     return _AT_HAND[path_a, path_b]
 
 
@@ -164,87 +267,125 @@ def _links(a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray, bas
     return np.concatenate(keys), np.concatenate(groups), np.concatenate(times)
 
 
-def _chunk(number: int, ids: pa.Array, a: list[np.ndarray], b: list[np.ndarray], pair: Pair) -> dict:
-    each_a, each_b = (np.array(list(map(len, x)), np.int64) for x in (a, b))
-    flat_a, flat_b = np.concatenate(a), np.concatenate(b)
-    # texts lie one behind the other, so the ends of both ascend through the chunk and meet at each text's end
-    of_a, of_b = groups_of(np.cumsum(pair.len_a[flat_a]), np.cumsum(pair.len_b[flat_b]))
-    in_a, in_b = np.bincount(of_a), np.bincount(of_b)
-    heads = np.cumsum(each_a) - each_a
-    total = len(in_a)
-    head = np.append(of_a, total)[heads]
-    groups = np.diff(np.append(head, total))
-    doc = np.repeat(np.arange(len(a)), groups)
-    key, group, _ = _links(flat_a, flat_b, in_a, in_b, len(pair.bytes_b))
-    code, keys = pd.factorize(key, sort=True)
-    held = pd.unique(doc[group] * max(len(keys), 1) + code)
+def _pack(x: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(x, "<i4").tobytes(), 1)
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), "<i4").astype(np.int64)
+
+
+def _sums(values: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Sums of rows that lie one behind the other."""
+    total = np.concatenate(([0], np.cumsum(values)))
+    end = np.cumsum(size)
+    return total[end] - total[end - size]
+
+
+def _chunk(number: int, ids: pa.Array, texts: list[np.ndarray], units: Units) -> pa.RecordBatch:
+    size = np.array(list(map(len, texts)), np.int64)
+    flat = np.concatenate(texts)
+    times = np.bincount(flat, minlength=len(units.text))
+    # frequent units get small numbers
+    mine = np.argsort(-times, kind="stable")[: np.count_nonzero(times)]
+    rank = np.zeros(len(times), np.int64)
+    rank[mine] = np.arange(len(mine))
+    code = rank[flat]
+    a, b, in_a, in_b = (x.take(mine) for x in (units.a, units.b_, units.in_a, units.in_b))
+    key, group, _ = _links(a, b, in_a, in_b, units.base)
+    pair, keys = pd.factorize(key, sort=True)
+    # the distinct pairs of each unit, then of each text
+    groups = units.in_a.size[mine]
+    unit = np.repeat(np.arange(len(mine)), groups)[group]
+    once = np.sort(pd.unique(unit * max(len(keys), 1) + pair))
+    has = np.bincount(once // max(len(keys), 1), minlength=len(mine))
+    once, first = once % max(len(keys), 1), np.cumsum(has) - has
+    doc = np.repeat(np.arange(len(texts)), size)
+    held = pd.unique(doc * max(len(mine), 1) + code)
+    doc, unit = held // max(len(mine), 1), held % max(len(mine), 1)
+    n = has[unit]
+    at = np.arange(n.sum()) + np.repeat(first[unit] - (np.cumsum(n) - n), n)
+    held = pd.unique(np.repeat(doc, n) * max(len(keys), 1) + once[at])
     holders = np.bincount(held % max(len(keys), 1), minlength=len(keys))
-    return {"chunk": number, "ids": ids, "n_a": each_a, "n_b": each_b, "n_groups": groups, "a": flat_a, "b": flat_b, "in_a": in_a, "in_b": in_b, "keys": keys, "holders": holders}
-
+    digests = []
+    for row in texts:
+        digests.append(hashlib.sha256(b"".join(map(units.text.__getitem__, row.tolist()))[:-1]).hexdigest() if len(row) else "")
+    each = [_sums(x[flat], size) for x in (units.a.size, units.b_.size, units.in_a.size, units.n_links)]
+    lists = {"ids": ids, **dict(zip(("n_a", "n_b", "n_groups", "n_links"), (pa.array(x, pa.int64()) for x in each), strict=True)), "groups_sha256": pa.array(digests, pa.string()), "keys": pa.array(keys, pa.int64()), "holders": pa.array(holders, pa.int64())}
+    packed = {"sizes": size, "codes": code, "a": a, "b": b, "unit_a": units.a.size[mine], "unit_b": units.b_.size[mine], "unit_groups": groups, "in_a": in_a, "in_b": in_b}
+    columns = {"chunk": pa.array([number], pa.int64())} | {k: pa.ListArray.from_arrays([0, len(v)], v) for k, v in lists.items()} | {k: pa.array([_pack(v)], pa.binary()) for k, v in packed.items()}
+    return pa.RecordBatch.from_pydict(columns)
 
-_FIELDS = {"n_a": "int", "n_b": "int", "n_groups": "int", "a": "int", "b": "int", "in_a": "int", "in_b": "int", "keys": "bigint", "holders": "bigint"}
-_ARROW = {"int": pa.int32(), "bigint": pa.int64()}
 
-
-def _batch(row: dict) -> pa.RecordBatch:
-    arrays = {"chunk": pa.array([row["chunk"]], pa.int64()), "ids": pa.ListArray.from_arrays([0, len(row["ids"])], row["ids"])}
-    arrays |= {k: pa.ListArray.from_arrays([0, len(row[k])], pa.array(np.asarray(row[k]), _ARROW[t], safe=False)) for k, t in _FIELDS.items()}
-    return pa.RecordBatch.from_pydict(arrays)
+_PACKED = ("sizes", "codes", "a", "b", "unit_a", "unit_b", "unit_groups", "in_a", "in_b")
+_DIGEST = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
 
 
 def align(df: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str | None = None, pieces: str | None = None, chunk: int = CHUNK) -> DataFrame:
-    """The alignment of every text, stored, a row for each chunk.
+    """The alignment of every text, stored, a row for each chunk; see :func:`groups`, :func:`pair_counts` and :func:`summaries`.
 
     A reads the text behind a space, B adds its own. A text that is null or
     empty, or that either tokenizer does not give back byte for byte, has no
     tokens. Columns other than ``id_col`` and ``text`` are not read, equal ids
-    are texts of their own. A text of any length is one text of one chunk, for
-    neither tokenizer can start in the middle of one.
+    are texts of their own. A text of any length is in one chunk.
     """
     path_a, path_b = tokenizer or default_tokenizer(), pieces or default_pieces()
-    small_batches(df.sparkSession)
+    spark = df.sparkSession
+    small_batches(spark)
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, number = _pair(path_a, path_b), TaskContext.get().partitionId() << 32
-        ids, a, b, held = [], [], [], 0
+        units, number = _units(path_a, path_b), TaskContext.get().partitionId() << 32
+        ids, texts, held = [], [], 0
+
+        def close() -> pa.RecordBatch:
+            return _chunk(number, pa.concat_arrays(ids), texts, units)
+
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            begin, size = 0, 0
-            for k, t in enumerate(texts):
-                size += len(t or "")
-                if size < chunk and k + 1 < len(texts):
-                    continue
-                new_a, new_b = pair.encode(texts[begin : k + 1])
-                ids.append(batch.column(0)[begin : k + 1])
-                a, b = a + new_a, b + new_b
-                held += sum(map(len, new_a)) + sum(map(len, new_b))
-                begin, size = k + 1, 0
+            for begin in range(0, batch.num_rows, 100):
+                part = batch.slice(begin, 100)
+                if len(units.text) > units.kept:
+                    # numbers of units hold for one chunk only
+                    if ids:
+                        yield close()
+                        number, ids, texts, held = number + 1, [], [], 0
+                    units.clear()
+                texts += units.cut(part.column(1).to_pylist())
+                ids.append(part.column(0))
+                held = sum(map(len, texts[-part.num_rows :])) + held
                 if held > chunk:
-                    yield _batch(_chunk(number, pa.concat_arrays(ids), a, b, pair))
-                    number, ids, a, b, held = number + 1, [], [], [], 0
+                    yield close()
+                    number, ids, texts, held = number + 1, [], [], 0
         if ids:
-            yield _batch(_chunk(number, pa.concat_arrays(ids), a, b, pair))
+            yield close()
 
     kind = df.schema[id_col].dataType.simpleString()
-    fields = ", ".join(f"{k} array<{t}>" for k, t in _FIELDS.items())
-    return stored(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(chunks, f"chunk bigint, ids array<{kind}>, {fields}"))
+    schema = f"chunk bigint, ids array<{kind}>, " + ", ".join(f"{c} array<bigint>" for c in ("n_a", "n_b", "n_groups", "n_links")) + ", groups_sha256 array<string>, keys array<bigint>, holders array<bigint>, " + ", ".join(f"{c} binary" for c in _PACKED)
+    rows = df.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(chunks, schema)
+    path = f"{shared_dir(spark)}/alignment-{uuid.uuid4().hex}"
+    # a chunk is large: readers take one row group at a time
+    rows.write.option("compression", "zstd").option("parquet.block.row.count.limit", "1").parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def groups(alignment: DataFrame) -> DataFrame:
     """``(id, groups)``, a group being the ids ``a`` and ``b`` that cover the same bytes."""
     kind = alignment.schema["ids"].dataType.elementType.simpleString()
+    field = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                at = {k: np.concatenate(([0], np.cumsum(row[k]))).tolist() for k in ("in_a", "in_b", "n_groups")}
-                a, b = at["in_a"], at["in_b"]
-                all_ = [{"a": row["a"][a[g] : a[g + 1]], "b": row["b"][b[g] : b[g + 1]]} for g in range(len(row["in_a"]))]
-                mine = [all_[s:e] for s, e in zip(at["n_groups"], at["n_groups"][1:], strict=False)]
-                field = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
-                yield pa.RecordBatch.from_arrays([pa.array(row["ids"], batch.column("ids").type.value_type), pa.array(mine, field)], ["id", "groups"])
+            for r in range(batch.num_rows):
+                row = {c: _unpack(batch.column(c)[r].as_py()) for c in _PACKED}
+                a, b, g = (np.concatenate(([0], np.cumsum(row[c]))).tolist() for c in ("in_a", "in_b", "unit_groups"))
+                ids_a, ids_b = row["a"].tolist(), row["b"].tolist()
+                unit = [[{"a": ids_a[a[k] : a[k + 1]], "b": ids_b[b[k] : b[k + 1]]} for k in range(s, e)] for s, e in zip(g, g[1:], strict=False)]
+                texts = np.split(row["codes"], np.cumsum(row["sizes"])[:-1])
+                out = [[x for u in t.tolist() for x in unit[u]] for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column("ids")[r].values, pa.array(out, field)], ["id", "groups"])
 
-    return alignment.select("ids", "n_groups", "a", "b", "in_a", "in_b").mapInArrow(each, f"id {kind}, groups array<struct<a: array<int>, b: array<int>>>")
+    return alignment.select("ids", *_PACKED).mapInArrow(each, f"id {kind}, groups array<struct<a: array<int>, b: array<int>>>")
 
 
 def pair_counts(alignment: DataFrame, pieces: str | None = None) -> DataFrame:
@@ -263,64 +404,37 @@ def pair_counts(alignment: DataFrame, pieces: str | None = None) -> DataFrame:
     return counts.join(F.broadcast(most), "a").select("key", "a", "b", "documents", (F.col("documents") == F.col("most")).alias("best"))
 
 
-def _answered(alignment: DataFrame, counts: DataFrame) -> DataFrame:
-    """The chunks with the counts of their pairs, in the order of ``keys``."""
-    asked = alignment.select("chunk", F.explode("keys").alias("key"))
-    told = asked.join(counts.select("key", "documents", "best"), "key").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("key", "documents", "best"))).alias("told"))
-    told = told.select("chunk", F.col("told.documents").alias("counts"), F.col("told.best").alias("best"))
-    return alignment.drop("holders").join(told, "chunk", "left")
-
-
-_SUMMARY = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string"
-
-
-def summaries(alignment: DataFrame, pieces: str | None = None, tokenizer: str | None = None) -> DataFrame:
+def summaries(alignment: DataFrame, pieces: str | None = None) -> DataFrame:
     """Per text: tokens, groups, links, links whose pair is the best of its ``a``, the pairs' counts in sum, and a digest of the groups."""
-    path_a, path_b = tokenizer or default_tokenizer(), pieces or default_pieces()
-    kind = alignment.schema["ids"].dataType.elementType.simpleString()
+    import sentencepiece
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = _pair(path_a, path_b)
-        base = len(pair.bytes_b)
-        most = max(pair.words.size, base)
-        # a token's number and what follows it
-        said = [b"%d%b" % (k, sep) for sep in (b",", b"|", b";") for k in range(most)]
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = {k: batch.column(k)[r].values for k in batch.schema.names if k != "chunk"}
-                n = {k: row[k].to_numpy(zero_copy_only=False).astype(np.int64) for k in ("n_a", "n_b", "n_groups", "in_a", "in_b")}
-                a, b = row["a"].to_numpy(), row["b"].to_numpy()
-                in_a, in_b = n["in_a"], n["in_b"]
-                doc = np.repeat(np.arange(len(n["n_a"])), n["n_groups"])
-                key, group, times = _links(a, b, in_a, in_b, base)
-                code = np.searchsorted(row["keys"].to_numpy(), key) if len(key) else key
-                has = row["counts"] is not None and len(key) > 0
-                count, best = (row["counts"].to_numpy()[code], row["best"].to_numpy(zero_copy_only=False)[code]) if has else (key, key)
-                sums = [_sums(doc[group], x, len(n["n_a"])) for x in (times, times * best, times * count)]
-                # both lists in one, group by group
-                of_a, of_b = np.repeat(np.arange(len(in_a)), in_a), np.repeat(np.arange(len(in_b)), in_b)
-                end_a, end_b = np.cumsum(in_a), np.cumsum(in_b)
-                order = np.empty(len(a) + len(b), np.int64)
-                last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-                last_a[end_a - 1], last_b[end_b - 1] = 1, 2
-                order[np.arange(len(a)) + (end_b - in_b)[of_a]] = last_a * most + a
-                order[np.arange(len(b)) + end_a[of_b]] = last_b * most + b
-                at = np.concatenate(([0], np.cumsum(n["n_a"] + n["n_b"]))).tolist()
-                digests = []
-                for s, e in zip(at, at[1:], strict=False):
-                    digests.append(hashlib.sha256(b"".join(map(said.__getitem__, order[s:e].tolist()))[:-1]).hexdigest() if e > s else "")
-                columns = [row["ids"], *[pa.array(x, pa.int64()) for x in (n["n_a"], n["n_b"], n["n_groups"], *sums)], pa.array(digests, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
-
-    small_batches(alignment.sparkSession, 20)
-    return _answered(alignment, pair_counts(alignment, pieces)).mapInArrow(each, f"id {kind}, {_SUMMARY}")
-
-
-def _sums(of: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Whole-number sums; ``of`` need not be sorted."""
-    out = np.zeros(n, np.int64)
-    np.add.at(out, of, values)
-    return out
+    kind = alignment.schema["ids"].dataType.elementType.simpleString()
+    base = sentencepiece.SentencePieceProcessor(model_file=pieces or default_pieces()).get_piece_size()
+    names = ["n_a", "n_b", "n_groups", "n_links"]
+    counts = pair_counts(alignment, pieces).select("key", "documents", "best")
+    told = alignment.select("chunk", F.explode("keys").alias("key")).join(counts, "key").select(F.col("chunk").alias("of"), "key", "documents", "best")
+
+    def each(chunk: pa.Table, told: pa.Table) -> pa.Table:
+        keys = told.column("key").to_numpy()
+        order = np.argsort(keys)
+        keys, documents, best = keys[order], told.column("documents").to_numpy()[order], told.column("best").to_numpy()[order].astype(np.int64)
+        out = []
+        for r in range(chunk.num_rows):
+            row = {c: _unpack(chunk.column(c)[r].as_py()) for c in _PACKED}
+            key, group, times = _links(row["a"], row["b"], row["in_a"], row["in_b"], base)
+            at = np.searchsorted(keys, key)
+            unit = np.repeat(np.arange(len(row["unit_groups"])), row["unit_groups"])[group]
+            per_unit = []
+            for value in (best, documents):
+                sums = np.zeros(len(row["unit_groups"]), np.int64)
+                np.add.at(sums, unit, times * value[at])
+                per_unit.append(_sums(sums[row["codes"]], row["sizes"]))
+            columns = [chunk.column("ids")[r].values, *[chunk.column(c)[r].values for c in names], *[pa.array(x, pa.int64()) for x in per_unit], chunk.column("groups_sha256")[r].values]
+            out.append(pa.table(columns, ["id", *names, "n_best", "count_sum", "groups_sha256"]))
+        return pa.concat_tables(out)
+
+    chunks = alignment.select("chunk", "ids", *names, "groups_sha256", *_PACKED)
+    return chunks.groupBy("chunk").cogroup(told.groupBy("of")).applyInArrow(each, f"id {kind}, {_DIGEST}")
 
 
 def op13_token_alignment(docs: DataFrame) -> DataFrame:

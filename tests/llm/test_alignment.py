@@ -83,9 +83,9 @@ def test_large_groups():
 
 def test_brute_force(spark):
     made = texts()
-    docs = spark.createDataFrame([(k if k != 5 else None, t, "x", 1) for k, t in enumerate(made)], "doc_id long, text string, chunk string, a int").repartition(3)
+    docs = spark.createDataFrame([(k if k != 5 else None, t, "x", 1) for k, t in enumerate(made)], "doc_id long, text string, chunk string, a int").repartition(7)
     want, groups, count = plain(made)
-    alignment = A.align(docs, chunk=300)
+    alignment = A.align(docs, chunk=60)
     assert alignment.count() > 3
     columns = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     got = {r.id if r.id is not None else 5: tuple(r[c] for c in columns) for r in A.summaries(alignment).collect()}
