@@ -12,8 +12,10 @@ from siftspark.operators import features as X
 from siftspark.operators import findings as B
 from siftspark.operators import knownsets as K
 from siftspark.operators import refs as R
+from siftspark.operators import trees as T
 from siftspark.operators import verdicts as S
 from siftspark.session import stored
+from siftspark.sources.models import ModelTables
 
 
 def families(files: DataFrame, findings: DataFrame, importing: DataFrame | None = None, strings: DataFrame | None = None, formulas: DataFrame | None = None, only: set[str] | None = None) -> DataFrame:
@@ -55,7 +57,7 @@ class Model:
     :func:`.verdicts.fire_blend`.
     """
 
-    trees: dict[str, list[dict]]
+    trees: dict[str, list[dict | T.Ensemble]]
     calibrators: DataFrame
     groups: DataFrame
     containers: DataFrame
@@ -66,6 +68,27 @@ class Model:
     suspicious: float = 0.65
 
 
+def model_of(tables: ModelTables, containers: DataFrame | None = None, route: str = "general") -> tuple[Model, DataFrame]:
+    """A model's tables as a :class:`Model`, and the spec of one route.
+
+    Thresholds of OR rules, and the general route's own, go through their
+    route's calibrator, for scores do too; blends and the general levels are
+    calibrated already. ``containers``: t, container.
+    """
+    spark = tables.spec.sparkSession
+    special = tables.routes.where("route LIKE 'filetypes/%'").select(F.regexp_replace("route", "^filetypes/", "").alias("t"), F.lit(True).alias("special"))
+    groups = tables.groups.join(special, "t", "full").select("t", "grp", F.coalesce("special", F.lit(False)).alias("special"))
+    grid = S.calibrate_grid(tables.policies.where("severity = 'hostile'").select("file_type", "route", "level", "threshold"), tables.calibrators)
+    blend = tables.blends.where("severity = 'hostile'").drop("severity")
+    general = tables.levels.where("severity = 'hostile' and route = 'general'").select("level", "threshold")
+    own = S.calibrate_grid(tables.thresholds.where("route = 'general'").selectExpr("route", "inline(array(struct('h' AS k, hostile AS threshold), struct('s' AS k, suspicious AS threshold)))"), tables.calibrators)
+    cut = {r.k: r.threshold for r in own.collect()}
+    if containers is None:
+        containers = spark.createDataFrame([], "t string, container string")
+    model = Model(T.from_tables(tables.nodes, tables.leaves, tables.ensembles), tables.calibrators.select("route", "x", "y"), groups, containers, grid, general if general.take(1) else None, blend if blend.take(1) else None, cut.get("h", 0.9), cut.get("s", 0.65))
+    return model, tables.spec.where(F.col("route") == route).select("pos", "name", "mean", "std")
+
+
 def score_reports(vectors: DataFrame, files: DataFrame, model: Model, n: int = S.DEFAULT_LEVEL) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Vectors -> decisions, route scores and skipped routes.
 

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftspark.operators.trees import Ensemble, score, simple
+
 #: Default level, ceiling of the suspicious band, trait floor.
 DEFAULT_LEVEL, SUSPICIOUS_CEILING, GRID_MAX = 25, 3000, 25000
 FLOOR_CONF, FLOOR_SHARE = 0.76, 0.05
@@ -29,20 +27,23 @@ def level_conf(level: Column) -> Column:
     return out.otherwise(15)
 
 
-def interpreted_level(cls: Column, n: int = DEFAULT_LEVEL, grid_max: int = GRID_MAX, ceiling: int = SUSPICIOUS_CEILING) -> Column:
+def interpreted_level(cls: Column, n: int | None = DEFAULT_LEVEL, grid_max: int = GRID_MAX, ceiling: int = SUSPICIOUS_CEILING) -> Column:
+    """Level that stands for a class; null where levels are not used (``n`` is None)."""
+    if n is None:
+        return F.lit(None).cast("int")
     return F.when(cls == 0, -1).when(cls == 2, n).otherwise(min(grid_max, ceiling))
 
 
-def trait_floor(verdicts: DataFrame, findings: DataFrame) -> DataFrame:
+def trait_floor(verdicts: DataFrame, findings: DataFrame, n: int | None = DEFAULT_LEVEL, grid_max: int = GRID_MAX) -> DataFrame:
     """Benign reports with confident grave findings are raised: one of criticality 5, or two of 4 that are not rare."""
-    sure = F.round("conf", 4) >= FLOOR_CONF
+    sure = F.col("conf") >= FLOOR_CONF
     top = lambda c: F.max(F.when(sure & (F.col("crit") == c), F.col("conf")))
     counts = findings.groupBy("report_id").agg(F.count_if(sure & (F.col("crit") == 5)).alias("c5"), F.count_if(sure & (F.col("crit") == 4)).alias("c4"), top(5).alias("p5"), top(4).alias("p4"), F.count(F.lit(1)).alias("total"))
     rows = verdicts.join(counts, "report_id", "left").na.fill(0, ["c5", "c4", "total"])
     five, four = F.col("c5") >= 1, (F.col("c4") >= 2) & (F.col("c4") >= FLOOR_SHARE * F.col("total"))
     cls = F.when(F.col("class") > 0, F.col("class")).when(five, 2).when(four, 1).otherwise(0)
     prob = F.when((F.col("class") == 0) & five, F.col("p5")).when((F.col("class") == 0) & four, F.col("p4")).otherwise(F.col("prob"))
-    level = F.when((F.col("class") == 0) & (cls > 0), interpreted_level(cls)).otherwise(F.col("level"))
+    level = F.when((F.col("class") == 0) & (cls > 0), interpreted_level(cls, n, grid_max)).otherwise(F.col("level"))
     return rows.select("report_id", cls.alias("class"), prob.alias("prob"), level.alias("level"))
 
 
@@ -137,17 +138,40 @@ def classify(p: Column, suspicious: Column | float, hostile: Column | float) ->
 
 
 def decide_scores(scores: DataFrame, suspicious: float = 0.65, hostile: float = 0.9) -> DataFrame:
-    """Without a grid: a report's strongest class over its routes, the higher p on ties; a report that is benign everywhere has its general route's p, or the highest."""
+    """Without a grid: a report's strongest class over its routes, and of these the highest p, also where all are benign."""
     rows = scores.withColumn("d", classify(F.col("p"), suspicious, hostile))
-    best = rows.groupBy("id").agg(F.max(F.struct("d.class", "p", "d.threshold")).alias("b"), F.max(F.when(F.col("route") == "general", F.col("p"))).alias("general"))
-    calm = F.col("b.class") == 0
-    return best.select("id", "b.class", F.when(calm, F.coalesce("general", F.lit(0.0))).otherwise(F.col("b.p")).alias("prob"), "b.threshold")
+    best = rows.groupBy("id").agg(F.max(F.struct("d.class", "p", "d.threshold")).alias("b"))
+    return best.select("id", "b.class", F.col("b.p").alias("prob"), "b.threshold")
+
+
+def manual_decision(scores: DataFrame, policy: DataFrame, blend: DataFrame | None = None, suspicious: float = 0.65, hostile: float = 0.9) -> DataFrame:
+    """Decisions without levels: ``(id, class, prob, threshold, level)``, the level always null.
+
+    ``policy``: file_type, severity, route, threshold; ``blend`` likewise with
+    weight, intercept and n_routes: a type's own rules at the default level. A
+    type with rules of which none fires is benign with its general route's p;
+    types without rules go by the thresholds alone.
+    """
+    types = policy.select("file_type") if blend is None else policy.select("file_type").unionByName(blend.select("file_type"))
+    kind = scores.join(types.distinct().withColumn("own", F.lit(True)), "file_type", "left")
+    mine, rest = kind.where("own").drop("own"), kind.where("own is null").drop("own")
+    fired = {}
+    for severity in ("hostile", "suspicious"):
+        rules = policy.where(F.col("severity") == severity).withColumn("level", F.lit(0))
+        hit = fire_or(mine, rules.select("file_type", "route", "level", "threshold"))
+        if blend is not None:
+            hit = hit.unionByName(fire_blend(mine, blend.where(F.col("severity") == severity).withColumn("level", F.lit(0))))
+        fired[severity] = hit.groupBy("id").agg(F.max_by(F.struct("p", "threshold"), F.struct(F.col("p") - F.col("threshold"), "p")).alias("b")).select("id", "b.p", "b.threshold")
+    decided = policy_decide(fired["hostile"], fired["suspicious"])
+    calm = mine.groupBy("id").agg(F.coalesce(F.max(F.when(F.col("route") == "general", F.col("p"))), F.lit(0.0)).alias("general"))
+    ruled = calm.join(decided, "id", "left").select("id", F.coalesce("class", F.lit(0)).alias("class"), F.coalesce("p", "general").alias("prob"), F.coalesce("threshold", F.lit(suspicious)).alias("threshold"))
+    return ruled.unionByName(decide_scores(rest, suspicious, hostile)).withColumn("level", F.lit(None).cast("int"))
 
 
 def swept_decision(scores: DataFrame, grid: DataFrame, general: DataFrame | None = None, blend: DataFrame | None = None, n: int = DEFAULT_LEVEL, grid_max: int = GRID_MAX, ceiling: int = SUSPICIOUS_CEILING, suspicious: float = 0.65, hostile: float = 0.9) -> DataFrame:
     """Decision of each id: types with a grid are swept over it, others over the general grid, and without one their classes decide.
 
-    What fires nowhere is benign at level -1, with the p of its general route.
+    What fires nowhere is benign at level -1, with the p of its general route; a decision without a grid has no level.
     """
     typed = grid.select("file_type").unionByName(blend.select("file_type")) if blend is not None else grid.select("file_type")
     kind = scores.join(typed.distinct().withColumn("own", F.lit(True)), "file_type", "left")
@@ -164,7 +188,7 @@ def swept_decision(scores: DataFrame, grid: DataFrame, general: DataFrame | None
     out = rows.select("id", cls.alias("class"), F.coalesce("p", "general").alias("prob"), F.coalesce("level", F.lit(-1)).alias("level"))
     if general is None:
         plain = decide_scores(rest, suspicious, hostile)
-        out = out.unionByName(plain.select("id", "class", "prob", interpreted_level(F.col("class"), n, grid_max, ceiling).alias("level")))
+        out = out.unionByName(plain.select("id", "class", "prob", F.lit(None).cast("int").alias("level")))
     return out
 
 
@@ -232,30 +256,9 @@ def first_members(files: DataFrame, limit: int = 100) -> DataFrame:
     return files.where("depth > 0").withColumn("k", k).where(F.col("k") <= limit).drop("k")
 
 
-def score_trees(rows: DataFrame, trees: dict, vec: str = "features", out: str = "raw") -> DataFrame:
-    """Sum of tree leaves through a sigmoid, in Arrow batches.
-
-    ``trees``: ``base`` and a list of node tables ``(feature, threshold, left, right, value)``;
-    feature -1 marks a leaf; a missing value goes left.
-    """
-    shared = rows.sparkSession.sparkContext.broadcast(trees)
-
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = shared.value
-        for s in batches:
-            x = np.stack(s.to_list()).astype(float) if len(s) else np.zeros((0, 1))
-            total = np.full(len(x), model["base"])
-            for nodes in model["trees"]:
-                feature, threshold, left, right, value = map(np.asarray, zip(*nodes, strict=True))
-                at = np.zeros(len(x), int)
-                while (inner := feature[at] >= 0).any():
-                    v = x[np.arange(len(x)), np.maximum(feature[at], 0)]
-                    at = np.where(inner, np.where((v <= threshold[at]) | np.isnan(v), left[at], right[at]), at)
-                total += value[at]
-            yield pd.Series(1 / (1 + np.exp(-total)))
-
-    of.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return rows.withColumn(out, F.pandas_udf(of, "double")(F.col(vec)))
+def score_trees(rows: DataFrame, trees: dict | Ensemble, vec: str = "features", out: str = "raw") -> DataFrame:
+    """Scores of an ensemble, or of a dict for :func:`.trees.simple`."""
+    return score(rows, simple(trees) if isinstance(trees, dict) else trees, vec, out)
 
 
 def score_trees_sql(rows: DataFrame, trees: dict, vec: str = "features", out: str = "raw") -> DataFrame:
@@ -298,8 +301,12 @@ def display_p(p: Column, t: Column) -> Column:
 
 
 def calibrate_grid(grid: DataFrame, breakpoints: DataFrame) -> DataFrame:
-    """OR-rule thresholds through their route's calibrator (here one for all routes)."""
-    return calibrate(grid, breakpoints, "threshold", "calibrated").withColumn("threshold", F.col("calibrated")).drop("calibrated")
+    """OR-rule thresholds through their route's calibrator ``(route, x, y)``, or through one ``(x, y)`` for all; those of routes without one stay."""
+    if "route" not in breakpoints.columns:
+        return calibrate(grid, breakpoints, "threshold", "calibrated").withColumn("threshold", F.col("calibrated")).drop("calibrated")
+    points = breakpoints.groupBy("route").agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("__bp"))
+    rows = _interpolated(grid.join(points, "route", "left").withColumn("__has", F.col("__bp").isNotNull()), "threshold", "__c")
+    return rows.withColumn("threshold", F.when(F.col("__has"), F.col("__c")).otherwise(F.col("threshold"))).select(*grid.columns)
 
 
 def thresholds_at(levels: DataFrame, n: int, ceiling: int = SUSPICIOUS_CEILING, hostile: float = 0.9, suspicious: float = 0.65) -> DataFrame:
