@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +15,8 @@ from siftspark.operators import findings as B
 #: Categories whose findings make tier tokens, letters of the tiers, and the caps beyond which no n-grams are made.
 TOKEN_CATEGORIES = ("objectives", "well-known", "supply-chain", "anti-analysis", "anti-static", "command-and-control", "evasion", "execution", "exfiltration")
 PAIR_CAP, TRIPLE_CAP = 512, 128
+#: Fixed value: least difference of single precision, below which a spread is none.
+FLAT = 2.0**-23
 
 
 def long(rows: DataFrame, columns: dict[str, Column | str]) -> DataFrame:
@@ -45,7 +52,7 @@ def aggregates(findings: DataFrame, files: DataFrame) -> DataFrame:
         F.count_if((depth == 1) & (crit >= 2) & F.col("path").startswith("objectives/")).alias("objectives"),
     )
     ids = B.by_id(findings)
-    tops = ids.groupBy("report_id", "file_id", F.split_part("id", F.lit("/"), F.lit(1)).alias("top")).agg(*[F.sum(c).alias(c) for c in ("n_active", "notable", "suspicious", "hostile")], F.max("max_crit").alias("max_crit"))
+    tops = ids.groupBy("report_id", "file_id", F.split_part(B.base_id(F.col("id")), F.lit("/"), F.lit(1)).alias("top")).agg(*[F.sum(c).alias(c) for c in ("n_active", "notable", "suspicious", "hostile")], F.max("max_crit").alias("max_crit"))
     per_file = tops.groupBy("report_id", "file_id").agg(*[F.sum(c).alias(c) for c in ("n_active", "notable", "suspicious", "hostile")], F.max("max_crit").alias("max_crit"), F.count_if(crit >= 4).alias("sc"), F.count_if(crit >= 5).alias("hc"))
     rows = files.select("report_id", "file_id", "size_bytes").join(per_file, ["report_id", "file_id"], "left").na.fill(0)
     n, kb = F.greatest(F.lit(1), "n_active"), F.greatest(F.lit(1.0), F.col("size_bytes") / 1024)
@@ -89,7 +96,7 @@ def attack_codes(findings: DataFrame) -> DataFrame:
     a, m = (findings.where(F.col(code).isNotNull()).groupBy("report_id", code).agg(F.lit(1)).groupBy("report_id").agg(F.count(F.lit(1)).alias(code)) for code in ("atk", "mbc"))
     tactic = F.when(F.col("atk").startswith("T") & (F.length("atk") >= 4), F.substring("atk", 1, 4))
     t = findings.select("report_id", tactic.alias("t")).where("t is not null").distinct().groupBy("report_id").agg(F.count(F.lit(1)).alias("tactics"))
-    sure = (F.round("conf", 4) >= B.MIN_CONF) & F.col("id").startswith("objectives/")
+    sure = (F.col("conf") >= B.MIN_CONF) & F.col("id").startswith("objectives/")
     rows = findings.groupBy("report_id").agg(F.bool_or(sure).alias("o")).join(a, "report_id", "left").join(m, "report_id", "left").join(t, "report_id", "left").na.fill(0)
     n, k = F.col("atk"), F.col("mbc")
     return long(rows, {
@@ -201,13 +208,21 @@ def metrics(reports: DataFrame, merged: DataFrame, vocab: DataFrame) -> DataFram
 
     A vocabulary name is split at its first ``_``; names among the key metrics are not written twice.
     """
-    spark = reports.sparkSession
-    keys = spark.createDataFrame([(g, f, log, f"{g}_{f}") for g, f, log in KEY_METRICS], "g string, f string, log boolean, name string")
-    more = vocab.where(F.contains("name", F.lit("_"))).join(keys.select("name"), "name", "left_anti")
-    more = more.select(F.regexp_extract("name", "^([^_]*)_", 1).alias("g"), F.regexp_extract("name", "^[^_]*_(.*)$", 1).alias("f"), "name")
-    asked = F.broadcast(keys.unionByName(more.select("g", "f", F.col("f").rlike(LOG_WORDS).alias("log"), "name")))  # a model's names
-    every = reports.select("report_id").crossJoin(asked).join(merged, ["report_id", "g", "f"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
-    base = every.select("report_id", F.concat(F.lit("metrics:"), "name").alias("name"), F.when(F.col("log"), F.log1p(F.abs("v"))).otherwise(F.col("v")).alias("value"))
+    keys = [(f"{g}_{f}", g, f, log) for g, f, log in KEY_METRICS]
+    base = {k[0] for k in keys}
+    for (name,) in vocab.select("name").distinct().collect():  # a model's names
+        if "_" in name and name not in base:
+            g, f = name.split("_", 1)
+            keys.append((name, g, f, re.search(LOG_WORDS, f) is not None))
+    cells = merged.groupBy("report_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\n", "g", "f"), "v"))).alias("m"))
+    cells = reports.select("report_id").join(cells, "report_id", "left")
+    named = F.array(*[F.struct(F.lit(f"metrics:{n}").alias("name"), F.lit(f"{g}\n{f}").alias("key"), F.lit(log).alias("log")) for n, g, f, log in sorted(keys)])
+
+    def cell(k: Column) -> Column:
+        v = F.coalesce(F.element_at("m", k["key"]), F.lit(0.0))
+        return F.struct(k["name"].alias("name"), F.when(k["log"], F.log1p(F.abs(v))).otherwise(v).alias("value"))
+
+    base = cells.select("report_id", F.inline(F.transform(named, cell)))
     pick = lambda f: F.max(F.when((F.col("g") == "binary") & (F.col("f") == f), F.col("v"))).alias(f)
     wide = merged.groupBy("report_id").agg(*map(pick, ("string_count", "function_count", "import_count", "dependency_count", "wide_string_count")))
     wide = reports.select("report_id").join(wide, "report_id", "left").na.fill(0.0)
@@ -249,11 +264,17 @@ def structure(files: DataFrame, per_file: DataFrame, paths: DataFrame, imports:
 
     ``files``: report_id, file_id (their order), file_type, size_bytes, parent_id,
     depth, path, entropy, mtime (seconds, may be null), total_lines. ``imports``
-    ``(report_id, file_id)`` has the files with imports; without it no file is
-    known to lack them. A feature that needs two entropies or times is absent where there are fewer.
+    ``(report_id, file_id)`` has the files with imports, and a column
+    ``has_imports`` of ``files``, if there is one, says which files could have
+    any; ``no_imports`` needs one that could. A feature that needs two entropies or times is absent where there are fewer.
     """
     rows = files.join(per_file.select("report_id", "file_id", "n_active", "suspicious", "hostile"), ["report_id", "file_id"], "left").na.fill(0, ["n_active", "suspicious", "hostile"])
-    rows = rows.join(imports.select("report_id", "file_id").distinct().withColumn("imports", F.lit(True)), ["report_id", "file_id"], "left") if imports is not None else rows.withColumn("imports", F.lit(True))
+    could = F.col("has_imports") if "has_imports" in files.columns else F.lit(imports is not None)
+    if imports is None:
+        rows, has = rows, F.lit(False)
+    else:
+        rows, has = rows.join(imports.select("report_id", "file_id").distinct().withColumn("imports", F.lit(True)), ["report_id", "file_id"], "left"), F.coalesce("imports", F.lit(False))
+    could = F.coalesce(could, F.lit(False))
     binary, bad, e = F.col("file_type").isin(*BINARY), F.col("hostile") > 0, F.when(F.col("entropy") > 0, F.col("entropy"))
     suffix = F.lower(F.regexp_extract("path", r"\.([^.]*)$", 1))
     hours, at = lambda x: x / 3600, F.col("mtime").cast("double")
@@ -261,7 +282,7 @@ def structure(files: DataFrame, per_file: DataFrame, paths: DataFrame, imports:
     last_binary = F.max(F.when(binary, F.col("file_id")))
     rows = rows.groupBy("report_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum("n_active").alias("f"), F.sum("size_bytes").alias("bytes"), F.count_if(F.col("suspicious") > 0).alias("s"), F.count_if(bad).alias("h"), F.bool_or(binary & (F.col("size_bytes") < 20_000)).alias("tiny"),
-        (~F.bool_or(F.coalesce("imports", F.lit(False)))).alias("bare"), F.coalesce(F.max("entropy"), F.lit(0.0)).alias("me"), F.count(e).alias("ne"), F.avg(e).alias("ae"), F.stddev_pop(e).alias("se"), F.max(e).alias("xe"),
+        (F.bool_or(could) & ~F.bool_or(could & has)).alias("bare"), F.coalesce(F.max("entropy"), F.lit(0.0)).alias("me"), F.count(e).alias("ne"), F.avg(e).alias("ae"), F.stddev_pop(e).alias("se"), F.max(e).alias("xe"),
         F.max(F.when(F.col("file_type").isin(*CODE), e)).alias("ce"), F.count(at).alias("nt"), F.max(at).alias("t1"), F.min(at).alias("t0"), F.stddev_pop(at).alias("st"), F.median(at).alias("mt"), F.max(F.when(bad, at)).alias("b1"), F.min(F.when(bad, at)).alias("b0"),
         F.max("depth").alias("deep"), F.count_if(F.col("parent_id").isNotNull()).alias("inner"), F.count_if(bad & F.col("parent_id").isNotNull()).alias("under"), F.coalesce(last_binary > first_source, F.lit(False)).alias("foreign"),
         F.count_if(binary & suffix.isin(*TEXT_SUFFIXES)).alias("odd"), F.sum("total_lines").alias("lines"),
@@ -357,15 +378,32 @@ def char_entropy(strings: DataFrame) -> DataFrame:
 def assemble(features: DataFrame, spec: DataFrame, reports: DataFrame) -> DataFrame:
     """Sparse rows -> one dense vector for each of ``reports`` in the order of ``spec (pos, name, mean, std)``; unknown names drop, missing ones are 0.
 
-    Standardized unless the spread is 0 or the spec says (0, 1).
+    Standardized, but for a spread of 0 and the pair (0, 1), which give 0; a
+    null spread keeps the value as it is.
     """
-    flat = (F.abs("std") < 1e-12) | ((F.abs("mean") < 1e-12) & (F.abs(F.col("std") - 1) < 1e-12))
-    size = spec.count()
-    known = features.join(spec, "name").withColumn("z", F.when(flat, 0.0).otherwise((F.col("value") - F.col("mean")) / F.col("std")))
-    cells = known.groupBy("report_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "z"))).alias("m"))
-    zero = spec.agg(F.map_from_entries(F.collect_list(F.struct("pos", F.when(flat, 0.0).otherwise(-F.col("mean") / F.col("std"))))).alias("z")).scalar()
-    cells = reports.select("report_id").distinct().join(cells, "report_id", "left").withColumn("zero", zero)
-    return cells.select("report_id", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda p: F.coalesce(F.element_at("m", p), F.element_at("zero", p))).alias("vector"))
+    flat = (F.abs("std") <= FLAT) | ((F.abs("mean") <= FLAT) & (F.abs(F.col("std") - 1) <= FLAT))
+    rows = spec.select("pos", "name", "mean", "std").collect()  # a model's names
+    zero = np.zeros(len(rows))
+    for r in rows:
+        spread = r.std is not None and abs(r.std) > FLAT and not (abs(r["mean"]) <= FLAT and abs(r.std - 1) <= FLAT)
+        zero[r.pos] = -r["mean"] / r.std if spread else 0.0
+    z = F.when(F.col("std").isNull(), F.col("value")).when(flat, 0.0).otherwise((F.col("value") - F.col("mean")) / F.col("std"))
+    known = features.join(F.broadcast(spec), "name").select("report_id", "pos", z.alias("z"))
+    cells = known.groupBy("report_id").agg(F.collect_list("pos").alias("at"), F.collect_list("z").alias("z"))
+
+    def dense(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for at, z in batches:
+            out = []
+            for p, v in zip(at, z, strict=True):
+                row = zero.copy()
+                if p is not None:
+                    row[p] = v
+                out.append(row)
+            yield pd.Series(out)
+
+    dense.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    cells = reports.select("report_id").distinct().join(cells, "report_id", "left")
+    return cells.select("report_id", F.pandas_udf(dense, "array<double>")("at", "z").alias("vector"))
 
 
 def drift(spec: DataFrame, features: DataFrame) -> DataFrame:
@@ -395,9 +433,10 @@ def path_trigrams(file_paths: DataFrame, vocab: DataFrame, cap: int = 256) -> Da
 
 
 def import_tokens(lib: Column, name: Column) -> Column:
-    """Bare name and ``lib!name`` (or the library alone), each of two characters or more."""
-    both = F.array(name, F.when(name.isNull() | (name == ""), lib).otherwise(F.concat(lib, F.lit("!"), name)))
-    return F.array_distinct(F.filter(both, lambda t: F.length(t) >= 2))
+    """Bare name and ``lib!name`` (or the one of them that is not empty), each of two bytes or more."""
+    lib, name = F.coalesce(lib, F.lit("")), F.coalesce(name, F.lit(""))
+    both = F.when(lib == "", name).when(name == "", lib).otherwise(F.concat(lib, F.lit("!"), name))
+    return F.array_distinct(F.filter(F.array(name, both), lambda t: F.octet_length(t) >= 2))
 
 
 def normalize_token(c: Column, n: int) -> Column:
@@ -411,9 +450,36 @@ def unsigned_bigrams(bigrams: DataFrame, paths: DataFrame) -> DataFrame:
     return bigrams.join(bare, "report_id", "left_semi").withColumn("name", F.regexp_replace("name", "^bigrams:", "unsigned_bigram:"))
 
 
+def entry_symbols(entry: Column, imports: bool = True) -> Column:
+    """Names in a VARIANT entry of a file's facts, not yet normalized.
+
+    An import is ``[library, name]`` (the name, and both as ``library!name``),
+    an object (its ``n``, ``name`` or ``symbol``) or a string; any other fact is
+    a string or an array that begins with one.
+    """
+    said = lambda path: F.coalesce(F.try_variant_get(entry, path, "string"), F.lit(""))
+    kind = F.schema_of_variant(entry)
+    lib, name = said("$[0]"), said("$[1]")
+    both = F.when(lib == "", name).when(name == "", lib).otherwise(F.concat(lib, F.lit("!"), name))
+    whole = F.when(kind == "STRING", F.array(said("$")))
+    if not imports:
+        return whole.when(kind.startswith("ARRAY"), F.array(F.when(F.schema_of_variant(F.try_variant_get(entry, "$[0]", "variant")) == "STRING", lib)))
+    named = F.coalesce(*[F.when(F.try_variant_get(entry, f"$.{n}", "variant").isNotNull(), said(f"$.{n}")) for n in ("n", "name", "symbol")], F.lit(""))
+    return whole.when(kind.startswith("ARRAY"), F.array(name, both)).when(kind.startswith("OBJECT"), F.array(named))
+
+
+def fact_symbols(facts: DataFrame) -> DataFrame:
+    """``(report_id, file_id, kind, v variant)``, kind being import, export, function, target or member -> distinct ``(report_id, file_id, symbol)`` of two characters or more."""
+    names = F.when(F.col("kind") == "import", entry_symbols(F.col("v"))).when(F.col("kind").isin("target", "member"), F.when(F.schema_of_variant("v") == "STRING", F.array(F.try_variant_get("v", "$", "string")))).otherwise(entry_symbols(F.col("v"), imports=False))
+    rows = facts.select("report_id", "file_id", F.explode(names).alias("s"))
+    return rows.select("report_id", "file_id", normalize_token(F.col("s"), 96).alias("symbol")).where(F.length("symbol") >= 2).distinct()
+
+
 def symbols(imports: DataFrame, named: DataFrame | None = None) -> DataFrame:
     """Distinct ``(report_id, file_id, symbol)`` of imports and of ``named (report_id, file_id, name)``: exports, functions, targets and members; normalized to 96 characters."""
-    rows = imports.select("report_id", "file_id", F.explode(import_tokens(F.col("lib"), F.col("name"))).alias("s"))
+    lib, name = F.coalesce("lib", F.lit("")), F.coalesce("name", F.lit(""))
+    both = F.when(lib == "", name).when(name == "", lib).otherwise(F.concat(lib, F.lit("!"), name))
+    rows = imports.select("report_id", "file_id", F.explode(F.array(name, both)).alias("s"))
     if named is not None:
         rows = rows.unionByName(named.select("report_id", "file_id", F.col("name").alias("s")))
     return rows.select("report_id", "file_id", normalize_token(F.col("s"), 96).alias("symbol")).where(F.length("symbol") >= 2).distinct()
@@ -437,7 +503,7 @@ def formula(formulas: DataFrame, findings: DataFrame) -> DataFrame:
 
     ``rare:`` weighs an element by the mean confidence of the report's active findings, 1 without any.
     """
-    sums = B.active(findings).groupBy("report_id").agg(F.count(F.lit(1)).alias("f"), F.avg("conf").alias("mean"))
+    sums = B.by_id(findings).groupBy("report_id").agg(F.sum("n_active").alias("f"), (F.sum("conf") / F.sum("n_active")).alias("mean"))
     rows = formulas.join(sums, "report_id", "left").na.fill(0, ["f"])
     bare = F.translate("formula", "₀₁₂₃₄₅₆₇₈₉", "")
     parts = F.array_distinct(F.filter(F.transform(F.split(bare, ","), lambda e: F.trim(e)), lambda e: e != ""))

@@ -10,8 +10,8 @@ MIN_CONF = 0.65
 
 
 def active(findings: DataFrame, min_conf: float = MIN_CONF) -> DataFrame:
-    """Findings with an id and enough confidence."""
-    return findings.where((F.col("id") != "") & (F.round("conf", 4) >= min_conf))
+    """Findings with an id and enough confidence, compared as given."""
+    return findings.where((F.col("id") != "") & (F.col("conf") >= min_conf))
 
 
 def base_id(id_: Column) -> Column:
@@ -25,18 +25,30 @@ def finding_paths(id_: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.least(F.size(levels), F.lit(3))), lambda n: F.array_join(F.slice(levels, F.lit(1), n), "/")))
 
 
+def _graded(findings: DataFrame) -> DataFrame:
+    """Active findings, or what :func:`by_id` has kept of them: id, crit and conf."""
+    if "n_active" in findings.columns:
+        return findings.select("report_id", "file_id", "id", F.col("max_crit").alias("crit"), F.col("max_conf").alias("conf"))
+    return active(findings)
+
+
 def path_stats(findings: DataFrame) -> DataFrame:
     """Greatest criticality and confidence of each path of a file."""
-    paths = active(findings).select("report_id", "file_id", F.explode(finding_paths(F.col("id"))).alias("path"), "crit", "conf")
+    paths = _graded(findings).select("report_id", "file_id", F.explode(finding_paths(F.col("id"))).alias("path"), "crit", "conf")
     return paths.groupBy("report_id", "file_id", "path").agg(F.max("crit").alias("max_crit"), F.max("conf").alias("max_conf"))
 
 
 def by_id(findings: DataFrame) -> DataFrame:
-    """Active findings of a file summed up by id: the one grain from which files and reports are rolled up."""
+    """Active findings of a file summed up by id: the one grain from which files and reports are rolled up.
+
+    A table that is of this grain already stays as it is, so that it can be written once and rolled up often.
+    """
+    if "n_active" in findings.columns:
+        return findings
     count = lambda c: F.count_if(F.col("crit") >= c)
     return active(findings).groupBy("report_id", "file_id", "id").agg(
         F.count(F.lit(1)).alias("n_active"), count(3).alias("notable"), count(4).alias("suspicious"), count(5).alias("hostile"),
-        F.max("crit").alias("max_crit"), F.sum("conf").alias("conf"),
+        F.max("crit").alias("max_crit"), F.max("conf").alias("max_conf"), F.sum("conf").alias("conf"),
     )
 
 
@@ -68,7 +80,7 @@ def report_summary(findings: DataFrame) -> DataFrame:
 
 def report_paths(findings: DataFrame) -> DataFrame:
     """Greatest criticality and confidence of each path of a report."""
-    paths = active(findings).select("report_id", F.explode(finding_paths(F.col("id"))).alias("path"), "crit", "conf")
+    paths = _graded(findings).select("report_id", F.explode(finding_paths(F.col("id"))).alias("path"), "crit", "conf")
     return paths.groupBy("report_id", "path").agg(F.max("crit").alias("max_crit"), F.max("conf").alias("max_conf"))
 
 
@@ -101,7 +113,7 @@ def top_risk(risk: DataFrame) -> DataFrame:
 
 def file_paths(findings: DataFrame) -> DataFrame:
     """Sorted distinct base ids, at full depth, of a file's active findings of criticality 3 or more."""
-    rows = active(findings).where("crit >= 3")
+    rows = _graded(findings).where("crit >= 3")
     return rows.groupBy("report_id", "file_id").agg(F.array_sort(F.collect_set(base_id(F.col("id")))).alias("paths"))
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
+from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftspark.operators import audits as M
@@ -15,36 +17,160 @@ from siftspark.operators import refs as R
 from siftspark.operators import trees as T
 from siftspark.operators import verdicts as S
 from siftspark.session import stored
+from siftspark.sources import reports as P
 from siftspark.sources.models import ModelTables
+from siftspark.sources.reports import envelopes
 
 
-def families(files: DataFrame, findings: DataFrame, importing: DataFrame | None = None, strings: DataFrame | None = None, formulas: DataFrame | None = None, only: set[str] | None = None) -> DataFrame:
-    """Feature families that the given tables allow, as sparse rows; ``only`` names the prefixes that are wanted.
+@dataclass
+class Tables:
+    """What a run's reports are featurized from; of what is absent, the families are.
+
+    ``files``: report_id, file_id, file_type, size_bytes, depth, parent_id, path,
+    risk, entropy, total_lines, mtime, and ``metrics`` (two-level JSON) if there
+    are any. ``findings``: report_id, file_id, id, crit, conf, atk, mbc.
+    ``imports``: report_id, file_id, lib, name; ``importing``: report_id and
+    file_id of the files with imports, if ``imports`` does not say.
+    ``symbols``: report_id, file_id, symbol. ``strings``: report_id, file_id, s,
+    wide. ``formulas``: report_id, formula (of root files).
+    """
+
+    files: DataFrame
+    findings: DataFrame
+    imports: DataFrame | None = None
+    importing: DataFrame | None = None
+    symbols: DataFrame | None = None
+    strings: DataFrame | None = None
+    formulas: DataFrame | None = None
+
+
+def _vocabulary(spark: SparkSession, names: list[str], prefix: str, sep: str, parts: int) -> DataFrame | None:
+    """The n-grams that a spec names under ``prefix``."""
+    rows = [tuple(n[len(prefix) :].split(sep)) for n in names if n.startswith(prefix)]
+    rows = sorted({r for r in rows if len(r) == parts})
+    return F.broadcast(spark.createDataFrame(rows, ", ".join(f"{c} string" for c in "abc"[:parts]))) if rows else None
+
 
-    ``importing``: files with imports; ``strings`` and ``formulas`` as in :mod:`.features`.
+#: Families whose names come from a vocabulary: without a spec they are not made.
+_BY_NAME = ("present", "maxcrit", "ghost", "critbi", "crittri", "tierbi", "tiertri", "atkbi", "atktri", "mbcbi", "mbctri", "bigrams", "unsigned_bigram", "trigram", "symbol_bi", "symbol_tri")
+
+
+def families(t: Tables, names: list[str] | None = None) -> DataFrame:
+    """Feature families that the tables allow, as sparse rows ``(report_id, name, value)``.
+
+    ``names`` are those of a spec: families that it does not name are not made,
+    and its n-grams and paths are the vocabularies. Active findings are summed up
+    by file and id once; everything that counts them is rolled up from there.
     """
-    paths, per_file = B.report_paths(findings), B.file_summary(findings)
-    made = {
-        "agg": lambda: X.aggregates(findings, files).unionByName(X.attack_codes(findings)).unionByName(X.path_cooccurrence(paths)),
-        "struct": lambda: X.structure(files, per_file, paths, importing), "format": lambda: X.formats(files, per_file), "ext": lambda: X.external(findings), "score": lambda: X.type_scores(files),
-    }
-    if strings is not None:
-        made["textenc"] = lambda: X.text_encoding(strings)
-    if formulas is not None:
-        made["formula"] = lambda: X.formula(formulas, findings)
-    out = None
-    for name, make in made.items():
-        if only is None or name in only:
-            out = make() if out is None else out.unionByName(make())
-    if out is None:
-        raise ValueError(f"no family of {sorted(only)} can be made from these tables")
-    return out
-
-
-def featurize(files: DataFrame, findings: DataFrame, spec: DataFrame, **tables: DataFrame) -> DataFrame:
+    spark = t.files.sparkSession
+    wanted = None if names is None else {n.split(":", 1)[0] for n in names}
+    want = lambda *prefixes: bool(set(prefixes) & wanted) if wanted is not None else not set(prefixes) & set(_BY_NAME)
+    asked = names or []
+    files, findings = t.files, t.findings
+    ids = findings if "n_active" in findings.columns else B.by_id(findings)
+    paths, per_file = B.report_paths(ids), B.file_summary(ids)
+    out: list[DataFrame] = []
+    if want("agg"):
+        out += [X.aggregates(ids, files), X.path_cooccurrence(paths)]
+        if "atk" in findings.columns:
+            out.append(X.attack_codes(findings))
+    if want("struct"):
+        importing = t.importing if t.importing is not None else t.imports
+        out.append(X.structure(files, per_file, paths, importing))
+    if want("format"):
+        out.append(X.formats(files, per_file))
+    if want("ext"):
+        out.append(X.external(ids))
+    if want("score", "inter"):
+        out.append(X.type_scores(files))
+    if want("missing"):
+        out.append(X.missing_paths(files, paths))
+    if want("crit"):
+        out.append(X.token_presence(X.crit_tokens(paths)))
+    if want("intent_gap"):
+        out.append(X.intent_gaps(paths))
+    if want("present", "maxcrit", "ghost"):
+        words = sorted({n.split(":", 1)[1] for n in asked if n.startswith(("present:", "maxcrit:", "ghost:"))})
+        risks = files.groupBy("report_id").agg(F.coalesce(F.max(F.when(F.col("depth") == 0, F.col("risk"))), F.lit(0)).alias("risk"))
+        out.append(X.weighted_paths(paths, risks, F.broadcast(spark.createDataFrame([(w,) for w in words], "path string"))))
+    grams = [("critbi:", " + ", 2, lambda v: X.token_ngrams(X.crit_tokens(paths), v, "critbi:")), ("crittri:", " + ", 3, lambda v: X.token_ngrams(X.crit_tokens(paths), v, "crittri:", X.TRIPLE_CAP)), ("tierbi:", " + ", 2, lambda v: X.token_ngrams(X.tier_tokens(paths), v, "tierbi:")), ("tiertri:", " + ", 3, lambda v: X.token_ngrams(X.tier_tokens(paths), v, "tiertri:"))]
+    grams += [("bigrams:", "+", 2, lambda v: X.path_bigrams(B.file_paths(ids), v)), ("unsigned_bigram:", "+", 2, lambda v: X.unsigned_bigrams(X.path_bigrams(B.file_paths(ids), v), paths)), ("trigram:", "+", 3, lambda v: X.path_trigrams(B.file_paths(ids), v))]
+    if "atk" in findings.columns:
+        for code in ("atk", "mbc"):
+            grams += [(f"{code}bi:", " + ", 2, lambda v, c=code: X.token_ngrams(X.code_tokens(findings, c), v, f"{c}bi:")), (f"{code}tri:", " + ", 3, lambda v, c=code: X.token_ngrams(X.code_tokens(findings, c), v, f"{c}tri:", X.TRIPLE_CAP))]
+    if t.symbols is not None:
+        grams += [("symbol_bi:", "||", 2, lambda v: X.symbol_ngrams(t.symbols, v)), ("symbol_tri:", "||", 3, lambda v: X.symbol_ngrams(t.symbols, v, "symbol_tri:", 24))]
+        if want("symbol"):
+            out.append(X.symbol_presence(t.symbols))
+    for prefix, sep, parts, make in grams:
+        vocab = _vocabulary(spark, asked, prefix, sep, parts)
+        if vocab is not None:
+            out.append(make(vocab))
+    if t.imports is not None and want("gap"):
+        tokens = t.imports.select("report_id", F.explode(X.import_tokens(F.col("lib"), F.col("name"))).alias("token"))
+        out.append(X.logic_gaps(tokens, paths))
+    if "metrics" in files.columns and want("metrics"):
+        vocab = spark.createDataFrame([(n.split(":", 1)[1],) for n in asked if n.startswith("metrics:") and not n.startswith("metrics:derived_")], "name string")
+        out.append(X.metrics(files.select("report_id").distinct(), X.merged_metrics(files), vocab))
+    if "metrics" in files.columns and want("kv"):
+        out.append(X.kv_tokens(files))
+    if t.strings is not None and want("textenc"):
+        out.append(X.text_encoding(t.strings))
+    if t.formulas is not None and want("formula", "elements", "rare", "skeleton"):
+        out.append(X.formula(t.formulas, ids))
+    if not out:
+        raise ValueError(f"no family of {sorted(wanted)} can be made from these tables")
+    return reduce(DataFrame.unionByName, out)
+
+
+#: A featurized unit: a report (``file_id`` 0 and not a member), or one of its members alone.
+def _unit(member: bool) -> Column:
+    return F.struct(F.col("report_id").alias("report_id"), F.lit(member).alias("member"), (F.col("file_id") if member else F.lit(0).cast("long")).cast("long").alias("file_id")).alias("report_id")
+
+
+def with_members(t: Tables, members: DataFrame) -> Tables:
+    """The tables at two grains in one: whole reports, and each of ``members (report_id, file_id)`` alone.
+
+    ``report_id`` becomes a struct of report_id, member and file_id. A member is
+    a report of one file: no parent, the path behind the last ``!!``, and neither
+    risk nor formula, which belong to root files.
+    """
+
+    def both(rows: DataFrame | None, change: dict[str, Column] | None = None, member_rows: bool = True) -> DataFrame | None:
+        if rows is None:
+            return None
+        rest = [c for c in rows.columns if c != "report_id"]
+        whole = rows.select(_unit(False), *rest) if "file_id" in rows.columns else rows.select(F.struct(F.col("report_id").alias("report_id"), F.lit(False).alias("member"), F.lit(0).cast("long").alias("file_id")).alias("report_id"), *rest)
+        if not member_rows or "file_id" not in rows.columns:
+            return whole
+        own = rows.join(members.select("report_id", "file_id"), ["report_id", "file_id"], "left_semi")
+        own = own.withColumns({c: v for c, v in (change or {}).items() if c in rows.columns})
+        return whole.unionByName(own.select(_unit(True), *rest))
+
+    alone = {"parent_id": F.lit(None).cast("long"), "risk": F.lit(0).cast("long"), "path": F.element_at(F.split("path", "!!"), -1)}
+    files = t.files.withColumn("risk", F.col("risk").cast("long")) if "risk" in t.files.columns else t.files
+    return Tables(both(files, alone), both(t.findings), both(t.imports), both(t.importing), both(t.symbols), both(t.strings), both(t.formulas, member_rows=False))
+
+
+def featurize(t: Tables, spec: DataFrame) -> DataFrame:
     """Reports -> standardized vectors ``(report_id, vector)`` in the order of ``spec``; families that it does not name are not made."""
-    only = {r[0] for r in spec.select(F.split_part("name", F.lit(":"), F.lit(1))).distinct().collect()}  # of a model's names
-    return X.assemble(families(files, findings, only=only, **tables), spec, files)
+    names = [r.name for r in spec.select("name").distinct().collect()]  # a model's names
+    codes = [c for c in ("atk", "mbc") if c in t.findings.columns and any(n.startswith((f"{c}bi:", f"{c}tri:", "agg:")) for n in names)]
+    ids = stored(B.by_id(t.findings))
+    parts = replace(t, findings=ids)
+    made = families(parts, [n for n in names if not n.startswith(("atkbi:", "atktri:", "mbcbi:", "mbctri:"))]) if any(not n.startswith(("atkbi:", "atktri:", "mbcbi:", "mbctri:")) for n in names) else None
+    if codes:
+        # codes are those of all findings, whatever their confidence
+        thin = t.findings.where("atk is not null or mbc is not null or id LIKE 'objectives/%'").select("report_id", "file_id", "id", "conf", "atk", "mbc")
+        more = [X.attack_codes(thin)] if any(n.startswith("agg:") for n in names) else []
+        for code in ("atk", "mbc"):
+            for suffix, parts_, cap in (("bi:", 2, X.PAIR_CAP), ("tri:", 3, X.TRIPLE_CAP)):
+                vocab = _vocabulary(t.files.sparkSession, names, code + suffix, " + ", parts_)
+                if vocab is not None:
+                    more.append(X.token_ngrams(X.code_tokens(thin, code), vocab, code + suffix, cap))
+        for rows in more:
+            made = rows if made is None else made.unionByName(rows)
+    return X.assemble(made, spec, t.files)
 
 
 @dataclass
@@ -113,26 +239,36 @@ def score_reports(vectors: DataFrame, files: DataFrame, model: Model, n: int = S
     return out, scores.withColumnRenamed("id", "report_id"), skipped.withColumnRenamed("id", "report_id")
 
 
-def rollup(verdicts: DataFrame, files: DataFrame, findings: DataFrame, members: DataFrame, bad_refs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Floor by findings, then by the worst member -> final verdicts; and the findings that bad dependencies add to files and their ancestors.
+def rollup(verdicts: DataFrame, files: DataFrame, findings: DataFrame, members: DataFrame, bad_refs: DataFrame | None = None, n: int | None = S.DEFAULT_LEVEL) -> tuple[DataFrame, DataFrame]:
+    """Floor by the root file's findings, then by the worst member -> final verdicts; and the findings that bad dependencies add to files and their ancestors.
 
-    ``members``: report_id, file_id, class, prob; ``bad_refs``: report_id, path, class, locator.
+    ``members``: report_id, file_id, class, prob, level; ``bad_refs``: report_id, path, class, locator.
     """
-    floored = stored(S.trait_floor(verdicts.select("report_id", "class", "prob", "level"), findings))
-    raised = S.elevate(floored, members)
-    level = F.when(F.col("from_member").isNotNull(), S.interpreted_level(F.col("class"))).otherwise(F.col("own_level"))
-    out = raised.join(floored.select("report_id", F.col("level").alias("own_level")), "report_id").withColumn("level", level).drop("own_level")
+    own = findings.join(files.where("depth = 0").select("report_id", "file_id"), ["report_id", "file_id"], "left_semi")
+    floored = stored(S.trait_floor(verdicts.select("report_id", "class", "prob", "level"), own, n))
+    raised = S.elevate(floored, members).join(floored.select("report_id", F.col("level").alias("own_level")), "report_id")
+    levels = members.select("report_id", F.col("file_id").alias("from_member"), F.col("level").alias("member_level"))
+    level = F.when(F.col("from_member").isNotNull(), F.col("member_level")).otherwise(F.col("own_level"))
+    final = raised.join(levels, ["report_id", "from_member"], "left").select("report_id", "class", "prob", "from_member", level.alias("level"))
     extra = R.backrefs(files, bad_refs) if bad_refs is not None else files.sparkSession.createDataFrame([], "report_id long, file_id long, locator string, crit int")
-    return out.withColumn("conf", S.level_conf(F.col("level"))), extra
+    return final.withColumn("conf", S.level_conf(F.col("level"))), extra
 
 
-def member_verdicts(files: DataFrame, findings: DataFrame, limit: int = 100) -> DataFrame:
-    """Verdicts of a report's first files below its root, each by the findings of its own: the trait floor on a benign start."""
+def member_verdicts(files: DataFrame, findings: DataFrame, decided: DataFrame | None = None, limit: int = 100, n: int | None = S.DEFAULT_LEVEL) -> DataFrame:
+    """Verdicts of a report's first files below its root: the model's (``decided``: report_id, file_id, class, prob, level), floored by the member's own findings.
+
+    A member that the model did not reach starts benign.
+    """
     inner = S.first_members(files, limit).select("report_id", "file_id")
     key = F.struct("report_id", "file_id")
     own = findings.join(inner, ["report_id", "file_id"]).select(key.alias("report_id"), "crit", "conf")
-    start = inner.select(key.alias("report_id"), F.lit(0).alias("class"), F.lit(0.0).alias("prob"), F.lit(-1).alias("level"))
-    return S.trait_floor(start, own).select("report_id.report_id", "report_id.file_id", "class", "prob", "level")
+    start = inner.withColumns({"class": F.lit(0), "prob": F.lit(0.0), "level": F.lit(-1) if n is not None else F.lit(None).cast("int")})
+    if decided is not None:
+        known = decided.select("report_id", "file_id", *[F.col(c).alias(f"m_{c}") for c in ("class", "prob", "level")], F.lit(True).alias("known"))
+        rows = inner.join(known, ["report_id", "file_id"], "left")
+        start = rows.select("report_id", "file_id", F.coalesce("m_class", F.lit(0)).alias("class"), F.coalesce("m_prob", F.lit(0.0)).alias("prob"), F.when(F.col("known"), F.col("m_level")).otherwise(F.lit(-1) if n is not None else F.lit(None).cast("int")).alias("level"))
+    start = start.select(key.alias("report_id"), "class", "prob", "level")
+    return S.trait_floor(start, own, n).select("report_id.report_id", "report_id.file_id", "class", "prob", "level")
 
 
 def gate_known(artifacts: DataFrame, keys: DataFrame, mode: str = "balanced", key: str = "sha256", **fresh) -> tuple[DataFrame, DataFrame]:
@@ -141,15 +277,47 @@ def gate_known(artifacts: DataFrame, keys: DataFrame, mode: str = "balanced", ke
     return gated, K.tally(gated)
 
 
-def score_corpus(files: DataFrame, findings: DataFrame, spec: DataFrame, model: Model, keys: DataFrame, n: int = S.DEFAULT_LEVEL, **tables: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Gate, featurize, score and roll up -> final verdict of each report that is scanned, and the summary of the run."""
-    roots = files.where("depth = 0").select("report_id", "sha256")
+class Run(NamedTuple):
+    """What a run over a corpus gives: final verdicts of the reports that were scanned, the summary, members' verdicts, the findings that bad dependencies add, and envelopes."""
+
+    verdicts: DataFrame
+    summary: DataFrame
+    members: DataFrame
+    backrefs: DataFrame
+    envelopes: DataFrame
+
+
+def score_corpus(t: Tables, spec: DataFrame, model: Model, keys: DataFrame, n: int = S.DEFAULT_LEVEL, fetched: DataFrame | None = None, raw: DataFrame | None = None, llm: DataFrame | None = None, limit: int = 100) -> Run:
+    """Gate, featurize, score and roll up.
+
+    Reports and their first ``limit`` members are featurized and scored in one
+    pass, each member by the routes of its own type. ``fetched``: report_id,
+    sha256, path, locator, the content that a reference of the file at ``path``
+    fetched; where a member with that content is suspicious or hostile, the
+    file and its ancestors get a finding. ``raw (report_id, raw)`` and
+    ``llm (report_id, llm)`` are JSON for the envelopes.
+    """
+    roots = t.files.where("depth = 0").select("report_id", "sha256")
     gated, _ = gate_known(roots, keys)
-    scanned = gated.where("scan").select("report_id")
-    files, findings = (stored(t.join(scanned, "report_id", "left_semi")) for t in (files, findings))
-    decided, _, _ = score_reports(featurize(files, findings, spec, **tables), files, model, n)
-    final, _ = rollup(decided, files, findings, member_verdicts(files, findings))
-    return final, M.summary(final)
+    scanned = stored(gated.where("scan").select("report_id"))
+    only = lambda rows: None if rows is None else stored(rows.join(scanned, "report_id", "left_semi"))
+    t = Tables(*[only(getattr(t, f.name)) for f in fields(Tables)])
+    inner = stored(S.first_members(t.files, limit).select("report_id", "file_id"))
+    two = with_members(t, inner)
+    decided, scores, skipped = score_reports(featurize(two, spec), two.files.withColumn("depth", F.when(F.col("report_id.member"), 0).otherwise(F.col("depth"))), model, n)
+    decided = stored(decided)
+    whole = decided.where("not report_id.member").withColumn("report_id", F.col("report_id.report_id"))
+    members = decided.where("report_id.member").select("report_id.report_id", "report_id.file_id", "class", "prob", "level")
+    members = stored(member_verdicts(t.files, t.findings, members, limit, n))
+    bad = None
+    if fetched is not None:
+        shas = members.where("class > 0").join(t.files.select("report_id", "file_id", "sha256"), ["report_id", "file_id"])
+        bad = shas.select("report_id", "sha256", "class").join(fetched, ["report_id", "sha256"]).groupBy("report_id", "path", "locator").agg(F.max("class").alias("class"))
+    final, extra = rollup(whole, t.files, t.findings, members, bad, n)
+    final = stored(final)
+    mine = lambda rows: rows.where("not report_id.member").withColumn("report_id", F.col("report_id.report_id"))
+    lines = envelopes(final, P.ml_files(t.files, members, final), mine(scores), mine(skipped), raw, llm)
+    return Run(final, M.summary(final), members, extra, lines)
 
 
 def build_known_sets(pool: DataFrame, previous: DataFrame, rate: float = 1e-4) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -118,7 +118,7 @@ def features_aggregates(spark, sf_dir):
     return X.aggregates(A.findings(spark, sf_dir), A.files(spark, sf_dir))
 
 
-_CODES = """, codes AS (SELECT report_id, count(DISTINCT atk) AS a, count(DISTINCT mbc) AS m, count(DISTINCT CASE WHEN starts_with(atk, 'T') THEN left(atk, 4) END) AS t, coalesce(bool_or(round(conf, 4) >= 0.65 AND starts_with(id, 'objectives/')), false) AS o FROM findings GROUP BY 1)"""
+_CODES = """, codes AS (SELECT report_id, count(DISTINCT atk) AS a, count(DISTINCT mbc) AS m, count(DISTINCT CASE WHEN starts_with(atk, 'T') THEN left(atk, 4) END) AS t, coalesce(bool_or(conf >= 0.65 AND starts_with(id, 'objectives/')), false) AS o FROM findings GROUP BY 1)"""
 _ATTACK = _CODES + _entries("agg:", """attack_technique_count = a
 attack_tactic_count = t
 mbc_behavior_count = m
@@ -468,12 +468,13 @@ def spec(spark):
 def vectors(spark, sf_dir):
     """Standardized vectors of all reports: the families that need findings and files only."""
     files = shaped_files(spark, sf_dir)
-    return J.featurize(files, A.findings(spark, sf_dir), spec(spark), importing=files.where("file_id % 4 <> 0"))
+    return J.featurize(J.Tables(files, A.findings(spark, sf_dir), importing=files.where("file_id % 4 <> 0")), spec(spark))
 
 
 def all_families(spark, sf_dir):
     files = shaped_files(spark, sf_dir)
-    return J.families(files, A.findings(spark, sf_dir), importing=files.where("file_id % 4 <> 0"))
+    rows = J.families(J.Tables(files, A.findings(spark, sf_dir), importing=files.where("file_id % 4 <> 0")))
+    return rows.where("name NOT RLIKE '^(missing|crit|intent_gap):'")
 
 
 def _family(oracle: str, k: int) -> str:

@@ -59,7 +59,7 @@ _CONF_OF = "CASE level WHEN -1 THEN 0 WHEN 0 THEN 100 WHEN 25 THEN 92 WHEN 500 T
 
 def _scored(spark, sf_dir):
     files = shaped_files(spark, sf_dir)
-    vectors = J.featurize(files, A.findings(spark, sf_dir), spec(spark))
+    vectors = J.featurize(J.Tables(files, A.findings(spark, sf_dir)), spec(spark))
     return J.score_reports(vectors, files, model(spark))
 
 
@@ -78,9 +78,9 @@ def job_skipped_routes(spark, sf_dir):
     return _scored(spark, sf_dir)[2]
 
 
-_OWN = """, own AS (SELECT report_id, file_id, count(CASE WHEN round(conf, 4) >= 0.76 AND crit = 5 THEN 1 END) AS c5, count(CASE WHEN round(conf, 4) >= 0.76 AND crit = 4 THEN 1 END) AS c4, max(CASE WHEN round(conf, 4) >= 0.76 AND crit = 5 THEN conf END) AS p5, max(CASE WHEN round(conf, 4) >= 0.76 AND crit = 4 THEN conf END) AS p4, count(*) AS total FROM findings GROUP BY ALL),
+_OWN = """, own AS (SELECT report_id, file_id, count(CASE WHEN conf >= 0.76 AND crit = 5 THEN 1 END) AS c5, count(CASE WHEN conf >= 0.76 AND crit = 4 THEN 1 END) AS c4, max(CASE WHEN conf >= 0.76 AND crit = 5 THEN conf END) AS p5, max(CASE WHEN conf >= 0.76 AND crit = 4 THEN conf END) AS p4, count(*) AS total FROM findings GROUP BY ALL),
 mem AS (SELECT f.report_id, f.file_id, CASE WHEN c5 >= 1 THEN 2 WHEN c4 >= 2 AND c4 >= 0.05 * total THEN 1 ELSE 0 END AS class, CASE WHEN c5 >= 1 THEN p5 WHEN c4 >= 2 AND c4 >= 0.05 * total THEN p4 ELSE 0.0 END AS prob FROM FILES_ f LEFT JOIN own USING (report_id, file_id) WHERE depth > 0)"""
-_ROLLED = _OWN + """, fl AS (SELECT report_id, sum(c5) AS c5, sum(c4) AS c4, max(p5) AS p5, max(p4) AS p4, sum(total) AS total FROM own GROUP BY 1),
+_ROLLED = _OWN + """, fl AS (SELECT report_id, sum(c5) AS c5, sum(c4) AS c4, max(p5) AS p5, max(p4) AS p4, sum(total) AS total FROM own JOIN FILES_ USING (report_id, file_id) WHERE depth = 0 GROUP BY 1),
 floored AS (SELECT d.report_id, CASE WHEN d.class > 0 THEN d.class WHEN c5 >= 1 THEN 2 WHEN c4 >= 2 AND c4 >= 0.05 * total THEN 1 ELSE 0 END AS class, CASE WHEN d.class = 0 AND c5 >= 1 THEN p5 WHEN d.class = 0 AND c4 >= 2 AND c4 >= 0.05 * total THEN p4 ELSE d.prob END AS prob,
   CASE WHEN d.class = 0 AND c5 >= 1 THEN 25 WHEN d.class = 0 AND c4 >= 2 AND c4 >= 0.05 * total THEN 3000 ELSE d.level END AS level FROM decided d LEFT JOIN fl USING (report_id)),
 worst AS (SELECT report_id, arg_max({'c': class, 'p': prob, 'f': file_id}, (class, prob, -file_id)) AS w FROM mem GROUP BY 1),
@@ -101,11 +101,60 @@ def known_roots(spark, sf_dir):
     return good.unionByName(roots.where("report_id % 15 = 0").select("key", F.lit("bad").alias("label")))
 
 
-@query(sql(*FEATURES, _SPEC, _FILES_, FINDINGS, _VECTORS + _DECIDED + _ROLLED.replace("FILES_", "files_") + """, s AS (SELECT * FROM rolled WHERE report_id % 5 <> 0 OR report_id % 15 = 0), c AS (SELECT count(*) FILTER (class = 2) AS hostile, count(*) FILTER (class = 1) AS suspicious, count(*) FILTER (class = 0) AS benign, CAST(0 AS BIGINT) AS errors, count(*) AS total FROM s)
+# Units of two grains: a report under its number, and each of its members as "report/file".
+_INNER = "SELECT DISTINCT l_orderkey AS report_id, l_suppkey AS file_id FROM lineitem QUALIFY l_suppkey > min(l_suppkey) OVER (PARTITION BY l_orderkey)"
+_FINDINGS2 = FINDINGS.replace("findings AS (", "findings0 AS (", 1).replace("active AS (", f"""findings AS (SELECT CAST(report_id AS VARCHAR) AS report_id, * EXCLUDE (report_id) FROM findings0 UNION ALL SELECT report_id || '/' || file_id, * EXCLUDE (report_id) FROM findings0 WHERE (report_id, file_id) IN ({_INNER})),
+active AS (""", 1)
+_FILES2 = FILES.replace("\nfiles AS (", "\nfiles0 AS (", 1) + """,
+files AS (SELECT CAST(report_id AS VARCHAR) AS report_id, * EXCLUDE (report_id) FROM files0 UNION ALL SELECT report_id || '/' || file_id, * EXCLUDE (report_id) REPLACE (NULL AS parent_id, 0 AS risk, regexp_replace(path, '^.*!!', '') AS path) FROM files0 WHERE depth > 0)"""
+_FEATURES2 = [f.replace(FINDINGS, _FINDINGS2).replace(FILES, _FILES2) for f in FEATURES]
+_FILES2_ = _FILES2.replace("\nfiles AS (", "\nfiles_ AS (")
+_DECIDED2 = (_VECTORS + _DECIDED).replace("(SELECT DISTINCT l_orderkey AS report_id FROM lineitem)", "(SELECT DISTINCT report_id FROM files_)").replace("FROM files_ WHERE depth = 0", "FROM files_ WHERE depth = 0 OR contains(report_id, '/')")
+_C5 = "c5 >= 1 THEN 2 WHEN c4 >= 2 AND c4 >= 0.05 * total THEN 1"
+_MEMBERS2 = _DECIDED2 + f""", own AS (SELECT report_id, file_id, count(CASE WHEN conf >= 0.76 AND crit = 5 THEN 1 END) AS c5, count(CASE WHEN conf >= 0.76 AND crit = 4 THEN 1 END) AS c4, max(CASE WHEN conf >= 0.76 AND crit = 5 THEN conf END) AS p5, max(CASE WHEN conf >= 0.76 AND crit = 4 THEN conf END) AS p4, count(*) AS total FROM findings GROUP BY ALL),
+units AS (SELECT CAST(split_part(report_id, '/', 1) AS BIGINT) AS report_id, coalesce(TRY_CAST(split_part(report_id, '/', 2) AS BIGINT), root_id) AS file_id, contains(report_id, '/') AS inside, class, prob, level FROM decided JOIN (SELECT l_orderkey, min(l_suppkey) AS root_id FROM lineitem GROUP BY 1) ON l_orderkey = CAST(split_part(report_id, '/', 1) AS BIGINT)),
+floored AS (SELECT u.report_id, u.file_id, inside, CASE WHEN class > 0 THEN class WHEN {_C5} ELSE 0 END AS class, CASE WHEN class = 0 AND c5 >= 1 THEN p5 WHEN class = 0 AND c4 >= 2 AND c4 >= 0.05 * total THEN p4 ELSE prob END AS prob,
+  CASE WHEN class = 0 AND c5 >= 1 THEN 25 WHEN class = 0 AND c4 >= 2 AND c4 >= 0.05 * total THEN 3000 ELSE level END AS level FROM units u LEFT JOIN own USING (report_id, file_id)),
+scanned AS (SELECT * FROM floored WHERE report_id % 5 <> 0 OR report_id % 15 = 0),
+worst AS (SELECT report_id, arg_max({{'c': class, 'p': prob, 'l': level, 'f': file_id}}, (class, prob, -file_id)) AS w FROM scanned WHERE inside GROUP BY 1),
+final AS (SELECT report_id, CASE WHEN up THEN w.c ELSE class END AS class, CASE WHEN up THEN w.p ELSE prob END AS prob, CASE WHEN up THEN w.l ELSE level END AS level, CASE WHEN up THEN w.f END AS from_member
+  FROM (SELECT s.*, w, w IS NOT NULL AND (w.c, w.p) > (class, prob) AS up FROM scanned s LEFT JOIN worst USING (report_id) WHERE NOT inside))"""
+
+
+def _run(spark, sf_dir):
+    t = J.Tables(shaped_files(spark, sf_dir), A.findings(spark, sf_dir))
+    fetched = t.files.where("depth = 1").join(t.files.select("report_id", F.col("file_id").alias("parent_id"), F.col("path").alias("at")), ["report_id", "parent_id"]).select("report_id", "sha256", F.col("at").alias("path"), F.concat(F.lit("pkg:npm/f"), "file_id").alias("locator"))
+    return J.score_corpus(t, spec(spark), model(spark), known_roots(spark, sf_dir), fetched=fetched)
+
+
+@query(sql(*_FEATURES2, _SPEC, _FILES2_, FINDINGS, _MEMBERS2 + """, c AS (SELECT count(*) FILTER (class = 2) AS hostile, count(*) FILTER (class = 1) AS suspicious, count(*) FILTER (class = 0) AS benign, CAST(0 AS BIGINT) AS errors, count(*) AS total FROM final)
   SELECT *, CASE WHEN hostile > 0 THEN 1 WHEN suspicious > 0 THEN 2 WHEN errors > 0 THEN 3 ELSE 0 END AS exit_code FROM c"""))
 def job_score_corpus(spark, sf_dir):
     """The summary of a whole run: known-good reports are not scanned."""
-    return J.score_corpus(shaped_files(spark, sf_dir), A.findings(spark, sf_dir), spec(spark), model(spark), known_roots(spark, sf_dir))[1]
+    return _run(spark, sf_dir).summary
+
+
+@query(sql(*_FEATURES2, _SPEC, _FILES2_, FINDINGS, _MEMBERS2 + " SELECT report_id, file_id, class, prob, level FROM scanned WHERE inside"))
+def job_member_verdicts(spark, sf_dir):
+    """Members by the model, each by the routes of its own type, floored by its own findings."""
+    return _run(spark, sf_dir).members
+
+
+@query(sql(*_FEATURES2, _SPEC, _FILES2_, FINDINGS, _MEMBERS2 + """, bad AS (SELECT s.report_id, f.parent_id AS file_id, 'pkg:npm/f' || s.file_id AS locator, class + 3 AS crit FROM scanned s JOIN files0 f USING (report_id, file_id) WHERE inside AND class > 0 AND f.depth = 1) SELECT report_id, file_id, locator, CAST(crit AS INT) AS crit FROM bad"""))
+def job_backrefs(spark, sf_dir):
+    """Findings that hostile and suspicious fetched members put on the files that asked for them."""
+    return _run(spark, sf_dir).backrefs
+
+
+@query(sql(*_FEATURES2, _SPEC, _FILES2_, FINDINGS, _MEMBERS2 + f""", m AS (SELECT report_id, count(*) AS n_files, count(*) FILTER (lvl = -1) AS benign FROM (SELECT report_id, level AS lvl FROM scanned WHERE inside UNION ALL SELECT report_id, level FROM final) GROUP BY 1),
+r AS (SELECT CAST(report_id AS BIGINT) AS report_id, count(*) AS n_mods FROM ps WHERE NOT contains(report_id, '/') GROUP BY 1), k AS (SELECT report_id, file_type FROM files0 WHERE depth = 0)
+  SELECT f.report_id, level AS lvl, {_CONF_OF} AS conf, n_files, benign, n_mods, CASE WHEN file_type IN ('elf', 'pe') THEN 'uncalibrated' WHEN file_type = 'python' THEN 'unavailable' END AS why FROM final f JOIN m USING (report_id) JOIN r USING (report_id) JOIN k USING (report_id)"""))
+def job_envelopes(spark, sf_dir):
+    """What the envelopes' lines say, read back from their text."""
+    kind = "ml struct<lvl:int,conf:int,mods:array<struct<rte:string>>,skip:array<struct<why:string>>,files:array<struct<id:long,lvl:int>>>"
+    ml = F.from_json("line", kind)["ml"]
+    rows = _run(spark, sf_dir).envelopes.select("report_id", ml.alias("ml"))
+    return rows.select("report_id", "ml.lvl", "ml.conf", F.size("ml.files").cast("long").alias("n_files"), F.size(F.filter("ml.files", lambda f: f["lvl"] == -1)).cast("long").alias("benign"), F.size("ml.mods").cast("long").alias("n_mods"), F.get("ml.skip", F.lit(0))["why"].alias("why"))
 
 
 @query(sql(FILES, "SELECT report_id, CASE WHEN report_id % 15 = 0 THEN 'conflicted' WHEN report_id % 5 = 0 THEN 'skip' ELSE 'unknown' END AS decision, NOT (report_id % 5 = 0 AND report_id % 15 <> 0) AS scan FROM files WHERE depth = 0"))
@@ -114,7 +163,7 @@ def job_gate_known(spark, sf_dir):
     return J.gate_known(roots, known_roots(spark, sf_dir))[0].select("report_id", "decision", "scan")
 
 
-@query(sql(_CAL, "SELECT id, CASE WHEN max(p) >= 0.9 THEN 2 WHEN max(p) >= 0.65 THEN 1 ELSE 0 END AS class, CASE WHEN max(p) >= 0.65 THEN max(p) ELSE max(p) FILTER (route = 'general') END AS prob, CASE WHEN max(p) >= 0.9 THEN 0.9 ELSE 0.65 END AS threshold FROM routed GROUP BY 1"))
+@query(sql(_CAL, "SELECT id, CASE WHEN max(p) >= 0.9 THEN 2 WHEN max(p) >= 0.65 THEN 1 ELSE 0 END AS class, max(p) AS prob, CASE WHEN max(p) >= 0.9 THEN 0.9 ELSE 0.65 END AS threshold FROM routed GROUP BY 1"))
 def decided_without_grid(spark, sf_dir):
     return S.decide_scores(routed(spark, sf_dir))
 

@@ -11,7 +11,7 @@ FINDINGS = """findings AS (SELECT l_orderkey AS report_id, l_suppkey AS file_id,
   CASE WHEN l_linestatus = 'F' THEN 'T1' || lpad(CAST(l_partkey % 40 AS VARCHAR), 3, '0') END AS atk,
   CASE WHEN l_linestatus = 'O' THEN 'B0' || lpad(CAST(l_suppkey % 25 AS VARCHAR), 3, '0') END AS mbc, l_partkey AS tie
   FROM lineitem JOIN part ON l_partkey = p_partkey),
-active AS (SELECT * FROM findings WHERE id <> '' AND round(conf, 4) >= 0.65)"""
+active AS (SELECT * FROM findings WHERE id <> '' AND conf >= 0.65)"""
 
 FILES = f"""line_files AS (SELECT l_orderkey AS report_id, l_suppkey AS file_id, CAST(floor(round(sum(l_extendedprice), 2)) AS BIGINT) AS size_bytes,
   max(CAST(floor((l_quantity - 1) / 10) AS INT) + 1) * 10 AS risk, round(avg(l_tax) * 100, 4) AS entropy, count(*) AS functions, sum(l_linenumber) AS total_lines, 86400 * date_diff('day', DATE '1970-01-01', CAST(max(l_shipdate) AS DATE)) AS mtime FROM lineitem GROUP BY 1, 2),
@@ -39,8 +39,8 @@ RISK = """risk AS (SELECT report_id, file_id, coalesce(max_crit, 0) AS max_crit,
   coalesce(suspicious, 0) / greatest(1.0::DOUBLE, size_bytes / 1024) AS suspicious_density, coalesce(hostile, 0) / greatest(1.0::DOUBLE, size_bytes / 1024) AS hostile_density
   FROM files LEFT JOIN file_summary USING (report_id, file_id))"""
 
-FLOOR = """floors AS (SELECT report_id, count(CASE WHEN round(conf, 4) >= 0.76 AND crit = 5 THEN 1 END) AS c5, count(CASE WHEN round(conf, 4) >= 0.76 AND crit = 4 THEN 1 END) AS c4,
-  max(CASE WHEN round(conf, 4) >= 0.76 AND crit = 5 THEN conf END) AS p5, max(CASE WHEN round(conf, 4) >= 0.76 AND crit = 4 THEN conf END) AS p4, count(*) AS total FROM findings GROUP BY 1),
+FLOOR = """floors AS (SELECT report_id, count(CASE WHEN conf >= 0.76 AND crit = 5 THEN 1 END) AS c5, count(CASE WHEN conf >= 0.76 AND crit = 4 THEN 1 END) AS c4,
+  max(CASE WHEN conf >= 0.76 AND crit = 5 THEN conf END) AS p5, max(CASE WHEN conf >= 0.76 AND crit = 4 THEN conf END) AS p4, count(*) AS total FROM findings GROUP BY 1),
 verdicts AS (SELECT report_id, CASE WHEN c5 >= 1 THEN 2 WHEN c4 >= 2 AND c4 >= 0.05 * total THEN 1 ELSE 0 END AS class,
   CASE WHEN c5 >= 1 THEN p5 WHEN c4 >= 2 AND c4 >= 0.05 * total THEN p4 ELSE 0 END AS prob,
   CASE WHEN c5 >= 1 THEN 25 WHEN c4 >= 2 AND c4 >= 0.05 * total THEN 3000 ELSE -1 END AS level FROM floors)"""

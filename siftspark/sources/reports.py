@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftspark.operators.knownsets import parse_sha256
+from siftspark.operators.verdicts import level_conf
 
 FINDING = "struct<id:string,crit:int,conf:double,desc:string,atk:string,mbc:string,from:array<int>>"
 FILE = f"struct<id:bigint,path:string,type:string,sha:string,size:bigint,risk:bigint,depth:int,parent:bigint,rel:string,role:string,findings:array<{FINDING}>,metrics:string>"
@@ -45,18 +46,55 @@ def own_files(files: DataFrame, own: DataFrame) -> DataFrame:
     return files.join(own, ["report_id", "sha256"], "left_semi")
 
 
-def ml_files(files: DataFrame, members: DataFrame) -> DataFrame:
-    """Per report a list of file entries; an unevaluated file has id and type only, listing-only ones are left out."""
-    rows = files.where("risk >= 0").join(members.select("report_id", "file_id", "class", "prob"), ["report_id", "file_id"], "left")
-    entry = F.struct(F.col("file_id").alias("id"), F.col("file_type").alias("type"), F.col("class").alias("cls"), F.col("prob"))
+def ml_files(files: DataFrame, members: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """Per report a list of file entries in order of their ids.
+
+    The root has the report's verdict (``verdicts``: report_id, prob, level), a
+    member its own; an unevaluated file has id and type only, and listing-only
+    ones (risk below 0) are left out.
+    """
+    level = F.col("level") if "level" in members.columns else F.lit(None).cast("int")
+    rows = files.where("risk >= 0").join(members.select("report_id", "file_id", F.col("prob").alias("p"), level.alias("l"), F.lit(True).alias("known")), ["report_id", "file_id"], "left")
+    if verdicts is not None:
+        rows = rows.join(verdicts.select("report_id", F.col("prob").alias("root_p"), F.col("level").alias("root_l")), "report_id", "left")
+        root = F.col("depth") == 0
+        rows = rows.withColumns({"p": F.when(root, F.col("root_p")).otherwise(F.col("p")), "l": F.when(root, F.col("root_l")).otherwise(F.col("l")), "known": root | F.coalesce("known", F.lit(False))})
+    entry = F.struct(F.col("file_id").alias("id"), F.col("file_type").alias("type"), F.when(F.col("known"), F.struct(F.col("p").alias("prob"), F.col("l").alias("lvl"), level_conf(F.col("l")).alias("conf"))).alias("v"))
     return rows.groupBy("report_id").agg(F.array_sort(F.collect_list(entry)).alias("files"))
 
 
-def envelopes(verdicts: DataFrame, files: DataFrame) -> DataFrame:
-    """``{"ml": {...}}`` lines; level and confidence are there even when null, other nulls are left out."""
+def envelopes(verdicts: DataFrame, files: DataFrame, scores: DataFrame | None = None, skipped: DataFrame | None = None, raw: DataFrame | None = None, llm: DataFrame | None = None) -> DataFrame:
+    """``(report_id, line)``: an envelope ``{"ml": {...}, "llm"?: {...}, "raw"?: {...}}`` of each verdict.
+
+    Level and confidence are there even when null, in the report's and in its
+    files' entries; ``mods`` (``scores``: report_id, route, p, raw) and ``skip``
+    (``skipped``: report_id, route, why) are left out when empty, as ``llm`` and
+    ``raw``, JSON by report, are.
+    """
     rows = verdicts.join(files, "report_id", "left")
-    head = F.to_json(F.struct(F.struct(F.col("prob"), F.col("level").alias("lvl"), F.col("conf")).alias("ml")), {"ignoreNullFields": "false"})
-    return rows.select("report_id", head.alias("head"), F.to_json("files", {"ignoreNullFields": "true"}).alias("files"))
+    parts = {"mods": (scores, lambda r: F.struct(F.col("route").alias("rte"), F.col("p").alias("prob"), "raw")), "skip": (skipped, lambda r: F.struct(F.col("route").alias("rte"), "why"))}
+    for name, (table, entry) in parts.items():
+        if table is None:
+            rows = rows.withColumn(name, F.lit(None).cast("string"))
+            continue
+        rows = rows.join(table.groupBy("report_id").agg(F.to_json(F.array_sort(F.collect_list(entry(table)))).alias(name)), "report_id", "left")
+    for name, table in (("raw", raw), ("llm", llm)):
+        rows = rows.join(table.select("report_id", name), "report_id", "left") if table is not None else rows.withColumn(name, F.lit(None).cast("string"))
+    shown = {"ignoreNullFields": "false"}
+
+    def inside(json: Column) -> Column:
+        """An object's text without its braces."""
+        return F.substring(json, 2, F.length(json) - 2)
+
+    def file_(f: Column) -> Column:
+        known = F.to_json(F.struct(f["id"].alias("id"), f["type"].alias("type"), f["v"]["prob"].alias("prob"), f["v"]["lvl"].alias("lvl"), f["v"]["conf"].alias("conf")), shown)
+        return F.when(f["v"].isNotNull(), known).otherwise(F.to_json(F.struct(f["id"].alias("id"), f["type"].alias("type"))))
+
+    head = inside(F.to_json(F.struct("prob", F.col("level").alias("lvl"), "conf"), shown))
+    listed = F.concat(F.lit('"files":['), F.array_join(F.transform("files", file_), ","), F.lit("]"))
+    ml = F.concat_ws(",", head, *[F.concat(F.lit(f'"{n}":'), F.col(n)) for n in parts], listed)
+    line = F.concat(F.lit("{"), F.concat_ws(",", F.concat(F.lit('"ml":{'), ml, F.lit("}")), F.concat(F.lit('"llm":'), "llm"), F.concat(F.lit('"raw":'), "raw")), F.lit("}"))
+    return rows.select("report_id", line.alias("line"))
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
