@@ -21,23 +21,32 @@ def annotation(line: Column) -> Column:
     return F.regexp_extract(line, r"^\s*(?://|--|#) ([HSNBCF])(?: |$)", 1)
 
 
+def _trimmed(line: Column) -> Column:
+    return F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+
+
 def binary_line(line: Column) -> Column:
-    """At least 16 characters and two escapes, or under three quarters printable."""
-    n = F.length(line)
-    printable = n - F.length(F.regexp_replace(line, r"[ -~\p{L}]", ""))
-    return (n >= 16) & ((F.regexp_count(line, F.lit(r"\\x|\\0")) >= 2) | (printable < 0.75 * n))
+    """Without blanks at its ends at least 16 bytes, and two escapes or under three quarters printable: blank to tilde, or tab."""
+    s = _trimmed(line)
+    n = F.length(s)
+    printable = n - F.length(F.regexp_replace(s, r"[ -~\t]", ""))
+    return (F.octet_length(s) >= 16) & ((F.regexp_count(s, F.lit(r"\\x|\\0")) >= 2) | (printable * 100 < n * 75))
 
 
 def guard_texts(texts: DataFrame, phrases: list[str], id_cols: tuple[str, ...] = ("id",)) -> DataFrame:
     """Per text: elevated and hostile marks, readable, and whether it addresses its analyzer.
 
-    A phrase counts whatever its case. A text without lines is readable.
+    A phrase counts whatever its case. A text is readable if fewer than half of
+    its context lines, annotations and blank lines not among them, are binary;
+    one without context lines is.
     """
     clean = texts.withColumn("t", sanitize(F.col("text")))
     lines = clean.select(*id_cols, "t", F.explode_outer(F.split("t", "\n")).alias("line"))
     said = F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(F.lower("t"), p))
     mark = annotation(F.col("line"))
-    rows = lines.groupBy(*id_cols).agg(F.bool_or(mark.isin("H", "S")).alias("elevated"), F.bool_or(mark == "H").alias("hostile"), (F.count_if(binary_line(F.col("line"))) * 2 < F.greatest(F.lit(1), F.count_if(F.col("line") != ""))).alias("readable"))
+    context = (mark == "") & (_trimmed(F.col("line")) != "")
+    binary, total = F.count_if(context & binary_line(F.col("line"))), F.count_if(context)
+    rows = lines.groupBy(*id_cols).agg(F.bool_or(mark.isin("H", "S")).alias("elevated"), F.bool_or(mark == "H").alias("hostile"), ((total == 0) | (binary * 2 < total)).alias("readable"))
     return rows.join(clean.select(*id_cols, said.alias("addresses_analyzer")).distinct(), list(id_cols))
 
 

@@ -335,29 +335,40 @@ def build_known_sets(pool: DataFrame, previous: DataFrame, rate: float = 1e-4) -
     return keys, words, K.verify_build(sizes, previous)
 
 
-def triage_refs(refs: DataFrame, registry: DataFrame, now: Column, policy: str = "all", os: str = "linux", arch: str = "x64", good: DataFrame | None = None, **caps: int) -> DataFrame:
+def triage_refs(refs: DataFrame, registry: DataFrame, now: Column, policy: str = "all", os: str = "linux", arch: str = "x64", good: DataFrame | None = None, boilerplate: DataFrame | None = None, **caps: int) -> DataFrame:
     """Every reference with what becomes of it: ``fate`` is kept, or the first gate that stops it.
 
     ``refs``: report_id, file_id, pos, tie, kind, locator, path, bytes, cached.
-    Gates in order: kind, vendored, platform, older (a newer version of the
-    package is asked for), known_good, removed, aged_out, repeated (the locator
-    was seen before), and the budget caps; a capped reference is marked, not dropped.
+    Gates in order: kind, vendored, boilerplate (``boilerplate (locator)`` lists
+    publishers' own urls), not_download (a url that has no payload's shape),
+    platform, older (a newer version of the package is asked for by a reference
+    that the policy takes), repeated (the locator was seen before), known_good,
+    removed, aged_out, and the budget caps; a capped reference is marked, not
+    dropped. Null ids and positions are values like any others.
     """
-    rows = refs.withColumn("k", F.monotonically_increasing_id()) if "k" not in refs.columns else refs
     wanted = R.select_kinds(F.col("kind"), policy)
-    first = F.when(~wanted, "kind").when(R.is_vendored(F.col("path")), "vendored").when(R.off_platform(F.col("locator"), os, arch), "platform")
-    rows = R.newest_flag(rows.withColumn("fate", first))
-    rows = rows.withColumn("fate", F.coalesce("fate", F.when(~F.col("newest"), "older"))).drop("newest")
-    aged = R.age_gate(rows, registry, now, good=good)
-    rows = aged.withColumn("fate", F.coalesce("fate", F.when(F.col("reason") != "keep", F.col("reason")))).drop("reason")
+    listed = F.lit(False)
+    rows = refs
+    if boilerplate is not None:
+        rows, listed = rows.join(boilerplate.select("locator").distinct().withColumn("__own", F.lit(True)), "locator", "left"), F.coalesce("__own", F.lit(False))
+    first = F.when(~wanted, "kind").when(F.coalesce(R.is_vendored(F.col("path")), F.lit(False)), "vendored").when(listed, "boilerplate").when((F.col("kind") == "url") & ~R.looks_like_download(F.col("locator")), "not_download").when(R.off_platform(F.col("locator"), os, arch), "platform")
+    rows = rows.withColumn("fate", first).select(*refs.columns, "fate")
+    # what is not asked for does not bid for the newest version
+    bids = F.col("fate").isNull() | (F.col("fate") == "platform")
+    bid = R.newest_flag(rows.where(bids)).withColumn("fate", F.coalesce("fate", F.when(~F.col("newest"), "older"))).drop("newest").select(*refs.columns, "fate")
+    rows = rows.where(~bids).unionByName(bid)
     order = ["report_id", "file_id", "pos", "tie"]
-    open_ = rows.where("fate is null")
-    seen = R.first_seen(open_, order).withColumn("first", F.lit(True))
-    open_ = open_.join(seen, ["locator", *order], "left").withColumn("fate", F.when(F.col("first").isNull(), "repeated")).drop("first")
-    capped = R.apply_budget(open_.where("fate is null"), **caps)
+    open_ = rows.where("fate is null").drop("fate")
+    seen = R.first_seen(open_, order).select("locator", *[F.col(c).alias(f"__{c}") for c in order], F.lit(True).alias("__first"))
+    same = [F.col("o.locator").eqNullSafe(F.col("s.locator")), *[F.col(f"o.{c}").eqNullSafe(F.col(f"s.__{c}")) for c in order]]
+    open_ = open_.alias("o").join(seen.alias("s"), reduce(lambda x, y: x & y, same), "left").select("o.*", F.when(F.col("s.__first").isNull(), "repeated").alias("fate"))
+    aged = R.age_gate(open_.where("fate is null").drop("fate"), registry, now, good=good)
+    aged = aged.withColumn("fate", F.when(F.col("reason") != "keep", F.col("reason"))).drop("reason")
+    capped = R.apply_budget(aged.where("fate is null").drop("fate"), **caps)
     kept = capped.withColumn("fate", F.coalesce(F.concat(F.lit("budget:"), "budget"), F.lit("kept"))).drop("budget")
     columns = [*refs.columns, "fate"]
-    return rows.where("fate is not null").select(*columns).unionByName(open_.where("fate is not null").select(*columns)).unionByName(kept.select(*columns))
+    parts = [rows.where("fate is not null"), open_.where("fate is not null"), aged.where("fate is not null"), kept]
+    return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
 
 
 def evaluate(decisions: DataFrame, truth: DataFrame, levels: DataFrame) -> DataFrame:

@@ -39,15 +39,32 @@ def publisher(rows: DataFrame, domains: DataFrame, carve_outs: DataFrame, host:
     return said.withColumn("publisher", F.col("__in") & ~F.col("__out")).drop("__in", "__out")
 
 
+#: Endings of urls that are pages or site resources.
+PAGE_ENDINGS = (
+    "asp", "aspx", "atom", "avif", "bmp", "cfm", "cgi", "css", "csv", "dtd", "gif", "htm", "html", "ico", "jpeg", "jpg", "json", "log", "md", "pdf", "php", "png", "rss", "svg", "txt", "webmanifest", "webp", "xml", "xhtml", "yaml", "yml",
+)
+#: Path components that say that a file is fetched.
+DOWNLOAD_PARTS = ("archive", "archives", "attachment", "attachments", "blob", "download", "downloads", "file", "files", "raw", "release", "releases", "resolve")
+#: Path components of services.
+API_PARTS = ("api", "graphql", "health", "lookup", "metrics", "oauth", "query", "rpc", "search", "status", "token")
+
+
 def looks_like_download(url: Column) -> Column:
-    """An http(s) url whose last component has a payload's extension, or lies bare below a download component."""
-    bare = F.regexp_replace(url, r"[?#].*$", "")
-    path = F.regexp_extract(bare, r"^(?i)https?://[^/]+/(.*)$", 1)
-    base, web = F.element_at(F.split(path, "/"), -1), r"(?i)^(html?|php|aspx?|jsp|css|md|txt|svg|png|jpe?g|gif|ico|xml|rss)$"
-    ext = F.regexp_extract(base, r"\.([A-Za-z0-9]{1,12})$", 1)
+    """An http(s) url that has the shape of a payload's.
+
+    Its last component has a payload's ending, or none and a download component
+    among two or more; a service's url must have a download component.
+    """
+    web = url.rlike(r"^(?i)https?://[^/?#]")
+    path = F.regexp_extract(url, r"^[^:]*://[^/?#]*([^?#]*)", 1)
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    below = F.exists(F.slice(parts, 1, 16), lambda p: F.lower(p).isin("download", "downloads", "releases", "dl")) & (F.size(parts) >= 2)
-    return bare.rlike("^(?i)https?://[^/]+/.") & ~base.isin("", ".", "..") & F.when(ext != "", ~ext.rlike(web)).otherwise(below)
+    name = F.lower(F.coalesce(F.get(parts, F.size(parts) - 1), F.lit("")))
+    ending = F.regexp_extract(name, r"^(?s).+\.([^.]+)$", 1)
+    payload = ending.rlike("^[a-z0-9]{1,12}$") & ~ending.isin(*PAGE_ENDINGS)
+    explicit = F.exists(parts, lambda p: F.lower(p).isin(*DOWNLOAD_PARTS))
+    bare = ~F.contains(name, F.lit(".")) & explicit & (F.size(parts) >= 2)
+    service = (F.split_part(norm_host(host_of(url)), F.lit("."), F.lit(1)) == "api") | F.exists(parts, lambda p: F.lower(p).isin(*API_PARTS))
+    return F.coalesce(web & ~name.isin("", ".", "..") & (payload | bare) & (~service | explicit), F.lit(False))
 
 
 def split_purl(locator: Column) -> tuple[Column, Column]:
@@ -97,13 +114,13 @@ def first_seen(refs: DataFrame, order: list[str]) -> DataFrame:
 
 
 def go_published(purl: Column) -> Column:
-    """Time in a Go pseudo-version's 14 digits; null if it is none."""
-    return F.try_to_timestamp(F.nullif(F.regexp_extract(purl, r"[.-](\d{14})-[0-9a-f]{12}", 1), F.lit("")), F.lit("yyyyMMddHHmmss"))
+    """Time in a Go pseudo-version's first field of 14 digits; null if it has none."""
+    return F.try_to_timestamp(F.nullif(F.regexp_extract(purl, r"^pkg:golang/[^@]*@(?:.*?[.-])??(\d{14})(?=[.-]|$)", 1), F.lit("")), F.lit("yyyyMMddHHmmss"))
 
 
 def age_gate(refs: DataFrame, registry: DataFrame, now: Column, max_age_days: int = 7, rescan_hours: int = 48, good: DataFrame | None = None) -> DataFrame:
     """Add ``reason``, the first that holds: known_good by its own locator, before any record is asked; aged_out by its own date;
-    by the record removed, or aged_out, or known_good; else keep. What was pulled or is new is always kept by its record.
+    by the record removed, or aged_out, or known_good, unless it was pulled or is new; else keep.
 
     ``registry``: locator, published, removed, security_hold, deprecated, known_good. ``good (locator)`` has the
     known-good locators. Unknown age keeps.
@@ -115,8 +132,8 @@ def age_gate(refs: DataFrame, registry: DataFrame, now: Column, max_age_days: in
     limit = now - F.make_interval(days=F.lit(max_age_days))
     pulled = F.coalesce(F.col("security_hold"), F.lit(False)) | F.coalesce(F.col("deprecated").rlike(_PULLED), F.lit(False))
     rescan = pulled | F.coalesce(F.col("published") >= now - F.make_interval(hours=F.lit(rescan_hours)), F.lit(False))
-    old, own_old = (F.coalesce(at < limit, F.lit(False)) for at in (F.col("published"), go_published(F.col("locator"))))
-    reason = F.when(listed, "known_good").when(own_old, "aged_out").when(F.coalesce("removed", F.lit(False)), "removed").when(rescan, "keep").when(old, "aged_out").when(F.coalesce("known_good", F.lit(False)), "known_good").otherwise("keep")
+    old, own_old = (F.coalesce(at <= limit, F.lit(False)) for at in (F.col("published"), go_published(F.col("locator"))))
+    reason = F.when(listed, "known_good").when(own_old, "aged_out").when(F.coalesce("removed", F.lit(False)), "removed").when(old, "aged_out").when(F.coalesce("known_good", F.lit(False)) & ~rescan, "known_good").otherwise("keep")
     return rows.withColumn("reason", reason).select(*refs.columns, "reason")
 
 
@@ -202,22 +219,34 @@ def fetch_summary(edges: DataFrame) -> DataFrame:
     o = F.col("outcome")
     return edges.agg(F.count_if(o == "live").alias("live"), F.count_if(o == "cache").alias("cached"), F.count_if(o.startswith("fail")).alias("failed"), F.sum(F.when(o.isin("live", "cache"), F.col("bytes"))).alias("bytes"))
 
-#: Names of systems and processors in package names.
-_OS = {"linux": "linux", "darwin": "darwin", "macos": "darwin", "osx": "darwin", "windows": "windows", "win32": "windows", "freebsd": "freebsd", "android": "android"}
-_ARCH = {"x64": "x64", "amd64": "x64", "x86_64": "x64", "arm64": "arm64", "aarch64": "arm64", "ia32": "x86", "x86": "x86", "arm": "arm"}
+#: Systems and processors by the words for them in package names.
+_OS = {
+    "darwin": "darwin", "macos": "darwin", "win32": "win32", "windows": "win32", "sunos": "sunos", "solaris": "sunos", "illumos": "sunos", "linux": "linux", "linuxmusl": "linuxmusl", "musllinux": "linuxmusl",
+    "webcontainers": "webcontainers", "wasi": "webcontainers", "freebsd": "freebsd", "openbsd": "openbsd", "netbsd": "netbsd", "android": "android", "aix": "aix",
+}
+_ARCH = {
+    "x64": "x64", "x8664": "x64", "amd64": "x64", "arm64": "arm64", "aarch64": "arm64", "ia32": "ia32", "i686": "ia32", "i386": "ia32", "x86": "ia32", "arm": "arm", "ppc64": "ppc64", "s390x": "s390x", "riscv64": "riscv64",
+    "loong64": "loong64", "mips64el": "mips64el", "wasm32": "wasm32", "wasm64": "wasm32",
+}
 
 
 def off_platform(purl: Column, os: str, arch: str) -> Column:
-    """The package's name has a system and a processor side by side, in either order, that are not the target's."""
-    name = F.lower(F.regexp_replace(purl, r"@[0-9][^@]*$", ""))
-    tokens = F.split(F.replace(name, F.lit("x86_64"), F.lit("amd64")), r"[-_./@:]+")
-    pairs = F.transform(F.sequence(F.lit(0), F.size(tokens) - 1), lambda k: F.struct(F.get(tokens, k).alias("a"), F.get(tokens, k + 1).alias("b")))
-    mine_os, mine_arch = [k for k, v in _OS.items() if v == os], [k for k, v in _ARCH.items() if v == arch]
-
-    def other(a: Column, b: Column) -> Column:
-        return a.isin(*_OS) & b.isin(*_ARCH) & ~(a.isin(*mine_os) & b.isin(*mine_arch))
+    """The first system and processor that stand side by side in a package's name, in either order, are not the target's.
 
-    return F.exists(pairs, lambda p: F.coalesce(other(p["a"], p["b"]) | other(p["b"], p["a"]), F.lit(False)))
+    Names are cut at all that is no letter or digit. A name without such a pair,
+    a locator that is no purl, and a target that is not named are never off.
+    """
+    if not os or not arch:
+        return F.lit(False)
+    name = F.lower(F.regexp_replace(purl, "(?s)@[^@]*$", ""))
+    name = F.regexp_replace(name, "(?<![a-z0-9])x86[^a-z0-9]+64(?![a-z0-9])", "x8664")
+    parts = F.filter(F.split(name, "[^a-z0-9]+"), lambda p: p != "")
+    kind = lambda words: F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+    system, processor = kind(_OS), kind(_ARCH)
+    known = F.transform(parts, lambda p: F.struct(F.element_at(system, p).alias("os"), F.element_at(processor, p).alias("arch")))
+    pairs = F.zip_with(known, F.slice(known, F.lit(2), F.greatest(F.size(known), F.lit(1))), lambda a, b: F.when(a["os"].isNotNull() & b["arch"].isNotNull(), F.struct(a["os"].alias("os"), b["arch"].alias("arch"))).when(a["arch"].isNotNull() & b["os"].isNotNull(), F.struct(b["os"].alias("os"), a["arch"].alias("arch"))))
+    first = F.get(F.filter(pairs, lambda p: p.isNotNull()), F.lit(0))
+    return F.coalesce(purl.startswith("pkg:") & ((first["os"] != os) | (first["arch"] != arch)), F.lit(False))
 
 
 #: The kinds of reference that each word of a policy selects.

@@ -26,8 +26,9 @@ PHRASES = ["the and of", "ignore previous", "onon", "les de"]
 
 
 @query(r"""WITH t AS (SELECT conv_id, turn, replace(text, '!!', '/') AS t FROM conversations), l AS (SELECT conv_id, turn, t, unnest(string_split(t, chr(10))) AS line FROM t),
-  f AS (SELECT *, length(line) >= 16 AND (length(regexp_replace(line, '[ -~\pL]', '', 'g')) > 0.25 * length(line)) AS opaque FROM l),
-  g AS (SELECT conv_id, turn, bool_or(regexp_matches(line, '^\s*(//|--|#) [HS]( |$)')) AS elevated, bool_or(regexp_matches(line, '^\s*(//|--|#) H( |$)')) AS hostile, count(CASE WHEN opaque THEN 1 END) * 2 < greatest(1, count(CASE WHEN line <> '' THEN 1 END)) AS readable FROM f GROUP BY ALL)
+  m AS (SELECT *, trim(line, E' \t\r\n\u000b\u000c') AS s, regexp_extract(line, '^\s*(?://|--|#) ([HSNBCF])(?: |$)', 1) AS mark FROM l),
+  f AS (SELECT *, mark = '' AND s <> '' AS context, strlen(s) >= 16 AND ((length(s) - length(replace(replace(s, '\x', ''), '\0', ''))) / 2 >= 2 OR 100 * (length(s) - length(regexp_replace(s, '[ -~\t]', '', 'g'))) < 75 * length(s)) AS opaque FROM m),
+  g AS (SELECT conv_id, turn, bool_or(mark IN ('H', 'S')) AS elevated, bool_or(mark = 'H') AS hostile, count(*) FILTER (context) = 0 OR 2 * count(*) FILTER (context AND opaque) < count(*) FILTER (context) AS readable FROM f GROUP BY ALL)
   SELECT g.*, contains(lower(t), 'the and of') OR contains(lower(t), 'ignore previous') OR contains(lower(t), 'onon') OR contains(lower(t), 'les de') AS addresses_analyzer FROM g JOIN t USING (conv_id, turn)""")
 def text_guards(spark, sf_dir):
     return G.guard_texts(table(spark, sf_dir, "conversations"), PHRASES, ("conv_id", "turn"))

@@ -226,16 +226,15 @@ def near_boundaries(spark, sf_dir):
 
 _TRIAGE = REFS + """, r AS (SELECT *, CASE WHEN part_id % 13 = 0 THEN 'a/node_modules/x/i.js' ELSE 'src/i.js' END AS path, 'pkg:npm/' || package || CASE WHEN part_id % 11 = 0 THEN '-win32-x64' ELSE '' END || substr(locator, 9 + length(package)) AS loc FROM refs),
 f0 AS (SELECT *, CASE WHEN kind = 'url' THEN 'kind' WHEN part_id % 13 = 0 THEN 'vendored' WHEN part_id % 11 = 0 THEN 'platform' END AS fate, regexp_extract(loc, '^(.+)@[0-9][^@]*$', 1) AS pk, contains(loc, '@') AS versioned, p_size * 1000000 + l_linenumber * 1000 + patch AS k FROM r),
-f1 AS (SELECT *, coalesce(fate, CASE WHEN versioned AND k < max(CASE WHEN versioned THEN k END) OVER (PARTITION BY pk) THEN 'older' END) AS fate1 FROM f0),
-f2 AS (SELECT *, coalesce(fate1, CASE WHEN length(loc) % 5 = 0 THEN 'known_good' WHEN length(loc) % 7 = 0 THEN 'removed' WHEN length(loc) % 4 = 0 THEN 'aged_out' END) AS fate2 FROM f1),
-f3 AS (SELECT *, coalesce(fate2, CASE WHEN row_number() OVER (PARTITION BY loc, fate2 IS NULL ORDER BY report_id, file_id, pos, part_id) > 1 THEN 'repeated' END) AS fate3 FROM f2)
+f1 AS (SELECT *, coalesce(fate, CASE WHEN versioned AND k < max(CASE WHEN versioned AND (fate IS NULL OR fate = 'platform') THEN k END) OVER (PARTITION BY pk) THEN 'older' END) AS fate1 FROM f0),
+f2 AS (SELECT *, coalesce(fate1, CASE WHEN row_number() OVER (PARTITION BY loc, fate1 IS NULL ORDER BY report_id, file_id, pos, part_id) > 1 THEN 'repeated' END) AS fate2 FROM f1),
+f3 AS (SELECT *, coalesce(fate2, CASE WHEN length(loc) % 5 = 0 THEN 'known_good' WHEN length(loc) % 7 = 0 THEN 'removed' WHEN length(loc) % 4 = 0 THEN 'aged_out' END) AS fate3 FROM f2)
 SELECT coalesce(fate3, CASE WHEN bytes > 50000 THEN 'budget:bytes' ELSE 'kept' END) AS fate, kind, count(*) AS n, count(DISTINCT loc) AS locators FROM f3 GROUP BY ALL"""
 
 
 @query(sql(_TRIAGE.split(", r AS", 1)[0], ", r AS" + _TRIAGE.split(", r AS", 1)[1]))
 def job_triage_refs(spark, sf_dir):
     """How many references each gate stops."""
-    rows = A.refs(spark, sf_dir).dropDuplicates(["report_id", "file_id", "pos", "part_id"])
     tail = F.expr("substr(locator, 9 + length(package))")
     locator = F.concat(F.lit("pkg:npm/"), "package", F.when(F.col("part_id") % 11 == 0, "-win32-x64").otherwise(""), tail)
     rows = A.refs(spark, sf_dir).select("report_id", "file_id", "pos", F.col("part_id").alias("tie"), "kind", locator.alias("locator"), F.when(F.col("part_id") % 13 == 0, "a/node_modules/x/i.js").otherwise("src/i.js").alias("path"), "bytes", F.lit(False).alias("cached"))

@@ -92,14 +92,18 @@ def url_publishers(spark, sf_dir):
     return R.publisher(pages, one("example.org", "example.com"), one("www.example.com")).select("page_id", "host", "publisher")
 
 
-@query(r"""WITH u AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN 'https://a.org/releases/v1/' || page_id WHEN 2 THEN 'http://b.net/x/' || page_id || '.exe?y=1' WHEN 3 THEN 'ftp://c.org/downloads/' || page_id ELSE 'https://d.org/' || page_id || '.html' END AS url FROM pages),
-  b AS (SELECT *, regexp_replace(url, '[?#].*$', '') AS bare FROM u), p AS (SELECT *, regexp_extract(bare, '^(?i)https?://[^/]+/(.*)$', 1) AS path FROM b), q AS (SELECT *, string_split(path, '/')[-1] AS base, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM p),
-  r AS (SELECT *, regexp_extract(base, '\.([A-Za-z0-9]{1,12})$', 1) AS ext FROM q)
-  SELECT page_id, url, regexp_matches(bare, '^(?i)https?://[^/]+/.') AND base NOT IN ('', '.', '..') AND CASE WHEN ext <> '' THEN NOT regexp_matches(ext, '(?i)^(html?|php|aspx?|jsp|css|md|txt|svg|png|jpe?g|gif|ico|xml|rss)$')
-  ELSE len(parts) >= 2 AND list_has_any(list_transform(parts, lambda x: lower(x)), ['download', 'downloads', 'releases', 'dl']) END AS download FROM r""")
+_SHAPES = ("https://a.org/releases/v1/{}", "http://b.net/x/{}.exe?y=1", "ftp://c.org/downloads/{}", "https://d.org/{}.html", "https://e.org/a/{}.PDF", "https://f.org/raw/x/p{}", "https://api.g.io/v1/d{}.bin", "https://api.h.io/file/b/d{}.bin", "https://i.org/a/.f{}", "https://j.org/dl/p{}", "https://k.org/search/d{}.tgz", "HTTPS://l.org/download", "https://m.org?x={}/a.exe")
+
+
+@query(r"""WITH u AS (SELECT page_id, CASE WHEN page_id % 14 = 13 THEN url ELSE replace([""" + ", ".join(f"'{s}'" for s in _SHAPES) + r"""][page_id % 14 + 1], '{}', CAST(page_id AS VARCHAR)) END AS url FROM pages),
+  p AS (SELECT page_id, url, list_filter(string_split(regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts, regexp_matches(url, '^(?i)https?://[^/?#]') AS web, lower(regexp_extract(url, '://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host FROM u),
+  q AS (SELECT *, lower(coalesce(parts[-1], '')) AS name, list_transform(parts, lambda x: lower(x)) AS low FROM p), r AS (SELECT *, CASE WHEN strpos(substr(name, 2), '.') > 0 THEN string_split(name, '.')[-1] ELSE '' END AS ext, list_has_any(low, ['archive', 'archives', 'attachment', 'attachments', 'blob', 'download', 'downloads', 'file', 'files', 'raw', 'release', 'releases', 'resolve']) AS said FROM q)
+  SELECT page_id, url, coalesce(web AND name NOT IN ('', '.', '..') AND (regexp_full_match(ext, '[a-z0-9]{1,12}') AND ext NOT IN ('asp', 'aspx', 'atom', 'avif', 'bmp', 'cfm', 'cgi', 'css', 'csv', 'dtd', 'gif', 'htm', 'html', 'ico', 'jpeg', 'jpg', 'json', 'log', 'md', 'pdf', 'php', 'png', 'rss', 'svg', 'txt', 'webmanifest', 'webp', 'xml', 'xhtml', 'yaml', 'yml')
+    OR NOT contains(name, '.') AND said AND len(parts) >= 2) AND (said OR NOT (string_split(host, '.')[1] = 'api' OR list_has_any(low, ['api', 'graphql', 'health', 'lookup', 'metrics', 'oauth', 'query', 'rpc', 'search', 'status', 'token']))), false) AS download FROM r""")
 def download_urls(spark, sf_dir):
-    made = "CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN concat('https://a.org/releases/v1/', page_id) WHEN 2 THEN concat('http://b.net/x/', page_id, '.exe?y=1') WHEN 3 THEN concat('ftp://c.org/downloads/', page_id) ELSE concat('https://d.org/', page_id, '.html') END AS url"
-    rows = table(spark, sf_dir, "pages").selectExpr("page_id", made)
+    shapes = F.array(*map(F.lit, _SHAPES))
+    made = F.replace(F.get(shapes, (F.col("page_id") % 14).cast("int")), F.lit("{}"), F.col("page_id").cast("string"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 14 == 13, F.col("url")).otherwise(made).alias("url"))
     return rows.withColumn("download", R.looks_like_download(F.col("url")))
 
 
@@ -115,7 +119,7 @@ def first_refs(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT o_orderkey AS id, o_orderdate AS published, o_orderkey % 29 = 0 AS removed, o_orderkey % 31 = 0 AS hold, o_orderkey % 2 = 0 AS good, (SELECT max(o_orderdate) FROM orders) + INTERVAL 1 DAY AS now FROM orders)
-  SELECT id, CASE WHEN removed THEN 'removed' WHEN hold OR published >= now - INTERVAL 48 HOURS THEN 'keep' WHEN published < now - INTERVAL 700 DAYS THEN 'aged_out' WHEN good THEN 'known_good' ELSE 'keep' END AS reason FROM r""")
+  SELECT id, CASE WHEN removed THEN 'removed' WHEN published <= now - INTERVAL 700 DAYS THEN 'aged_out' WHEN good AND NOT (hold OR published >= now - INTERVAL 48 HOURS) THEN 'known_good' ELSE 'keep' END AS reason FROM r""")
 def age_gated(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     now = orders.agg(F.max(F.col("o_orderdate").cast("timestamp")) + F.expr("INTERVAL 1 DAY")).scalar()
@@ -170,9 +174,12 @@ def fetch_summary(spark, sf_dir):
     return R.fetch_summary(A.refs(spark, sf_dir).withColumn("outcome", outcome))
 
 
-@query("""WITH p AS (SELECT l_orderkey AS id, l_linenumber AS line, l_suppkey % 6 AS k FROM lineitem) SELECT id, line, k, k IN (1, 2, 4) AS off FROM p""")
+_NAMES = ("@esbuild/linux-x64", "@esbuild/darwin-arm64", "tool-x86_64-windows", "tool-linux-x86_64", "core-win32-ia32", "plain-linux", "linux-i686", "sharp-linuxmusl-x64", "linux-ppc64", "a+linux+arm64", "linux-x64-then-darwin-arm64", "amd64.linux", "x64", "wasm32-wasi")
+
+
+@query("""WITH p AS (SELECT l_orderkey AS id, l_linenumber AS line, l_suppkey % 14 AS k FROM lineitem) SELECT id, line, k, k IN (1, 2, 4, 6, 7, 8, 9, 13) AS off FROM p""")
 def off_platform_refs(spark, sf_dir):
-    names = F.array(*map(F.lit, ("@esbuild/linux-x64", "@esbuild/darwin-arm64", "tool-x86_64-windows", "tool-linux-x86_64", "core-win32-ia32", "plain-linux")))
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), (F.col("l_suppkey") % 6).alias("k"))
+    names = F.array(*map(F.lit, _NAMES))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), (F.col("l_suppkey") % 14).alias("k"))
     rows = rows.withColumn("purl", F.concat(F.lit("pkg:npm/"), F.get(names, F.col("k").cast("int")), F.lit("@1.0.0")))
     return rows.select("id", "line", "k", R.off_platform(F.col("purl"), "linux", "x64").alias("off"))

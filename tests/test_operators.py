@@ -255,3 +255,84 @@ def test_known_good_goes_before_its_record(spark):
     good = spark.createDataFrame([("pkg:npm/a@1",)], "locator string")
     got = {r.locator: r.reason for r in refs.age_gate(refs_df, reg, F.lit("2024-01-01").cast("timestamp"), good=good).collect()}
     assert got == {"pkg:npm/a@1": "known_good", "pkg:golang/x@v0.0.0-20200101000000-abcdefabcdef": "aged_out", "pkg:npm/c@1": "removed"}
+
+
+@pytest.mark.parametrize("url,want", [
+    ("https://h/a/b.json", False), ("https://h/a/b.pdf", False), ("https://h/raw/x/payload", True), ("https://h/dl/payload", False), ("https://api.h.io/v1/data.bin", False), ("https://api.h.io/files/data.bin", True), ("https://h/a/.foo", False),
+    ("https://h/" + "a/" * 20 + "releases/x", True), ("https://h/download", False), ("https://h/x/a.tar.gz", True), ("ftp://h/a.exe", False), ("https://h", False), ("https:///a.exe", False), ("https://h/graphql/a.exe", False), ("https://h/a.averyverylongone", False), ("https://h/files/..", False), (None, False),
+])
+def test_download_shapes(spark, url, want):
+    assert one(spark, refs.looks_like_download, url) == want
+
+
+@pytest.mark.parametrize("name,want", [
+    ("linux-i686", True), ("linuxmusl-x64", True), ("linux-ppc64", True), ("a+linux+arm64", True), ("linux-x64", False), ("x86_64_linux", False), ("linux-x64-and-darwin-arm64", False), ("darwin-arm64-and-linux-x64", True), ("linux", False), ("%40biomejs/cli-darwin-arm64", True), ("x86-64-windows", True),
+])
+def test_platforms(spark, name, want):
+    assert one(spark, lambda c: refs.off_platform(c, "linux", "x64"), f"pkg:npm/{name}@1.0.0") == want
+    assert one(spark, lambda c: refs.off_platform(c, "", "x64"), f"pkg:npm/{name}@1.0.0") is False
+    assert one(spark, lambda c: refs.off_platform(c, "linux", "x64"), f"https://h/{name}") is False
+
+
+def test_age_gate_ages_pulled_versions_out(spark):
+    refs_df = spark.createDataFrame([(c,) for c in "abcde"], "locator string")
+    rows = [("a", "2023-06-01", "yanked", True), ("b", "2023-12-25 00:00:00", None, False), ("c", "2023-12-26", "yanked", True), ("d", "2023-12-26", None, True), ("e", "2023-12-31", None, True)]
+    reg = spark.createDataFrame(rows, "locator string, at string, deprecated string, known_good boolean").selectExpr("locator", "CAST(at AS TIMESTAMP) AS published", "false AS removed", "false AS security_hold", "deprecated", "known_good")
+    got = {r.locator: r.reason for r in refs.age_gate(refs_df, reg, F.lit("2024-01-01").cast("timestamp")).collect()}
+    # b is of the very last moment; a pulled or new version is not skipped as known good
+    assert got == {"a": "aged_out", "b": "aged_out", "c": "keep", "d": "known_good", "e": "keep"}
+
+
+def test_triage(spark):
+    from siftspark.operators import jobs
+
+    rows = [
+        (1, 1, 0, 0, "dependency", "pkg:npm/p@1.0", "a"), (1, 1, 1, 0, "command", "pkg:npm/p@2.0", "a"), (1, 1, 2, 0, "dependency", "pkg:npm/q@1.0", "a"), (1, 1, 3, 0, "dependency", "pkg:npm/q@1.1", "a"), (2, None, None, None, "dependency", "pkg:npm/n", "a"),
+        (3, 1, 0, 0, "dependency", "pkg:npm/r@1.0", "a"), (3, 2, 0, 0, "dependency", "pkg:npm/r@1.0", "a"), (3, 3, 0, 0, "dependency", "pkg:npm/v@9", "x/node_modules/y"), (3, 4, 0, 0, "dependency", "pkg:npm/v@1", None), (4, 1, 0, 0, "url", "https://h/x", "a"),
+    ]
+    df = spark.createDataFrame([(*r, 1, False) for r in rows], "report_id long, file_id long, pos long, tie long, kind string, locator string, path string, bytes long, cached boolean")
+    reg = spark.createDataFrame([("pkg:npm/r@1.0", "2020-01-01")], "locator string, at string").selectExpr("locator", "CAST(at AS TIMESTAMP) AS published", "false AS removed", "false AS security_hold", "CAST(NULL AS STRING) AS deprecated", "false AS known_good")
+    got = {(r.report_id, r.file_id, r.pos): r.fate for r in jobs.triage_refs(df, reg, F.lit("2024-01-01").cast("timestamp"), "deps").collect()}
+    assert got == {(1, 1, 0): "kept", (1, 1, 1): "kind", (1, 1, 2): "older", (1, 1, 3): "kept", (2, None, None): "kept", (3, 1, 0): "aged_out", (3, 2, 0): "repeated", (3, 3, 0): "vendored", (3, 4, 0): "kept", (4, 1, 0): "kind"}
+    urls = jobs.triage_refs(df, reg, F.lit("2024-01-01").cast("timestamp"), "urls").where("kind = 'url'").collect()
+    assert [r.fate for r in urls] == ["not_download"]
+
+
+@pytest.mark.parametrize("text,readable", [
+    ("// H one\n\\x01\\x02 and some more\n// S two", False), ("日本語日本語日本語日本語日本語日本語", False), ("plain text of a line\n\\x01\\x02 and some more", False), ("a\nb\n\\x01\\x02 and some more", True), ("", True), ("\n\n", True), ("// H x\n\n", True), ("\ttabs\tand words here", True), ("  \\x1\\x2  ", True),
+])
+def test_readable(spark, text, readable):
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    assert grades.guard_texts(df, ["x y"]).first().readable == readable
+
+
+@pytest.mark.parametrize("lib,name,want", [("", "open", ["open"]), ("c", "open", ["open", "c!open"]), ("libc", "", ["libc"]), ("libc", None, ["libc"]), (None, "é", ["é"]), ("a", "b", ["a!b"]), ("", "", [])])
+def test_import_tokens(spark, lib, name, want):
+    from siftspark.operators import features
+
+    assert one(spark, features.import_tokens, lib, name, kind=["string", "string"]) == want
+
+
+def test_symbols_of_all_kinds_of_entries(spark):
+    from siftspark.operators import features
+
+    rows = [("import", '["libc", " open  it "]'), ("import", '["", "read"]'), ("import", '{"name": "dlsym"}'), ("import", '{"n": "", "name": "no"}'), ("import", '"plain"'), ("import", "7"), ("export", '["main", 1]'), ("function", '"fn"'), ("export", '{"name": "not"}'), ("target", '"eval"'), ("member", '["x"]'), ("target", '"q"')]
+    df = spark.createDataFrame([(1, 1, *r) for r in rows], "report_id long, file_id long, kind string, t string").withColumn("v", F.parse_json("t"))
+    assert {r.symbol for r in features.fact_symbols(df).collect()} == {"open it", "libc! open it", "read", "dlsym", "plain", "main", "fn", "eval"}
+
+
+def test_categories_and_imports_of_structures(spark):
+    from siftspark.operators import features
+
+    found = spark.createDataFrame([(1, 1, "a::x", 5, 0.9), (1, 1, "a::y", 5, 0.9), (1, 1, "b/c::z", 5, 0.9)], "report_id long, file_id long, id string, crit int, conf double")
+    files = spark.createDataFrame([(1, 1, "elf", 10, None, 0, "p", 1.0, None, 5, 0, False)], "report_id long, file_id long, file_type string, size_bytes long, parent_id long, depth int, path string, entropy double, mtime long, total_lines long, risk long, has_imports boolean")
+    got = {r.name: r.value for r in features.aggregates(found, files).collect()}
+    assert got["agg:top1_file_hostile_category_breadth_sum"] == 2
+    bare = lambda f, i: {r.name: r.value for r in features.structure(f, findings.file_summary(found), findings.report_paths(found), i).collect()}["struct:no_imports"]
+    none = files.select("report_id", "file_id").limit(0)
+    assert bare(files, none) == 0 and bare(files.withColumn("has_imports", F.lit(True)), none) == 1 and bare(files.drop("has_imports"), None) == 0
+
+
+def test_confidences_are_compared_as_given(spark):
+    df = spark.createDataFrame([(1, 1, "a", 5, 0.64996), (1, 1, "b", 5, 0.65)], "report_id long, file_id long, id string, crit int, conf double")
+    assert [r.id for r in findings.active(df).collect()] == ["b"]
