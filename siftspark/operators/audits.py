@@ -47,13 +47,43 @@ def throughput(jobs: DataFrame) -> DataFrame:
 
 
 def match_results(jobs: DataFrame, results: DataFrame) -> DataFrame:
-    """The k-th result of a content goes to its k-th job."""
+    """The k-th result of a content goes to its k-th job, whatever their times; see :func:`match_open`."""
     k = lambda t: F.row_number().over(Window.partitionBy("sha").orderBy(t, "id"))
     a = jobs.withColumn("k", k("claimed")).select("sha", "k", F.col("id").alias("job_id"), "claimed")
     b = results.withColumn("k", k("resulted")).select("sha", "k", F.col("id").alias("result_id"), "resulted")
     return a.join(b, ["sha", "k"], "left").drop("k")
 
 
+def match_open(claims: DataFrame, results: DataFrame) -> DataFrame:
+    """Each result goes to the first open claim of its content: ``(sha, claim_id, result_id, claimed, resulted)`` of those that have one.
+
+    ``claims (sha, id, claimed)``, ``results (sha, id, resulted)``. As with
+    brackets, a result that finds no claim open before it matches nothing; a
+    claim goes before a result of the same time. The running counts of a
+    content are summed by ranges of the sorted events and then over the ranges,
+    so one frequent content is no task of its own.
+    """
+    n = max(int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    both = claims.select("sha", F.col("claimed").alias("at"), F.lit(0).alias("kind"), "id").unionByName(results.select("sha", F.col("resulted").alias("at"), F.lit(1).alias("kind"), "id"))
+    order = ["sha", "at", "kind", "id"]
+    rows = cut(both.where("at is not null").repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()))
+    here = Window.partitionBy("sha", "part").orderBy("at", "kind", "id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"c": F.sum((F.col("kind") == 0).cast("long")).over(here), "r": F.sum((F.col("kind") == 1).cast("long")).over(here)})
+    rows = rows.withColumn("low", F.min(F.col("c") - F.col("r")).over(here))
+    parts = rows.groupBy("sha", "part").agg(F.max("c").alias("pc"), F.max("r").alias("pr"), F.min(F.col("c") - F.col("r")).alias("pl"))
+    before = Window.partitionBy("sha").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumns({"bc": F.coalesce(F.sum("pc").over(before), F.lit(0)), "br": F.coalesce(F.sum("pr").over(before), F.lit(0))})
+    parts = parts.withColumn("bl", F.coalesce(F.min(F.col("bc") - F.col("br") + F.col("pl")).over(before), F.lit(0)))
+    rows = rows.join(parts.select("sha", "part", "bc", "br", "bl"), ["sha", "part"])
+    floor = F.least(F.lit(0), F.col("bl"), F.col("bc") - F.col("br") + F.col("low"))
+    # below the floor so far a result finds nothing open
+    last = F.lag(floor).over(Window.partitionBy("sha", "part").orderBy("at", "kind", "id"))
+    rows = rows.withColumns({"floor": floor, "was": F.coalesce(last, F.least(F.lit(0), F.col("bl")))})
+    open_ = rows.where("kind = 0").select("sha", (F.col("bc") + F.col("c")).alias("k"), F.col("id").alias("claim_id"), F.col("at").alias("claimed"))
+    done = rows.where("kind = 1 and floor = was").select("sha", (F.col("br") + F.col("r") + F.col("floor")).alias("k"), F.col("id").alias("result_id"), F.col("at").alias("resulted"))
+    return open_.join(done, ["sha", "k"]).drop("k")
+
+
 def _numbered(df: DataFrame, *order: Column) -> DataFrame:
     """Add ``__n``, the row's number from 0 in the given order: ranges are sorted apart and offset by what lies before them."""
     parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)

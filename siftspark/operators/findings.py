@@ -151,12 +151,30 @@ def integrity(files: DataFrame, cited: DataFrame) -> DataFrame:
     return cited.join(there, ["report_id", "cites"], "left_anti").select("report_id", "file_id", "cites")
 
 
-def retain(files: DataFrame, findings: DataFrame, top: int = 3) -> DataFrame:
-    """Files worth keeping: root, the riskiest few, and those with a finding of criticality 3 or more."""
+def lone_sidecars(files: DataFrame) -> DataFrame:
+    """Sidecars ``(report_id, file_id)`` that hang on no file."""
+    there = files.select("report_id", F.col("file_id").alias("parent_id")).withColumn("__there", F.lit(True))
+    return files.where("role = 'sidecar'").join(there, ["report_id", "parent_id"], "left").where("__there is null").select("report_id", "file_id")
+
+
+def retain(files: DataFrame, findings: DataFrame, top: int = 3, cited: DataFrame | None = None) -> DataFrame:
+    """Files worth keeping: root, the riskiest few, those with a finding of criticality 3 or more, and those of no type or of the registry's.
+
+    ``cited (report_id, file_id, id, cites)``: files that a finding refers to
+    are kept as well if it has that criticality.
+    """
     grave = findings.where("crit >= 3").select("report_id", "file_id").distinct().withColumn("grave", F.lit(True))
     rank = F.row_number().over(Window.partitionBy("report_id").orderBy(F.desc("risk"), "file_id"))
     rows = files.withColumn("rank", rank).join(grave, ["report_id", "file_id"], "left")
-    return rows.where((F.col("depth") == 0) | (F.col("file_id") == 0) | (F.col("rank") <= top) | F.col("grave")).select("report_id", "file_id", "rank")
+    keep = (F.col("depth") == 0) | (F.col("file_id") == 0) | (F.col("rank") <= top) | F.coalesce("grave", F.lit(False))
+    if "file_type" in files.columns:
+        keep = keep | F.coalesce("file_type", F.lit("")).isin("", "registry")
+    if cited is not None:
+        by = findings.where("crit >= 3").select("report_id", "file_id", "id").distinct()
+        named = by.join(cited, ["report_id", "file_id", "id"]).select("report_id", F.col("cites").alias("file_id")).distinct().withColumn("named", F.lit(True))
+        rows = rows.join(named, ["report_id", "file_id"], "left")
+        keep = keep | F.coalesce("named", F.lit(False))
+    return rows.where(keep).select("report_id", "file_id", "rank")
 
 
 def append_listing(files: DataFrame, listing: DataFrame) -> DataFrame:
@@ -174,6 +192,40 @@ def group_by_content(entries: DataFrame) -> DataFrame:
     return entries.groupBy("sha256").agg(F.min("path").alias("path"), F.array_sort(F.collect_list("pid")).alias("pids"), F.bool_or("deleted").alias("deleted"))
 
 
+def graft_subtrees(files: DataFrame, subs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Files of fetched payloads and registry records appended to their reports, whole subtrees renamed.
+
+    ``edges (report_id, sub_id, kind, source, locator, resolved_url)``: what was
+    fetched, in order of ``sub_id``, for the file whose content is ``source``.
+    ``subs (report_id, sub_id, file_id, parent_id, depth, path, sha256, rel,
+    role)`` has their files. Ids go on behind those of the report and of the
+    subtrees before. A subtree hangs on the first file of its source, or on file
+    0. The root of a ``fetched`` one has rel ``fetched`` and ``via``, the url or
+    else the locator, and its path, and those behind it and ``!!``, begin with
+    the locator; that of a ``registry`` one has rel ``registry`` and role
+    ``sidecar``. ``files`` needs rel, role and via too.
+    """
+    key = ["report_id", "sub_id"]
+    sizes = subs.groupBy(*key).agg((F.max("file_id") + 1).alias("n"), F.min_by("path", F.when(F.col("parent_id").isNull(), F.col("file_id"))).alias("old"))
+    # one row for each thing that a report fetched, of which its budget allows a thousand
+    before = Window.partitionBy("report_id").orderBy("sub_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = files.groupBy("report_id").agg((F.max("file_id") + 1).alias("next"))
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(last, "report_id", "left").withColumn("base", F.coalesce("next", F.lit(0)) + F.col("before"))
+    at = files.groupBy("report_id", F.col("sha256").alias("source")).agg(F.min(F.struct("file_id", "depth")).alias("at"))
+    way = edges.join(at, ["report_id", "source"], "left").join(sizes, key)
+    way = way.select(*key, "kind", "base", "old", F.coalesce("at.file_id", F.lit(0)).alias("under"), F.coalesce("at.depth", F.lit(0)).alias("deep"), "locator", F.coalesce(F.nullif("resolved_url", F.lit("")), F.nullif("locator", F.lit(""))).alias("url"))
+    rows = subs.join(way, key)
+    root, fetched = F.col("parent_id").isNull(), F.col("kind") == "fetched"
+    named = fetched & (F.coalesce("old", F.lit("")) != "") & (F.coalesce("locator", F.lit("")) != "")
+    tail = F.expr("substring(path, length(old) + 1)")
+    path = F.when(named & ((F.col("path") == F.col("old")) | F.col("path").startswith(F.concat("old", F.lit("!!")))), F.concat("locator", tail)).otherwise(F.col("path"))
+    moved = rows.select(
+        "report_id", (F.col("file_id") + F.col("base")).alias("file_id"), F.coalesce(F.col("parent_id") + F.col("base"), F.col("under")).alias("parent_id"), (F.col("depth") + F.col("deep") + 1).alias("depth"), path.alias("path"), "sha256",
+        F.when(root & fetched, "fetched").when(root & (F.col("kind") == "registry"), "registry").otherwise(F.col("rel")).alias("rel"), F.when(root & (F.col("kind") == "registry"), "sidecar").otherwise(F.col("role")).alias("role"), F.when(root & fetched, F.col("url")).alias("via"),
+    )
+    return files.select(*moved.columns).unionByName(moved)
+
+
 def graft(parents: DataFrame, subs: DataFrame) -> DataFrame:
     """Files of sub-reports ``(report_id, under, ...)`` appended below file ``under`` of their parents.
 

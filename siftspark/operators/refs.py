@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -185,6 +187,50 @@ def closure(roots: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
     return seen
 
 
+def close_refs(roots: DataFrame, catalog: DataFrame, members: DataFrame, refs: DataFrame, depth: int = 2, newest: bool = True) -> DataFrame:
+    """Everything that reports' references lead to: ``(report_id, locator, hop, source, payload, outcome, path)``.
+
+    ``roots (report_id, source, locator)``: references of the files of a report,
+    by content. ``catalog (locator, outcome, payload)``: what fetching a locator
+    gives. ``members (payload, file)``: contents within a payload, itself
+    included or not. ``refs (file, locator)``: references found in a content.
+
+    A payload that was fetched (``ok``) or differs from its pin
+    (``pin_mismatch``) is searched, and each of its member files, for the
+    references of the next hop. A locator is followed once in a report, by the
+    least path. Only the newest version of a package that the hops so far have
+    asked for is followed, within each report. ``path`` has the locators from the
+    report on. A locator that the catalog lacks has a null outcome and ends there.
+    """
+    found = refs.select("file", "locator").distinct()
+    inner = members.select("payload", "file").unionByName(members.select("payload", F.col("payload").alias("file"))).distinct()
+    own = refs.select(F.col("file").alias("payload"), "file").distinct()
+    inner = inner.unionByName(own).distinct()
+    work = roots.select("report_id", "source", "locator", F.array("locator").alias("path")).where("locator is not null")
+    out, versions = None, None
+    for hop in range(depth):
+        work = work.groupBy("report_id", "locator").agg(F.min(F.struct("path", "source")).alias("b")).select("report_id", "locator", "b.path", "b.source")
+        if newest:
+            package, version = split_purl(F.col("locator"))
+            bids = work.select("report_id", package.alias("package"), version.alias("version")).where("version is not null").distinct()
+            every = bids if versions is None else bids.unionByName(versions)
+            keyed = every.distinct().withColumn("k", version_key(F.col("version")))
+            best = keyed.groupBy("report_id", "package").agg(F.max("k").alias("best"))
+            versions = cut(keyed.join(best, ["report_id", "package"]).where("k = best").select("report_id", "package", "version"))
+            kept = versions.withColumn("top", F.lit(True))
+            work = work.withColumns({"package": package, "version": version}).join(kept, ["report_id", "package", "version"], "left").where("version is null or top").drop("package", "version", "top")
+        if out is not None:
+            work = work.join(out, ["report_id", "locator"], "left_anti")
+        new = cut(work.join(catalog.select("locator", "outcome", "payload"), "locator", "left").select("report_id", "locator", F.lit(hop).alias("hop"), "source", "payload", "outcome", "path"))
+        out = new if out is None else out.unionByName(new)
+        if hop + 1 == depth:
+            break
+        fetched = new.where("outcome IN ('ok', 'pin_mismatch') and payload is not null").select("report_id", "payload", "path")
+        nexts = fetched.join(inner, "payload").join(found, "file")
+        work = nexts.select("report_id", F.col("file").alias("source"), "locator", F.concat("path", F.array("locator")).alias("path"))
+    return out
+
+
 def backrefs(files: DataFrame, bad: DataFrame) -> DataFrame:
     """Findings on a declaring file and on all of its ``!!`` ancestors for a bad dependency.
 
@@ -205,13 +251,13 @@ def fetched_root(files: DataFrame) -> DataFrame:
     at = cut(files.select("report_id", "file_id", F.col("file_id").alias("at")))
     known = files.select("report_id", F.col("file_id").alias("at"), "parent_id", "rel")
     most = files.groupBy("report_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    out = at.limit(0).withColumnRenamed("at", "fetched_root")
+    found = [at.limit(0).withColumnRenamed("at", "fetched_root")]
     for _ in range(most + 1):
-        rows = at.join(known, ["report_id", "at"])
-        out = cut(out.unionByName(rows.where("rel = 'fetched'").select("report_id", "file_id", F.col("at").alias("fetched_root"))))
-        at = cut(rows.where("coalesce(rel, '') <> 'fetched' and parent_id is not null").select("report_id", "file_id", F.col("parent_id").alias("at")))
+        rows = cut(at.join(known, ["report_id", "at"]))
+        found.append(rows.where("rel = 'fetched'").select("report_id", "file_id", F.col("at").alias("fetched_root")))
+        at = rows.where("coalesce(rel, '') <> 'fetched' and parent_id is not null").select("report_id", "file_id", F.col("parent_id").alias("at"))
         if not at.take(1):
-            return out
+            return reduce(DataFrame.unionByName, found)
     raise ValueError("files whose parents form a ring")
 
 

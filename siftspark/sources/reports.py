@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+from functools import reduce
+from urllib.parse import quote
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +16,7 @@ from siftspark.operators.knownsets import parse_sha256
 from siftspark.operators.verdicts import level_conf
 
 FINDING = "struct<id:string,crit:int,conf:double,desc:string,atk:string,mbc:string,from:array<int>>"
-FILE = f"struct<id:bigint,path:string,type:string,sha:string,size:bigint,risk:bigint,depth:int,parent:bigint,rel:string,role:string,findings:array<{FINDING}>,metrics:string>"
+FILE = f"struct<id:bigint,path:string,type:string,sha:string,size:bigint,risk:bigint,depth:int,parent:bigint,rel:string,role:string,findings:array<{FINDING}>,metrics:string,imports:string,exports:string,functions:string,targets:string,members:string,strings:string,refs:string>"
 REPORT = f"report_id bigint, files array<{FILE}>, _corrupt_record string"
 #: Fixed value: most bytes of a registry record kept in a sidecar.
 RAW_LIMIT = 256 << 10
@@ -26,11 +33,38 @@ def quarantine(reports: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reports.where(~bad).drop("_corrupt_record"), reports.where(bad).select("_corrupt_record")
 
 
+#: Lists of a file's facts, by the kind that their entries have in the table of symbols.
+FACTS = {"imports": "import", "exports": "export", "functions": "function", "targets": "target", "members": "member"}
+
+
 def flatten(reports: DataFrame) -> dict[str, DataFrame]:
-    """``files``, ``findings`` and ``imports`` tables of nested reports."""
+    """Nested reports as tables ``files``, ``findings``, ``imports``, ``symbols``, ``metrics``, ``strings`` and ``refs``.
+
+    Facts are JSON of any shape, read as VARIANT. ``imports (report_id, file_id,
+    lib, name)``: entries ``[library, name]``, and objects and strings, which
+    have a name only. ``symbols (report_id, file_id, kind, v)``: all entries of
+    the lists in :data:`FACTS` as they are. ``metrics (report_id, file_id, g, f,
+    v)``: numbers, booleans as 1 and 0. ``strings (report_id, file_id, item)``:
+    arrays as text. ``refs (report_id, file_id, pos, kind, locator)``. What
+    cannot be read is no row.
+    """
     files = reports.select("report_id", F.inline("files")).withColumnsRenamed({"id": "file_id", "type": "file_type", "sha": "sha256", "size": "size_bytes", "parent": "parent_id"})
     inner = files.select("report_id", "file_id", F.posexplode("findings").alias("pos", "f")).select("report_id", "file_id", "pos", "f.*")
-    return {"files": files.drop("findings"), "findings": inner}
+    key = ["report_id", "file_id"]
+    listed = lambda c: F.try_variant_get(F.try_parse_json(c), "$", "array<variant>")
+    facts = reduce(DataFrame.unionByName, [files.select(*key, F.lit(kind).alias("kind"), F.explode(listed(c)).alias("v")) for c, kind in FACTS.items()])
+    v = F.col("v")
+    said = lambda path: F.try_variant_get(v, path, "string")
+    kind = F.schema_of_variant("v")
+    single = F.when(kind == "STRING", said("$")).when(kind.startswith("OBJECT"), F.coalesce(said("$.n"), said("$.name"), said("$.symbol")))
+    imports = facts.where("kind = 'import'").select(*key, F.when(kind.startswith("ARRAY"), said("$[0]")).alias("lib"), F.when(kind.startswith("ARRAY"), said("$[1]")).otherwise(single).alias("name")).where("coalesce(lib, '') <> '' or coalesce(name, '') <> ''")
+    groups = files.select(*key, F.explode(F.try_variant_get(F.try_parse_json("metrics"), "$", "map<string,variant>")).alias("g", "fields"))
+    cells = groups.select(*key, "g", F.explode(F.try_variant_get("fields", "$", "map<string,variant>")).alias("f", "v"))
+    number = F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).when(~kind.isin("STRING", "VOID"), F.try_variant_get(v, "$", "double"))
+    metrics = cells.select(*key, "g", "f", number.alias("v")).where("v is not null")
+    strings = files.select(*key, F.explode(listed("strings")).alias("v")).select(*key, F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda e: F.coalesce(F.try_variant_get(e, "$", "string"), F.to_json(e))).alias("item")).where("item is not null")
+    refs = files.select(*key, F.posexplode(listed("refs")).alias("pos", "v")).select(*key, "pos", said("$.kind").alias("kind"), said("$.locator").alias("locator")).where("locator is not null")
+    return {"files": files.drop("findings", *FACTS, "strings", "refs"), "findings": inner, "imports": imports, "symbols": facts, "metrics": metrics, "strings": strings, "refs": refs}
 
 
 def nest(files: DataFrame, findings: DataFrame) -> DataFrame:
@@ -97,10 +131,35 @@ def envelopes(verdicts: DataFrame, files: DataFrame, scores: DataFrame | None =
     return rows.select("report_id", line.alias("line"))
 
 
-def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Regular files below ``path`` without ``.git*``: path, length, content hash."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return rows.where(~F.col("path").rlike(r"/\.git[^/]*(/|$)")).select("path", "length", F.sha2("content", 256).alias("sha256"))
+def read_corpus(spark: SparkSession, path: str, whole: int = 64 << 20) -> DataFrame:
+    """Regular files below ``path`` without ``.git*``: path, length, content hash. Spark lists no empty files.
+
+    Files of up to ``whole`` bytes are hashed where Spark reads them. Larger ones
+    are listed without their content and hashed in blocks by the workers, through
+    the file system that their url names, for no row could hold them.
+    """
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(~F.col("path").rlike(r"/\.git[^/]*(/|$)"))
+    small = rows.where(F.col("length") <= whole).select("path", "length", F.sha2("content", 256).alias("sha256"))
+    large = rows.where(F.col("length") > whole).select("path", "length")
+    # a large file is a unit of work: deal them out one by one
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    return small.unionByName(large.repartition(n, "path").mapInPandas(_hashed, "path string, length long, sha256 string"))
+
+
+def _hashed(batches: Iterator[pd.DataFrame], block: int = 8 << 20) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
+    for df in batches:
+        digests = []
+        for path in df["path"]:
+            # Spark writes file:/x and leaves blanks as they are
+            store, name = fs.FileSystem.from_uri(quote(re.sub("^([A-Za-z0-9+.-]+):/(?!/)", r"\1:///", path), safe=":/%"))
+            digest = hashlib.sha256()
+            with store.open_input_stream(name) as f:
+                while data := f.read(block):
+                    digest.update(data)
+            digests.append(digest.hexdigest())
+        yield df.assign(sha256=digests)
 
 
 def read_pool(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -139,7 +198,23 @@ def source_urls(registry_url: Column, sources: Column) -> Column:
     return F.array_distinct(F.filter(F.concat(F.array(registry_url), F.coalesce(sources, F.array().cast("array<string>"))), lambda u: u.isNotNull() & (u != "")))
 
 
-def write_bloom(filters: DataFrame, path: str) -> DataFrame:
-    """Word tables ``(stem, word, bits)`` as Parquet by stem, and a manifest row for each."""
-    filters.write.partitionBy("stem").parquet(path)
-    return filters.groupBy("stem").agg(F.count(F.lit(1)).alias("words"), F.sum(F.bit_count("bits")).alias("ones"), F.sha2(F.sum(F.xxhash64("word", "bits").cast("decimal(38,0)")).cast("string"), 256).alias("sha256"))
+def bloom_manifest(filters: DataFrame, version: str, words: int = 4096) -> DataFrame:
+    """``(stem, file, version, n, words, ones, sha256)`` of each filter of word tables ``(stem, word, bits)``.
+
+    ``sha256`` is the hash of the hashes of ranges of ``words`` words, in order:
+    ranges are hashed apart, so no task sees a filter whole, and a changed bit
+    changes one row.
+    """
+    said = F.concat("word", F.lit(":"), "bits")
+    part = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word", said.alias("s")))), lambda w: w["s"]), ";")
+    ranges = filters.groupBy("stem", F.expr(f"word div {words}").alias("r")).agg(F.sha2(part, 256).alias("h"), F.count(F.lit(1)).alias("words"), F.sum(F.bit_count("bits")).alias("ones"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "h"))), lambda x: x["h"]), "")
+    return ranges.groupBy("stem").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("words"), F.sum("ones").alias("ones"), F.sha2(whole, 256).alias("sha256")).select("stem", F.concat(F.lit("stem="), "stem").alias("file"), F.lit(version).alias("version"), "n", "words", "ones", "sha256")
+
+
+def write_bloom(filters: DataFrame, path: str, version: str = "1") -> DataFrame:
+    """Word tables ``(stem, word, bits)`` as Parquet by stem below ``path/filters``, and their manifest, written to ``path/manifest`` and returned."""
+    filters.write.partitionBy("stem").parquet(f"{path}/filters")
+    manifest = bloom_manifest(filters.sparkSession.read.parquet(f"{path}/filters"), version)
+    manifest.write.parquet(f"{path}/manifest")
+    return filters.sparkSession.read.parquet(f"{path}/manifest")
