@@ -12,7 +12,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftspark.plans import audit_queries, feature_queries, finding_queries, job_queries, known_queries, verdict_queries
+from siftspark.plans import audit_queries, feature_queries, finding_queries, flow_queries, job_queries, known_queries, verdict_queries
 
 #: Columns of doubles, and of 32-bit integers that DuckDB would have as 64-bit ones.
 _DOUBLES = {
@@ -22,9 +22,9 @@ _DOUBLES = {
     "worst_members": ["worst_prob"], "elevated_verdicts": ["prob"], "tree_scores": ["raw"], "tree_scores_sql": ["raw"], "explained": ["value"], "score_margins": ["margin", "shown"], "blended_grades": ["new_prob"],
     "job_score_reports": ["prob"], "job_route_scores": ["raw", "p"], "job_rollup": ["prob"], "decided_without_grid": ["prob", "threshold"], "general_sweep": ["p", "threshold"], "route_classes": ["p"], "routed_predictions": ["prob"], "policy_decisions": ["p", "threshold"],
     "divergent_thresholds": ["raw", "raw2"], "calibrated_grid": ["threshold"], "default_thresholds": ["hostile", "suspicious"], "dependency_grades": ["prob"],
-    "job_throughput": ["wall_s", "per_s"], "best_runs": ["wall"], "run_goal": ["ratio"], "operating_points": ["precision", "recall"], "trailing_rate": ["per_s"],
+    "job_throughput": ["wall_s", "per_s"], "best_runs": ["wall"], "run_goal": ["ratio"], "operating_points": ["precision", "recall"], "ensemble_scores": ["raw"], "ensemble_scores_by_paths": ["raw"], "flattened_metrics": ["v"], "job_member_verdicts": ["prob"], "trailing_rate": ["per_s"],
 }
-_INTS = {"top_findings": ["rank"], "member_top": ["rank"], "retained_files": ["rank"], "listing_appended": ["depth"], "content_groups": ["pids"], "grafted": ["depth"], "explained": ["rank"], "budgeted_refs": ["pos"], "mixed_batches": ["batch"]}
+_INTS = {"top_findings": ["rank"], "member_top": ["rank"], "retained_files": ["rank"], "listing_appended": ["depth"], "content_groups": ["pids"], "grafted": ["depth"], "explained": ["rank"], "budgeted_refs": ["pos"], "mixed_batches": ["batch"], "closed_references": ["hop"], "reached_by_recursion": ["hop"], "grafted_subtrees": ["depth"], "job_backrefs": ["crit"]}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,6 +44,6 @@ def _typed(name: str, sql: str) -> str:
     return f"SELECT * REPLACE ({', '.join(casts)}) FROM ({sql})" if casts else sql
 
 
-for _m in (finding_queries, feature_queries, verdict_queries, known_queries, audit_queries, job_queries):
+for _m in (finding_queries, feature_queries, verdict_queries, known_queries, audit_queries, job_queries, flow_queries):
     QUERIES |= {k: _rounded(f) for k, f in _m.QUERIES.items()}
     ORACLES |= {k: _typed(k, s) for k, s in _m.ORACLES.items()}
