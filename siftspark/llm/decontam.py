@@ -9,7 +9,11 @@
    in at most two bits, so an equi-join of blocks with the items' blocks, as
    they are and with one or two bits flipped, misses none. Fingerprints of
    windows at similarity 0.8 differ in 10 bits on average, with a deviation of
-   3: the radius is more than four deviations beyond.
+   3: the radius is more than four deviations beyond. So wide a radius selects
+   little by itself; the index is therefore kept apart for each rare shingle.
+   With shingles in order of the number of items that have them, a window and
+   an item that share enough of them share one among the first few of both,
+   and only there their blocks are compared.
 4. Candidates are verified by weighted Jaccard similarity: shingles weigh as
    often as they occur.
 
@@ -22,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.llm.linedup import _ceil
-from siftspark.session import cut
+from siftspark.session import cut, unused
 
 RADIUS, _BLOCKS = 23, 8
 #: Each value of a block, and with one or two bits turned: 8 blocks within 23 bits cannot all differ in three.
@@ -73,6 +77,22 @@ def _weighted(a: str, b: str) -> Column:
     return F.when(plain, F.size(F.array_intersect(a, b))).otherwise(counted)
 
 
+def _candidates(windows: DataFrame, item: DataFrame, often: DataFrame, threshold: float) -> DataFrame:
+    """Windows and items that meet in a block of the index of a rare shingle: their keys, and their fingerprints ``x`` and ``y``.
+
+    A window of an item's m shingles has at least ``threshold`` times m, so that
+    an item's first m - ceil(threshold * m) + 1 shingles are enough for all.
+    """
+    wkey, ikey = ["dk", "n", "start"], ["ik", "n"]
+    wfp, ifp = _fingerprints(windows, wkey), _fingerprints(item, ikey)
+    m = F.col("n") - F.col("k") + 1
+    ranked = item.select("ik", "n", m.alias("m"), F.explode("hs").alias("h")).join(often, "h").groupBy("ik", "n", "m").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("r"))
+    first = ranked.select("ik", "n", F.explode(F.array_distinct(F.transform(F.slice("r", F.lit(1), F.col("m") - _ceil(threshold, F.col("m")) + 1), lambda x: x["h"]))).alias("h"))
+    x = wfp.join(windows.select(*wkey, "rare"), wkey).select(*wkey, F.explode("rare").alias("h"), F.col("fp").alias("x")).select("*", _block_rows("x", False)).select(*wkey, "h", "x", "block.k", "block.v")
+    y = ifp.join(first, ikey).select(*ikey, "h", F.col("fp").alias("y")).select("*", _block_rows("y", True)).select(*ikey, "h", "y", "block.k", "block.v")
+    return x.join(y, ["n", "h", "k", "v"])
+
+
 def leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """``docs (dk, text)``, ``items (item_id, text)`` -> one row for each document and item that match.
 
@@ -89,7 +109,8 @@ def leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: float
     for k in sizes:
         hs = F.when(F.col("k") == k, _shingles("w", k)).otherwise(hs)
     item = cut(item.select(F.xxhash64("item_id", "w").alias("ik"), "item_id", "n", "k", hs.alias("hs")))
-    known = cut(item.select(F.explode("hs").alias("h"), "n", "k").distinct())
+    often = item.select(F.explode(F.array_distinct("hs")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"))
+    known = cut(item.select(F.explode("hs").alias("h"), "n", "k").distinct().join(often, "h"))
 
     def hashed(rows: DataFrame) -> DataFrame:
         said = rows.select(*[c for c in rows.columns if c != "text"], _words(F.col("text")).alias("w"))
@@ -99,24 +120,27 @@ def leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: float
         return docs.select("dk").join(items.select("item_id"), F.lit(False)).selectExpr("dk", "item_id", "cast(0 as double) similarity", "0 word_start", "0 n_words")
     # outer: a plain explode would add a filter that hashes each document twice
     places = hashed(docs).select("dk", F.inline_outer("by_k")).select("dk", F.posexplode_outer("hs").alias("pos", "h"))
-    places = places.join(_small(known, _BROADCAST_SHINGLES), "h").select("dk", "n", "k", "pos")
-    at = cut(places.groupBy("dk", "n", "k").agg(F.sort_array(F.collect_set("pos")).alias("at")))
-    per_doc = at.groupBy("dk").agg(F.collect_list(F.struct("n", "k", "at")).alias("sizes"))
+    places = places.join(_small(known, _BROADCAST_SHINGLES), "h").select("dk", "n", "k", "pos", "c")
+    at = cut(places.groupBy("dk", "n", "k").agg(F.sort_array(F.collect_set(F.struct("pos", "c"))).alias("marks")))
+    per_doc = at.groupBy("dk").agg(F.collect_list(F.struct("n", "k", F.col("marks.pos").alias("at"), "marks")).alias("sizes"))
     seen = hashed(docs).join(_small(per_doc, _BROADCAST_DOCS), "dk").select("dk", "by_k", F.inline_outer("sizes"))
-    seen = seen.select("dk", "n", "at", F.get(F.expr("filter(by_k, x -> x.k = k)"), 0)["hs"].alias("hs"), (F.col("n") - F.col("k") + 1).alias("m"))
+    seen = seen.select("dk", "n", "at", "marks", F.get(F.expr("filter(by_k, x -> x.k = k)"), 0)["hs"].alias("hs"), (F.col("n") - F.col("k") + 1).alias("m"))
     seen = seen.withColumn("mw", F.least("m", F.size("hs"))).withColumn("need", _ceil(threshold / (1 + threshold), F.col("m") + F.col("mw")))
     # the first and the last of ``need`` places next to each other, if one window holds them
     starts = F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), lambda i: F.struct(F.greatest(F.lit(0), F.get("at", i + F.col("need") - 1) - F.col("mw") + 1).alias("a"), F.least(F.get("at", i), F.size("hs") - F.col("mw")).alias("b")))
     spans = F.filter(starts, lambda s: s["a"] <= s["b"])
     every = F.array_distinct(F.flatten(F.transform(spans, lambda s: F.sequence(s["a"], s["b"]))))
-    windows = seen.where(F.size("at") >= F.col("need")).select("dk", "n", "m", "mw", "hs", F.explode(every).alias("start"))
-    windows = cut(windows.select("dk", "n", "m", "mw", "start", F.slice("hs", F.col("start") + 1, F.col("mw")).alias("hs")).dropDuplicates(["dk", "n", "start"]))
+    windows = seen.where(F.size("at") >= F.col("need")).select("dk", "n", "m", "mw", "need", "hs", "marks", F.explode(every).alias("start"))
+    # in order of rarity a window begins with what no item has; of its first mw - need + 1 shingles those that items have
+    inside = F.filter("marks", lambda x: (x["pos"] >= F.col("start")) & (x["pos"] < F.col("start") + F.col("mw")))
+    rare = F.array_sort(F.transform(inside, lambda x: F.struct(x["c"].alias("c"), F.get("hs", x["pos"]).alias("h"))))
+    rare = F.transform(F.slice(rare, F.lit(1), F.greatest(F.size(rare) - F.col("need") + 1, F.lit(0))), lambda x: x["h"])
+    # in a step of its own: places are those of the whole text, not of the slice
+    windows = windows.withColumn("rare", F.array_distinct(rare))
+    windows = cut(windows.select("dk", "n", "m", "mw", "start", F.slice("hs", F.col("start") + 1, F.col("mw")).alias("part"), "rare").withColumnRenamed("part", "hs").dropDuplicates(["dk", "n", "start"]))
     wkey, ikey = ["dk", "n", "start"], ["ik", "n"]
-    wfp, ifp = _fingerprints(windows, wkey), _fingerprints(item, ikey)
-    x = wfp.select(*wkey, "fp", _block_rows("fp", False)).select(*wkey, F.col("fp").alias("x"), "block.k", "block.v")
-    y = ifp.select(*ikey, "fp", _block_rows("fp", True)).select(*ikey, F.col("fp").alias("y"), "block.k", "block.v")
-    near = x.join(y, ["n", "k", "v"]).where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= RADIUS).select(*wkey, "ik").distinct()
-    pairs = near.join(windows, wkey).join(item.select("ik", "n", "item_id", F.col("hs").alias("ihs")), ikey)
+    near = _candidates(windows, item, often, threshold).where(F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= RADIUS).select(*wkey, "ik").distinct()
+    pairs = near.join(windows.drop("rare"), wkey).join(item.select("ik", "n", "item_id", F.col("hs").alias("ihs")), ikey)
     shared = _weighted("hs", "ihs")
     scored = pairs.withColumn("similarity", shared / (F.col("m") + F.col("mw") - shared)).where(F.col("similarity") >= threshold - 1e-9)
     best = scored.groupBy("dk", "item_id").agg(F.max_by(F.struct("similarity", "start", "n"), F.struct("similarity", -F.col("start"))).alias("b"))
@@ -140,9 +164,10 @@ def find_leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text: st
 
 def drop_leaked(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """Rows of ``df`` that match no benchmark item; all columns as they are."""
-    key = df.withColumn("__dk", _keyed(df, id_col, text))
-    found = cut(leaks(key.select(F.col("__dk").alias("dk"), F.col(text).alias("text")), items, **how).select(F.col("dk").alias("__dk")).distinct())
-    return key.join(_small(found, _BROADCAST_SHINGLES), "__dk", "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    name = unused(df, "dk")
+    key = df.withColumn(name, _keyed(df, id_col, text))
+    found = cut(leaks(key.select(F.col(name).alias("dk"), F.col(text).alias("text")), items, **how).select(F.col("dk").alias(name)).distinct())
+    return key.join(_small(found, _BROADCAST_SHINGLES), name, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op7_decontamination(docs: DataFrame, items: DataFrame) -> DataFrame:

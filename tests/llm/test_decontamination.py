@@ -90,3 +90,38 @@ def test_no_pair_at_the_threshold_is_lost(spark):
     assert len(want) == 400 and max(v[0] for v in want.values()) < 0.83
     got, n = run(spark, docs, items)
     assert got == want and n == 400
+
+
+def test_the_index_selects(spark):
+    """Items of one length with some shingles in common: few window-item pairs meet, and none that is near is lost."""
+    rng = np.random.default_rng(4)
+    pool = [[f"c{j}_{k}" for k in range(12)] for j in range(6)]  # passages that many items share
+    items = [(i, " ".join([*pool[rng.integers(6)], *(f"w{x}" for x in rng.integers(0, 500, 38))])) for i in range(80)]
+    docs = []
+    for d in range(60):
+        leak = items[rng.integers(80)][1].split()
+        leak[25] = "edit"  # five of 46 shingles: similarity 0.80
+        docs.append((d, " ".join([f"x{x}" for x in rng.integers(0, 500, 20)] + leak)))
+    seen = []
+    real = decontam._candidates
+
+    def counted(*args):
+        seen.append(real(*args))
+        return seen[-1]
+
+    decontam._candidates = counted
+    try:
+        got, _ = run(spark, docs, items)
+    finally:
+        decontam._candidates = real
+    assert got == plain(docs, items) and len(got) >= 60
+    pairs = seen[0].select("dk", "n", "start", "ik")
+    windows = pairs.select("dk", "n", "start").distinct().count()
+    assert pairs.count() < 0.05 * windows * 80 * decontam._BLOCKS
+
+
+def test_clashing_names(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    df = spark.createDataFrame([(1, text, "a", 5, 6), (2, "other words", "b", 7, 8)], "doc_id long, text string, __dk string, __DK_ int, h int")
+    got = decontam.drop_leaked(df, spark.createDataFrame([(1, text)], "item_id long, text string"))
+    assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(2, "other words", "b", 7, 8)]
