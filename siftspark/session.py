@@ -51,6 +51,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have, whatever the case of its names."""
+    taken, name = {c.lower() for c in df.columns}, f"__{stem}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete the files of :func:`stored` tables that nothing reads any more."""
     for df in tables:
