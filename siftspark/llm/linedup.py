@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftspark.session import cut, drop, stored
+from siftspark.session import cut, drop, stored, unused
 
 _BUCKETS = 1 << 20
 #: At most so many keys of lines, 12 bytes each, are broadcast; more are joined by a shuffle.
@@ -193,20 +193,21 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", thres
     text count as one document and are treated alike; a null id comes before
     all others. Other columns are untouched, whatever their names.
     """
-    keyed = df.withColumn("__dk", F.xxhash64(F.col(id_col), F.col(text)))
-    docs = keyed.select(F.col(id_col).alias("id"), F.col("__dk").alias("dk"), F.col(text).alias("text"))
-    gone = stored(matched_lines(docs, threshold).groupBy(F.col("dk").alias("__dk")).agg(F.collect_set("pos").alias("__gone")))
-    size = gone.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("__gone")).alias("lines")).first()
+    key, out_ = unused(df, "dk"), unused(df, "gone")
+    keyed = df.withColumn(key, F.xxhash64(F.col(id_col), F.col(text)))
+    docs = keyed.select(F.col(id_col).alias("id"), F.col(key).alias("dk"), F.col(text).alias("text"))
+    gone = stored(matched_lines(docs, threshold).groupBy(F.col("dk").alias(key)).agg(F.collect_set("pos").alias(out_)))
+    size = gone.agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size(out_)).alias("lines")).first()
     if size.docs * 8 + (size.lines or 0) <= _BROADCAST_LINES:
         gone = F.broadcast(gone)
-    joined = keyed.join(gone, "__dk", "left")
+    joined = keyed.join(gone, key, "left")
     lines = F.split(F.col(text), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(out_))
+    new = F.when(F.col(out_).isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     out = joined.withColumn(text, new)
     if removed:
-        out = out.withColumn(removed, F.sort_array(F.coalesce("__gone", F.array().cast("array<int>"))))
-    return out.drop("__dk", "__gone").select(*[F.col(f"`{c}`") for c in df.columns], *([removed] if removed else []))
+        out = out.withColumn(removed, F.sort_array(F.coalesce(out_, F.array().cast("array<int>"))))
+    return out.drop(key, out_).select(*[F.col(f"`{c}`") for c in df.columns if c != removed], *([removed] if removed else []))
 
 
 def op9_line_dedup(docs: DataFrame) -> DataFrame:

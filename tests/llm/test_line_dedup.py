@@ -68,3 +68,9 @@ def test_sql(spark, sf_dir):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
     assert sorted(tuple(r) for r in linedup.op9_line_dedup(docs).collect()) == sorted(con.sql(linedup.OP9_SQL).fetchall())
+
+
+def test_own_names_in_the_table(spark):
+    df = spark.createDataFrame([(1, "a b c\nd e f", "x", 5, 6), (2, "a b c", "y", 7, 8)], "doc_id long, text string, __dk string, __gone int, __DK_ int")
+    got = linedup.dedup_lines(df)
+    assert got.columns == df.columns and sorted(tuple(r) for r in got.collect()) == [(1, "a b c\nd e f", "x", 5, 6), (2, "", "y", 7, 8)]
