@@ -300,6 +300,13 @@ def display_p(p: Column, t: Column) -> Column:
     return F.when(p < t, 0.5 * p / F.greatest(t, F.lit(1e-9))).otherwise(0.5 + 0.5 * (p - t) / F.greatest(1 - t, F.lit(1e-9)))
 
 
+def band_progress(p: Column, cls: Column, t: Column) -> Column:
+    """How far a score is through its band, 0 to 1: from the cutoff to 1, or for benign ones from 0 to the cutoff."""
+    least = F.lit(2.0**-23)
+    share = F.when(cls > 0, (p - t) / F.greatest(1 - t, least)).otherwise(p / F.greatest(t, least))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
+
+
 def calibrate_grid(grid: DataFrame, breakpoints: DataFrame) -> DataFrame:
     """OR-rule thresholds through their route's calibrator ``(route, x, y)``, or through one ``(x, y)`` for all; those of routes without one stay."""
     if "route" not in breakpoints.columns:

@@ -22,7 +22,7 @@ _DOUBLES = {
     "worst_members": ["worst_prob"], "elevated_verdicts": ["prob"], "tree_scores": ["raw"], "tree_scores_sql": ["raw"], "explained": ["value"], "score_margins": ["margin", "shown"], "blended_grades": ["new_prob"],
     "job_score_reports": ["prob"], "job_route_scores": ["raw", "p"], "job_rollup": ["prob"], "decided_without_grid": ["prob", "threshold"], "general_sweep": ["p", "threshold"], "route_classes": ["p"], "routed_predictions": ["prob"], "policy_decisions": ["p", "threshold"],
     "divergent_thresholds": ["raw", "raw2"], "calibrated_grid": ["threshold"], "default_thresholds": ["hostile", "suspicious"], "dependency_grades": ["prob"],
-    "job_throughput": ["wall_s", "per_s"], "best_runs": ["wall"], "run_goal": ["ratio"], "operating_points": ["precision", "recall"], "ensemble_scores": ["raw"], "ensemble_scores_by_paths": ["raw"], "flattened_metrics": ["v"], "job_member_verdicts": ["prob"], "trailing_rate": ["per_s"],
+    "job_throughput": ["wall_s", "per_s"], "best_runs": ["wall"], "run_goal": ["ratio"], "operating_points": ["precision", "recall"], "ensemble_scores": ["raw"], "score_bands": ["progress"], "ensemble_scores_by_paths": ["raw"], "flattened_metrics": ["v"], "job_member_verdicts": ["prob"], "trailing_rate": ["per_s"],
 }
 _INTS = {"top_findings": ["rank"], "member_top": ["rank"], "retained_files": ["rank"], "listing_appended": ["depth"], "content_groups": ["pids"], "grafted": ["depth"], "explained": ["rank"], "budgeted_refs": ["pos"], "mixed_batches": ["batch"], "closed_references": ["hop"], "reached_by_recursion": ["hop"], "grafted_subtrees": ["depth"], "job_backrefs": ["crit"]}
 

@@ -146,6 +146,12 @@ def explained(spark, sf_dir):
     return S.explain(X.external(A.findings(spark, sf_dir)), S.importance_matches(importance, listed, digest), 2).withColumn("said", S.describe(F.col("name")))
 
 
+@query(sql(_CAL, "SELECT id, CASE WHEN p >= 0.7 THEN (p - 0.7) / 0.3 ELSE p / 0.7 END AS progress FROM cal"))
+def score_bands(spark, sf_dir):
+    p, t = F.col("p"), F.lit(0.7)
+    return S.calibrate(A.scores(spark, sf_dir), breakpoints(spark)).select("id", S.band_progress(p, F.when(p >= t, 1).otherwise(0), t).alias("progress"))
+
+
 @query(sql(_CAL, """SELECT id, round(ln(p / (1 - p)) - ln(0.4 / 0.6), 6) AS margin, round(CASE WHEN p < 0.4 THEN 0.5 * p / 0.4 ELSE 0.5 + 0.5 * (p - 0.4) / 0.6 END, 6) AS shown FROM cal"""))
 def score_margins(spark, sf_dir):
     cal = S.calibrate(A.scores(spark, sf_dir), breakpoints(spark))
