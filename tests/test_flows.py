@@ -186,7 +186,7 @@ def test_stream_of_reports_is_scored_as_stored_ones(spark, tmp_path):
     from siftspark.operators import jobs, verdicts
     from siftspark.plans.job_queries import model
 
-    spec = spark.createDataFrame([(0, "agg:max_crit", 0.0, 1.5), (1, "struct:file_count_log", 0.2, 0.5), (2, "ext:third_party_max_crit", 0.0, 2.0), (3, "present:objectives", 0.0, 1.2), (4, "score:hopper_score", 1.0, 3.0), (5, "agg:category_breadth", 1.0, 2.0)], "pos int, name string, mean double, std double")
+    spec = spark.createDataFrame([(0, "agg:max_crit", 0.0, 1.5), (1, "struct:file_count_log", 0.2, 0.5), (2, "ext:third_party_max_crit", 0.0, 2.0), (3, "present:objectives", 0.0, 1.2), (4, "score:density", 1.0, 3.0), (5, "agg:category_breadth", 1.0, 2.0)], "pos int, name string, mean double, std double")
     pick = random.Random(2)
     schema = "report_id long, ts timestamp, files array<struct<file_id:long,file_type:string,size_bytes:long,depth:int,parent_id:long,path:string,risk:long,entropy:double,total_lines:long,mtime:long>>, findings array<struct<file_id:long,id:string,crit:int,conf:double,atk:string,mbc:string>>"
     rows = []
