@@ -357,3 +357,11 @@ def test_families_compute_the_names_of_a_spec_only(spark):
 def test_mean_of_seeds_leaves_nulls_out(spark):
     row = spark.createDataFrame([(0.25, 0.75, None)], "a double, b double, c double")
     assert row.select(verdicts.mean_of(F.col("a"), F.col("b"), F.col("c")), verdicts.mean_of(F.col("c"))).first()[:] == (0.5, None)
+
+
+def test_file_entries_have_the_class(spark):
+    files = spark.createDataFrame([(1, 10, "elf", 0, 5), (1, 11, "pe", 1, 5), (1, 12, "pe", 1, 5)], "report_id long, file_id long, file_type string, depth int, risk int")
+    members = spark.createDataFrame([(1, 11, 2, 0.9)], "report_id long, file_id long, class int, prob double")
+    final = spark.createDataFrame([(1, 1, 0.5, 25)], "report_id long, class int, prob double, level int")
+    entry = lambda *verdicts: [f["v"]["cls"] if f["v"] else None for f in reports.ml_files(files, members, *verdicts).first()["files"]]
+    assert entry() == [None, 2, None] and entry(final) == [1, 2, None]
