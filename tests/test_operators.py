@@ -365,3 +365,13 @@ def test_file_entries_have_the_class(spark):
     final = spark.createDataFrame([(1, 1, 0.5, 25)], "report_id long, class int, prob double, level int")
     entry = lambda *verdicts: [f["v"]["cls"] if f["v"] else None for f in reports.ml_files(files, members, *verdicts).first()["files"]]
     assert entry() == [None, 2, None] and entry(final) == [1, 2, None]
+
+
+def test_gates_of_triage_do_not_double_the_plan(spark):
+    from siftspark.operators import jobs
+
+    df = spark.createDataFrame([(1, 1, 0, 0, "dependency", "pkg:npm/p@1.0", "a", 1, False)], "report_id long, file_id long, pos long, tie long, kind string, locator string, path string, bytes long, cached boolean")
+    reg = spark.createDataFrame([], "locator string, published timestamp, removed boolean, security_hold boolean, deprecated string, known_good boolean")
+    out = jobs.triage_refs(df, reg, F.lit("2024-01-01").cast("timestamp"), "deps")
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Relation") + plan.count("LogicalRDD") <= 4 and [r.fate for r in out.collect()] == ["kept"]
