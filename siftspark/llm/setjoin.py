@@ -4,8 +4,8 @@
    whose SimHash fingerprints the trie join links are candidates, and a link if
    their sets, met in full, reach the threshold. That settles groups of near
    copies, however large, along the forests of the trie.
-2. Fingerprints miss a few pairs. So a set's shingles are ordered, those common
-   in a sample last. Two sets of n and m shingles at the threshold share
+2. Fingerprints miss a few pairs. So a set's shingles are ordered, common ones
+   last, by counts over all texts. Two sets of n and m shingles at the threshold share
    ``need(n, m)``, so they share one among the first ``n - ceil(threshold * n)
    + 1`` of each: its prefix. A join of the prefixes misses no pair, and only
    pairs of different components are left to it.
@@ -29,8 +29,8 @@ from siftspark.llm.components import components
 from siftspark.llm.simhash import fingerprint_of, shingle_hashes, trie_links
 from siftspark.session import drop, small_batches, stored
 
-#: Texts of the hash-ordered sample, shingles of it that are put last, and texts of the sample that hold such a shingle at least.
-_SAMPLE, _COMMON, _OFTEN = 20_000, 200_000, 3
+#: Slots that shingles are counted in, and slots of one row of counts.
+_SLOTS, _SLICE = 1 << 19, 1 << 13
 #: Most rounds with leaders.
 _ROUNDS = 6
 #: Fingerprints: 64-bit words, most differing bits, and blocks of which one must be equal, with their width.
@@ -47,19 +47,32 @@ def _node(h: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64))
 
 
-def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ordered shingles that many texts of the sample hold, and how many do."""
-    total = rows.count()
-    every = max(1, -(-total // _SAMPLE))
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
+def _slot(h: np.ndarray) -> np.ndarray:
+    return h.view(np.uint64) % np.uint64(_SLOTS)
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for df in batches:
-            yield pd.DataFrame({"h": np.concatenate([np.empty(0, np.int64), *[_shingles(t, shingle) for t in df["text"]]])})
 
-    held = picked.mapInPandas(split, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= _OFTEN)
-    top = held.orderBy(F.desc("n"), "h").limit(_COMMON).toPandas().sort_values("h")
-    return top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+def _counts(rows: DataFrame, shingle: int) -> np.ndarray:
+    """How often the shingles of each slot are held, over all texts; a task hands on its sums, not its shingles."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(_SLOTS, np.int64)
+        for df in batches:
+            held = [_slot(_shingles(t, shingle)) for t in df["text"]]
+            if held:
+                total += np.bincount(np.concatenate(held).astype(np.int64), minlength=_SLOTS)
+        for at in range(0, _SLOTS, _SLICE):
+            if (part := total[at : at + _SLICE]).any():
+                yield pd.DataFrame({"at": [at], "n": [part.tobytes()]})
+
+    def add(df: pd.DataFrame) -> pd.DataFrame:
+        total = np.sum([np.frombuffer(n, np.int64) for n in df["n"]], axis=0)
+        return pd.DataFrame({"at": df["at"].iloc[:1], "n": [total.tobytes()]})
+
+    out = np.zeros(_SLOTS, np.int64)
+    sums = rows.select("text").mapInPandas(count, "at int, n binary").groupBy("at").applyInPandas(add, "at int, n binary")
+    for r in sums.collect():  # _SLOTS numbers, whatever the texts
+        out[r["at"] : r["at"] + _SLICE] = np.frombuffer(bytes(r.n), np.int64)
+    return out
 
 
 def _need(n: Column, m: Column, threshold: float) -> Column:
@@ -69,10 +82,10 @@ def _need(n: Column, m: Column, threshold: float) -> Column:
 
 def with_prefix(rows: DataFrame, shingle: int, threshold: float) -> DataFrame:
     """``key, text`` -> ``key, node, n, prefix, fp``: the set's number, its size, its first shingles in order, and its fingerprint."""
-    shared = rows.sparkSession.sparkContext.broadcast(_common(rows, shingle))
+    shared = rows.sparkSession.sparkContext.broadcast(_counts(rows, shingle))
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often, times = shared.value
+        times = shared.value
         for df in batches:
             nodes, sizes, prefixes, prints = [], [], [], []
             for text in df["text"]:
@@ -80,9 +93,7 @@ def with_prefix(rows: DataFrame, shingle: int, threshold: float) -> DataFrame:
                 nodes.append(_node(h))
                 sizes.append(len(h))
                 prints.append(fingerprint_of(h.view(np.uint64), _WORDS).view(np.int64))
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, h), len(often) - 1)
-                    h = h[np.argsort(np.where(often[at] == h, times[at], 0), kind="stable")]
+                h = h[np.argsort(times[_slot(h)], kind="stable")]
                 prefixes.append(h[: len(h) - int(np.ceil(threshold * len(h) - 1e-9)) + 1])
             yield pd.DataFrame({"key": df["key"], "node": nodes, "n": sizes, "prefix": prefixes, "fp": prints})
 

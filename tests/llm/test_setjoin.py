@@ -70,3 +70,15 @@ def test_groups_are_brute_force(spark, monkeypatch, rounds):
     chain = [f"c{i}" for i in range(200)]
     texts += [" ".join(chain[a : a + 100]) for a in range(0, 80, 8)]
     assert told(spark, texts) == kept_ids(texts)
+
+
+def test_shingles_are_counted_over_all_texts(spark):
+    import numpy as np
+
+    from siftspark.llm import setjoin
+
+    rows = spark.range(30_000).selectExpr("id AS key", "concat_ws(' ', 'every text begins like this', id) AS text").repartition(5)
+    counts = setjoin._counts(rows, 5)
+    assert counts.sum() == 2 * 30_000
+    assert counts[setjoin._slot(setjoin._shingles("every text begins like this", 5))][0] >= 30_000
+    assert setjoin._counts(rows.limit(0), 5).tolist() == np.zeros(setjoin._SLOTS, int).tolist()
