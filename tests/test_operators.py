@@ -375,3 +375,18 @@ def test_gates_of_triage_do_not_double_the_plan(spark):
     out = jobs.triage_refs(df, reg, F.lit("2024-01-01").cast("timestamp"), "deps")
     plan = out._jdf.queryExecution().analyzed().toString()
     assert plan.count("Relation") + plan.count("LogicalRDD") <= 4 and [r.fate for r in out.collect()] == ["kept"]
+
+
+def test_rows_of_a_run_are_not_broadcast_by_the_bytes_of_their_files(spark):
+    from siftspark.session import stored_rows
+
+    few = stored_rows(spark.range(50))
+    many = stored_rows(spark.range(100), most=0)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(few.join(few.withColumnRenamed("id", "k"), F.col("id") == F.col("k")))
+    assert "BroadcastHashJoin" not in plan(many.select("id").where("id > 3").join(few.withColumnRenamed("id", "k"), F.col("id") == F.col("k")))
+    # what a model bounds is broadcast all the same
+    scores = stored_rows(spark.createDataFrame([(1, "elf", "general", 0.7)], "id long, file_type string, route string, p double"), most=0)
+    grid = spark.createDataFrame([("elf", "general", 25, 0.6)], "file_type string, route string, level int, threshold double")
+    fired = verdicts.fire_or(scores, grid)
+    assert "BroadcastHashJoin" in plan(fired) and [tuple(r) for r in fired.collect()] == [(1, 25, 0.7, 0.6)]
