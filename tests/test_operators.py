@@ -390,3 +390,18 @@ def test_rows_of_a_run_are_not_broadcast_by_the_bytes_of_their_files(spark):
     grid = spark.createDataFrame([("elf", "general", 25, 0.6)], "file_type string, route string, level int, threshold double")
     fired = verdicts.fire_or(scores, grid)
     assert "BroadcastHashJoin" in plan(fired) and [tuple(r) for r in fired.collect()] == [(1, 25, 0.7, 0.6)]
+
+
+def test_metrics_are_looked_up_in_one_pass(spark):
+    from siftspark.operators import features
+
+    files = spark.createDataFrame([(1, '{"binary":{"string_count":6,"function_count":3,"import_count":4}}'), (1, '{"binary":{"string_count":2,"dependency_count":0}}'), (2, None)], "report_id long, metrics string")
+    vocab = spark.createDataFrame([("binary_odd",)], "name string")
+    out = features.metrics(files.select("report_id").distinct(), features.merged_metrics(files), vocab)
+    got = {(r.report_id, r.name): r.value for r in out.collect()}
+    names = {n for r, n in got if r == 1}
+    assert len(got) == 2 * len(names) == out.count() and {n for r, n in got if r == 2} == names and "metrics:binary_odd" in names
+    assert [got[1, f"metrics:derived_{n}"] for n in ("string_per_function", "imports_per_dependency", "wide_string_ratio")] == [2.0, 0.0, 0.0]
+    assert not any(v for (r, _), v in got.items() if r == 2)
+    # before, an array function over all names, and the files were read once more for the ratios
+    assert out._jdf.queryExecution().optimizedPlan().toString().lower().count("from_json") == 1
