@@ -33,3 +33,10 @@ def test_listing_is_appended_without_a_join(spark):
     new = sorted((r.report_id, r.file_id, r.path, r.sha256, r.depth) for r in out.where("risk = -1").collect())
     assert new == [(1, 8, "r!!n", None, 1), (1, 9, "r!!o", "c", 1), (2, 2, "s!!m", "a", 1)]
     assert "Join" not in plan(out)
+
+
+def test_long_rows_are_no_lists(spark):
+    rows = spark.createDataFrame([(1, 2), (2, None)], "report_id long, v int")
+    out = features.long(rows, {"a:x": "v", "a:y": F.col("v") > 1})
+    assert "Generate" not in plan(out)
+    assert sorted(map(tuple, out.collect()), key=str) == [(1, "a:x", 2.0), (1, "a:y", 1.0), (2, "a:x", None), (2, "a:y", None)]
