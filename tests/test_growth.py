@@ -35,6 +35,11 @@ def test_listing_is_appended_without_a_join(spark):
     assert "Join" not in plan(out)
 
 
+def test_weighted_paths_read_paths_once(spark, sf_dir):
+    # paths, part and the files' risks, each once
+    assert plan(registry.QUERIES["features_paths"](spark, sf_dir)).count("FileScan") == 3
+
+
 def test_long_rows_are_no_lists(spark):
     rows = spark.createDataFrame([(1, 2), (2, None)], "report_id long, v int")
     out = features.long(rows, {"a:x": "v", "a:y": F.col("v") > 1})
