@@ -45,3 +45,7 @@ def test_long_rows_are_no_lists(spark):
     out = features.long(rows, {"a:x": "v", "a:y": F.col("v") > 1})
     assert "Generate" not in plan(out)
     assert sorted(map(tuple, out.collect()), key=str) == [(1, "a:x", 2.0), (1, "a:y", 1.0), (2, "a:x", None), (2, "a:y", None)]
+
+
+def test_explained_reads_findings_once(spark, sf_dir):
+    assert plan(registry.QUERIES["explained"](spark, sf_dir)).count("FileScan") == 2
