@@ -49,3 +49,12 @@ def test_long_rows_are_no_lists(spark):
 
 def test_explained_reads_findings_once(spark, sf_dir):
     assert plan(registry.QUERIES["explained"](spark, sf_dir)).count("FileScan") == 2
+
+
+def test_entropy_of_short_and_long_strings(spark):
+    said = ["aab", "x", "", "日本日本", "ab" * 200, "z" * 65, "-~" * 32]
+    out = features.char_entropy(spark.createDataFrame([(s,) for s in [*said, "aab"]], "s string"))
+    got = {r.s: r.entropy for r in out.collect()}
+    assert set(got) == set(said) - {""} and "Window" not in plan(out)
+    for s, h in got.items():
+        assert math.isclose(h, -sum(s.count(c) / len(s) * math.log2(s.count(c) / len(s)) for c in set(s)), abs_tol=1e-12)
