@@ -47,6 +47,14 @@ def test_long_rows_are_no_lists(spark):
     assert sorted(map(tuple, out.collect()), key=str) == [(1, "a:x", 2.0), (1, "a:y", 1.0), (2, "a:x", None), (2, "a:y", None)]
 
 
+def test_files_tiers_need_no_ids(spark, sf_dir):
+    found = adapters.findings(spark, sf_dir)
+    names = ["report_id", "file_id", "n_active", "notable", "suspicious", "hostile"]
+    want = sorted(map(tuple, findings.file_summary(found).select(names).collect()))
+    assert sorted(map(tuple, findings.file_tiers(found).select(names).collect())) == want
+    assert sorted(map(tuple, findings.file_tiers(findings.by_id(found)).select(names).collect())) == want
+
+
 def test_explained_reads_findings_once(spark, sf_dir):
     assert plan(registry.QUERIES["explained"](spark, sf_dir)).count("FileScan") == 2
 
