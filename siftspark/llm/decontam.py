@@ -59,14 +59,15 @@ def _fingerprints(rows: DataFrame, keys: list[str]) -> DataFrame:
     return counts.select(*keys, fp.alias("fp"))
 
 
-def _block_rows(fp: str, flips: bool) -> Column:
-    """Structs of block number and value, with ``flips`` also each value with one or two bits turned."""
-    out = []
-    for k in range(_BLOCKS):
-        value = F.shiftrightunsigned(fp, 8 * k).bitwiseAND(F.lit(255).cast("long")).cast("int")
-        for mask in _MASKS if flips else (0,):
-            out.append(F.struct(F.lit(k).alias("k"), value.bitwiseXOR(F.lit(mask)).alias("v")))
-    return F.explode(F.array(*out)).alias("block")
+def _block_rows(fp: str) -> Column:
+    """A row for each block: its number and value."""
+    of = lambda k: F.shiftrightunsigned(fp, 8 * k).bitwiseAND(F.lit(255).cast("long")).cast("int")
+    return F.posexplode(F.array(*[of(k) for k in range(_BLOCKS)])).alias("k", "v")
+
+
+def _masks() -> Column:
+    """A row for each mask of at most two bits; a list of numbers, not of expressions, so that the plan stays small."""
+    return F.explode(F.array(*map(F.lit, _MASKS))).alias("mask")
 
 
 def _weighted(a: str, b: str) -> Column:
@@ -88,9 +89,11 @@ def _candidates(windows: DataFrame, item: DataFrame, often: DataFrame, threshold
     m = F.col("n") - F.col("k") + 1
     ranked = item.select("ik", "n", m.alias("m"), F.explode("hs").alias("h")).join(often, "h").groupBy("ik", "n", "m").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("r"))
     first = ranked.select("ik", "n", F.explode(F.array_distinct(F.transform(F.slice("r", F.lit(1), F.col("m") - _ceil(threshold, F.col("m")) + 1), lambda x: x["h"]))).alias("h"))
-    x = wfp.join(windows.select(*wkey, "rare"), wkey).select(*wkey, F.explode("rare").alias("h"), F.col("fp").alias("x")).select("*", _block_rows("x", False)).select(*wkey, "h", "x", "block.k", "block.v")
-    y = ifp.join(first, ikey).select(*ikey, "h", F.col("fp").alias("y")).select("*", _block_rows("y", True)).select(*ikey, "h", "y", "block.k", "block.v")
-    return x.join(y, ["n", "h", "k", "v"])
+    x = wfp.join(windows.select(*wkey, "rare"), wkey).select(*wkey, F.explode("rare").alias("h"), F.col("fp").alias("x")).select("*", _block_rows("x"))
+    y = ifp.join(first, ikey).select(*ikey, "h", F.col("fp").alias("y")).select("*", _block_rows("y")).select("*", _masks())
+    y = y.select(*ikey, "h", "y", "k", F.col("v").bitwiseXOR(F.col("mask")).alias("v"))
+    # by a shuffle: a block's values make dozens of rows of each item's shingle, too many to be held and sent out by the driver
+    return x.join(y.hint("merge"), ["n", "h", "k", "v"])
 
 
 def leaks(docs: DataFrame, items: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:

@@ -125,3 +125,13 @@ def test_clashing_names(spark):
     df = spark.createDataFrame([(1, text, "a", 5, 6), (2, "other words", "b", 7, 8)], "doc_id long, text string, __dk string, __DK_ int, h int")
     got = decontam.drop_leaked(df, spark.createDataFrame([(1, text)], "item_id long, text string"))
     assert got.columns == df.columns and [tuple(r) for r in got.collect()] == [(2, "other words", "b", 7, 8)]
+
+
+def test_the_index_of_blocks_is_not_broadcast(spark):
+    windows = spark.createDataFrame([(1, 6, 2, 2, 0, [5, 6], [5])], "dk long, n int, m int, mw int, start int, hs array<long>, rare array<long>")
+    item = spark.createDataFrame([(9, 1, 6, 5, [5, 6])], "ik long, item_id long, n int, k int, hs array<long>")
+    often = spark.createDataFrame([(5, 1), (6, 1)], "h long, c long")
+    out = decontam._candidates(windows, item, often, 0.8)
+    said = out._jdf.queryExecution().executedPlan().toString()
+    assert min((said.index(j), j) for j in ("SortMergeJoin", "BroadcastHashJoin") if j in said)[1] == "SortMergeJoin"
+    assert [tuple(r) for r in out.select("dk", "ik").distinct().collect()] == [(1, 9)]
