@@ -66,3 +66,10 @@ def test_entropy_of_short_and_long_strings(spark):
     assert set(got) == set(said) - {""} and "Window" not in plan(out)
     for s, h in got.items():
         assert math.isclose(h, -sum(s.count(c) / len(s) * math.log2(s.count(c) / len(s)) for c in set(s)), abs_tol=1e-12)
+
+
+def test_lines_without_a_report_are_no_files(spark, sf_dir, tmp_path):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(20)
+    lost = lines.withColumn("l_orderkey", F.lit(None).cast("long"))
+    lines.unionByName(lost).write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert adapters.files(spark, str(tmp_path)).where("report_id is null").count() == 0
