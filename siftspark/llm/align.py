@@ -36,7 +36,9 @@ from siftspark.llm.tokenfile import Words, default_tokenizer
 from siftspark.session import shared_dir, small_batches
 
 #: Ends that a piece merges, units after which a chunk is closed, units that a worker keeps, and links of a group that are put out one by one.
-WORK, CHUNK, KEPT, _PLAIN = 256, 1_000_000, 400_000, 4096
+WORK, CHUNK, KEPT, _PLAIN = 256, 1_000_000, 300_000, 4096
+#: Units of texts whose pairs are at hand at once.
+_SPAN = 100_000
 _FAR = np.iinfo(np.int64).max
 
 
@@ -105,15 +107,16 @@ class _Flat:
     """Rows of whole numbers of different lengths, one behind the other."""
 
     def __init__(self):
-        self.values, self.first, self.size = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.values, self.first, self.size = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32)
 
     def add(self, values: np.ndarray, size: np.ndarray) -> None:
-        self.first = np.concatenate((self.first, len(self.values) + np.cumsum(size) - size))
-        self.values, self.size = np.concatenate((self.values, values)), np.concatenate((self.size, size))
+        first = len(self.values) + np.cumsum(size) - size
+        self.first = np.concatenate((self.first, first.astype(np.int32)))
+        self.values, self.size = np.concatenate((self.values, values.astype(np.int32))), np.concatenate((self.size, size.astype(np.int32)))
 
     def take(self, rows: np.ndarray) -> np.ndarray:
         n = self.size[rows]
-        return self.values[np.arange(n.sum()) + np.repeat(self.first[rows] - (np.cumsum(n) - n), n)]
+        return self.values[np.arange(n.sum()) + np.repeat(self.first[rows] - (np.cumsum(n) - n), n)].astype(np.int64)
 
 
 class Units:
@@ -239,6 +242,11 @@ def _units(path_a: str, path_b: str) -> Units:
     return _AT_HAND[path_a, path_b]
 
 
+def _forget() -> None:
+    """Of the module, not of a function sent to a worker, whose globals are copies."""
+    _AT_HAND.clear()
+
+
 def default_pieces() -> str:
     import public_tokenizers
 
@@ -282,6 +290,25 @@ def _sums(values: np.ndarray, size: np.ndarray) -> np.ndarray:
     return total[end] - total[end - size]
 
 
+def _holders(size: np.ndarray, code: np.ndarray, has: np.ndarray, once: np.ndarray, keys: int, span: int) -> np.ndarray:
+    """In how many texts each pair occurs: the texts are rows of units (``size``, ``code``), the units rows of distinct pairs (``has``, ``once``).
+
+    Some texts with ``span`` units in all are looked at at once.
+    """
+    out = np.zeros(keys, np.int64)
+    end, first = np.cumsum(size), np.cumsum(has) - has
+    borders = np.unique([0, *np.searchsorted(end, np.arange(span, len(code), span)), len(size)])
+    for s, e in zip(borders, borders[1:], strict=False):
+        doc = np.repeat(np.arange(e - s), size[s:e])
+        held = pd.unique(doc * max(len(has), 1) + code[end[s] - size[s] : end[e - 1]])
+        doc, unit = held // max(len(has), 1), held % max(len(has), 1)
+        n = has[unit]
+        at = np.arange(n.sum()) + np.repeat(first[unit] - (np.cumsum(n) - n), n)
+        held = pd.unique(np.repeat(doc, n) * max(keys, 1) + once[at])
+        out += np.bincount(held % max(keys, 1), minlength=keys)
+    return out
+
+
 def _chunk(number: int, ids: pa.Array, texts: list[np.ndarray], units: Units) -> pa.RecordBatch:
     size = np.array(list(map(len, texts)), np.int64)
     flat = np.concatenate(texts)
@@ -294,19 +321,13 @@ def _chunk(number: int, ids: pa.Array, texts: list[np.ndarray], units: Units) ->
     a, b, in_a, in_b = (x.take(mine) for x in (units.a, units.b_, units.in_a, units.in_b))
     key, group, _ = _links(a, b, in_a, in_b, units.base)
     pair, keys = pd.factorize(key, sort=True)
-    # the distinct pairs of each unit, then of each text
+    # the distinct pairs of each unit
     groups = units.in_a.size[mine]
     unit = np.repeat(np.arange(len(mine)), groups)[group]
     once = np.sort(pd.unique(unit * max(len(keys), 1) + pair))
     has = np.bincount(once // max(len(keys), 1), minlength=len(mine))
-    once, first = once % max(len(keys), 1), np.cumsum(has) - has
-    doc = np.repeat(np.arange(len(texts)), size)
-    held = pd.unique(doc * max(len(mine), 1) + code)
-    doc, unit = held // max(len(mine), 1), held % max(len(mine), 1)
-    n = has[unit]
-    at = np.arange(n.sum()) + np.repeat(first[unit] - (np.cumsum(n) - n), n)
-    held = pd.unique(np.repeat(doc, n) * max(len(keys), 1) + once[at])
-    holders = np.bincount(held % max(len(keys), 1), minlength=len(keys))
+    del key, group, pair, unit
+    holders = _holders(size, code, has, once % max(len(keys), 1), len(keys), _SPAN)
     digests = []
     for row in texts:
         digests.append(hashlib.sha256(b"".join(map(units.text.__getitem__, row.tolist()))[:-1]).hexdigest() if len(row) else "")
@@ -415,6 +436,8 @@ def summaries(alignment: DataFrame, pieces: str | None = None) -> DataFrame:
     told = alignment.select("chunk", F.explode("keys").alias("key")).join(counts, "key").select(F.col("chunk").alias("of"), "key", "documents", "best")
 
     def each(chunk: pa.Table, told: pa.Table) -> pa.Table:
+        # no text is aligned any more
+        _forget()
         keys = told.column("key").to_numpy()
         order = np.argsort(keys)
         keys, documents, best = keys[order], told.column("documents").to_numpy()[order], told.column("best").to_numpy()[order].astype(np.int64)

@@ -106,3 +106,28 @@ def test_long_and_empty(spark):
     assert tuple(got[2])[1:] == (0, 0, 0, 0, 0, 0, "")
     none = A.op13_token_alignment(docs.limit(0))
     assert none.count() == 0 and none.columns[0] == "doc_id"
+
+
+def test_chunk_needs_little_memory(monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    pick = random.Random(5)
+    words = ["".join(pick.choice("abcdefghij") for _ in range(12)) for _ in range(5000)]
+    made = [" ".join(pick.choice(words) for _ in range(400)) for _ in range(1000)]
+    units = A.Units(A.default_tokenizer(), A.default_pieces())
+    cut = units.cut(made)
+    tracemalloc.start()
+    one = A._chunk(0, pa.array(range(len(made))), cut, units)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # pairs of all texts at once would need more
+    assert peak < 60e6, peak
+    monkeypatch.setattr(A, "_SPAN", 1)
+    other = A._chunk(0, pa.array(range(len(made))), cut, units)
+    assert one == other
+    # what a worker knows stays until the counts are looked up
+    A._AT_HAND["a", "b"] = units
+    A._forget()
+    assert not A._AT_HAND
