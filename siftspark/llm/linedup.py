@@ -5,8 +5,9 @@ of Jaccard similarity t or more share a word among the first
 ``n - ceil(t n) + 1`` of each (prefix filter), and the first word that they
 share in that order has enough words behind it on both sides (positional
 filter). Pairs that meet so are tested by length and by the parity bits of both
-sets, whose differing bits never outnumber the words in which the sets differ;
-what is left is verified on the words themselves.
+sets, whose differing bits never outnumber the words in which the sets differ,
+then by their prefixes in full, of which few words can be apart; what is left
+is verified on the words themselves.
 
 Rarity is taken from a table of 2**20 counts, one for each hash bucket of words:
 any fixed order of words gives the same pairs, and this one is small however
@@ -92,7 +93,7 @@ def _line_sets(docs: DataFrame, threshold: float) -> DataFrame:
     prefix = F.transform(F.slice("ids", F.lit(1), n - _ceil(threshold, n) + 1), token)
     sets = lines.select("id", "dk", "pos", F.xxhash64("ids").alias("sig"), parity.alias("parity"), n.alias("n"), prefix.alias("prefix"))
     # lines without words are dropped after writing: a filter here would compute each set twice
-    return stored(sets).where("n > 0")
+    return stored(sets)
 
 
 def _may_match(x: str, y: str, t: float) -> Column:
@@ -131,10 +132,27 @@ def _bit_of(bits: str) -> Column:
     return F.call_function("shiftrightunsigned", F.get(F.col(bits), word), bit).bitwiseAND(F.lit(1).cast("long")) == 1
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: float) -> DataFrame:
-    """Numbers ``c`` of the later classes of those ``(c, first)`` pairs whose words match."""
-    place = classes.select("c", "at.dk", "at.pos")
-    pairs = stored(pairs.distinct())
+def _near_heads(pairs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
+    """Those of the ``(c, first)`` pairs whose prefixes leave room for a match.
+
+    Of two prefixes one ends first in the order of rarity. What the other set
+    has of its words lies in the other prefix, so all of them but those in
+    which its set may differ are in both. Words that fall on one token, and
+    words that no other line has, only make the difference seem smaller.
+    """
+    ends = pairs.select("c").union(pairs.select("first")).distinct()
+    heads = classes.select("c", "n", "prefix").join(_small(ends, _BROADCAST_LINES), "c", "left_semi")
+    a, b = heads.toDF("c", "an", "ap"), heads.toDF("first", "bn", "bp")
+    need = F.lit(t / (1 + t)) * (F.col("an") + F.col("bn")) - F.lit(1e-9)
+    near = (F.size(F.array_except("ap", "bp")) <= F.col("an") - need) | (F.size(F.array_except("bp", "ap")) <= F.col("bn") - need)
+    return pairs.join(a, "c").join(b, "first").where(near).select("c", "first")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: float, repeated: bool) -> DataFrame:
+    """Numbers ``c`` of the later classes of those ``(c, first)`` pairs whose words match; ``repeated``: a key of ``docs`` may occur twice."""
+    met = stored(pairs.distinct())
+    pairs = stored(_near_heads(met, classes, t))
+    drop(met)
     ends = pairs.select("c").union(pairs.select("first")).distinct()
     ends = stored(classes.select("c", "at.dk", "at.pos").join(_small(ends, _BROADCAST_LINES), "c", "left_semi"))
     asked, said = _small(ends, _BROADCAST_LINES // 4), _lines(docs).select("dk", "pos", "line")
@@ -142,7 +160,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: float) -
         # before the shuffle: only lines whose bit is set can be asked for
         said = said.withColumn("bits", _bits(ends)).where(_bit_of("bits"))
     said = said.join(asked, ["dk", "pos"]).select("c", F.array_distinct(_split(F.col("line"))).alias("words"))
-    said = stored(said.dropDuplicates(["c"]))
+    said = stored(said.dropDuplicates(["c"]) if repeated else said)
     a, b = said.withColumnRenamed("words", "aw"), said.select(F.col("c").alias("first"), F.col("words").alias("bw"))
     both = pairs.join(a, "c").join(b, "first")
     shared = F.size(F.array_intersect("aw", "bw"))
@@ -159,7 +177,9 @@ def matched_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     more to it; which lines go so does not depend on the order of removal.
     """
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    sets = _line_sets(docs, threshold)
+    every = _line_sets(docs, threshold)
+    repeated = bool(every.where("pos = 0").groupBy("dk").count().where("count > 1").take(1))
+    sets = every.where("n > 0")
     at = F.struct("id", "pos", "dk")
     classes = sets.groupBy(*_SET).agg(F.min(at).alias("at"), F.min("n").alias("n"), F.min("prefix").alias("prefix"))
     # numbers in the order of the classes' first lines; written, so that they stay
@@ -173,11 +193,12 @@ def matched_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     some = places.where("tok < 0")
     leaders = some.groupBy("tok", F.pmod("c", F.lit(_LEADERS)).alias("k")).agg(F.min(F.struct("c", "n", "parity", "i")).alias("p")).select("tok", "p.*")
-    done = _verified(meet(some, leaders), classes, docs, threshold)
-    # the lines that this has not settled against all, from one shuffle
-    every = places.repartition(parts, "tok")
-    later = _verified(meet(every.join(_small(done, _BROADCAST_LINES), "c", "left_anti"), every), classes, docs, threshold)
-    gone = done.unionByName(later).withColumn("gone", F.lit(True))
+    done = _verified(meet(some, leaders), classes, docs, threshold, repeated)
+    # the lines that this has not settled against all, from one shuffle; an anti join would be moved before it, and make it two
+    dealt = places.repartition(parts, "tok")
+    settled = _small(done.withColumn("settled", F.lit(True)), _BROADCAST_LINES)
+    later = _verified(meet(dealt.join(settled, "c", "left").where("settled is null"), dealt), classes, docs, threshold, repeated)
+    gone = _small(done.unionByName(later).withColumn("gone", F.lit(True)), _BROADCAST_LINES)
     verdict = classes.select(*_SET, "at", "c").join(gone, "c", "left").drop("c")
     lines = sets.select(*_SET, "dk", "pos").join(verdict, list(_SET))
     out = stored(lines.where("gone or dk <> at.dk or pos <> at.pos").select("dk", "pos"))
