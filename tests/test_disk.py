@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from siftspark.operators import features, findings
+from siftspark.operators import features, findings, jobs
 from siftspark.plans import feature_queries
 from siftspark.session import stored_by, stored_rows
 
@@ -42,3 +42,12 @@ def test_families_lay_reports_together_once(spark, sf_dir):
     ids = stored_by(findings.by_id(t.findings, dealt=True), "report_id", t.buckets, dealt=True)
     for made in (findings.report_paths(ids), findings.file_summary(ids), features.attack_codes(t.findings)):
         assert "Exchange" not in plan(made)
+
+
+def test_run_keeps_its_buckets(spark, monkeypatch, sf_dir):
+    seen = []
+    monkeypatch.setattr(jobs, "stored_by", lambda rows, key, n, dealt=False, most=0: seen.append((n, plan(rows).count("hashpartitioning") if dealt and set(rows.columns) >= {"path", "max_crit"} else 0)) or stored_by(rows, key, n, dealt))
+    from siftspark.plans import job_queries
+
+    job_queries.job_member_verdicts(spark, sf_dir)
+    assert len(seen) > 10 and all(n and not again for n, again in seen)
